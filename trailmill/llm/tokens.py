@@ -55,7 +55,7 @@ def token_counts(
     limit: int = 2048,
     split: bool = True,
     batch_bytes: int = 1 << 18,
-    cache_bytes: int = 24 << 20,
+    cache_bytes: int = 64 << 20,
 ) -> DataFrame:
     """Columns keep of df, then n_bytes, n_tokens and over_limit (more than limit tokens) of each whole text.
 
@@ -82,7 +82,7 @@ def token_counts(
                 n = []
                 for x in texts:
                     words = x.split()
-                    new = list(set(words) - known.keys())
+                    new = [w for w in set(words) if w not in known]
                     if new:
                         known.update(zip(new, lengths(new), strict=True))
                         held += sum(map(len, new)) + 100 * len(new)
