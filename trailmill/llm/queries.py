@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, decontam, mixing, simhash, tokens, urls
+from . import common, decontam, mixing, quality, simhash, tokens, topk, toxicity, urls
 from .common import table
 
 RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
@@ -27,6 +27,16 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.filter_urls(table(spark, sf_dir, "pages"), rules=RULES)
 
 
+def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), is_query=F.col("vec_id") % 50 == 0, k=5)
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rest = common.crc_mod(F.col("doc_id"), 3)
+    out = quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), label="quality", learn=rest != 1, keep=["doc_id"])
+    return out.select("doc_id", F.coalesce(rest == 1, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(table(spark, sf_dir, "documents"), tokenizer=tokenizer("word_bpe_49k.json"), keep=["doc_id"], limit=2048)
 
@@ -37,6 +47,12 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), ids.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rest = common.crc_mod(F.col("doc_id"), 5)
+    out = toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), label="toxic", learn=rest != 0, keep=["doc_id"])
+    return out.select("doc_id", F.coalesce(rest == 0, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", common.n_words(F.col("text")).alias("words"))
     out = mixing.mix_sources(docs, source="source", size="words", key="doc_id", keep=["doc_id"], weights=(5, 2, 1), total=1.5, ceiling=2.0)
@@ -46,8 +62,11 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_url_filter": op2_url_filter,
+    "op3_topk": op3_topk,
+    "op4_quality": op4_quality,
     "op5_token_counts": op5_token_counts,
     "op6_decontamination": op6_decontamination,
+    "op7_toxicity": op7_toxicity,
     "op10_mixing": op10_mixing,
 }
 
