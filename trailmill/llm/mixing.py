@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import n_words, stored
 
 
 def share_targets(sizes: Sequence[int], weights: Sequence[float], total: float, ceiling: float) -> list[float]:
@@ -156,3 +156,20 @@ def mix_sources(
     out = cube_sample(rows, source="_source", size="_size", key="_key", prob="_p", seed=seed, block=block)
     times = (F.col("_times") + F.col("drawn")).alias("times")
     return out.select(*[F.col(f"_keep_{c}").alias(c) for c in keep], F.col("_size").alias("size"), "source_size", "target", times, (F.col("_size") * (F.col("_times") + F.col("drawn"))).alias("taken"))
+
+
+def mix_documents(docs: DataFrame, *, source: str = "source", doc_id: str = "doc_id", text: str = "text", **how: float) -> DataFrame:
+    """The rows of docs that the mix of mix_sources takes, with a column times; the size of a document is its number of words.
+
+    Rows equal in id, source and text come out as one, with their times added up. Documents without words have no size; they are taken like others of their source. A column of docs
+    named times would clash and is a ValueError.
+    """
+    if "times" in docs.columns:
+        raise ValueError("docs has a column named times")
+    sig = F.xxhash64(F.lit(0), text)
+    sized = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"), sig.alias("sig"), n_words(F.col(text)).alias("words"))
+    mixed = mix_sources(sized, source="source", size="words", key="doc_id", keep=["doc_id", "source", "sig"], **how)
+    taken = mixed.groupBy("doc_id", "source", "sig").agg(F.sum("times").alias("_times")).filter("_times > 0").select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("sig").alias("_sig"), "_times")
+    rows = docs.select(*[F.col(c).alias(f"_in_{i}") for i, c in enumerate(docs.columns)], F.col(doc_id).alias("_d"), F.col(source).cast("string").alias("_s"), sig.alias("_g")).dropDuplicates(["_d", "_s", "_g"])
+    same = F.col("_d").eqNullSafe(F.col("_id")) & F.col("_s").eqNullSafe(F.col("_source")) & (F.col("_g") == F.col("_sig"))
+    return rows.join(taken, same).select(*[F.col(f"_in_{i}").alias(c) for i, c in enumerate(docs.columns)], F.col("_times").cast("int").alias("times"))

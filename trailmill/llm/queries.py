@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, decontam, mixing, quality, simhash, tokens, topk, toxicity, urls
+from . import common, decontam, lm, mixing, quality, simhash, substrings, tokens, topk, toxicity, urls
 from .common import table
 
 RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
@@ -53,6 +53,19 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.coalesce(rest == 0, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
+def op8_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rest = common.crc_mod(F.col("doc_id"), 7)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.coalesce(rest == 2, F.lit(False)).alias("held_out"))
+    out = lm.lm_scores(docs, learn=~F.col("held_out"), keep=["doc_id", "held_out"])
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substrings.repeats(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    words = F.aggregate("removed", F.lit(0), lambda n, s: n + s["b"] - s["a"]).cast("long")
+    return out.select("doc_id", "n_words", "repeated", F.size("spans").cast("long").alias("n_passages"), words.alias("n_removed_words"), F.col("sources").alias("source_doc_ids"), F.col("clean").alias("text"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", common.n_words(F.col("text")).alias("words"))
     out = mixing.mix_sources(docs, source="source", size="words", key="doc_id", keep=["doc_id"], weights=(5, 2, 1), total=1.5, ceiling=2.0)
@@ -67,6 +80,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_token_counts": op5_token_counts,
     "op6_decontamination": op6_decontamination,
     "op7_toxicity": op7_toxicity,
+    "op8_lm_scores": op8_lm_scores,
+    "op9_substring_dedup": op9_substring_dedup,
     "op10_mixing": op10_mixing,
 }
 

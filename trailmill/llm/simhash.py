@@ -124,7 +124,7 @@ def _block_links(left: np.ndarray, right: np.ndarray | None, radius: int, skip:
     return fps[moved], fps[forest.root[moved]]
 
 
-def tables_for(n: int, radius: int, per_bucket: int = 256) -> list[int]:
+def tables_for(n: int, radius: int, per_bucket: int = 4096) -> list[int]:
     """Masks such that any two fingerprints within radius agree on the bits of one mask at least.
 
     The 64 bits are cut into radius + k even pieces; radius differing bits spoil radius of them at most, so some k
