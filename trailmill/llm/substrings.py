@@ -11,6 +11,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import stored
+
 #: One random 32-bit number a byte; drawn by rule, not listed.
 GEAR = np.random.default_rng(20240229).integers(0, 1 << 32, 256, dtype=np.uint32)
 NO_ID = (1 << 63) - 1
@@ -73,8 +75,8 @@ def runs(start: np.ndarray, size: np.ndarray, flag: np.ndarray, min_words: int)
 def repeated_chunks(rows: DataFrame, mean_words: int, max_words: int) -> DataFrame:
     """(id, sig, found) for each document (id: long, sig: int, text: binary) with chunks that occur more than once: found lists at (first word << 8 | words), digest and first, the smallest id with that digest.
 
-    Counts by digest are summed where chunks are cut before they are shuffled; a digest that very many documents share meets its occurrences in an
-    equal join, which Spark can split.
+    Counts by digest are summed where chunks are cut before they are shuffled; the digests that occur more than once are
+    stored and meet their occurrences in an equal join of two plain exchanges, which Spark splits where very many documents share a digest.
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -89,7 +91,7 @@ def repeated_chunks(rows: DataFrame, mean_words: int, max_words: int) -> DataFra
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sig.astype(np.int64) << 40 | at), pa.array(np.concatenate([g[2] for g in got]))], names=["id", "at", "digest"])
 
     seen = rows.mapInArrow(cut, "id bigint, at bigint, digest bigint")
-    shared = seen.groupBy("digest").agg(F.count("*").alias("n"), F.min("id").alias("first")).filter("n > 1").select(F.col("digest").alias("_d"), "first")
+    shared = stored(seen.groupBy("digest").agg(F.count("*").alias("n"), F.min("id").alias("first")).filter("n > 1").select(F.col("digest").alias("_d"), "first"), "shared")
     hits = seen.join(shared, F.col("digest") == F.col("_d")).select("id", F.shiftright("at", 40).cast("int").alias("sig"), F.col("at").bitwiseAND(F.lit((1 << 40) - 1)).alias("at"), "digest", "first")
     return hits.groupBy("id", "sig").agg(F.collect_list(F.struct("at", "digest", "first")).alias("found"))
 
