@@ -221,12 +221,13 @@ def drop_near_copies(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text
 
     Texts without words say nothing about likeness: they have no near copies and all stay.
     """
-    named = df.select(*[F.col(c).alias(f"_in_{i}") for i, c in enumerate(df.columns)], F.col(doc_id).alias("doc_id"), fingerprints(F.col(text), shingle, seed).alias("fp"))
-    named = stored(named, "rows")
-    groups = fingerprint_groups(named.filter("fp <> 0").select("doc_id", "fp"), radius, block)
-    best = groups.groupBy("root").agg(F.min(F.struct(F.col("min_id").isNull().alias("no_id"), F.col("min_id").alias("id"), F.col("fp").alias("fp"))).alias("b")).select("b.id", "b.fp", "b.no_id")
-    best = best.select(F.col("fp").alias("_fp"), F.col("id").cast("string").alias("_id"), "no_id")
-    single = named.filter("fp <> 0").dropDuplicates(["fp", "doc_id"])
-    same = (F.col("fp") == F.col("_fp")) & F.col("doc_id").cast("string").eqNullSafe(F.col("_id"))
-    out = single.join(best, same, "left_semi").unionByName(named.filter("fp = 0"))
+    key = F.coalesce(F.concat(F.lit("="), F.col(doc_id).cast("string")), F.lit("")).alias("key")
+    named = df.select(*[F.col(c).alias(f"_in_{i}") for i, c in enumerate(df.columns)], key, fingerprints(F.col(text), shingle, seed).alias("fp"))
+    # texts go through one exchange only: what is stored are ids, and the rows are keyed alike for both steps below
+    ids = stored(df.select(F.col(doc_id).alias("doc_id"), fingerprints(F.col(text), shingle, seed).alias("fp")).filter("fp <> 0"), "ids")
+    groups = fingerprint_groups(ids, radius, block)
+    best = groups.groupBy("root").agg(F.min(F.struct(F.col("min_id").isNull().alias("no_id"), F.col("min_id").alias("id"), F.col("fp").alias("fp"))).alias("b"))
+    best = best.select(F.col("b.fp").alias("_fp"), F.coalesce(F.concat(F.lit("="), F.col("b.id").cast("string")), F.lit("")).alias("_key"))
+    single = named.filter("fp <> 0").dropDuplicates(["fp", "key"])
+    out = single.join(best, (F.col("fp") == F.col("_fp")) & (F.col("key") == F.col("_key")), "left_semi").unionByName(named.filter("fp = 0"))
     return out.select(*[F.col(f"_in_{i}").alias(c) for i, c in enumerate(df.columns)])
