@@ -11,7 +11,7 @@ from trailmill.llm import common, decontam, mixing, quality, simhash, substrings
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier, learned from all labels, doesn't reject."""
-    scored = quality.quality_scores(docs, common.table(spark, sf_dir, "labels"), label="quality", keep=docs.columns)
+    scored = quality.quality_scores(docs, common.table(spark, sf_dir, "labels"), label="quality", keep=docs.columns, store_rows=False)
     return scored.filter("predicted = 1").select(*docs.columns)
 
 

@@ -164,18 +164,22 @@ def fit_quality(train: DataFrame, *, features: int = 192, width: float = 1.0, ri
     return zero
 
 
-def quality_scores(df: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label_id: str = "doc_id", label: str = "quality", learn: Column | None = None, keep: list[str] | tuple[str, ...] = (), **fit: float) -> DataFrame:
+def quality_scores(df: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label_id: str = "doc_id", label: str = "quality", learn: Column | None = None, keep: list[str] | tuple[str, ...] = (), store_rows: bool = True, **fit: float) -> DataFrame:
     """keep, score (0 to 1, higher: label 1 likelier) and predicted (1 if score >= 0.5) for each row of df.
 
-    Statistics of whole texts are computed once and stored; labels meet them by id. learn, over doc_id, says which ids' labels may be learned from
+    Statistics of whole texts are stored, with keep beside them, and labels meet them by id. Without store_rows only ids and statistics are, for fitting, and statistics are
+    computed again where rows are scored: the better way where keep holds the texts. learn, over doc_id, says which ids' labels may be learned from
     (all if not given). Labels that are null, and ids without a text, are not learned from; an id with several labels or texts gives each pair.
     Null and empty texts have a score like any other; with no labels at all scores are 0.5. Rows come out as they are, repeated ones too.
     """
     keep = list(keep)
-    rows = stored(df.select(*[F.col(c).alias(f"_keep_{i}") for i, c in enumerate(keep)], F.col(doc_id).alias("doc_id"), document_statistics(F.col(text)).alias("stats")), "statistics")
+    rows = df.select(*[F.col(c).alias(f"_keep_{i}") for i, c in enumerate(keep)], F.col(doc_id).alias("doc_id"), document_statistics(F.col(text)).alias("stats"))
+    if store_rows:
+        rows = stored(rows, "statistics")
     known = labels.select(F.col(label_id).alias("_id"), F.col(label).cast("double").alias("label")).filter("label is not null")
     fold = F.pmod(F.xxhash64(F.lit(3), F.col("doc_id").cast("string")), F.lit(FOLDS)).cast("int").alias("fold")
-    train = rows.select("doc_id", "stats").filter(F.lit(True) if learn is None else F.coalesce(learn, F.lit(False))).join(known, F.col("doc_id") == F.col("_id")).select("stats", "label", fold)
+    fitted = rows.select("doc_id", "stats").filter(F.lit(True) if learn is None else F.coalesce(learn, F.lit(False)))
+    train = (fitted if store_rows else stored(fitted, "statistics")).join(known, F.col("doc_id") == F.col("_id")).select("stats", "label", fold)
     model = fit_quality(stored(train, "train"), **fit)
 
     @F.arrow_udf("double")
