@@ -169,7 +169,9 @@ def mix_documents(docs: DataFrame, *, source: str = "source", doc_id: str = "doc
     sig = F.xxhash64(F.lit(0), text)
     sized = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"), sig.alias("sig"), n_words(F.col(text)).alias("words"))
     mixed = mix_sources(sized, source="source", size="words", key="doc_id", keep=["doc_id", "source", "sig"], **how)
-    taken = mixed.groupBy("doc_id", "source", "sig").agg(F.sum("times").alias("_times")).filter("_times > 0").select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("sig").alias("_sig"), "_times")
-    rows = docs.select(*[F.col(c).alias(f"_in_{i}") for i, c in enumerate(docs.columns)], F.col(doc_id).alias("_d"), F.col(source).cast("string").alias("_s"), sig.alias("_g")).dropDuplicates(["_d", "_s", "_g"])
-    same = F.col("_d").eqNullSafe(F.col("_id")) & F.col("_s").eqNullSafe(F.col("_source")) & (F.col("_g") == F.col("_sig"))
+    # keys without nulls, so that rows are dealt the same way for both steps
+    name = lambda c: F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit(""))
+    taken = mixed.groupBy(name(F.col("doc_id")).alias("_id"), name(F.col("source")).alias("_source"), F.col("sig").alias("_sig")).agg(F.sum("times").alias("_times")).filter("_times > 0")
+    rows = docs.select(*[F.col(c).alias(f"_in_{i}") for i, c in enumerate(docs.columns)], name(F.col(doc_id)).alias("_d"), name(F.col(source)).alias("_s"), sig.alias("_g")).dropDuplicates(["_d", "_s", "_g"])
+    same = (F.col("_d") == F.col("_id")) & (F.col("_s") == F.col("_source")) & (F.col("_g") == F.col("_sig"))
     return rows.join(taken, same).select(*[F.col(f"_in_{i}").alias(c) for i, c in enumerate(docs.columns)], F.col("_times").cast("int").alias("times"))
