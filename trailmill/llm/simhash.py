@@ -199,8 +199,9 @@ def fingerprint_groups(docs: DataFrame, radius: int = 4, block: int = 2048) -> D
     """(fp, root, component_id, min_id, copies) for each distinct fingerprint of docs (doc_id, fp): its smallest doc_id, and the smallest of all it can reach by links of radius bits."""
     nodes = stored(docs.groupBy("fp").agg(F.min("doc_id").alias("min_id"), F.count("*").alias("copies")), "nodes")
     roots = components(near_links(nodes.select("fp"), radius, block))
-    joined = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "min_id", "copies", F.coalesce("root", "fp").alias("root"))
-    low = joined.groupBy("root").agg(F.min("min_id").alias("component_id"))
+    joined = stored(nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "min_id", "copies", F.coalesce("root", "fp").alias("root")), "rooted")
+    # stored, so that the join with a component of very many fingerprints can be split
+    low = stored(joined.groupBy("root").agg(F.min("min_id").alias("component_id")), "lowest")
     return joined.join(low, "root").select("fp", "root", "component_id", "min_id", "copies")
 
 

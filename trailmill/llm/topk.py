@@ -125,7 +125,7 @@ def top_k(df: DataFrame, *, vec_id: str = "vec_id", vector: str = "embedding", i
     groups = max(1, cands.count())
     cands = cands.select(F.pmod(F.xxhash64("ids", "x"), F.lit(groups)).cast("int").alias("g"), F.col("ids").alias("c_ids"), F.col("d").alias("c_d"), F.col("x").alias("c_x"))
     spread = queries.select(F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("_g"), "ids", "tags", "d", "x")
-    met = cands.join(spread, F.col("g") == F.col("_g")).select("g", "c_ids", "c_d", "c_x", "ids", "tags", "d", "x").sortWithinPartitions("g", "c_ids")
+    met = cands.join(spread.hint("merge"), F.col("g") == F.col("_g")).select("g", "c_ids", "c_d", "c_x", "ids", "tags", "d", "x").sortWithinPartitions("g", "c_ids")
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, index, ids = None, None, None
