@@ -9,6 +9,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from . import kalman
 
@@ -203,4 +204,7 @@ def agglomerate(nodes: DataFrame, edges: DataFrame, *, threshold: float, linkage
         rows = [(n["seq"].iloc[0], ids[i], ids[c.members[k]].min()) for k in c.live for i in c.members[k]] if len(n) else []
         return pd.DataFrame(rows, columns=["seq", "id", "track_id"])
 
+    # aliases give both sides columns of their own where edges were made from nodes
+    nodes = nodes.select(*[F.col(c).alias(c) for c in ("seq", "frame", "id")])
+    edges = edges.select(*[F.col(c).alias(c) for c in ("seq", "a", "b", "distance")])
     return nodes.groupBy("seq").cogroup(edges.groupBy("seq")).applyInPandas(one, LABELS)

@@ -66,8 +66,8 @@ class Tracker:
             self.next_number += 1
         self.tracks = [t for t in self.tracks if t.state != DELETED]
         for t in self.tracks:
-            if t.state == CONFIRMED:
-                new = np.array(t.features).reshape(len(t.features), -1)
+            if t.state == CONFIRMED and t.features and features.shape[1]:
+                new = np.array(t.features)
                 old = self.gallery.get(t.number)
                 both = new if old is None else np.concatenate([old, new])
                 self.gallery[t.number] = both[-self.budget :] if self.budget else both
@@ -102,6 +102,9 @@ class Tracker:
         cost = np.empty((len(rows), len(free)))
         for k, i in enumerate(rows):
             t = self.tracks[i]
+            if t.number not in self.gallery:
+                cost[k] = FORBIDDEN
+                continue
             g = self.gallery[t.number]
             g = g / np.maximum(np.linalg.norm(g, axis=1, keepdims=True), 1e-12)
             cost[k] = (1 - g @ f.T).min(axis=0)
