@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import vectors
-from ..operators import classification, clustering_metrics, folds, models, neighbors, preprocessing, regression, selection, text
+from ..functions import lists, vectors
+from ..operators import classification, clustering, clustering_metrics, folds, gram, mapping, models, neighbors, preprocessing, regression, selection, text
 from . import tables as t
 from .registry import BASE, query, rounded
 
@@ -362,3 +362,138 @@ def kernel_rbf(spark: SparkSession, sf: str) -> DataFrame:
     a = v.filter("id % 20 = 0").select("id", "label", "v")
     b = v.select(C("id").alias("other"), "label", C("v").alias("w"))
     return rounded(a.join(b, "label").filter("id <> other").select("id", "other", vectors.rbf(C("v"), C("w"), 0.5).alias("k")), "k")
+
+
+# ---- lists and strings
+
+LISTS = "WITH u AS (SELECT user_id, list(DISTINCT event_type ORDER BY event_type) AS a, list(event_id % 5 ORDER BY event_id) AS b FROM events GROUP BY user_id)"
+
+
+def _lists(spark: SparkSession, sf: str) -> DataFrame:
+    e = t.read(spark, sf, "events")
+    return e.groupBy("user_id").agg(F.array_sort(F.collect_set("event_type")).alias("a"), F.transform(F.array_sort(F.collect_list("event_id")), lambda x: x % 5).alias("b"))
+
+
+@query(f"{LISTS} SELECT user_id, list_aggregate(list_sort(list_intersect(a, ['click', 'view', 'nothing'])), 'string_agg', ',') AS both, len(list_filter(a, lambda x: NOT list_contains(['click', 'view'], x))) AS extra FROM u")
+def list_shared(spark: SparkSession, sf: str) -> DataFrame:
+    b = lambda *x: F.array(*[F.lit(i) for i in x])
+    df = _lists(spark, sf)
+    both = F.array_join(F.array_sort(lists.shared(C("a"), b("click", "view", "nothing"))), ",")
+    return df.select("user_id", F.when(both != "", both).alias("both"), F.size(lists.difference(C("a"), b("click", "view"))["left"]).cast("long").alias("extra"))
+
+
+@query("WITH c AS (SELECT user_id, event_id % 5 AS item, count(*) AS n FROM events GROUP BY ALL) SELECT user_id, string_agg(CAST(item AS VARCHAR), ',' ORDER BY item) AS repeated FROM c WHERE n > 1 GROUP BY user_id")
+def list_repeated(spark: SparkSession, sf: str) -> DataFrame:
+    r = F.array_join(lists.repeated(C("b")).cast("array<string>"), ",")
+    return _lists(spark, sf).select("user_id", r.alias("repeated")).filter("repeated <> ''")
+
+
+@query("SELECT user_id, item, n FROM (SELECT user_id, event_id % 5 AS item, count(*) AS n, row_number() OVER (PARTITION BY user_id ORDER BY count(*) DESC, event_id % 5) AS r FROM events GROUP BY user_id, event_id % 5) WHERE r = 1")
+def list_counts(spark: SparkSession, sf: str) -> DataFrame:
+    first = lists.counts(C("b"))[0]
+    return _lists(spark, sf).select("user_id", first["item"].alias("item"), first["n"].cast("long").alias("n"))
+
+
+# ---- further models
+
+
+@query(f"{BASE} SELECT l_linenumber, round(CASE WHEN y >= 0 THEN (pow(y + 1, 0.5) - 1) / 0.5 ELSE 0 END, 4) AS z FROM reg")
+def power_transform(spark: SparkSession, sf: str) -> DataFrame:
+    return mapping.power_transform(t.reg(spark, sf), "y", 0.5, "z").select("l_linenumber", F.round("z", 4).alias("z"))
+
+
+def _model(spark: SparkSession, m: models.Linear, names: list[str]) -> DataFrame:
+    return spark.createDataFrame([*zip(names, map(float, m.coef), strict=True), ("intercept", float(m.intercept))], "name string, value double")
+
+
+@query()
+def ridge_fit(spark: SparkSession, sf: str) -> DataFrame:
+    return _model(spark, gram.ridge(gram.moments(t.reg(spark, sf), N, "l_extendedprice"), 1.0), N)
+
+
+@query()
+def lasso_fit(spark: SparkSession, sf: str) -> DataFrame:
+    return _model(spark, gram.elastic_net(gram.moments(t.reg(spark, sf), N, "l_extendedprice"), 10.0), N)
+
+
+@query()
+def bayesian_ridge_fit(spark: SparkSession, sf: str) -> DataFrame:
+    return _model(spark, gram.bayesian_ridge(gram.moments(t.reg(spark, sf), N, "l_extendedprice"))[0], N)
+
+
+@query()
+def partial_least_squares_fit(spark: SparkSession, sf: str) -> DataFrame:
+    return _model(spark, gram.partial_least_squares(gram.moments(t.reg(spark, sf), N, "l_extendedprice"), 2), N)
+
+
+@query()
+def covariance_shrunk(spark: SparkSession, sf: str) -> DataFrame:
+    c, k = gram.ledoit_wolf(t.reg(spark, sf), N)
+    return spark.createDataFrame([(i, j, float(c[i, j]), k) for i in range(3) for j in range(3)], "i int, j int, c double, shrinkage double")
+
+
+@query()
+def discriminant_predict(spark: SparkSession, sf: str) -> DataFrame:
+    df = t.reg(spark, sf)
+    p = gram.discriminant(df, "l_returnflag", N).predict(N)
+    return df.select("l_returnflag", p.alias("predicted")).groupBy("l_returnflag", "predicted").agg(F.count("*").alias("n"))
+
+
+def _points(spark: SparkSession, sf: str) -> DataFrame:
+    return t.tracks(spark, sf).select("id", F.array("x", "y").alias("v"))
+
+
+@query()
+def k_means(spark: SparkSession, sf: str) -> DataFrame:
+    return clustering.k_means(t.vectors(spark, sf).select("id", "v"), 10, rounds=10)[1]
+
+
+@query()
+def dbscan(spark: SparkSession, sf: str) -> DataFrame:
+    return clustering.dbscan(_points(spark, sf), 1.0, 4)
+
+
+@query(f"{BASE}, p AS (SELECT id, x, y FROM track) SELECT a.id AS a, b.id AS b, round(sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)), 6) AS distance FROM p a JOIN p b ON a.id < b.id WHERE sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) <= 1")
+def grid_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(clustering.grid_pairs(_points(spark, sf), 1.0), "distance")
+
+
+@query()
+def outlier_factor(spark: SparkSession, sf: str) -> DataFrame:
+    v = t.vectors(spark, sf).select("id", "v")
+    return clustering.outlier_factor(neighbors.nearest(v, v, k=5), 5)
+
+
+@query()
+def label_spreading(spark: SparkSession, sf: str) -> DataFrame:
+    v = t.vectors(spark, sf)
+    e = neighbors.nearest(v.select("id", "v"), v.select("id", "v"), k=5).select(C("query_id").alias("a"), C("id").alias("b"), F.exp(-C("distance")).alias("w"))
+    return clustering.spread_labels(e, v.filter("id % 20 = 0").select("id", "label"), rounds=5)
+
+
+@query()
+def fourier_features(spark: SparkSession, sf: str) -> DataFrame:
+    v = t.vectors(spark, sf)
+    return v.select("id", mapping.fourier_features(C("v"), 64, 32, 0.5).alias("f"))
+
+
+@query()
+def random_projection(spark: SparkSession, sf: str) -> DataFrame:
+    return t.vectors(spark, sf).select("id", mapping.random_projection(C("v"), 64, 8).alias("f"))
+
+
+@query()
+def logistic_regression(spark: SparkSession, sf: str) -> DataFrame:
+    from pyspark.ml.classification import LogisticRegression
+
+    df = t.reg(spark, sf).withColumn("label", (C("l_linestatus") == "O").cast("double"))
+    out = models.fit_ml(LogisticRegression(maxIter=10), df, N)
+    return out.groupBy("label", "prediction").agg(F.count("*").alias("n"))
+
+
+@query()
+def tree_regression(spark: SparkSession, sf: str) -> DataFrame:
+    from pyspark.ml.regression import DecisionTreeRegressor
+
+    out = models.fit_ml(DecisionTreeRegressor(maxDepth=4), t.reg(spark, sf).withColumn("label", C("l_extendedprice")), N)
+    return regression.errors(out, "label", "prediction")
