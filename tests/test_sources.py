@@ -100,3 +100,19 @@ def test_render(spark):
     df = spark.createDataFrame([("OVERALL", 0.5, 0.25, 3), ("a", 0.5, None, 3)], "seq string, mota double, motp double, num_misses long")
     out = writers.render(df).splitlines()
     assert out[0].split() == ["seq", "MOTA", "MOTP", "FN"] and out[1].split() == ["a", "50.0%", "nan", "3"]
+
+
+def test_svmlight(spark, tmp_path):
+    p = put(tmp_path / "s.txt", "# head\n1 qid:3 2:0.5 10:-5.2 # note\n-1.5 5:1\n")
+    got = sorted((r.label, r.qid, r.idx, r.val) for r in readers.read_svmlight(spark, p).collect())
+    assert got == [(-1.5, None, [5], [1.0]), (1.0, 3, [2, 10], [0.5, -5.2])]
+
+
+def test_synthetic(spark):
+    from trailmill.sources import synthetic
+
+    b = synthetic.blobs(spark, 300, centres=3).collect()
+    assert len({r.label for r in b}) == 3 and b == synthetic.blobs(spark, 300, centres=3).repartition(5).orderBy("id").collect()
+    z = spark.range(4000).select(synthetic.normal(1, F.col("id")).alias("z")).agg(F.avg("z"), F.stddev("z")).head()
+    assert abs(z[0]) < 0.06 and abs(z[1] - 1) < 0.06
+    assert synthetic.moons(spark, 10).count() == synthetic.circles(spark, 10).count() == synthetic.classification(spark, 10).count() == 10

@@ -115,16 +115,40 @@ class Expert:
     reclaim: bool = False
 
 
-def _cosine(f: np.ndarray) -> np.ndarray:
-    n = np.linalg.norm(f, axis=1, keepdims=True)
-    return 1 - (f / np.maximum(n, 1e-12)) @ (f / np.maximum(n, 1e-12)).T
-
-
-def _vetoes(e: Expert, frames: np.ndarray, aspect: np.ndarray, cosine: np.ndarray | None) -> Callable[[list[int], list[int]], bool]:
+class Distances:
+    """Distances between detections, made when asked for: cosine between features where there are any, else Euclidean between corners. No matrix of a whole sequence is ever held."""
+
+    def __init__(self, pdf: pd.DataFrame) -> None:
+        self.features = None
+        if "feature" in pdf:
+            from .online import feature_rows
+
+            f = feature_rows(pdf["feature"])
+            self.features = f / np.maximum(np.linalg.norm(f, axis=1, keepdims=True), 1e-12)
+        x, y, w, h = (pdf[c].to_numpy(float) for c in "xywh")
+        self.corners = np.column_stack([x, y, x + w, y + h])
+
+    def between(self, a: Sequence[int], b: Sequence[int]) -> np.ndarray:
+        if self.features is not None:
+            return 1 - self.features[a] @ self.features[b].T
+        p, q = self.corners[a], self.corners[b]
+        return np.sqrt(np.maximum((p * p).sum(axis=1)[:, None] + (q * q).sum(axis=1)[None] - 2 * p @ q.T, 0))
+
+    def groups(self, groups: Sequence[Sequence[int]], linkage: str) -> np.ndarray:
+        """Distances between groups of detections by linkage: blocks of one matrix over all their members."""
+        size = np.array([len(g) for g in groups])
+        start = np.cumsum(size) - size
+        every = np.concatenate([np.asarray(g) for g in groups])
+        reduce = {"complete": np.maximum, "single": np.minimum, "average": np.add}[linkage].reduceat
+        d = reduce(reduce(self.between(every, every), start, axis=0), start, axis=1)
+        return d / np.outer(size, size) if linkage == "average" else d
+
+
+def _vetoes(e: Expert, frames: np.ndarray, aspect: np.ndarray, distances: Distances) -> Callable[[list[int], list[int]], bool]:
     def veto(a: list[int], b: list[int]) -> bool:
         if e.max_gap is not None and temporal_gap(frames[a], frames[b]) > e.max_gap:
             return True
-        if e.max_appearance is not None and cosine is not None and by_linkage(cosine[np.ix_(a, b)], e.appearance_linkage) > e.max_appearance:
+        if e.max_appearance is not None and distances.features is not None and by_linkage(distances.between(a, b), e.appearance_linkage) > e.max_appearance:
             return True
         if e.max_kalman is not None:
             both = a + b
@@ -140,34 +164,25 @@ def run_experts(pdf: pd.DataFrame, experts: Sequence[Expert]) -> np.ndarray:
     frames = pdf["frame"].to_numpy(np.int64)
     x, y, w, h = (pdf[c].to_numpy(float) for c in "xywh")
     aspect = np.column_stack([x + w / 2, y + h / 2, w / np.maximum(h, 1e-9), h])
-    if "feature" in pdf:
-        from .online import feature_rows
-
-        distance = _cosine(feature_rows(pdf["feature"]))
-    else:
-        corners = np.column_stack([x, y, x + w, y + h])
-        distance = np.sqrt(((corners[:, None] - corners[None]) ** 2).sum(axis=2))
-    cosine = distance if "feature" in pdf else None
+    distances = Distances(pdf)
     flagged = pdf["fp_flag"].notna().to_numpy() if "fp_flag" in pdf else np.zeros(len(pdf), bool)
-    groups: list[list[int]] = [[i] for i in np.flatnonzero(~flagged)]
+    groups: list[list[int]] = [[i] for i in np.flatnonzero(~flagged).tolist()]
     for e in experts:
-        pool = groups + ([[i] for i in np.flatnonzero(flagged)] if e.reclaim else [])
+        pool = groups + ([[i] for i in np.flatnonzero(flagged).tolist()] if e.reclaim else [])
         windows = divide(frames, frames_a_window=e.frames_a_window, detections_a_window=e.detections_a_window)
         pairs = list(zip(windows, windows[1:], strict=False)) or [(windows[0], windows[0])]
         for (a, _), (_, b) in pairs:
             inside = [[i for i in g if a <= frames[i] <= b] for g in pool]
             rows = [k for k, g in enumerate(inside) if g]
+            if len(rows) < 2:
+                continue
             c = Clusters([frozenset(frames[pool[k]].tolist()) for k in rows], [list(pool[k]) for k in rows])
-            edges = []
-            for p, k in enumerate(rows):
-                for q in range(p + 1, len(rows)):
-                    g, o = inside[k], inside[rows[q]]
-                    if e.reclaim and flagged[g].all() and flagged[o].all():
-                        continue
-                    d = by_linkage(distance[np.ix_(g, o)], e.linkage)
-                    if d <= e.threshold:
-                        edges.append((p, q, d))
-            merge_nearest(c, edges, e.threshold, e.linkage, _vetoes(e, frames, aspect, cosine))
+            d = distances.groups([inside[k] for k in rows], e.linkage)
+            if e.reclaim:
+                new = np.array([flagged[inside[k]].all() for k in rows])
+                d[np.outer(new, new)] = np.inf
+            i, j = np.nonzero(np.triu(d <= e.threshold, 1))
+            merge_nearest(c, zip(i.tolist(), j.tolist(), d[i, j].tolist(), strict=True), e.threshold, e.linkage, _vetoes(e, frames, aspect, distances))
             used = set(rows)
             pool = [g for k, g in enumerate(pool) if k not in used] + [c.members[n] for n in sorted(c.live)]
         pool.sort(key=lambda g: min(g))

@@ -65,3 +65,20 @@ def davies_bouldin(df: DataFrame, label: str = "label", vector: str = "v") -> Da
     b = j.select(F.col(label).alias("lb"), F.col("centroid").alias("cb"), F.col("s").alias("sb"))
     worst = a.join(b, F.col("la") != F.col("lb")).groupBy("la").agg(F.max(ratio(F.col("sa") + F.col("sb"), F.sqrt(vectors.squared_distance(F.col("ca"), F.col("cb"))))).alias("r"))
     return worst.agg(F.avg("r").alias("davies_bouldin"))
+
+
+def silhouette(df: DataFrame, label: str = "label", vector: str = "v") -> DataFrame:
+    """One row: mean silhouette over squared Euclidean distances. The mean squared distance of a row to a cluster follows from the cluster's size, sum and sum of squares, so no two rows ever meet."""
+    c = centroids(df, label, vector)
+    sq = df.groupBy(label).agg(F.avg(vectors.dot(F.col(vector), F.col(vector))).alias("q"))
+    c = c.join(sq, label).select(F.col(label).alias("l"), "n", "centroid", "q")
+    if c.count() > 10_000:
+        raise ValueError("too many clusters for one list")
+    every = c.agg(F.collect_list(F.struct("l", "n", "centroid", "q")).alias("cs"))
+    rows = df.select(label, F.col(vector), vectors.dot(F.col(vector), F.col(vector)).alias("xx")).crossJoin(F.broadcast(every))
+    far = F.transform("cs", lambda s: F.struct(s["l"].alias("l"), s["n"].alias("n"), (F.col("xx") + s["q"] - 2 * vectors.dot(F.col(vector), s["centroid"])).alias("d")))
+    rows = rows.select(label, far.alias("far"))
+    own = F.filter("far", lambda s: s["l"] == F.col(label))[0]
+    a = own["d"] * own["n"] / F.greatest(own["n"] - 1, F.lit(1))
+    b = F.array_min(F.transform(F.filter("far", lambda s: s["l"] != F.col(label)), lambda s: s["d"]))
+    return rows.select(F.when(own["n"] == 1, 0.0).otherwise(ratio(b - a, F.greatest(a, b))).alias("s")).agg(F.avg("s").alias("silhouette"))

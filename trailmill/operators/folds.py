@@ -37,3 +37,23 @@ def time_splits(df: DataFrame, order: Sequence[str], k: int, *, group: Sequence[
     piece = F.ntile(k + 1).over(Window.partitionBy(*group).orderBy(*order)) - 1
     s = df.withColumn("_piece", piece).withColumn("split", F.explode(F.sequence(F.lit(1), F.lit(k))))
     return s.filter(F.col("_piece") <= F.col("split")).withColumn("part", F.when(F.col("_piece") == F.col("split"), "test").otherwise("train")).drop("_piece")
+
+
+def train_test(df: DataFrame, key: str, test_share: float = 0.25, seed: int = 0, out: str = "part") -> DataFrame:
+    """part (train or test) by a hash of key: the same rows in every run, whatever the partitions."""
+    h = F.pmod(F.xxhash64(F.lit(seed), key), F.lit(1_000_000))
+    return df.withColumn(out, F.when(h < int(test_share * 1_000_000), "test").otherwise("train"))
+
+
+def shuffle_splits(df: DataFrame, key: str, n: int, test_share: float = 0.25) -> DataFrame:
+    """split (0 to n - 1) and part for each row and split, drawn independently."""
+    many = df.withColumn("split", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    h = F.pmod(F.xxhash64("split", key), F.lit(1_000_000))
+    return many.withColumn("part", F.when(h < int(test_share * 1_000_000), "test").otherwise("train"))
+
+
+def leave_one_group_out(df: DataFrame, group: str) -> DataFrame:
+    """fold of each row: the place of its group among all groups in order."""
+    from .preprocessing import ordinal
+
+    return ordinal(df, group, "fold")

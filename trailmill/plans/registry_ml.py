@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import lists, vectors
-from ..operators import classification, clustering, clustering_metrics, folds, gram, mapping, models, neighbors, preprocessing, regression, selection, text
+from ..operators import classification, clustering, clustering_metrics, folds, gram, mapping, models, multilabel, neighbors, preprocessing, regression, selection, text
 from . import tables as t
 from .registry import BASE, query, rounded
 
@@ -497,3 +497,56 @@ def tree_regression(spark: SparkSession, sf: str) -> DataFrame:
 
     out = models.fit_ml(DecisionTreeRegressor(maxDepth=4), t.reg(spark, sf).withColumn("label", C("l_extendedprice")), N)
     return regression.errors(out, "label", "prediction")
+
+
+# ---- more metrics
+
+DSQ = "list_sum(list_transform(list_zip(a.v, b.v), lambda z: pow(z[1] - z[2], 2)))"
+
+
+@query(f"""{BASE}, d AS (SELECT a.id, a.label AS la, b.label AS lb, sum({DSQ}) AS s, count(*) AS n FROM vec a JOIN vec b ON true GROUP BY ALL), m AS (SELECT id, la, max(CASE WHEN la = lb THEN s / greatest(n - 1, 1) END) AS a, max(CASE WHEN la = lb THEN n END) AS n, min(CASE WHEN la <> lb THEN s / n END) AS b FROM d GROUP BY id, la)
+SELECT round(avg(CASE WHEN n = 1 THEN 0 ELSE (b - a) / greatest(a, b) END), 6) AS silhouette FROM m""")
+def clu_silhouette(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(clustering_metrics.silhouette(t.vectors(spark, sf)), "silhouette")
+
+
+@query(f"""{BASE} SELECT a.id AS a, b.id AS b, round(list_sum(list_transform(list_zip(a.v, b.v), lambda z: abs(z[1] - z[2]))), 6) AS manhattan, round(list_max(list_transform(list_zip(a.v, b.v), lambda z: abs(z[1] - z[2]))), 6) AS chebyshev, round({DSQ}, 6) AS squared
+FROM vec a JOIN vec b ON a.label = b.label AND a.id % 20 = 0 AND a.id <> b.id""")
+def pairwise_distances(spark: SparkSession, sf: str) -> DataFrame:
+    v = t.vectors(spark, sf)
+    a, b = v.filter("id % 20 = 0").select(C("id").alias("a"), "label", "v"), v.select(C("id").alias("b"), "label", C("v").alias("w"))
+    d = {"manhattan": vectors.manhattan(C("v"), C("w")), "chebyshev": vectors.chebyshev(C("v"), C("w")), "squared": vectors.squared_distance(C("v"), C("w"))}
+    return a.join(b, "label").filter("a <> b").select("a", "b", *[F.round(e, 6).alias(n) for n, e in d.items()])
+
+
+ML = "WITH s AS (SELECT user_id AS row, event_type AS cls, CAST(count(*) % 7 AS DOUBLE) AS score, CAST(count(*) % 2 AS INT) AS y, CAST(count(*) % 3 = 0 AS INT) AS p FROM events GROUP BY ALL), r AS (SELECT *, count(*) OVER w AS k, sum(y) OVER w AS tr FROM s WINDOW w AS (PARTITION BY row ORDER BY score DESC RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))"
+
+
+def _multilabel(spark: SparkSession, sf: str) -> DataFrame:
+    g = t.read(spark, sf, "events").groupBy(C("user_id").alias("row"), C("event_type").alias("cls")).agg(F.count("*").alias("n"))
+    return g.select("row", "cls", (C("n") % 7).cast("double").alias("score"), (C("n") % 2).cast("int").alias("y"), (C("n") % 3 == 0).cast("int").alias("p"))
+
+
+@query(f"{ML} SELECT round(avg(c), 6) AS coverage_error FROM (SELECT row, max(CASE WHEN y = 1 THEN k ELSE 0 END) AS c FROM r GROUP BY row)")
+def multilabel_coverage(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(multilabel.coverage_error(_multilabel(spark, sf)), "coverage_error")
+
+
+@query(f"{ML} SELECT round(avg(CASE WHEN t = 0 OR t = n THEN 1.0 ELSE p END), 6) AS ranking_precision FROM (SELECT row, sum(y) AS t, count(*) AS n, avg(CASE WHEN y = 1 THEN tr / k END) AS p FROM r GROUP BY row)")
+def multilabel_precision(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(multilabel.ranking_precision(_multilabel(spark, sf)), "ranking_precision")
+
+
+@query(f"{ML}, q AS (SELECT a.row, avg(CASE WHEN a.score <= b.score THEN 1.0 ELSE 0 END) AS w FROM s a JOIN s b ON a.row = b.row AND a.y = 1 AND b.y = 0 GROUP BY a.row) SELECT round(sum(w) / (SELECT count(DISTINCT row) FROM s), 6) AS ranking_loss FROM q")
+def multilabel_ranking_loss(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(multilabel.ranking_loss(_multilabel(spark, sf)), "ranking_loss")
+
+
+@query(f"{ML} SELECT round(avg(e), 6) AS subset_accuracy, round(avg(h), 6) AS hamming_loss, round(avg(j), 6) AS jaccard FROM (SELECT row, min(CASE WHEN y = p THEN 1 ELSE 0 END) AS e, avg(CASE WHEN y <> p THEN 1.0 ELSE 0 END) AS h, coalesce(sum(y * p) / NULLIF(sum(greatest(y, p)), 0), 0) AS j FROM s GROUP BY row)")
+def multilabel_sets(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(multilabel.set_scores(_multilabel(spark, sf)), "subset_accuracy", "hamming_loss", "jaccard")
+
+
+@query()
+def train_test_split(spark: SparkSession, sf: str) -> DataFrame:
+    return folds.train_test(t.read(spark, sf, "orders").select("o_orderkey"), "o_orderkey")

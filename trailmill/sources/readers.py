@@ -162,3 +162,15 @@ def read_tracks(spark: SparkSession, path: str | Sequence[str], kind: str, **opt
 
 def box_frames(mot: DataFrame, *, min_height: float = 0.0) -> DataFrame:
     return mot.filter(F.col("h") >= min_height)
+
+
+def read_svmlight(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
+    """label, qid (null without one), and the parallel arrays idx and val of svmlight text; comments are dropped."""
+    f = F.split(F.trim(F.regexp_replace("value", "#.*$", "")), r"\s+")
+    pairs = F.filter(F.slice(f, 2, F.greatest(F.size(f) - 1, F.lit(0))), lambda x: x.contains(":"))
+    key = lambda x: F.element_at(F.split(x, ":"), 1)
+    val = lambda x: F.element_at(F.split(x, ":"), 2)
+    items = F.filter(pairs, lambda x: key(x) != "qid")
+    qid = F.try_element_at(F.filter(pairs, lambda x: key(x) == "qid"), F.lit(1))
+    rows = _lines(spark, path).filter(F.trim(F.regexp_replace("value", "#.*$", "")) != "")
+    return rows.select("path", F.get(f, F.lit(0)).cast("double").alias("label"), val(qid).cast("long").alias("qid"), F.transform(items, lambda x: key(x).cast("long")).alias("idx"), F.transform(items, lambda x: val(x).cast("double")).alias("val"))
