@@ -145,3 +145,47 @@ def test_scaling_edges(spark):
     assert [r.a for r in preprocessing.standard_scale(df, ["a"]).collect()] == [0.0, 0.0]
     assert [r.b for r in preprocessing.impute(df, ["b"]).collect()] == [2.0, 2.0]
     assert preprocessing.minmax_scale(df.filter("false"), ["a"]).count() == 0
+
+
+def vectors_df(spark, x):
+    return spark.createDataFrame([(i, [float(a) for a in r]) for i, r in enumerate(x)], "id long, v array<double>").repartition(3).cache()
+
+
+def test_decompositions(spark):
+    from trailmill.operators import decomposition as dec
+
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(400, 2)) @ rng.normal(size=(2, 5)) + 0.1 * rng.normal(size=(400, 5)) + 1
+    df = vectors_df(spark, x)
+    mean, c, var = dec.pca(df, 5, 2)
+    want = np.linalg.svd(x - x.mean(0), full_matrices=False)
+    assert np.allclose(mean, x.mean(0)) and np.allclose(var, want[1][:2] ** 2 / 400) and np.allclose(np.abs(c @ want[2][:2].T), np.eye(2), atol=1e-6)
+    v, s = dec.truncated_svd(df, 5, 3)
+    assert np.allclose(s, np.linalg.svd(x, compute_uv=False)[:3])
+    w, psi = dec.factor_analysis(df, 5, 2)
+    assert np.allclose(w.T @ w + np.diag(psi), np.cov(x.T, bias=True), atol=0.05)
+    a, b, r = dec.canonical_correlation(df, 2, 5, 1)
+    xc = x - x.mean(0)
+    assert r[0] == pytest.approx(np.corrcoef(xc[:, :2] @ a[0], xc[:, 2:] @ b[0])[0, 1], abs=1e-6)
+    assert dec.cross_svd(df, 2, 5, 1)[2][0] == pytest.approx(np.linalg.svd(xc[:, :2].T @ xc[:, 2:] / 400)[1][0])
+    p = np.array([r[0] for r in df.orderBy("id").select(dec.transform(F.col("v"), c, mean)).collect()])
+    assert np.allclose(p, xc @ c.T)
+
+
+def test_ica_and_nmf(spark):
+    from trailmill.operators import decomposition as dec
+
+    rng = np.random.default_rng(6)
+    s = np.column_stack([rng.uniform(-1, 1, 1500), rng.choice([-1.0, 1.0], 1500)])
+    mean, u = dec.fast_ica(vectors_df(spark, s @ np.array([[1.0, 0.6], [0.4, 1.0]])), 2, 2)
+    got = (s @ np.array([[1.0, 0.6], [0.4, 1.0]]) - mean) @ u.T
+    corr = np.abs(np.corrcoef(got.T, s.T)[:2, 2:])
+    assert corr.max(axis=1).min() > 0.97
+    parts = np.array([[1.0, 0, 2, 0, 1], [0, 3, 0, 1, 1]])
+    x = rng.uniform(0, 1, (200, 2)) @ parts
+    df = vectors_df(spark, x)
+    h = dec.nmf(df, 5, 2, rounds=25)
+    w = np.array([r[0] for r in df.orderBy("id").select(dec.nmf_weights(F.col("v"), h)).collect()])
+    assert (h >= 0).all() and (w >= 0).all() and np.abs(w @ h - x).mean() < 0.03 * x.mean() + 0.02
+    code = np.array(df.select(dec.sparse_code(F.col("v"), parts, 2)).head()[0])
+    assert (np.abs(code) > 1e-9).sum() <= 2
