@@ -189,3 +189,35 @@ def test_ica_and_nmf(spark):
     assert (h >= 0).all() and (w >= 0).all() and np.abs(w @ h - x).mean() < 0.03 * x.mean() + 0.02
     code = np.array(df.select(dec.sparse_code(F.col("v"), parts, 2)).head()[0])
     assert (np.abs(code) > 1e-9).sum() <= 2
+
+
+def test_isolation(blobs):
+    from trailmill.operators import more_models
+
+    x, df = blobs
+    f = more_models.isolation_forest(df, trees=60, sample=64)
+    s = {r.id: r.s for r in df.select("id", f.column(F.col("v")).alias("s")).collect()}
+    assert max(s, key=s.get) == 120 and s[120] > 0.6 > np.median(list(s.values()))
+    assert more_models.isolation_forest(df.filter("false")).trees == []
+
+
+@pytest.mark.parametrize("loss", ["log", "hinge", "squared_hinge", "perceptron"])
+def test_gradient_classifiers(data, loss):
+    from trailmill.operators import more_models
+
+    df = data[3]
+    m = more_models.gradient_fit(df, "k", COLS, loss=loss, rounds=25)
+    hit = ((m.predict(COLS) > 0).cast("int") == F.col("k")).cast("double")
+    assert df.agg(F.avg(hit)).head()[0] > 0.93
+
+
+def test_columns(data):
+    from trailmill.operators import more_models, selection
+
+    df = data[3]
+    assert more_models.eliminate(gram.moments(df, COLS, "y"), 2) == [0, 2]
+    assert more_models.best_columns(selection.regression_f(df, "y", COLS), "f", 1) == ["a"]
+    m = more_models.gradient_fit(df, "y", COLS, loss="squared", rounds=60)
+    assert np.allclose(m.coef, models.least_squares(df, "y", COLS).coef, atol=0.05)
+    votes = df.select(F.lit(1).alias("p"), F.lit(0).alias("q"), F.lit(1).alias("r"))
+    assert more_models.voting(votes, ["p", "q", "r"]).head().vote == 1

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import lists, vectors
-from ..operators import classification, clustering, clustering_metrics, folds, gram, mapping, models, multilabel, neighbors, preprocessing, regression, selection, text
+from ..operators import classification, clustering, clustering_metrics, decomposition, folds, gram, mapping, models, more_models, multilabel, neighbors, preprocessing, regression, selection, text
 from . import tables as t
 from .registry import BASE, query, rounded
 
@@ -550,3 +550,72 @@ def multilabel_sets(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def train_test_split(spark: SparkSession, sf: str) -> DataFrame:
     return folds.train_test(t.read(spark, sf, "orders").select("o_orderkey"), "o_orderkey")
+
+
+@query(f"{BASE}, c AS (SELECT l_returnflag, count(*) AS n FROM reg GROUP BY ALL) SELECT l_returnflag, n, round((SELECT sum(n) FROM c) / ((SELECT count(*) FROM c) * n), 6) AS weight FROM c")
+def class_weights(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(more_models.class_weights(t.reg(spark, sf), "l_returnflag"), "weight")
+
+
+TL = f"{TC}, lab AS (SELECT doc_id, quality AS label FROM labels)"
+
+
+def _terms(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    labels = t.read(spark, sf, "labels").select("doc_id", C("quality").alias("label"))
+    return text.term_counts(t.read(spark, sf, "documents"), "doc_id", "text"), labels
+
+
+@query(f"{TL}, c AS (SELECT label, term, sum(n) AS n FROM tc JOIN lab USING (doc_id) GROUP BY label, term), s AS (SELECT label, sum(n) AS t FROM c GROUP BY label) SELECT label, term, round(ln((n + 1) / (t + (SELECT count(DISTINCT term) FROM c))), 6) AS log_p FROM c JOIN s USING (label)")
+def nb_multinomial_stats(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(models.multinomial_nb_stats(*_terms(spark, sf), "doc_id"), "log_p")
+
+
+@query(f"{TL}, d AS (SELECT label, count(*) AS docs FROM lab GROUP BY label), c AS (SELECT label, term, count(*) AS n FROM tc JOIN lab USING (doc_id) GROUP BY label, term) SELECT label, term, round(ln((n + 1) / (docs + 2)), 6) AS log_p, round(ln(1 - (n + 1) / (docs + 2)), 6) AS log_q FROM c JOIN d USING (label)")
+def nb_bernoulli_stats(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(more_models.bernoulli_nb_stats(*_terms(spark, sf), "doc_id"), "log_p", "log_q")
+
+
+@query(f"{TL}, c AS (SELECT label, term, sum(n) AS n FROM tc JOIN lab USING (doc_id) GROUP BY label, term), w AS (SELECT label, term, n, sum(n) OVER (PARTITION BY term) AS t, sum(n) OVER (PARTITION BY label) AS s, sum(n) OVER () AS a FROM c) SELECT label, term, round(-ln((t - n + 1) / (a - s + (SELECT count(DISTINCT term) FROM c))), 6) AS weight FROM w")
+def nb_complement_stats(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(more_models.complement_nb_stats(*_terms(spark, sf), "doc_id"), "weight")
+
+
+@query(f"{BASE}, c AS (SELECT l_returnflag, CAST(l_linenumber AS VARCHAR) AS value, count(*) AS n FROM reg GROUP BY ALL) SELECT l_returnflag, 'l_linenumber' AS feature, value, round(ln((n + 1) / (sum(n) OVER (PARTITION BY l_returnflag) + (SELECT count(DISTINCT value) FROM c))), 6) AS log_p FROM c")
+def nb_categorical_stats(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(more_models.categorical_nb_stats(t.reg(spark, sf), "l_returnflag", ["l_linenumber"]), "log_p")
+
+
+@query()
+def isolation_scores(spark: SparkSession, sf: str) -> DataFrame:
+    v = t.vectors(spark, sf)
+    return v.select("id", more_models.isolation_forest(v, trees=50).column(C("v")).alias("score"))
+
+
+@query(f"{BASE} SELECT CAST(q AS DOUBLE) AS value, round(avg(2 * q + 3 * l_tax), 6) AS mean_prediction FROM reg, (SELECT unnest([10, 20, 30]) AS q) GROUP BY q")
+def partial_dependence(spark: SparkSession, sf: str) -> DataFrame:
+    p = more_models.partial_dependence(t.reg(spark, sf), 2 * C("l_quantity") + 3 * C("l_tax"), "l_quantity", [10, 20, 30])
+    return rounded(p, "mean_prediction")
+
+
+@query()
+def gradient_logistic(spark: SparkSession, sf: str) -> DataFrame:
+    df = t.reg(spark, sf).withColumn("target", (C("l_extendedprice") > 50_000).cast("int"))
+    return _model(spark, more_models.gradient_fit(df, "target", N, loss="log", rounds=10), N)
+
+
+@query()
+def factor_loadings(spark: SparkSession, sf: str) -> DataFrame:
+    w, psi = decomposition.factor_analysis(t.vectors(spark, sf), 64, 3)
+    return spark.createDataFrame([(i, [float(x) for x in w[:, i]], float(psi[i])) for i in range(64)], "i int, loadings array<double>, noise double")
+
+
+@query()
+def truncated_svd(spark: SparkSession, sf: str) -> DataFrame:
+    v, s = decomposition.truncated_svd(t.vectors(spark, sf), 64, 4)
+    return spark.createDataFrame([(i, float(s[i]), [float(x) for x in v[i]]) for i in range(4)], "i int, value double, vector array<double>")
+
+
+@query()
+def canonical_correlation(spark: SparkSession, sf: str) -> DataFrame:
+    s = decomposition.canonical_correlation(t.vectors(spark, sf), 32, 64, 4)[2]
+    return spark.createDataFrame([(i, float(x)) for i, x in enumerate(s)], "i int, correlation double")
