@@ -16,8 +16,8 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: fingerprints of 5-word shingles within 5 bits."""
-    return simhash.drop_near_copies(docs, shingle=5, radius=5)
+    """One document of each group of near copies: one of four fingerprints of 5-word shingles within 5 bits."""
+    return simhash.drop_near_copies(docs, shingle=5, radius=5, kinds=4)
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -130,8 +130,26 @@ def test_components_of_a_path(spark):
     assert got == {i: 0 for i in range(1, n + 1)} | {501: 500}
 
 
+def test_joint_links(spark):
+    rng = random.Random(11)
+    texts = []
+    for i in range(40):
+        w = [f"a{rng.randrange(500)}" for _ in range(150)]
+        texts.append((2 * i, " ".join(w)))
+        for p in rng.sample(range(150), 3):
+            w[p] = "zz"
+        texts.append((2 * i + 1, " ".join(w)))
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    hashes = [simhash.shingle_hashes(t.encode(), 5) for _, t in texts]
+    prints = [[simhash.majority(simhash.rehash(h, k) if k else h) for k in range(4)] for h in hashes]
+    near = [(i, j) for i in range(80) for j in range(i) if any((a ^ b).bit_count() <= 5 for a, b in zip(prints[i], prints[j], strict=True))]
+    root = plain_components(near, range(80))
+    kept = {r.doc_id for r in simhash.drop_near_copies(df).collect()}
+    assert kept == set(root.values()) and len(kept) < len({r.doc_id for r in simhash.drop_near_copies(df, kinds=1).collect()})
+
+
 def test_drop_near_copies(spark, docs):
-    got = simhash.drop_near_copies(docs, shingle=5, radius=4)
+    got = simhash.drop_near_copies(docs, shingle=5, radius=4, kinds=2)
     assert got.columns == docs.columns
     ids = Counter(r.doc_id for r in got.collect())
     assert all(ids[i] == 0 for i in range(60, 70) if plain_fingerprint(docs.filter(F.col("doc_id") == i).head().text, 5))

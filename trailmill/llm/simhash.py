@@ -15,23 +15,39 @@ from .common import stored
 from .components import components
 
 
-def fingerprint(text: bytes, shingle: int, seed: int = 42) -> int:
-    """64-bit SimHash of a text's word shingles, repeats included: a bit is 1 if it is set in over half of their hashes. A-Z count as a-z; a text of fewer words is one shingle; without words 0."""
+def shingle_hashes(text: bytes, shingle: int, seed: int = 42) -> np.ndarray:
+    """Hashes of a text's word shingles, repeats included. A-Z count as a-z; a text of fewer words is one shingle; without words there are none."""
     words = text.lower().split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     line = b" ".join(words)
     if len(words) <= shingle:
-        return xxhash.xxh64_intdigest(line, seed)
+        return np.array([xxhash.xxh64_intdigest(line, seed)], np.uint64)
     size = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(size + 1) - 1
-    hashes = np.array([xxhash.xxh64_intdigest(line[a:b], seed) for a, b in zip((ends - size)[: len(words) - shingle + 1].tolist(), ends[shingle - 1 :].tolist(), strict=True)], np.uint64)
+    return np.array([xxhash.xxh64_intdigest(line[a:b], seed) for a, b in zip((ends - size)[: len(words) - shingle + 1].tolist(), ends[shingle - 1 :].tolist(), strict=True)], np.uint64)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes; 0 without any."""
     ones = np.zeros(64, np.int64)
     for i in range(0, len(hashes), 1 << 14):
         ones += np.unpackbits(hashes[i : i + (1 << 14)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
+def fingerprint(text: bytes, shingle: int, seed: int = 42) -> int:
+    """64-bit SimHash of a text."""
+    return majority(shingle_hashes(text, shingle, seed))
+
+
+def rehash(hashes: np.ndarray, n: int) -> np.ndarray:
+    """The nth other hash of what was hashed: the bits mixed anew by shifts and odd products."""
+    h = (hashes ^ np.uint64(n * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ h >> np.uint64(31)) * np.uint64(0x94D049BB133111EB)
+    return h ^ h >> np.uint64(29)
+
+
 def fingerprints(text: Column, shingle: int, seed: int = 42) -> Column:
     """The fingerprint of each whole text as a long (two's complement); null counts as empty."""
 
@@ -43,6 +59,21 @@ def fingerprints(text: Column, shingle: int, seed: int = 42) -> Column:
     return of(text.cast("binary"))
 
 
+def more_fingerprints(text: Column, shingle: int, n: int, seed: int = 42) -> Column:
+    """The fingerprint of each whole text and n - 1 others, from the same shingles hashed anew, as an array of longs."""
+
+    @F.arrow_udf("array<bigint>")
+    def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            out = []
+            for x in batch.to_pylist():
+                h = shingle_hashes(x or b"", shingle, seed)
+                out += [majority(rehash(h, k) if k else h) for k in range(n)]
+            yield pa.ListArray.from_arrays(pa.array(np.arange(len(batch) + 1, dtype=np.int32) * n), pa.array(np.array(out, np.uint64).view(np.int64), pa.int64()))
+
+    return of(text.cast("binary"))
+
+
 def planes_of(fps: np.ndarray) -> np.ndarray:
     """Vertical form: 64 bit planes of packed words, lane i of a plane being that bit of fingerprint i."""
     bits = np.unpackbits(fps.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").T
@@ -195,10 +226,27 @@ def near_links(fps: DataFrame, radius: int = 4, block: int = 2048) -> DataFrame:
     return rows.mapInArrow(blocks, "u bigint, v bigint").distinct()
 
 
-def fingerprint_groups(docs: DataFrame, radius: int = 4, block: int = 2048) -> DataFrame:
-    """(fp, root, component_id, min_id, copies) for each distinct fingerprint of docs (doc_id, fp): its smallest doc_id, and the smallest of all it can reach by links of radius bits."""
+def joint_links(docs: DataFrame, more: int, radius: int, block: int) -> DataFrame:
+    """(u, v) links between fingerprints fp of docs (fp, others: array of more longs): those within radius, and those whose texts are within radius in one of the other fingerprints.
+
+    The other fingerprints are nodes of the graph themselves, each kind under numbers of its own, tied to the fp of their texts; those that tie nothing together are left out.
+    """
+    edges = near_links(docs.select("fp").distinct(), radius, block)
+    for k in range(more):
+        pairs = docs.select("fp", F.col("others")[k].alias("x")).distinct()
+        links = stored(near_links(pairs.select(F.col("x").alias("fp")).distinct(), radius, block), "other")
+        shared = pairs.groupBy("x").count().filter("count > 1").select("x")
+        useful = links.select(F.col("u").alias("x")).union(links.select("v")).union(shared).distinct()
+        mark = F.lit((k + 1) * 0x1C69B3F74AC4AE35 & (1 << 63) - 1)
+        tied = pairs.join(useful, "x", "left_semi").select(F.col("fp").alias("u"), F.col("x").bitwiseXOR(mark).alias("v"))
+        edges = edges.union(tied).union(links.select(F.col("u").bitwiseXOR(mark), F.col("v").bitwiseXOR(mark)))
+    return edges
+
+
+def fingerprint_groups(docs: DataFrame, radius: int = 4, block: int = 2048, more: int = 0) -> DataFrame:
+    """(fp, root, component_id, min_id, copies) for each distinct fingerprint of docs (doc_id, fp, and others with more): its smallest doc_id, and the smallest of all it can reach by links of radius bits."""
     nodes = stored(docs.groupBy("fp").agg(F.min("doc_id").alias("min_id"), F.count("*").alias("copies")), "nodes")
-    roots = components(near_links(nodes.select("fp"), radius, block))
+    roots = components(joint_links(docs, more, radius, block) if more else near_links(nodes.select("fp"), radius, block))
     joined = stored(nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "min_id", "copies", F.coalesce("root", "fp").alias("root")), "rooted")
     # stored, so that the join with a component of very many fingerprints can be split
     low = stored(joined.groupBy("root").agg(F.min("min_id").alias("component_id")), "lowest")
@@ -217,16 +265,17 @@ def simhash_components(df: DataFrame, *, doc_id: str = "doc_id", text: str = "te
     return docs.join(groups.withColumnRenamed("fp", "_fp"), F.col("fp") == F.col("_fp")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "copies")
 
 
-def drop_near_copies(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, radius: int = 4, seed: int = 42, block: int = 2048) -> DataFrame:
-    """The rows of df without near copies: of each component of fingerprints the row with the smallest doc_id stays (of rows that share it, one with the smallest fingerprint), and null ids come last.
+def drop_near_copies(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, radius: int = 5, kinds: int = 4, seed: int = 42, block: int = 2048) -> DataFrame:
+    """The rows of df without near copies: texts are linked when their fingerprints of any of kinds sorts are within radius bits, and of each component of fingerprints the row with the smallest doc_id stays (of rows that share it, one with the smallest fingerprint), and null ids come last.
 
     Texts without words say nothing about likeness: they have no near copies and all stay.
     """
     key = F.coalesce(F.concat(F.lit("="), F.col(doc_id).cast("string")), F.lit("")).alias("key")
     named = df.select(*[F.col(c).alias(f"_in_{i}") for i, c in enumerate(df.columns)], key, fingerprints(F.col(text), shingle, seed).alias("fp"))
     # texts go through one exchange only: what is stored are ids, and the rows are keyed alike for both steps below
-    ids = stored(df.select(F.col(doc_id).alias("doc_id"), fingerprints(F.col(text), shingle, seed).alias("fp")).filter("fp <> 0"), "ids")
-    groups = fingerprint_groups(ids, radius, block)
+    ids = df.select(F.col(doc_id).alias("doc_id"), more_fingerprints(F.col(text), shingle, kinds, seed).alias("all"))
+    ids = stored(ids.select("doc_id", F.col("all")[0].alias("fp"), F.slice("all", 2, max(1, kinds - 1)).alias("others")).filter("fp <> 0"), "ids")
+    groups = fingerprint_groups(ids, radius, block, kinds - 1)
     best = groups.groupBy("root").agg(F.min(F.struct(F.col("min_id").isNull().alias("no_id"), F.col("min_id").alias("id"), F.col("fp").alias("fp"))).alias("b"))
     best = best.select(F.col("b.fp").alias("_fp"), F.coalesce(F.concat(F.lit("="), F.col("b.id").cast("string")), F.lit("")).alias("_key"))
     single = named.filter("fp <> 0").dropDuplicates(["fp", "key"])
