@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 
+from .frames import per_frame
+
 
 def fill_forbidden(cost: np.ndarray) -> np.ndarray:
     """Non-finite costs replaced by one so high that no solution with fewer allowed pairs can be cheaper; zeros where nothing is allowed."""
@@ -75,16 +76,15 @@ def dense(a: np.ndarray, b: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.n
 
 
 def assign(pairs: DataFrame, keys: Sequence[str] = ("frame",)) -> DataFrame:
-    """keys, a, b, distance of the pairs (keys, a, b, distance) that a minimum-cost assignment of each group keeps. A group is one frame: its matrix must fit a worker."""
-    schema = pairs.select(*keys, "a", "b", "distance").schema
-    names = schema.names
+    """keys, a, b, distance of the pairs (keys, a, b, distance) that a minimum-cost assignment of each group keeps. The matrix of a group, one frame, must fit a worker."""
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows, cols, m = dense(pdf["a"].to_numpy(), pdf["b"].to_numpy(), pdf["distance"].to_numpy(float))
+    def one(a: np.ndarray, b: np.ndarray, d: np.ndarray) -> np.ndarray:
+        if len(d) == 1:
+            return np.array([0 if np.isfinite(d[0]) else -1])
+        rows, cols, m = dense(a, b, d.astype(float))
         i, j = solve(m)
-        out = pd.DataFrame({"a": rows[i], "b": cols[j], "distance": m[i, j]})
-        for k in keys:
-            out[k] = pdf[k].iloc[0]
-        return out[names]
+        chosen = np.full((len(rows)), -1)
+        chosen[i] = j
+        return np.where(chosen[np.searchsorted(rows, a)] == np.searchsorted(cols, b), 0, -1)
 
-    return pairs.select(*names).groupBy(*keys).applyInPandas(one, schema)
+    return per_frame(pairs.select(*keys, "a", "b", "distance"), keys, ["a", "b", "distance"], one, "_kept").filter("_kept = 0").drop("_kept")

@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .frames import per_frame
+
 
 def keep_greedy(x: np.ndarray, y: np.ndarray, w: np.ndarray, h: np.ndarray, order: np.ndarray, max_overlap: float) -> np.ndarray:
     """Indices kept, in order of picking: each pick removes the boxes of which it covers more than max_overlap. Pixels count inclusively, so sizes and overlaps have one added."""
@@ -28,18 +29,16 @@ def suppress(det: DataFrame, *, max_overlap: float, keys: Sequence[str] = ("fram
 
     The highest score goes first, ties by smaller id; without a score the lowest bottom edge does. A frame is one task.
     """
-    schema = det.withColumn("pick", F.lit(None).cast("int")).schema
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, y, w, h = (pdf[c].to_numpy(float) for c in "xywh")
-        first = pdf[score].to_numpy(float) if score else y + h
-        order = np.lexsort((pdf[id].to_numpy(), -first))
-        kept = keep_greedy(x, y, w, h, order, max_overlap)
-        pick = pd.array([pd.NA] * len(pdf), dtype="Int32")
+
+    def one(x: np.ndarray, y: np.ndarray, w: np.ndarray, h: np.ndarray, ids: np.ndarray, *scores: np.ndarray) -> np.ndarray:
+        x, y, w, h = (c.astype(float) for c in (x, y, w, h))
+        first = scores[0].astype(float) if scores else y + h
+        kept = keep_greedy(x, y, w, h, np.lexsort((ids, -first)), max_overlap)
+        pick = np.full(len(x), -1)
         pick[kept] = np.arange(len(kept))
-        return pdf.assign(pick=pick)
+        return pick
 
-    return det.groupBy(*keys).applyInPandas(one, schema)
+    return per_frame(det, keys, [*"xywh", id, *([score] if score else [])], one, "pick")
 
 
 def suppressed_once(det: DataFrame, *, max_overlap: float, keys: Sequence[str] = ("frame",), score: str = "score", id: str = "id") -> DataFrame:  # noqa: A002
