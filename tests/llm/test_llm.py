@@ -379,6 +379,28 @@ def test_lm_model_against_plain(spark, monkeypatch):
     assert sum(got[i] for i in range(50, 60)) > sum(base[i] for i in range(50, 60))
 
 
+def test_lm_keeps_all_contexts(spark, monkeypatch):
+    rng = random.Random(3)
+    rows = [(i, " ".join(w for _ in range(12) for k in [rng.randrange(30)] for w in (f"r{k}", rng.choice(["a", f"q{k}"])))) for i in range(80)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    seqs = {i: [*t.encode().split(), b"\n"] for i, t in rows}
+    heads = Counter(w for i in range(60) for w in seqs[i])
+    pairs = Counter(p for i in range(60) for p in zip([b"\n", *seqs[i]], seqs[i], strict=False))
+    found, kept = [], lm.mixture
+    monkeypatch.setattr(lm, "mixture", lambda *a: found.append(kept(*a)) or found[-1])
+    for share in (16, 5, 1, 0):
+        monkeypatch.setattr(lm, "SHARE", share)
+        got = {r.doc_id: r.score for r in lm.lm_scores(df, learn=F.col("doc_id") < 60, keep=["doc_id"]).collect()}
+        lam = found[-1]
+        for i, s in seqs.items():
+            p = 0.0
+            for a, b in zip([b"\n", *s], s, strict=False):
+                w = lam[heads[a].bit_length()]
+                p += math.log10(w[0] * pairs[a, b] / max(1, heads[a]) + w[1] * heads[b] / heads.total() + w[2] / (len(heads) + 1))
+            assert math.isclose(got[i], p, rel_tol=1e-9)
+    assert all(np.allclose(x, found[0]) for x in found)
+
+
 def test_lm_nothing_to_learn(spark, docs, none):
     got = lm.lm_scores(docs, learn=F.lit(False), keep=["doc_id"]).collect()
     assert len(got) == docs.count() and all(r.n_known == 0 and r.base_score == 0 and r.train_tokens == 0 and r.score == 0 for r in got)

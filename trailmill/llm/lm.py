@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame
@@ -16,10 +17,12 @@ from .common import stored
 
 #: The end of a text; it holds white space, so no word is like it. It is also what precedes the first word.
 END = b"\n"
-#: A word is frequent when it makes up at least 2**-SHARE of all training tokens, so there can't be more than 2**SHARE frequent words.
+#: A word is frequent when it makes up at least 2**-SHARE of all training tokens, so there can't be more than 2**SHARE frequent words. All tasks know their counts; those of other words are told where their occurrences meet.
 SHARE = 16
-BUCKETS = SHARE + 2
+#: Contexts by how often they occur: never, once, 2 or 3 times, 4 to 7 times and so on.
+BUCKETS = 48
 _DOC_BITS = 20
+_WORDS, _SENT = -1, -2
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -83,6 +86,10 @@ def _by_part(part: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
     return order, np.searchsorted(part[order], np.arange(parts + 1))
 
 
+def _bucket(counts: np.ndarray, buckets: int) -> np.ndarray:
+    return np.minimum(np.frexp(np.maximum(counts, 0.0))[1], buckets - 1).astype(np.int64)
+
+
 class Vocabulary:
     """The frequent words (sorted hashes with counts), and the totals of the training tokens."""
 
@@ -92,9 +99,7 @@ class Vocabulary:
         self.rare = len(hashes)
         contexts = np.append(self.counts, max(0, total - int(self.counts.sum())))
         self.contexts = contexts.astype(np.float64)
-        rank = np.floor(np.log2(np.maximum(contexts / max(1, total) * 2.0**SHARE, 1.0))).astype(np.int64)
-        self.bucket = np.clip(rank, 0, SHARE)
-        self.bucket[-1] = BUCKETS - 1
+        self.bucket = _bucket(self.contexts, BUCKETS)
 
     def ids(self, hashes: np.ndarray) -> np.ndarray:
         """Numbers of frequent words, rare for all others."""
@@ -105,7 +110,7 @@ class Vocabulary:
 
 
 def _pairs(voc: Vocabulary, n: np.ndarray, ids: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, ...]:
-    """For each token its text's index, its context's number, its own number and hash."""
+    """For each token its text's index, its context's number, its own number, its own and its context's hash."""
     number = voc.ids(hashes)
     doc = np.repeat(np.arange(len(n)), n)
     own = number[ids]
@@ -113,7 +118,19 @@ def _pairs(voc: Vocabulary, n: np.ndarray, ids: np.ndarray, hashes: np.ndarray)
     before[1:] = own[:-1]
     first = np.cumsum(n) - n
     before[first] = number[0]
-    return doc, before, own, hashes[ids]
+    h = hashes[ids]
+    head = np.empty_like(h)
+    head[1:] = h[:-1]
+    head[first] = hashes[0]
+    return doc, before, own, h, head
+
+
+def _groups(*keys: np.ndarray) -> np.ndarray:
+    """Numbers of the groups of equal keys, which are sorted."""
+    new = np.zeros(len(keys[0]), bool)
+    for k in keys:
+        new[1:] |= k[1:] != k[:-1]
+    return np.cumsum(new)
 
 
 def _keys_part(keys: np.ndarray, parts: int) -> np.ndarray:
@@ -179,9 +196,9 @@ def frequent_words(counts: DataFrame) -> Vocabulary:
     return Vocabulary(h, c, int(total), int(distinct))
 
 
-def _estimates(voc: Vocabulary, context: np.ndarray, both: np.ndarray, own: np.ndarray, deleted: int) -> tuple[np.ndarray, np.ndarray]:
-    """Bigram and unigram maximum-likelihood estimates; with deleted 1 as they would be without the occurrence itself."""
-    before = np.maximum(voc.contexts[context] - deleted, 1.0)
+def _estimates(voc: Vocabulary, head: np.ndarray, both: np.ndarray, own: np.ndarray, deleted: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bigram and unigram maximum-likelihood estimates from counts of context, pair and word; with deleted 1 as they would be without the occurrence itself."""
+    before = np.maximum(head - deleted, 1.0)
     return np.maximum(both - deleted, 0) / before, np.maximum(own - deleted, 0) / max(1.0, voc.total - deleted)
 
 
@@ -191,25 +208,64 @@ def _octave(p: np.ndarray, steps: int, least: int) -> np.ndarray:
         return np.where(p > 0, np.clip(np.floor(steps * np.log2(np.maximum(p, 1e-300))) + least * steps + 1, 1, least * steps + 1), 0).astype(np.int64)
 
 
-def held_out_counts(docs: DataFrame, voc: Vocabulary, parts: int) -> DataFrame:
-    """(bucket, b3, b2, w, s3, s2): how often tokens of the training texts have such bigram and unigram estimates when they are left out of the counts; a bounded table."""
+def rare_counts(counts: DataFrame, voc: Vocabulary, parts: int) -> DataFrame:
+    """(part, blob): the counts of all words that aren't frequent, dealt by hash as their occurrences are."""
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for x in b.column("counts").to_pylist():
+                d, c = unpack(x)
+                h = np.cumsum(d, dtype=np.uint64)
+                m = voc.ids(h) == voc.rare
+                h, c = h[m], c[m]
+                to, cut = _cut(h, parts)
+                yield pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), pa.array([pack(ascending(h[o]), c[o]) for o in cut], pa.binary())], names=["part", "blob"])
+
+    return counts.select("counts").mapInArrow(split, "part int, blob binary")
+
+
+def _cut(h: np.ndarray, parts: int) -> tuple[list[int], list[np.ndarray]]:
+    """The parts that sorted hashes go to, and the places of each one's."""
+    order, edge = _by_part(_keys_part(h, parts), parts)
+    to = np.flatnonzero(np.diff(edge)).tolist()
+    return to, [order[edge[p] : edge[p + 1]] for p in to]
+
+
+def _joined(got: list[list[np.ndarray]], *kinds: type) -> list[np.ndarray]:
+    """Columns of unpacked blobs, the first of them taken back from differences."""
+    return [np.concatenate([np.zeros(0, k), *(np.cumsum(g[i], dtype=k) if i == 0 else g[i].astype(k) for g in got)]) for i, k in enumerate(kinds)]
+
+
+def _looked_up(words: list[list[np.ndarray]], h: np.ndarray) -> np.ndarray:
+    """Counts of words by the rows of rare_counts of their part; 0 for words that training texts don't have."""
+    key, c = _joined(words, np.uint64, np.int64)
+    if not len(key):
+        return np.zeros(len(h), np.int64)
+    order = np.argsort(key)
+    key, c = key[order], c[order]
+    at = np.minimum(np.searchsorted(key, h), len(key) - 1)
+    return np.where(key[at] == h, c[at], 0)
+
+
+def held_out_counts(docs: DataFrame, voc: Vocabulary, parts: int, counts: DataFrame | None = None) -> DataFrame:
+    """(key, w, s3, s2): how often tokens of the training texts have such context counts, bigram and unigram estimates when they are left out of the counts; a bounded table.
+
+    Pairs meet as in token_sums; with counts, contexts that aren't frequent are told apart, else they are one.
+    """
+    whole = counts is not None
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ks, hs, held = [], [], 0
+        ks, hs, rs, held = [], [], [], 0
 
         def flush() -> pa.RecordBatch:
             k, kn = np.unique(np.concatenate(ks), return_counts=True)
-            h, hc = np.concatenate([x[0] for x in hs]), np.concatenate([x[1] for x in hs])
-            order = np.lexsort((hc, h))
-            h, hc = h[order], hc[order]
-            first = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (hc[1:] != hc[:-1])])) if len(h) else np.zeros(0, np.int64)
-            h, hc, hn = h[first], hc[first], np.diff(np.append(first, len(h)))
-            ko, ke = _by_part(_keys_part(k, parts), parts)
-            ho, he = _by_part(_keys_part(h, parts), parts)
+            h, hc, hn = _distinct(*(np.concatenate([x[i] for x in hs]) for i in range(2)))
+            r, ri, rw, rn = _distinct(*(np.concatenate([x[i] for x in rs]) for i in range(3)))
+            (ko, ke), (ho, he), (ro, re_) = (_by_part(_keys_part(x, parts), parts) for x in (k, h, r))
             blobs = []
             for p in range(parts):
-                a, b = ko[ke[p] : ke[p + 1]], ho[he[p] : he[p + 1]]
-                blobs.append(pack(ascending(k[a]), kn[a].astype(np.uint32), ascending(h[b]), hc[b].astype(np.uint32), hn[b].astype(np.uint32)))
+                a, b, c = ko[ke[p] : ke[p + 1]], ho[he[p] : he[p + 1]], ro[re_[p] : re_[p + 1]]
+                blobs.append(pack(ascending(k[a]), kn[a].astype(np.uint32), ascending(h[b]), hc[b].astype(np.uint32), hn[b].astype(np.uint32), ascending(r[c]), ri[c].astype(np.uint32), rn[c].astype(np.uint32), rw[c][ri[c] == voc.rare]))
             return pa.RecordBatch.from_arrays([pa.array(range(parts), pa.int32()), pa.array(blobs, pa.binary())], names=["part", "blob"])
 
         for b, texts in _portions(batches):
@@ -217,44 +273,81 @@ def held_out_counts(docs: DataFrame, voc: Vocabulary, parts: int) -> DataFrame:
             n, ids, hashes = _tokens([t for t, x in zip(texts, train, strict=True) if x])
             if not len(n):
                 continue
-            _, before, own, h = _pairs(voc, n, ids, hashes)
-            m = own < voc.rare
+            _, before, own, h, head = _pairs(voc, n, ids, hashes)
+            known = (before < voc.rare) | (not whole)
+            m, late = known & (own < voc.rare), known & (own >= voc.rare)
             ks.append((before[m] * (voc.rare + 1) + own[m]).astype(np.uint64))
-            hs.append((h[~m], before[~m]))
+            hs.append((h[late], before[late]))
+            rs.append((head[~known], own[~known], np.where(own < voc.rare, np.uint64(0), h)[~known]))
             held += len(ids)
             if held > 2_000_000:
                 yield flush()
-                ks, hs, held = [], [], 0
+                ks, hs, rs, held = [], [], [], 0
         if held:
             yield flush()
 
-    def table_of(t: pa.Table) -> pa.Table:
-        got = [unpack(x) for x in t.column("blob").to_pylist()]
-        k, kn = _summed(np.concatenate([np.cumsum(g[0], dtype=np.uint64) for g in got]), np.concatenate([g[1] for g in got]).astype(np.int64))
+    def by_context(t: pa.Table) -> pa.Table:
+        part, got = int(t.column("part")[0].as_py()), _by_kind(t)
+        k, kn = _summed(*_joined(got[0], np.uint64, np.int64))
         context, own = (k // np.uint64(voc.rare + 1)).astype(np.int64), (k % np.uint64(voc.rare + 1)).astype(np.int64)
-        rows = [_held(voc, context, kn, voc.counts[own] if voc.rare else kn, kn)]
-        h, c, n = np.concatenate([np.cumsum(g[2], dtype=np.uint64) for g in got]), np.concatenate([g[3] for g in got]).astype(np.int64), np.concatenate([g[4] for g in got]).astype(np.int64)
+        rows = [_held(voc, voc.contexts[context], kn, voc.counts[own] if voc.rare else kn, kn)]
+        h, c, n = _joined([g[2:5] for g in got[0]], np.uint64, np.int64, np.int64)
         if len(h):
-            order = np.lexsort((c, h))
-            h, c, n = h[order], c[order], n[order]
-            word = np.cumsum(np.concatenate([[0], h[1:] != h[:-1]]))
-            pair = np.cumsum(np.concatenate([[0], (h[1:] != h[:-1]) | (c[1:] != c[:-1])]))
-            total, both = np.bincount(word, n), np.bincount(pair, n)
-            first = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]]))
-            rows.append(_held(voc, c[first], both, total[word[first]], both))
-        x = np.concatenate(rows)
+            h, c, n = _distinct(h, c, n=n)
+            rows.append(_held(voc, voc.contexts[c], n, _looked_up(got[1], h) if whole else np.bincount(_groups(h), n)[_groups(h)], n))
+        r, i, n = _joined([g[5:8] for g in got[0]], np.uint64, np.int64, np.int64)
+        to, blobs = [], []
+        if len(r):
+            w = np.zeros(len(r), np.uint64)
+            w[i == voc.rare] = np.concatenate([g[8] for g in got[0]])
+            r, i, w, both = _distinct(r, i, w, n=n)
+            head = np.bincount(_groups(r), both)[_groups(r)].astype(np.int64)
+            m = i < voc.rare
+            rows.append(_held(voc, head[m], both[m], voc.counts[i[m]], both[m]))
+            w, head, both = w[~m], head[~m], both[~m]
+            order = np.argsort(w)
+            w, head, both = w[order], head[order], both[order]
+            to, cut = _cut(w, parts)
+            blobs = [pack(ascending(w[o]), head[o], both[o]) for o in cut]
+        return pa.table({"part": pa.array([*to, part], pa.int32()), "kind": pa.array([2] * len(to) + [3], pa.int32()), "blob": pa.array([*blobs, pack(*np.concatenate(rows).T)], pa.binary())})
+
+    def by_word(t: pa.Table) -> pa.Table:
+        got = _by_kind(t)
+        w, head, both = _joined(got[2], np.uint64, np.int64, np.int64)
+        x = np.concatenate([np.zeros((0, 4)), *(np.column_stack(g) for g in got[3]), _held(voc, head, both, _looked_up(got[1], w), both)])
         key, where = np.unique(x[:, 0].astype(np.int64), return_inverse=True)
         sums = [np.bincount(where, x[:, i], minlength=len(key)) for i in (1, 2, 3)]
         return pa.table({"key": pa.array(key, pa.int64()), "w": sums[0], "s3": sums[1], "s2": sums[2]})
 
-    pairs = docs.select("text", "train").mapInArrow(count, "part int, blob binary")
-    per = pairs.groupBy("part").applyInArrow(table_of, "key bigint, w double, s3 double, s2 double")
+    rows = "part int, kind int, blob binary"
+    pairs = docs.select("text", "train").mapInArrow(count, "part int, blob binary").select("part", F.lit(0).alias("kind"), "blob")
+    words = rare_counts(counts, voc, parts).select("part", F.lit(1).alias("kind"), "blob") if whole else None
+    met = (pairs.union(words) if whole else pairs).groupBy("part").applyInArrow(by_context, rows)
+    per = (met.union(words) if whole else met).groupBy("part").applyInArrow(by_word, "key bigint, w double, s3 double, s2 double")
     return per.groupBy("key").agg(F.sum("w").alias("w"), F.sum("s3").alias("s3"), F.sum("s2").alias("s2"))
 
 
-def _held(voc: Vocabulary, context: np.ndarray, both: np.ndarray, own: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    p3, p2 = _estimates(voc, context, both, own, 1)
-    key = (voc.bucket[context] * 64 + _octave(p3, 2, 24)) * 128 + _octave(p2, 2, 40)
+def _by_kind(t: pa.Table) -> list[list[list[np.ndarray]]]:
+    got = [[], [], [], []]
+    for kind, x in zip(t.column("kind").to_pylist(), t.column("blob").to_pylist(), strict=True):
+        got[kind].append(unpack(x))
+    return got
+
+
+def _distinct(*keys: np.ndarray, n: np.ndarray | None = None) -> list[np.ndarray]:
+    """The different rows of keys, sorted, and how often each occurs, or the sums of their n."""
+    order = np.lexsort(keys[::-1])
+    keys = [k[order] for k in keys]
+    size = len(order)
+    first = np.flatnonzero(np.diff(_groups(*keys), prepend=-1)) if size else np.zeros(0, np.int64)
+    if n is None:
+        return [*(k[first] for k in keys), np.diff(np.append(first, size))]
+    return [*(k[first] for k in keys), np.add.reduceat(n[order], first) if size else n]
+
+
+def _held(voc: Vocabulary, head: np.ndarray, both: np.ndarray, own: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    p3, p2 = _estimates(voc, head, both, own, 1)
+    key = (_bucket(head - 1.0, BUCKETS) * 64 + _octave(p3, 2, 24)) * 128 + _octave(p2, 2, 40)
     k, where = np.unique(key, return_inverse=True)
     return np.column_stack([k, np.bincount(where, weight, minlength=len(k)), np.bincount(where, weight * p3, minlength=len(k)), np.bincount(where, weight * p2, minlength=len(k))])
 
@@ -262,7 +355,7 @@ def _held(voc: Vocabulary, context: np.ndarray, both: np.ndarray, own: np.ndarra
 def mixture(rows: list[tuple], distinct: int, rounds: int = 200) -> np.ndarray:
     """Weights of bigram, unigram and floor by bucket, learned by expectation-maximisation on the held-out counts; a bucket without counts uses those of all."""
     x = np.array(rows, float).reshape(-1, 4)
-    bucket = (x[:, 0].astype(np.int64) // 128) // 64
+    bucket = np.minimum((x[:, 0].astype(np.int64) // 128) // 64, BUCKETS - 1)
     p = np.column_stack([x[:, 2] / np.maximum(x[:, 1], 1e-12), x[:, 3] / np.maximum(x[:, 1], 1e-12), np.full(len(x), 1.0 / (distinct + 1))])
 
     def learn(w: np.ndarray, p: np.ndarray) -> np.ndarray:
@@ -285,12 +378,15 @@ def mixture(rows: list[tuple], distinct: int, rounds: int = 200) -> np.ndarray:
     return out
 
 
-def token_sums(docs: DataFrame, voc: Vocabulary, weights: np.ndarray, parts: int) -> DataFrame:
+def token_sums(docs: DataFrame, voc: Vocabulary, weights: np.ndarray, parts: int, counts: DataFrame | None = None) -> DataFrame:
     """One row for each row of docs (keep..., text, train): keep, n_tokens, n_known, known_log (sum of log10(count + 1)) and score.
 
-    Each task deals the tokens of its texts by key over parts: a frequent word by context and word, a rare one by itself. A part thus has all
+    Each task deals the tokens of its texts by key over parts: after a frequent context a frequent word by context and word, a rare one by itself; after a rare
+    context all by the context, and from there rare words, with their counts of context and pair, by themselves. A part thus has all
     occurrences of its keys and can tell their counts, and returns sums by text; the sums of a group of texts from all parts meet again.
+    Without counts, which unigrams() returns, all contexts that aren't frequent are one, whose count is known.
     """
+    whole = counts is not None
     kept = [c for c in docs.columns if c not in ("text", "train")]
     keep_schema = docs.select(*kept).schema
 
@@ -298,7 +394,7 @@ def token_sums(docs: DataFrame, voc: Vocabulary, weights: np.ndarray, parts: int
         from pyspark import TaskContext
 
         task = TaskContext.get().partitionId()
-        ks, hs, tables, trains, ns, held, docs_held, group = [], [], [], [], [], 0, 0, 0
+        ks, hs, rs, tables, trains, ns, held, docs_held, group = [], [], [], [], [], [], 0, 0, 0
 
         def flush() -> pa.RecordBatch:
             k, kn = np.unique(np.concatenate(ks), return_counts=True)
@@ -308,6 +404,10 @@ def token_sums(docs: DataFrame, voc: Vocabulary, weights: np.ndarray, parts: int
             order = np.argsort(h, kind="stable")
             h, hc, hd = h[order], hc[order], hd[order]
             ho, he = _by_part(_keys_part(h, parts), parts)
+            r, ri, rd, rw = (np.concatenate([x[i] for x in rs]) for i in range(4))
+            order = np.lexsort((ri, r))
+            r, ri, rd, rw = r[order], ri[order], rd[order], rw[order]
+            ro, re_ = _by_part(_keys_part(r, parts), parts)
             train = np.packbits(np.concatenate(trains))
             n = np.concatenate(ns)
             table = pa.Table.from_batches(tables).select(kept)
@@ -316,19 +416,21 @@ def token_sums(docs: DataFrame, voc: Vocabulary, weights: np.ndarray, parts: int
                 w.write_table(table)
             blobs, extra = [], []
             for p in range(parts):
-                a, b = ko[ke[p] : ke[p + 1]], ho[he[p] : he[p + 1]]
-                blobs.append(pack(ascending(key[a]), doc[a], kn[a].astype(np.uint16 if kn.max(initial=0) < 1 << 16 else np.uint32), ascending(h[b]), hc[b].astype(np.uint32), hd[b].astype(np.uint32), train, np.array([len(n)])))
+                a, b, c = ko[ke[p] : ke[p + 1]], ho[he[p] : he[p + 1]], ro[re_[p] : re_[p + 1]]
+                blobs.append(pack(ascending(key[a]), doc[a], kn[a].astype(np.uint16 if kn.max(initial=0) < 1 << 16 else np.uint32), ascending(h[b]), hc[b], hd[b], train, np.array([len(n)]), ascending(r[c]), ri[c], rd[c], rw[c][ri[c] == voc.rare]))
                 extra.append(sink.getvalue().to_pybytes() if p == group % parts else None)
             size = pa.array([pack(n) if e is not None else None for e in extra], pa.binary())
             return pa.RecordBatch.from_arrays([pa.array(range(parts), pa.int32()), pa.array([task << 24 | group] * parts, pa.int64()), pa.array(blobs, pa.binary()), pa.array(extra, pa.binary()), size], names=["part", "group", "blob", "docs", "n"])
 
         for b, texts in _portions(batches):
             n, ids, hashes = _tokens(texts)
-            doc, before, own, h = _pairs(voc, n, ids, hashes)
+            doc, before, own, h, head = _pairs(voc, n, ids, hashes)
             doc = doc + docs_held
-            m = own < voc.rare
+            known = (before < voc.rare) | (not whole)
+            m, late = known & (own < voc.rare), known & (own >= voc.rare)
             ks.append((before[m] * (voc.rare + 1) + own[m]).astype(np.uint64) << np.uint64(_DOC_BITS) | doc[m].astype(np.uint64))
-            hs.append((h[~m], before[~m].astype(np.uint32), doc[~m].astype(np.uint32)))
+            hs.append((h[late], before[late].astype(np.uint32), doc[late].astype(np.uint32)))
+            rs.append((head[~known], own[~known].astype(np.uint32), doc[~known].astype(np.uint32), np.where(own < voc.rare, np.uint64(0), h)[~known]))
             tables.append(b)
             trains.append(b.column("train").to_numpy(zero_copy_only=False).astype(bool))
             ns.append(n)
@@ -336,46 +438,81 @@ def token_sums(docs: DataFrame, voc: Vocabulary, weights: np.ndarray, parts: int
             docs_held += len(n)
             if held > 2_000_000 or docs_held > 900_000:
                 yield flush()
-                ks, hs, tables, trains, ns, held, docs_held, group = [], [], [], [], [], 0, 0, group + 1
+                ks, hs, rs, tables, trains, ns, held, docs_held, group = [], [], [], [], [], [], 0, 0, group + 1
         if docs_held:
             yield flush()
 
-    def score(t: pa.Table) -> pa.Table:
-        got = [unpack(x) for x in t.column("blob").to_pylist()]
-        sizes = [int(g[7][0]) for g in got]
+    def add(sums: tuple, doc: np.ndarray, n: np.ndarray, head: np.ndarray, both: np.ndarray, own: np.ndarray) -> None:
+        known, logs, total = sums
+        p3, p2 = _estimates(voc, head, both, own, 0)
+        lam = weights[_bucket(head, len(weights))]
+        p = lam[:, 0] * p3 + lam[:, 1] * p2 + lam[:, 2] / (voc.distinct + 1)
+        total[:] += np.bincount(doc, n * np.log10(p), minlength=len(total))
+        logs[:] += np.bincount(doc, n * np.log10(own + 1.0), minlength=len(total))
+        known[:] += np.bincount(doc, n * (own > 0), minlength=len(total)).astype(np.int64)
+
+    def packed(sums: tuple, base: np.ndarray) -> list[bytes]:
+        known, logs, total = sums
+        return [pack(known[a:b].astype(np.uint32), logs[a:b], total[a:b]) for a, b in zip(base, base[1:], strict=False)]
+
+    def opened(t: pa.Table) -> tuple[pa.Table, list, list, list]:
+        """Rows of groups in the groups' order, which is the same in all parts, and what is in their blobs, in those of words and in those of other parts."""
+        group = t.column("group")
+        own = t.filter(pa.compute.greater_equal(group, 0)).sort_by("group")
+        return own, *([unpack(x) for x in y.column("blob").to_pylist()] for y in (own, t.filter(pa.compute.equal(group, _WORDS)), t.filter(pa.compute.equal(group, _SENT))))
+
+    def empty(sizes: list[int]) -> tuple[np.ndarray, tuple]:
         base = np.cumsum([0, *sizes])
-        train = np.concatenate([np.unpackbits(g[6], count=s) for g, s in zip(got, sizes, strict=True)]).astype(np.int64)
-        known, logs, total = np.zeros(base[-1], np.int64), np.zeros(base[-1]), np.zeros(base[-1])
-
-        def add(doc: np.ndarray, n: np.ndarray, context: np.ndarray, both: np.ndarray, own: np.ndarray) -> None:
-            p3, p2 = _estimates(voc, context, both, own, 0)
-            lam = weights[voc.bucket[context]]
-            p = lam[:, 0] * p3 + lam[:, 1] * p2 + lam[:, 2] / (voc.distinct + 1)
-            total[:] += np.bincount(doc, n * np.log10(p), minlength=len(total))
-            logs[:] += np.bincount(doc, n * np.log10(own + 1.0), minlength=len(total))
-            known[:] += np.bincount(doc, n * (own > 0), minlength=len(total)).astype(np.int64)
+        return base, (np.zeros(base[-1], np.int64), np.zeros(base[-1]), np.zeros(base[-1]))
 
+    def by_context(t: pa.Table) -> pa.Table:
+        part = int(t.column("part")[0].as_py())
+        t, got, words, _ = opened(t)
+        sizes = [int(g[7][0]) for g in got]
+        base, sums = empty(sizes)
+        train = np.concatenate([np.unpackbits(g[6], count=s) for g, s in zip(got, sizes, strict=True)]).astype(np.int64)
         k = np.concatenate([np.cumsum(g[0], dtype=np.uint64) for g in got])
         if len(k):
             doc = np.concatenate([g[1].astype(np.int64) + o for g, o in zip(got, base, strict=False)])
             n = np.concatenate([g[2].astype(np.int64) for g in got])
             order = np.argsort(k)
             k, doc, n = k[order], doc[order], n[order]
-            pair = np.cumsum(np.concatenate([[0], k[1:] != k[:-1]]))
+            pair = _groups(k)
             both = np.bincount(pair, n * train[doc])[pair]
-            add(doc, n, (k // np.uint64(voc.rare + 1)).astype(np.int64), both, voc.counts[(k % np.uint64(voc.rare + 1)).astype(np.int64)])
-        h = np.concatenate([np.cumsum(g[3], dtype=np.uint64) for g in got])
+            add(sums, doc, n, voc.contexts[(k // np.uint64(voc.rare + 1)).astype(np.int64)], both, voc.counts[(k % np.uint64(voc.rare + 1)).astype(np.int64)])
+        h, c = _joined([g[3:5] for g in got], np.uint64, np.int64)
         if len(h):
-            c = np.concatenate([g[4].astype(np.int64) for g in got])
             doc = np.concatenate([g[5].astype(np.int64) + o for g, o in zip(got, base, strict=False)])
             order = np.lexsort((c, h))
             h, c, doc = h[order], c[order], doc[order]
-            word = np.cumsum(np.concatenate([[0], h[1:] != h[:-1]]))
-            pair = np.cumsum(np.concatenate([[0], (h[1:] != h[:-1]) | (c[1:] != c[:-1])]))
-            t_ = train[doc]
-            add(doc, np.ones(len(doc), np.int64), c, np.bincount(pair, t_)[pair], np.bincount(word, t_)[word])
-        sums = [pack(known[a:b].astype(np.uint32), logs[a:b], total[a:b]) for a, b in zip(base, base[1:], strict=False)]
-        return pa.table({"group": t.column("group"), "sums": pa.array(sums, pa.binary()), "docs": t.column("docs"), "n": t.column("n")})
+            word, pair, t_ = _groups(h), _groups(h, c), train[doc]
+            add(sums, doc, np.ones(len(doc), np.int64), voc.contexts[c], np.bincount(pair, t_)[pair], _looked_up(words, h) if whole else np.bincount(word, t_)[word])
+        to, blobs = [], []
+        r, i = _joined([g[8:10] for g in got], np.uint64, np.int64)
+        if len(r):
+            doc = np.concatenate([g[10].astype(np.int64) + o for g, o in zip(got, base, strict=False)])
+            w = np.zeros(len(r), np.uint64)
+            w[i == voc.rare] = np.concatenate([g[11] for g in got])
+            order = np.lexsort((w, i, r))
+            r, i, w, doc = r[order], i[order], w[order], doc[order]
+            head, both = (np.bincount(x, train[doc])[x].astype(np.int64) for x in (_groups(r), _groups(r, i, w)))
+            m = i < voc.rare
+            add(sums, doc[m], np.ones(int(m.sum()), np.int64), head[m], both[m], voc.counts[i[m]])
+            order = np.flatnonzero(~m)[np.argsort(w[~m])]
+            w, doc, head, both = w[order], doc[order], head[order], both[order]
+            to, cut = _cut(w, parts)
+            blobs = [pack(ascending(w[o]), doc[o], head[o], both[o]) for o in cut]
+        cols = [[part] * len(t) + to, t.column("group").to_pylist() + [_SENT] * len(to), [*packed(sums, base), *blobs], *(t.column(c).to_pylist() + [None] * len(to) for c in ("docs", "n"))]
+        return pa.table([pa.array(x, kind) for x, kind in zip(cols, [pa.int32(), pa.int64(), *[pa.binary()] * 3], strict=True)], names=["part", "group", "blob", "docs", "n"])
+
+    def by_word(t: pa.Table) -> pa.Table:
+        t, got, words, sent = opened(t)
+        base, sums = empty([len(g[0]) for g in got])
+        for i, x in enumerate(sums):
+            x[:] = np.concatenate([g[i] for g in got])
+        w, doc, head, both = _joined(sent, np.uint64, np.int64, np.int64, np.int64)
+        add(sums, doc, np.ones(len(w), np.int64), head, both, _looked_up(words, w))
+        return pa.table({"group": t.column("group"), "sums": pa.array(packed(sums, base), pa.binary()), "docs": t.column("docs"), "n": t.column("n")})
 
     def gather(t: pa.Table) -> pa.Table:
         known, logs, total = (sum(x) for x in zip(*(unpack(s) for s in t.column("sums").to_pylist()), strict=True))
@@ -386,8 +523,11 @@ def token_sums(docs: DataFrame, voc: Vocabulary, weights: np.ndarray, parts: int
         return pa.table(cols | {"n_tokens": pa.array(n, pa.int64()), "n_known": pa.array(known.astype(np.int64)), "known_log": pa.array(logs), "score": pa.array(total)})
 
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in keep_schema)
-    dealt = docs.mapInArrow(deal, "part int, group bigint, blob binary, docs binary, n binary")
-    sums = dealt.groupBy("part").applyInArrow(score, "group bigint, sums binary, docs binary, n binary")
+    rows = "part int, group bigint, blob binary, docs binary, n binary"
+    dealt = docs.mapInArrow(deal, rows)
+    words = rare_counts(counts, voc, parts).select("part", F.lit(_WORDS).cast("long").alias("group"), "blob", *[F.lit(None).cast("binary").alias(c) for c in ("docs", "n")]) if whole else None
+    met = (dealt.union(words) if whole else dealt).groupBy("part").applyInArrow(by_context, rows)
+    sums = (met.union(words) if whole else met).groupBy("part").applyInArrow(by_word, "group bigint, sums binary, docs binary, n binary")
     return sums.groupBy("group").applyInArrow(gather, f"{fields}n_tokens bigint, n_known bigint, known_log double, score double")
 
 
@@ -395,8 +535,7 @@ def lm_scores(df: DataFrame, *, text: str = "text", learn: Column, keep: list[st
     """keep, n_tokens, n_known, train_tokens, base_score and score (log10 probability) of each whole text, by a model learned from the rows for which learn holds.
 
     Tokens are the words of the lower-cased (A-Z) text and one end. The model mixes the maximum-likelihood bigram, unigram and a floor of one in all known
-    tokens and one unknown; the weights depend on how frequent the context is. Contexts that make up less than 2**-SHARE of the tokens are counted together as
-    one context. All counts are complete. The weights are learned on the training tokens, each left out of the counts in its turn (deleted
+    tokens and one unknown; the weights depend on how often the context occurs. Every word is a context of its own, and all counts are complete. The weights are learned on the training tokens, each left out of the counts in its turn (deleted
     interpolation). base_score is the add-one unigram probability with one unknown token.
 
     Nothing but the frequent words, 2**SHARE at most by their definition, and a table of binned estimates of fixed size reach the driver. Null texts are empty (one end
@@ -408,7 +547,7 @@ def lm_scores(df: DataFrame, *, text: str = "text", learn: Column, keep: list[st
     counts = stored(unigrams(docs, first), "unigrams")
     voc = frequent_words(counts)
     parts = int(min(60_000, max(12, -(-voc.total // tokens_a_part))))
-    weights = mixture([tuple(r) for r in held_out_counts(docs, voc, parts).collect()], voc.distinct) if voc.total else np.tile([0.0, 0.0, 1.0], (BUCKETS, 1))
-    out = token_sums(docs, voc, weights, parts)
+    weights = mixture([tuple(r) for r in held_out_counts(docs, voc, parts, counts).collect()], voc.distinct) if voc.total else np.tile([0.0, 0.0, 1.0], (BUCKETS, 1))
+    out = token_sums(docs, voc, weights, parts, counts if voc.total else None)
     base = F.col("known_log") - F.col("n_tokens") * F.lit(float(np.log10(voc.total + voc.distinct + 1)))
     return out.select(*[F.col(f"_keep_{i}").alias(c) for i, c in enumerate(keep)], "n_tokens", "n_known", F.lit(voc.total).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
