@@ -452,6 +452,35 @@ def test_repeats(spark):
     assert substrings.repeats(df.filter("false")).collect() == []
 
 
+def test_repeats_need_a_sequence(spark):
+    rng = random.Random(7)
+    fresh = lambda n: " ".join(f"u{rng.getrandbits(40)}" for _ in range(n))
+    cells = []
+    while len(cells) < 40:
+        words = fresh(400).split()
+        a, n, _ = substrings.chunks(" ".join(words).encode(), 5, 24)
+        cells += [" ".join(words[i : i + k]) for i, k in zip(a[1:-1].tolist(), n[1:-1].tolist(), strict=True) if k >= 3]
+    phrases = cells[:40]
+    rows = [(i, " ".join(rng.sample(phrases, 12))) for i in range(30)]
+    passage = fresh(90)
+    rows += [(100, f"{fresh(30)} {passage} {fresh(30)}"), (101, f"{fresh(30)} {passage} {fresh(30)}"), (102, "na " * 300)]
+    have = Counter()
+    for _, t in rows[:30]:
+        w = t.split()
+        have.update({" ".join(w[k : k + 20]) for k in range(len(w) - 19)})
+    got = {r.doc_id: r for r in substrings.repeats(spark.createDataFrame(rows, "doc_id long, text string"), keep=["doc_id"]).collect()}
+    clean = [i for i, t in rows[:30] if not any(have[" ".join(t.split()[k : k + 20])] > 1 for k in range(len(t.split()) - 19))]
+    assert len(clean) > 20
+    assert all(not got[i].repeated and not got[i].removed and not got[i].sources and got[i].clean == rows[i][1] for i in clean)
+    assert got[101].sources == [100] and not got[100].removed and passage not in got[101].clean
+    for x in [got[101].removed]:
+        a, n, _ = substrings.chunks(rows[31][1].encode(), 5, 24)
+        b, m, _ = substrings.chunks(rows[30][1].encode(), 5, 24)
+        same = [(s, s + k) for s, k in zip(a.tolist(), n.tolist(), strict=True) if 30 <= s and s + k <= 120 and (s, k) in set(zip(b.tolist(), m.tolist(), strict=True))]
+        assert [(r.a, r.b) for r in x] == [(same[0][0], same[-1][1])]
+    assert 20 <= len(got[102].clean.split()) < 100
+
+
 def test_share_targets():
     assert mixing.share_targets([100, 100, 100], [5, 2, 1], 450, 2) == [200.0, pytest.approx(500 / 3), pytest.approx(250 / 3)]
     assert mixing.share_targets([0, 10], [5, 2], 15, 2) == [0.0, 15.0]

@@ -56,26 +56,40 @@ def word_spans(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
 
 
-def runs(start: np.ndarray, size: np.ndarray, flag: np.ndarray, min_words: int) -> list[tuple[int, int]]:
-    """Word ranges of at least min_words that flagged chunks cover without a gap."""
-    out, at, end = [], -1, -1
+def windows(start: np.ndarray, size: np.ndarray, digest: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first word, number of words, digest) of the shortest sequences of whole chunks with min_words words or more: from each chunk on, and up to each chunk that ends none of those.
+
+    Wherever chunks of min_words or more come again in a row, windows within the row cover all of it.
+    """
+    end = start + size
+    left = np.arange(len(start))
+    right = np.searchsorted(end, start + min_words)
+    left, right = left[right < len(end)], right[right < len(end)]
+    more = np.setdiff1d(np.flatnonzero(end >= min_words), right)
+    left = np.append(left, np.searchsorted(start, end[more] - min_words, side="right") - 1)
+    right = np.append(right, more)
+    raw = digest.tobytes()
+    joint = np.array([xxhash.xxh3_64_intdigest(raw[8 * i : 8 * j + 8]) for i, j in zip(left.tolist(), right.tolist(), strict=True)], np.uint64).view(np.int64)
+    return start[left], end[right] - start[left], joint
+
+
+def runs(start: np.ndarray, size: np.ndarray, flag: np.ndarray) -> list[tuple[int, int]]:
+    """Word ranges that flagged windows, in order of their starts, cover without a gap."""
+    out = []
     for s, n, f in zip(start.tolist(), size.tolist(), flag.tolist(), strict=True):
         if not f:
             continue
-        if s != end:
-            if end - at >= min_words and at >= 0:
-                out.append((at, end))
-            at = s
-        end = s + n
-    if at >= 0 and end - at >= min_words:
-        out.append((at, end))
+        if out and s <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], s + n))
+        else:
+            out.append((s, s + n))
     return out
 
 
-def repeated_chunks(rows: DataFrame, mean_words: int, max_words: int) -> DataFrame:
-    """(id, sig, found) for each document (id: long, sig: int, text: binary) with chunks that occur more than once: found lists at (first word << 8 | words), digest and first, the smallest id with that digest.
+def repeated_windows(rows: DataFrame, mean_words: int, max_words: int, min_words: int) -> DataFrame:
+    """(id, sig, found) for each document (id: long, sig: int, text: binary) with windows that occur more than once: found lists at (first word << 8 | words), digest and first, the smallest id with that digest.
 
-    Counts by digest are summed where chunks are cut before they are shuffled; the digests that occur more than once are
+    Counts by digest are summed where texts are cut before they are shuffled; the digests that occur more than once are
     stored and meet their occurrences in an equal join of two plain exchanges, which Spark splits where very many documents share a digest.
     """
 
@@ -83,7 +97,7 @@ def repeated_chunks(rows: DataFrame, mean_words: int, max_words: int) -> DataFra
         for b in batches:
             texts = b.column("text").to_pylist()
             for lo in range(0, len(texts), 500):
-                got = [chunks(t or b"", mean_words, max_words) for t in texts[lo : lo + 500]]
+                got = [windows(*chunks(t or b"", mean_words, max_words), min_words) for t in texts[lo : lo + 500]]
                 n = np.array([len(g[0]) for g in got], np.int64)
                 ids = np.repeat(b.column("id").to_numpy(zero_copy_only=False)[lo : lo + 500], n)
                 sig = np.repeat(b.column("sig").to_numpy(zero_copy_only=False)[lo : lo + 500], n)
@@ -99,14 +113,16 @@ def repeated_chunks(rows: DataFrame, mean_words: int, max_words: int) -> DataFra
 def repeats(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", keep: list[str] | tuple[str, ...] = (), mean_words: int = 5, max_words: int = 24, min_words: int = 20) -> DataFrame:
     """keep, then for each row of df: n_words, repeated (whether it holds a repeated passage), spans (word ranges a to b of its repeated passages), removed (of those that are cut out, because an earlier document or place has them), sources (ids of the earlier documents), and clean (the text without removed).
 
-    A passage is repeated when chunks that occur more than once cover min_words words or more without a gap. Of equal
-    chunks the one in the document with the smallest id stays, there at its first place; the words of a removed range go with the white space
+    A passage is repeated when a sequence of chunks with min_words words or more occurs more than once as a whole; chunks that are common one by one are no
+    repeat. Of equal sequences the one in the document with the smallest id stays, there at its first place with all its words; the words of a removed range go with the white space
     after them, all else stays. Null ids come after all others; rows that share an id are parts of one document and don't remove from each other;
     repeated rows come out repeated; null and empty texts stay as they are. Columns outside keep are ignored.
     """
+    if min_words + max_words > 256:
+        raise ValueError("min_words and max_words must not be over 256 together")
     keep = list(keep)
     rows = df.select(*[F.col(c).alias(f"_keep_{i}") for i, c in enumerate(keep)], F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("id"), F.pmod(F.xxhash64(F.lit(0), text), F.lit(1 << 22)).cast("int").alias("sig"), F.col(text).alias("text"))
-    found = repeated_chunks(rows.select("id", "sig", F.col("text").cast("binary").alias("text")), mean_words, max_words)
+    found = repeated_windows(rows.select("id", "sig", F.col("text").cast("binary").alias("text")), mean_words, max_words, min_words)
     joined = rows.join(found.select(F.col("id").alias("_id"), F.col("sig").alias("_sig"), "found"), (F.col("id") == F.col("_id")) & (F.col("sig") == F.col("_sig")), "left")
 
     @F.arrow_udf("struct<n_words:bigint,repeated:boolean,spans:array<struct<a:int,b:int>>,removed:array<struct<a:int,b:int>>,sources:array<bigint>,clean:string>")
@@ -122,19 +138,15 @@ def repeats(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", keep:
             order = np.unique(a, return_index=True)[1]
             a, d, f = a[order], d[order], f[order]
             start, n = a >> 8, a & 255
-            here = np.zeros(len(d), bool)
-            here[np.unique(d, return_index=True)[1]] = True
-            gone = (f != own) | ~here
-            all_, cut = runs(start, n, np.ones(len(a), bool), min_words), runs(start, n, gone, min_words)
-            within = np.zeros(len(a), bool)
-            for x, y in cut:
-                within |= (start >= x) & (start < y)
+            _, at_first, which = np.unique(d, return_index=True, return_inverse=True)
+            gone = (f != own) | (start >= (start + n)[at_first][which])
+            all_, cut = runs(start, n, np.ones(len(a), bool)), runs(start, n, gone)
             b = t or b""
             n_words.append(len(b.split()))
             repeated.append(bool(all_))
             spans.append([{"a": x, "b": y} for x, y in all_])
             removed.append([{"a": x, "b": y} for x, y in cut])
-            sources.append([x for x in np.unique(f[within]).tolist() if x not in (own, NO_ID)])
+            sources.append([x for x in np.unique(f[gone]).tolist() if x not in (own, NO_ID)])
             if cut:
                 left, _ = word_spans(b)
                 bounds = np.append(left, len(b))
