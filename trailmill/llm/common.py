@@ -7,7 +7,10 @@ import re
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,6 +57,20 @@ def discard(df: DataFrame) -> None:
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def portions(texts: pa.Array, size: int = 2 << 20) -> Iterator[list[bytes | None]]:
+    """A batch's texts (binary) in order, as lists of about size bytes: so much of a batch, and one text at least, stands in memory a second time."""
+    texts = texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts
+    length = pa.compute.fill_null(pa.compute.binary_length(texts), 0).to_pylist()
+    at, held = 0, 0
+    for i, n in enumerate(length):
+        held += n
+        if held >= size:
+            yield texts.slice(at, i + 1 - at).to_pylist()
+            at, held = i + 1, 0
+    if at < len(length):
+        yield texts.slice(at).to_pylist()
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z in lower case, all else unchanged; null stays null. lower() alone would change other letters too, translate() alone is slow."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, UPPER.lower()))

@@ -13,7 +13,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import portions, stored
 
 #: The end of a text; it holds white space, so no word is like it. It is also what precedes the first word.
 END = b"\n"
@@ -70,15 +70,10 @@ def _tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def _portions(batches: Iterator[pa.RecordBatch], size: int = 4 << 20) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Slices of the batches with about size bytes of text each."""
     for b in batches:
-        texts = [t or b"" for t in b.column("text").to_pylist()]
-        at, held = 0, 0
-        for i, t in enumerate(texts):
-            held += len(t)
-            if held >= size or i - at >= 20_000:
-                yield b.slice(at, i + 1 - at), texts[at : i + 1]
-                at, held = i + 1, 0
-        if at < len(texts):
-            yield b.slice(at), texts[at:]
+        at = 0
+        for texts in portions(b.column("text"), size):
+            yield b.slice(at, len(texts)), [t or b"" for t in texts]
+            at += len(texts)
 
 
 def _by_part(part: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:

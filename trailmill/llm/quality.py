@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .calibration import isotonic
-from .common import stored
+from .common import portions, stored
 
 FOLDS, BINS, LOW, HIGH = 3, 512, -0.5, 1.5
 N_STATS = 26
@@ -71,7 +71,7 @@ def document_statistics(text: Column) -> Column:
     @F.arrow_udf("array<double>")
     def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            x = np.array([statistics(t or b"") for t in batch.to_pylist()]).reshape(-1, N_STATS)
+            x = np.array([statistics(t or b"") for part in portions(batch) for t in part]).reshape(-1, N_STATS)
             yield pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * N_STATS), pa.array(x.ravel()))
 
     return of(text.cast("binary"))

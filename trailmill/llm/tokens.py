@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import portions
+
 
 def _counter(path: str, batch_bytes: int) -> Callable[[list[bytes]], list[int]]:
     """Lengths of a list of pieces, encoded in batches of about batch_bytes; one thread, for Spark has a task per core."""
@@ -75,11 +77,13 @@ def token_counts(
     def count(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         lengths, known, held = _counter(tokenizer, batch_bytes), {}, 0
         for batch in batches:
-            texts = [x or b"" for x in batch.to_pylist()]
-            if not split:
-                n = lengths(texts)
-            else:
-                n = []
+            size, n = [], []
+            for part in portions(batch):
+                texts = [x or b"" for x in part]
+                size += map(len, texts)
+                if not split:
+                    n += lengths(texts)
+                    continue
                 for x in texts:
                     words = x.split()
                     new = [w for w in set(words) if w not in known]
@@ -89,7 +93,7 @@ def token_counts(
                     n.append(sum(map(known.__getitem__, words)))
                     if held > cache_bytes:
                         known, held = {}, 0
-            yield pa.StructArray.from_arrays([pa.array(list(map(len, texts)), pa.int64()), pa.array(n, pa.int64())], ["n_bytes", "n_tokens"])
+            yield pa.StructArray.from_arrays([pa.array(size, pa.int64()), pa.array(n, pa.int64())], ["n_bytes", "n_tokens"])
 
     plain: Column = F.col(text).cast("binary")
     out = df.select(*keep, count(plain).alias("_count"))
