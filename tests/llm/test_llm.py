@@ -130,31 +130,66 @@ def test_components_of_a_path(spark):
     assert got == {i: 0 for i in range(1, n + 1)} | {501: 500}
 
 
-def test_joint_links(spark):
+def shingle_set(text, k=5):
+    w = re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode().lower())
+    return {b" ".join(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if w else set()
+
+
+def plain_near(texts, similarity=0.8):
+    """Components by Jaccard similarity over all pairs; equal word sequences are linked too."""
+    sets = [shingle_set(t) for t in texts]
+    same = lambda i, j: (texts[i] or "").lower().split() == (texts[j] or "").lower().split() or len(sets[i] & sets[j]) >= similarity * len(sets[i] | sets[j]) > 0
+    return plain_components([(i, j) for i in range(len(texts)) for j in range(i) if same(i, j)], range(len(texts)))
+
+
+@pytest.mark.parametrize("broadcast_rows", [0, 1000])
+def test_near_copies_by_similarity(spark, broadcast_rows):
     rng = random.Random(11)
     texts = []
-    for i in range(40):
+    for i in range(30):
         w = [f"a{rng.randrange(500)}" for _ in range(150)]
-        texts.append((2 * i, " ".join(w)))
-        for p in rng.sample(range(150), 3):
-            w[p] = "zz"
-        texts.append((2 * i + 1, " ".join(w)))
-    df = spark.createDataFrame(texts, "doc_id long, text string")
-    hashes = [simhash.shingle_hashes(t.encode(), 5) for _, t in texts]
-    prints = [[simhash.majority(simhash.rehash(h, k) if k else h) for k in range(4)] for h in hashes]
-    near = [(i, j) for i in range(80) for j in range(i) if any((a ^ b).bit_count() <= 5 for a, b in zip(prints[i], prints[j], strict=True))]
-    root = plain_components(near, range(80))
-    kept = {r.doc_id for r in simhash.drop_near_copies(df).collect()}
-    assert kept == set(root.values()) and len(kept) < len({r.doc_id for r in simhash.drop_near_copies(df, kinds=1).collect()})
+        texts.append(" ".join(w))
+        for edits in (1, 2, 9):  # similar, similar, not similar
+            v = list(w)
+            for p in range(edits):
+                v[10 + 15 * p] = f"z{rng.randrange(99)}"
+            texts.append(" ".join(v))
+    hub = [f"h{rng.randrange(500)}" for _ in range(120)]
+    texts += [" ".join(w if j != i else "q" for j, w in enumerate(hub)) for i in range(0, 120, 2)]  # a large group
+    texts += ["Some  OTHER\ttext", "some other text", "", " \n", None, "some", "some"]
+    rows = [(1000 - i, t) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    root = plain_near(texts)
+    low = {}
+    for i, (d, _) in enumerate(rows):
+        low[root[i]] = min(low.get(root[i], 1 << 60), d)
+    got = Counter(r.doc_id for r in simhash.drop_near_copies(df, broadcast_rows=broadcast_rows).collect())
+    assert got == Counter(low.values())
+
+
+def test_nearest_links_are_within_radius(spark):
+    rng = random.Random(3)
+    fps = {rng.getrandbits(64) for _ in range(30)}
+    fps |= {x ^ 1 << rng.randrange(64) ^ 1 << rng.randrange(64) for x in list(fps) for _ in range(6)}
+    sign = lambda x: x - (1 << 64) if x >> 63 else x
+    links = simhash.near_links(spark.createDataFrame([(sign(x),) for x in sorted(fps)], "fp long"), 4, 16, nearest=True).collect()
+    assert links and all((r.u ^ r.v & (1 << 64) - 1).bit_count() <= 4 or ((r.u ^ r.v) & (1 << 64) - 1).bit_count() <= 4 for r in links)
+    want = plain_components([(sign(a), sign(b)) for a in fps for b in fps if a < b and (a ^ b).bit_count() <= 4], [sign(x) for x in fps])
+    assert plain_components([(r.u, r.v) for r in links], want) == want
 
 
 def test_drop_near_copies(spark, docs):
-    got = simhash.drop_near_copies(docs, shingle=5, radius=4, kinds=2)
-    assert got.columns == docs.columns
-    ids = Counter(r.doc_id for r in got.collect())
-    assert all(ids[i] == 0 for i in range(60, 70) if plain_fingerprint(docs.filter(F.col("doc_id") == i).head().text, 5))
-    assert ids[3] == (1 if plain_fingerprint(docs.filter("doc_id = 3").head().text, 5) else 3)
-    assert ids[70] == 1 and ids[71] == 1 and ids[74 - 1] + ids[74] == 1
+    names = ["text", "key", "root", "_in_0", "node", "id"]
+    rows = [(r.text, 1, 2, r.doc_id, 4, 5) for r in docs.collect()]
+    df = spark.createDataFrame(rows, "text string, key int, root int, _in_0 long, node int, id int")
+    got = simhash.drop_near_copies(df, doc_id="_in_0")
+    assert got.columns == names
+    root = plain_near([r[0] for r in rows])
+    want = Counter()
+    for g in set(root.values()):
+        ids = [r[3] for i, r in enumerate(rows) if root[i] == g]
+        want[min((i is None, i or 0) for i in ids)] += 1
+    assert Counter((r["_in_0"] is None, r["_in_0"] or 0) for r in got.collect()) == want
 
 
 URLS = ["http://a.com/en/1", "https://EXAMPLE.com/en/x", "http://www.example.com/en/1?q", "http://b.example.com/en", "http://b.example.com/en/", "http://x.net/es/1", "http://x.net/en/1#f", "x.net/es/1", "ftp://net/fr/", "http://anet/fr/1", None, "", "http://", "http://q.org?x://y", "http://h.net"]

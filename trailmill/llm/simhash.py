@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import discard, portions, stored
 from .components import components
 
 
@@ -54,26 +54,74 @@ def fingerprints(text: Column, shingle: int, seed: int = 42) -> Column:
     @F.arrow_udf("bigint")
     def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            yield pa.array(np.array([fingerprint(x or b"", shingle, seed) for x in batch.to_pylist()], np.uint64).view(np.int64), pa.int64())
+            yield pa.array(np.array([fingerprint(x or b"", shingle, seed) for part in portions(batch) for x in part], np.uint64).view(np.int64), pa.int64())
 
     return of(text.cast("binary"))
 
 
-def more_fingerprints(text: Column, shingle: int, n: int, seed: int = 42) -> Column:
-    """The fingerprint of each whole text and n - 1 others, from the same shingles hashed anew, as an array of longs."""
+def normal(text: bytes) -> bytes:
+    """A text's words in lower case (A-Z), parted by single spaces: what shingles are cut from."""
+    return b" ".join(text.lower().split())
 
-    @F.arrow_udf("array<bigint>")
+
+def text_keys(text: Column) -> Column:
+    """A 64-bit hash of each text's normal form; null counts as empty."""
+
+    @F.arrow_udf("bigint")
     def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            out = []
-            for x in batch.to_pylist():
-                h = shingle_hashes(x or b"", shingle, seed)
-                out += [majority(rehash(h, k) if k else h) for k in range(n)]
-            yield pa.ListArray.from_arrays(pa.array(np.arange(len(batch) + 1, dtype=np.int32) * n), pa.array(np.array(out, np.uint64).view(np.int64), pa.int64()))
+            yield pa.array(np.array([xxhash.xxh3_64_intdigest(normal(x or b"")) for part in portions(batch) for x in part], np.uint64).view(np.int64), pa.int64())
 
     return of(text.cast("binary"))
 
 
+def sketches(text: Column, shingle: int, kinds: int, seed: int = 42) -> Column:
+    """struct(key, fps) of each whole text: its key as text_keys() has it, its fingerprint and kinds - 1 others from the same shingles hashed anew; fps is null without words."""
+
+    @F.arrow_udf("struct<key:bigint,fps:array<bigint>>")
+    def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            keys, out, none = [], [], []
+            for part in portions(batch):
+                for x in part:
+                    keys.append(xxhash.xxh3_64_intdigest(normal(x or b"")))
+                    h = shingle_hashes(x or b"", shingle, seed)
+                    none.append(not len(h))
+                    out += [majority(rehash(h, k) if k else h) for k in range(kinds)]
+            fps = pa.ListArray.from_arrays(pa.array(np.arange(len(batch) + 1, dtype=np.int32) * kinds), pa.array(np.array(out, np.uint64).view(np.int64), pa.int64()), mask=pa.array(none, pa.bool_()))
+            yield pa.StructArray.from_arrays([pa.array(np.array(keys, np.uint64).view(np.int64), pa.int64()), fps], ["key", "fps"])
+
+    return of(text.cast("binary"))
+
+
+def shingle_sets(text: Column, shingle: int, seed: int = 42) -> Column:
+    """The different shingle hashes of each whole text in ascending order, as bytes."""
+
+    @F.arrow_udf("binary")
+    def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            yield pa.array([np.unique(shingle_hashes(x or b"", shingle, seed)).tobytes() for part in portions(batch) for x in part], pa.binary())
+
+    return of(text.cast("binary"))
+
+
+def jaccard(a: Column, b: Column) -> Column:
+    """Similarity of two shingle sets, 0 where one is empty."""
+
+    @F.arrow_udf("double")
+    def of(left: pa.Array, right: pa.Array) -> pa.Array:
+        out = np.zeros(len(left))
+        for i, (x, y) in enumerate(zip(left, right, strict=True)):
+            p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+            if len(p) and len(q):
+                both = np.sort(np.concatenate([p, q]), kind="stable")
+                same = int((both[1:] == both[:-1]).sum())
+                out[i] = same / (len(p) + len(q) - same)
+        return pa.array(out)
+
+    return of(a, b)
+
+
 def planes_of(fps: np.ndarray) -> np.ndarray:
     """Vertical form: 64 bit planes of packed words, lane i of a plane being that bit of fingerprint i."""
     bits = np.unpackbits(fps.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").T
@@ -82,7 +130,7 @@ def planes_of(fps: np.ndarray) -> np.ndarray:
     return np.packbits(full, axis=1, bitorder="little").view(np.uint64)
 
 
-def within(queries: np.ndarray, fps: np.ndarray, radius: int, skip: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def within(queries: np.ndarray, fps: np.ndarray, radius: int, skip: int = 0, lanes_a_step: int = 1 << 17) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs (i, j) with queries[i] and fps[j] at most radius bits apart, in batches.
 
     The planes of fps are compared with a query 64 lanes at a time. Two planes of differences enter the vertical counters
@@ -98,7 +146,7 @@ def within(queries: np.ndarray, fps: np.ndarray, radius: int, skip: int = 0) ->
         pad[-1] = ~np.uint64((1 << len(fps) % 64) - 1)
     ones, zero = ~np.uint64(0), np.uint64(0)
     order = [b for b in range(64) if not skip >> b & 1]
-    for at in range(0, len(queries), step := max(1, (1 << 17) // lanes)):
+    for at in range(0, len(queries), step := max(1, lanes_a_step // lanes)):
         q = queries[at : at + step]
         qi, wi = np.repeat(np.arange(len(q)), lanes), np.tile(np.arange(lanes), len(q))
         over = np.tile(pad, len(q))
@@ -155,6 +203,38 @@ def _block_links(left: np.ndarray, right: np.ndarray | None, radius: int, skip:
     return fps[moved], fps[forest.root[moved]]
 
 
+def spanning(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Places of the links (a, b), given in order of preference, that make up the best spanning forest of n nodes."""
+    forest, live, kept = _Forest(n), np.arange(len(a)), []
+    while True:
+        x, y = forest.root[a[live]], forest.root[b[live]]
+        live, x, y = live[x != y], x[x != y], y[x != y]
+        if not len(live):
+            return np.sort(np.concatenate(kept)) if kept else live
+        best = np.full(n, -1)
+        for ends in (x, y):
+            first = np.full(n, len(a))
+            first[ends[::-1]] = live[::-1]
+            best = np.where(best < 0, first, np.minimum(best, first))
+        kept.append(np.unique(best[best < len(a)]))
+        forest.join(a[kept[-1]], b[kept[-1]])
+
+
+def _block_pairs(left: np.ndarray, right: np.ndarray | None, radius: int, skip: int) -> tuple[np.ndarray, np.ndarray]:
+    """As _block_links, but with links that are themselves within the radius: of all, those of the spanning forest of least distance, ties to smaller fingerprints."""
+    fps = left if right is None else np.concatenate([left, right])
+    a = b = np.zeros(0, np.int64)
+    for i, j in within(left, left if right is None else right, radius, skip, lanes_a_step=1 << 14):
+        i, j = (i[i < j], j[i < j]) if right is None else (i, j + len(left))
+        a, b = np.append(a, i), np.append(b, j)
+        x, y = fps[a], fps[b]
+        order = np.lexsort((np.maximum(x, y), np.minimum(x, y), np.bitwise_count(x ^ y)))
+        a, b = a[order], b[order]
+        kept = spanning(len(fps), a, b)
+        a, b = a[kept], b[kept]
+    return fps[a], fps[b]
+
+
 def tables_for(n: int, radius: int, per_bucket: int = 4096) -> list[int]:
     """Masks such that any two fingerprints within radius agree on the bits of one mask at least.
 
@@ -169,13 +249,14 @@ def tables_for(n: int, radius: int, per_bucket: int = 4096) -> list[int]:
     raise AssertionError
 
 
-def near_links(fps: DataFrame, radius: int = 4, block: int = 2048) -> DataFrame:
+def near_links(fps: DataFrame, radius: int = 4, block: int = 2048, nearest: bool = False) -> DataFrame:
     """(u, v) links over distinct fingerprints (column fp: long) whose components are those of all pairs at most radius bits apart.
 
     Exact by the pigeonhole principle: every pair within the radius meets in a bucket of a table of tables_for. A bucket of more than
     block fingerprints is cut by hash into pieces, and each pair of pieces is a task of its own, so no task holds more than about two pieces. A
-    block yields a spanning forest, not all its pairs.
+    block yields a spanning forest, not all its pairs. With nearest its links are pairs within the radius, the closest that make such a forest; else any that have the same components.
     """
+    link = _block_pairs if nearest else _block_links
     masks = tables_for(fps.count(), radius)
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
     rows = fps.select("fp", F.explode(F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("k")) for t, m in enumerate(signed)])).alias("b")).select("fp", "b.t", "b.k")
@@ -198,9 +279,9 @@ def near_links(fps: DataFrame, radius: int = 4, block: int = 2048) -> DataFrame:
                     t, _, a, b, *_ = part[0]
                     left = part[:, 4] == a
                     if a == b:
-                        out.append(_block_links(f, None, radius, masks[t]))
+                        out.append(link(f, None, radius, masks[t]))
                     elif left.any() and not left.all():
-                        out.append(_block_links(f[left], f[~left], radius, masks[t]))
+                        out.append(link(f[left], f[~left], radius, masks[t]))
             return out
 
         def batch_of(links: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
@@ -226,27 +307,10 @@ def near_links(fps: DataFrame, radius: int = 4, block: int = 2048) -> DataFrame:
     return rows.mapInArrow(blocks, "u bigint, v bigint").distinct()
 
 
-def joint_links(docs: DataFrame, more: int, radius: int, block: int) -> DataFrame:
-    """(u, v) links between fingerprints fp of docs (fp, others: array of more longs): those within radius, and those whose texts are within radius in one of the other fingerprints.
-
-    The other fingerprints are nodes of the graph themselves, each kind under numbers of its own, tied to the fp of their texts; those that tie nothing together are left out.
-    """
-    edges = near_links(docs.select("fp").distinct(), radius, block)
-    for k in range(more):
-        pairs = docs.select("fp", F.col("others")[k].alias("x")).distinct()
-        links = stored(near_links(pairs.select(F.col("x").alias("fp")).distinct(), radius, block), "other")
-        shared = pairs.groupBy("x").count().filter("count > 1").select("x")
-        useful = links.select(F.col("u").alias("x")).union(links.select("v")).union(shared).distinct()
-        mark = F.lit((k + 1) * 0x1C69B3F74AC4AE35 & (1 << 63) - 1)
-        tied = pairs.join(useful, "x", "left_semi").select(F.col("fp").alias("u"), F.col("x").bitwiseXOR(mark).alias("v"))
-        edges = edges.union(tied).union(links.select(F.col("u").bitwiseXOR(mark), F.col("v").bitwiseXOR(mark)))
-    return edges
-
-
-def fingerprint_groups(docs: DataFrame, radius: int = 4, block: int = 2048, more: int = 0) -> DataFrame:
-    """(fp, root, component_id, min_id, copies) for each distinct fingerprint of docs (doc_id, fp, and others with more): its smallest doc_id, and the smallest of all it can reach by links of radius bits."""
+def fingerprint_groups(docs: DataFrame, radius: int = 4, block: int = 2048) -> DataFrame:
+    """(fp, root, component_id, min_id, copies) for each distinct fingerprint of docs (doc_id, fp): its smallest doc_id, and the smallest of all it can reach by links of radius bits."""
     nodes = stored(docs.groupBy("fp").agg(F.min("doc_id").alias("min_id"), F.count("*").alias("copies")), "nodes")
-    roots = components(joint_links(docs, more, radius, block) if more else near_links(nodes.select("fp"), radius, block))
+    roots = components(near_links(nodes.select("fp"), radius, block))
     joined = stored(nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "min_id", "copies", F.coalesce("root", "fp").alias("root")), "rooted")
     # stored, so that the join with a component of very many fingerprints can be split
     low = stored(joined.groupBy("root").agg(F.min("min_id").alias("component_id")), "lowest")
@@ -265,19 +329,72 @@ def simhash_components(df: DataFrame, *, doc_id: str = "doc_id", text: str = "te
     return docs.join(groups.withColumnRenamed("fp", "_fp"), F.col("fp") == F.col("_fp")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "copies")
 
 
-def drop_near_copies(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, radius: int = 5, kinds: int = 4, seed: int = 42, block: int = 2048) -> DataFrame:
-    """The rows of df without near copies: texts are linked when their fingerprints of any of kinds sorts are within radius bits, and of each component of fingerprints the row with the smallest doc_id stays (of rows that share it, one with the smallest fingerprint), and null ids come last.
+def candidate_links(nodes: DataFrame, kinds: int, radius: int, block: int) -> DataFrame:
+    """(a, b) keys, a < b, of texts of nodes (key, fps) that share a fingerprint of a kind, or have one within radius bits: such pairs, or enough of them to tie together all that any would.
 
-    Texts without words say nothing about likeness: they have no near copies and all stay.
+    Of the texts that share a fingerprint the one with the smallest key stands for it.
+    """
+    out = None
+    for k in range(kinds):
+        per = nodes.filter(F.col("fps").isNotNull()).select("key", F.col("fps")[k].alias("fp"))
+        stands = stored(per.groupBy("fp").agg(F.min("key").alias("rep"), F.count("*").alias("n")), "stands")
+        links = near_links(stands.select("fp"), radius, block, nearest=True)
+        a, b = (stands.select(F.col("fp").alias(e), F.col("rep").alias(f"{e}_key")) for e in ("u", "v"))
+        ends = links.join(a, "u").join(b, "v").select(F.col("u_key").alias("x"), F.col("v_key").alias("y"))
+        shared = per.join(stands.filter("n > 1").select(F.col("fp").alias("_fp"), "rep"), F.col("fp") == F.col("_fp")).select(F.col("key").alias("x"), F.col("rep").alias("y"))
+        both = ends.union(shared)
+        out = both if out is None else out.union(both)
+    return out.filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def near_groups(texts: DataFrame, nodes: DataFrame, *, shingle: int, radius: int, kinds: int, similarity: float, seed: int, block: int, broadcast_rows: int) -> DataFrame:
+    """(node, root) keys of texts that have near copies, but for the roots themselves: components of links between texts (key, text) whose shingle sets have a Jaccard similarity of similarity or more. nodes has (key, fps, min_id) for each key.
+
+    Candidates come from fingerprints and none is taken without its similarity. First each text is held against the one with the smallest id in its component of candidates; then those candidates are that
+    have an end that was unlike. So a large group of near copies costs one comparison a text.
+    """
+    candidates = stored(candidate_links(nodes, kinds, radius, block), "candidates")
+    guessed = components(candidates.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    guessed = stored(guessed.union(guessed.select(F.col("root").alias("node"), "root").distinct()), "guessed")
+    ids = stored(guessed.join(nodes.select(F.col("key").alias("node"), "min_id"), "node"), "members")
+    first = F.min(F.struct(F.col("min_id").isNull().alias("no_id"), F.col("min_id").alias("id"), F.col("node").alias("node")))
+    heads = stored(ids.groupBy(F.col("root").alias("_root")).agg(first["node"].alias("head")), "heads")
+    star = ids.join(heads, F.col("root") == F.col("_root")).filter("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b"))
+    touched = guessed.select(F.col("node").alias("_node"))
+    touched = F.broadcast(touched) if guessed.count() <= broadcast_rows else touched
+    wanted = texts.join(touched, F.col("key") == F.col("_node"), "left_semi").dropDuplicates(["key"])
+    sets = stored(wanted.select("key", shingle_sets(F.col("text"), shingle, seed).alias("set")), "sets")
+
+    def alike(pairs: DataFrame) -> DataFrame:
+        left, right = (sets.select(F.col("key").alias(e), F.col("set").alias(f"set_{e}")) for e in ("a", "b"))
+        met = pairs.join(left, "a").join(right, "b")
+        return met.select("a", "b", jaccard(F.col("set_a"), F.col("set_b")).alias("j")).filter(F.col("j") >= similarity).select("a", "b")
+
+    near = stored(alike(star), "near")
+    sure = near.select(F.col("a").alias("k")).union(heads.select("head"))
+    other = guessed.select("node").join(sure.select(F.col("k").alias("node")), "node", "left_anti")
+    rest = candidates.join(other.select(F.col("node").alias("a")), "a", "left_semi").union(candidates.join(other.select(F.col("node").alias("b")), "b", "left_semi").select("a", "b")).distinct()
+    out = components(near.union(alike(rest)).select(F.col("a").alias("u"), F.col("b").alias("v")))
+    for x in (sets, candidates, guessed, ids, near):
+        discard(x)
+    return out
+
+
+def drop_near_copies(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, print_shingle: int = 2, radius: int = 5, kinds: int = 4, seed: int = 42, block: int = 2048, broadcast_rows: int = 500_000) -> DataFrame:
+    """The rows of df without near copies. Texts are linked when their sets of word shingles (shingle words) have a Jaccard similarity of similarity or more, which is computed for all that have a fingerprint, of any of kinds sorts, within radius
+    bits; fingerprints are of shorter shingles (print_shingle words), for a changed word spoils fewer of them; texts of the same words in the same order are linked, those without words and null ones among each other too. Of each component the row with the smallest doc_id stays (null ids come last; of rows that share it, one with the smallest hash of its words).
+
+    All columns stay, whatever their names. Repeated rows are copies of each other. An empty table gives no rows. Texts that need shingle sets are picked by a broadcast of their keys up to broadcast_rows of them, which are counted, and by a shuffle join beyond.
     """
-    key = F.coalesce(F.concat(F.lit("="), F.col(doc_id).cast("string")), F.lit("")).alias("key")
-    named = df.select(*[F.col(c).alias(f"_in_{i}") for i, c in enumerate(df.columns)], key, fingerprints(F.col(text), shingle, seed).alias("fp"))
-    # texts go through one exchange only: what is stored are ids, and the rows are keyed alike for both steps below
-    ids = df.select(F.col(doc_id).alias("doc_id"), more_fingerprints(F.col(text), shingle, kinds, seed).alias("all"))
-    ids = stored(ids.select("doc_id", F.col("all")[0].alias("fp"), F.slice("all", 2, max(1, kinds - 1)).alias("others")).filter("fp <> 0"), "ids")
-    groups = fingerprint_groups(ids, radius, block, kinds - 1)
-    best = groups.groupBy("root").agg(F.min(F.struct(F.col("min_id").isNull().alias("no_id"), F.col("min_id").alias("id"), F.col("fp").alias("fp"))).alias("b"))
-    best = best.select(F.col("b.fp").alias("_fp"), F.coalesce(F.concat(F.lit("="), F.col("b.id").cast("string")), F.lit("")).alias("_key"))
-    single = named.filter("fp <> 0").dropDuplicates(["fp", "key"])
-    out = single.join(best, (F.col("fp") == F.col("_fp")) & (F.col("key") == F.col("_key")), "left_semi").unionByName(named.filter("fp = 0"))
+    name = F.coalesce(F.concat(F.lit("="), F.col(doc_id).cast("string")), F.lit("")).alias("id")
+    # texts go through one exchange only: what is stored are ids and fingerprints
+    ids = stored(df.select(F.col(doc_id).alias("doc_id"), sketches(F.col(text), print_shingle, kinds, seed).alias("s")).select("doc_id", "s.key", "s.fps"), "ids")
+    nodes = stored(ids.groupBy("key").agg(F.min("doc_id").alias("min_id"), F.min("fps").alias("fps")), "nodes")
+    texts = df.select(text_keys(F.col(text)).alias("key"), F.col(text).alias("text"))
+    roots = near_groups(texts, nodes, shingle=shingle, radius=radius, kinds=kinds, similarity=similarity, seed=seed, block=block, broadcast_rows=broadcast_rows)
+    groups = stored(nodes.select("key", "min_id").join(roots, F.col("key") == F.col("node"), "left").select("key", "min_id", F.coalesce("root", "key").alias("root")), "groups")
+    best = groups.groupBy("root").agg(F.min(F.struct(F.col("min_id").isNull().alias("no_id"), F.col("min_id").alias("id"), F.col("key").alias("key"))).alias("b"))
+    best = best.select(F.col("b.key").alias("_key"), F.coalesce(F.concat(F.lit("="), F.col("b.id").cast("string")), F.lit("")).alias("_id"))
+    single = df.select(*[F.col(c).alias(f"_in_{i}") for i, c in enumerate(df.columns)], name, text_keys(F.col(text)).alias("key")).dropDuplicates(["key", "id"])
+    out = single.join(best, (F.col("key") == F.col("_key")) & (F.col("id") == F.col("_id")), "left_semi")
     return out.select(*[F.col(f"_in_{i}").alias(c) for i, c in enumerate(df.columns)])
