@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import UPPER, stored
@@ -34,8 +34,8 @@ def matching_rule(host: Column, path: Column, rules: Sequence[Rule]) -> Column:
     return out
 
 
-def template_of(path: Column, depth: int) -> Column:
-    """The first depth segments of a path with those that vary by form replaced; a longer path ends in **."""
+def shape_of(path: Column) -> Column:
+    """All segments of a path, those that vary by form replaced by * and their file extension."""
     parts = F.array_remove(F.split(path, "/"), "")
 
     def shape(s: Column) -> Column:
@@ -43,36 +43,72 @@ def template_of(path: Column, depth: int) -> Column:
         stem = F.substr(s, F.lit(1), F.char_length(s) - F.char_length(ext))
         return F.when(stem.rlike(NUMBER) | stem.rlike(HEX) | stem.rlike(DATE), F.concat(F.lit("*"), ext)).otherwise(s)
 
-    short = F.transform(F.slice(parts, 1, depth), shape)
-    return F.when(F.size(parts) > depth, F.concat(short, F.array(F.lit("**")))).otherwise(short)
+    return F.transform(parts, shape)
 
 
-def template_tree(leaves: DataFrame, *, depth: int = 4, distinct_share: float = 0.5, least_children: int = 8, alike: float = 1.96) -> DataFrame:
-    """Grow each host's tree over leaves (host, shape: array of segments, n, labelled, blocked) and return (host, shape, nodes): the template of each leaf at each depth, root first.
+def unlike(k1: Column, n1: Column, k2: Column, n2: Column, errors: float) -> Column:
+    """Whether two shares, k1 of n1 and k2 of n2 (halves added), lie more than errors standard errors apart; false where one has no cases."""
+    p, q = (k1 + 0.5) / (n1 + 1), (k2 + 0.5) / (n2 + 1)
+    apart = F.abs(p - q) > errors * F.sqrt(p * (1 - p) / F.greatest(n1, F.lit(1)) + q * (1 - q) / F.greatest(n2, F.lit(1)))
+    return F.when((n1 > 0) & (n2 > 0), apart).otherwise(F.lit(False))
 
-    Depth by depth, below a node: when at least least_children different segments make up distinct_share of the node's URLs or more, they vary
-    and all become *. Otherwise siblings whose labelled purity differs from that of all siblings together by fewer than alike
-    standard errors, with fewer than least_children URLs of their own, are merged into one branch, +; the others, and those without labels, stay.
-    Each level is one aggregation over distinct leaves with counts, so a hot host's many URLs weigh no more than its distinct shapes.
+
+def named_branches(kids: DataFrame, effective: int, tail: int, errors: float) -> DataFrame:
+    """kids (host, at, seg, kn, kl, kb: URLs, labelled and blocked ones) with the name that each branch gets in its tree, and merged, the name it gets beside it when like siblings are one.
+
+    Segments vary at a node when two of its URLs, drawn at random, have the same one with a probability of 1/effective or less: a statistic that doesn't depend on how many URLs there are. They all become *, but for those whose blocked share is unlike that of their siblings.
+    Elsewhere siblings are compared in the order of their blocked shares: neighbours in that order that aren't unlike are one branch, whatever their size. Those with less than 1/tail of their node's URLs are one
+    branch together, if not unlike; so no more than tail are compared one by one. Branches without labels stay by themselves.
     """
-    now = leaves.withColumn("nodes", F.array(F.lit("")))
-    for d in range(1, depth + 2):
-        at = F.element_at("nodes", -1)
-        seg = F.try_element_at("shape", F.lit(d))
-        now = now.withColumns({"_at": at, "_seg": seg})
-        kids = now.filter("_seg is not null").groupBy("host", "_at", "_seg").agg(F.sum("n").alias("kn"), F.sum("labelled").alias("kl"), F.sum("blocked").alias("kb"))
-        whole = kids.groupBy(F.col("host").alias("_h"), F.col("_at").alias("_a")).agg(F.count("*").alias("c"), F.sum("kn").alias("t"), F.sum("kl").alias("l"), F.sum("kb").alias("b"))
-        rate = F.when(F.col("l") > 0, F.col("b") / F.greatest(F.col("l"), F.lit(1)))
-        own = F.when(F.col("kl") > 0, F.col("kb") / F.greatest(F.col("kl"), F.lit(1)))
-        err = F.sqrt(rate * (1 - rate) / F.greatest(F.col("kl"), F.lit(1)))
-        same = F.coalesce(F.abs(own - rate) <= alike * err, F.lit(False))
-        form = F.col("_seg").startswith("*")
-        name = F.when(form, F.col("_seg")).when((F.col("c") >= least_children) & (F.col("c") >= distinct_share * F.col("t")), "*").when((F.col("c") > 1) & same & (F.col("kn") < least_children), "+").otherwise(F.col("_seg"))
-        kids = kids.join(whole, (F.col("host") == F.col("_h")) & (F.col("_at") == F.col("_a"))).select(F.col("host").alias("_h"), F.col("_at").alias("_a"), F.col("_seg").alias("_s"), name.alias("_name"))
-        joined = now.join(kids, (F.col("host") == F.col("_h")) & (F.col("_at") == F.col("_a")) & (F.col("_seg") == F.col("_s")), "left")
-        grown = F.when(F.col("_name").isNull(), F.col("nodes")).otherwise(F.array_append("nodes", F.concat(F.col("_at"), F.lit("/"), F.col("_name"))))
-        now = stored(joined.select("host", "shape", "n", "labelled", "blocked", grown.alias("nodes")), "tree")
-    return now
+    free = kids.filter(~F.col("seg").startswith("*"))
+    n = F.col("kn").cast("double")
+    whole = free.groupBy(F.col("host").alias("_h"), F.col("at").alias("_a")).agg(F.sum("kn").alias("t"), F.sum(n * (n - 1)).alias("same"), F.sum("kl").alias("l"), F.sum("kb").alias("b"))
+    # stored, so that the join with a node of very many branches can be split
+    whole = stored(whole, "nodes")
+    met = kids.join(whole, (F.col("host") == F.col("_h")) & (F.col("at") == F.col("_a")), "left")
+    varies = (F.col("t") >= effective) & (F.col("same") * effective <= F.col("t").cast("double") * (F.col("t") - 1))
+    odd = unlike(F.col("kb"), F.col("kl"), F.col("b") - F.col("kb"), F.col("l") - F.col("kl"), errors)
+    kind = F.when(F.col("seg").startswith("*"), "form").when(varies, F.when(odd, "own").otherwise("any")).when(F.col("kl") == 0, "own").when(F.col("kn") * tail < F.col("t"), F.when(odd, "own").otherwise("tail")).otherwise("big")
+    met = met.select("host", "at", "seg", "kl", "kb", kind.alias("kind"))
+    line = Window.partitionBy("host", "at").orderBy(F.col("kb") / F.col("kl"), "seg")
+    step = unlike(F.col("kb"), F.col("kl"), F.lag("kb").over(line), F.lag("kl").over(line), errors)
+    big = met.filter("kind = 'big'").withColumn("new", F.coalesce(step, F.lit(False)).cast("int"))
+    big = big.withColumn("group", F.sum("new").over(line.rowsBetween(Window.unboundedPreceding, 0)))
+    alone = F.count("*").over(Window.partitionBy("host", "at", "group")) == 1
+    big = big.select("host", "at", "seg", F.col("seg").alias("name"), F.when(alone, F.col("seg")).otherwise(F.concat(F.lit("+"), F.col("group").cast("string"))).alias("merged"))
+    rest = met.filter("kind <> 'big'")
+    name = F.when(F.col("kind") == "any", "*").otherwise(F.col("seg"))
+    merged = F.when(F.col("kind") == "tail", "+").otherwise(name)
+    return rest.select("host", "at", "seg", name.alias("name"), merged.alias("merged")).unionByName(big)
+
+
+def template_tree(leaves: DataFrame, *, effective: int = 8, tail: int = 64, errors: float = 1.96) -> DataFrame:
+    """Grow each host's tree over leaves (host, shape: array of segments, n, labelled, blocked) and return (host, shape, names, merged, n, labelled, blocked): each leaf's path down its tree, with like siblings apart and as one.
+
+    It goes level by level, to the end of all paths, as long as a node has effective URLs or more with segments that don't vary by form alone; what lies below smaller nodes stays as it is. Each level is an aggregation over distinct leaves
+    with counts, so a hot host's many URLs weigh no more than its distinct shapes.
+    """
+    now = leaves.select("host", "shape", "n", "labelled", "blocked", F.array().cast("array<string>").alias("names"), F.array().cast("array<string>").alias("merged"), F.lit(0).cast("long").alias("at"))
+    depth = 0
+    while True:
+        depth += 1
+        seg = F.try_element_at("shape", F.lit(depth))
+        kids = now.withColumn("seg", seg).filter("seg is not null").groupBy("host", "at", "seg").agg(F.sum("n").alias("kn"), F.sum("labelled").alias("kl"), F.sum("blocked").alias("kb"))
+        kids = stored(kids, "branches")
+        sizes = kids.filter(~F.col("seg").startswith("*")).groupBy("host", "at").agg(F.sum("kn").alias("t"))
+        if sizes.filter(F.col("t") >= effective).isEmpty():
+            done = now.select("host", "shape", "n", "labelled", "blocked", *[F.concat(c, F.slice("shape", depth, F.greatest(F.size("shape") - depth + 1, F.lit(0)))).alias(c) for c in ("names", "merged")])
+            return stored(done, "tree")
+        named = stored(named_branches(kids, effective, tail, errors), "named").select(F.col("host").alias("_h"), F.col("at").alias("_a"), F.col("seg").alias("_s"), "name", F.col("merged").alias("_m"))
+        joined = now.withColumn("seg", seg).join(named, (F.col("host") == F.col("_h")) & (F.col("at") == F.col("_a")) & (F.col("seg") == F.col("_s")), "left")
+        grown = lambda c, x: F.when(F.col("name").isNull(), F.col(c)).otherwise(F.array_append(c, F.col(x))).alias(c)
+        now = stored(joined.select("host", "shape", "n", "labelled", "blocked", grown("names", "name"), grown("merged", "_m"), F.when(F.col("name").isNull(), F.col("at")).otherwise(F.xxhash64("at", "name")).alias("at")), "tree")
+
+
+def prefixes(names: Column) -> Column:
+    """Hashes of the beginnings of a path of names, the shortest first; empty for an empty path."""
+    chain = F.aggregate(names, F.array(F.lit(0).cast("long")), lambda acc, x: F.array_append(acc, F.xxhash64(F.element_at(acc, -1), x)))
+    return F.slice(chain, 2, F.greatest(F.size(names), F.lit(0)))
 
 
 def filter_urls(
@@ -82,38 +118,45 @@ def filter_urls(
     url: str = "url",
     rules: Sequence[Rule] = (),
     label: str | None = None,
-    depth: int = 4,
     smooth: float = 5.0,
     reject_at: float = 0.8,
     salts: int = 16,
+    **tree: float,
 ) -> DataFrame:
     """page_id, host, path, rule, verdict, template and purity for each row of df.
 
-    The longest fitting rule decides. Where none fits, the URL's template does: it is blocked when it has labels and its smoothed blocked share is
-    reject_at or more. Labels are the verdicts of the rules, or for rows with one the value of column label (allow or block). Down a host's
-    tree, the share of a node is (blocked + smooth * parent's share) / (labelled + smooth); the root's parent is the share of all labelled URLs,
-    and 0 without any label.
+    The longest fitting rule decides. Where none fits, the URL's template does: it is blocked when its smoothed blocked share is
+    reject_at or more. Labels are the verdicts of the rules, or for rows with one the value of column label (allow or block).
+
+    The trees of template_tree are per host; above them stands one tree of all hosts' templates with like siblings apart. Down that tree the share of a node is (blocked + smooth * share of the node above) / (labelled + smooth), from the share of all labelled URLs,
+    or 0 without any label. A host's template has the share (blocked + smooth * share of the same template of all hosts) / (labelled + smooth). So templates without labels of their own are judged by those of other hosts.
 
     Null URLs and those without :// have empty host and path and are judged like any other; repeated rows come out repeated; null labels and ids
-    are no matter; an empty table gives no rows. Other columns of df are ignored. Rows meet their templates by salted keys: a hot host or template is dealt over salts
+    are no matter; an empty table gives no rows. Other columns of df are ignored. Paths are read to their end, however long. Rows meet their templates by salted keys: a hot host or template is dealt over salts
     partitions.
     """
     u = F.col(url)
     rows = df.select(F.col(page_id).alias("page_id"), host_of(u).alias("host"), path_of(u).alias("path"), (F.col(label) if label else F.lit(None)).cast("string").alias("_label"))
     rows = rows.withColumn("_m", matching_rule(F.col("host"), F.col("path"), rules)).withColumn("_label", F.coalesce("_label", "_m.verdict"))
-    rows = rows.select("page_id", "host", "path", "_label", F.col("_m.rule").alias("rule"), F.col("_m.verdict").alias("ruled"), template_of(F.col("path"), depth).alias("shape"))
+    rows = rows.select("page_id", "host", "path", "_label", F.col("_m.rule").alias("rule"), F.col("_m.verdict").alias("ruled"), shape_of(F.col("path")).alias("shape"))
     rows = stored(rows, "urls")
     leaves = rows.groupBy("host", "shape").agg(F.count("*").alias("n"), F.count("_label").alias("labelled"), F.count_if(F.col("_label") == "block").alias("blocked"))
-    tree = template_tree(stored(leaves, "leaves"), depth=depth)
-    nodes = tree.select("host", "labelled", "blocked", F.explode("nodes").alias("node")).groupBy("host", "node").agg(F.sum("labelled").alias("l"), F.sum("blocked").alias("b"))
-    total = tree.agg(F.sum("labelled"), F.sum("blocked")).head()
+    leaves = template_tree(stored(leaves, "leaves"), **tree)
+    total = leaves.agg(F.sum("labelled"), F.sum("blocked")).head()
     prior = total[1] / total[0] if total[0] else 0.0
-    # a leaf's path down the tree, root first, with the counts of each node on it
-    steps = tree.select("host", "shape", F.posexplode("nodes").alias("i", "node")).join(nodes, ["host", "node"])
-    folded = steps.groupBy("host", "shape").agg(F.sort_array(F.collect_list(F.struct("i", "l", "b"))).alias("s"), F.max(F.struct("i", "node", "l")).alias("leaf"))
-    purity = F.aggregate("s", F.lit(float(prior)), lambda p, x: (x["b"] + smooth * p) / (x["l"] + smooth))
-    judged = folded.select(F.col("host").alias("_h"), F.col("shape").alias("_s"), F.col("leaf.node").alias("template"), F.col("leaf.l").alias("_own"), purity.alias("purity"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"))
+    every = stored(leaves.groupBy("names").agg(F.sum("labelled").alias("labelled"), F.sum("blocked").alias("blocked")), "templates")
+    steps = every.select("names", "labelled", "blocked", F.posexplode(prefixes(F.col("names"))).alias("i", "node"))
+    nodes = stored(steps.groupBy("node").agg(F.sum("labelled").alias("l"), F.sum("blocked").alias("b")), "shares")
+    folded = steps.select("names", "i", "node").join(nodes, "node").groupBy("names").agg(F.sort_array(F.collect_list(F.struct("i", "l", "b"))).alias("s"))
+    share = F.aggregate("s", F.lit(float(prior)), lambda p, x: (x["b"] + smooth * p) / (x["l"] + smooth))
+    above = stored(folded.select(F.col("names").alias("_n"), share.alias("share")), "above")
+    own = stored(leaves.groupBy(F.col("host").alias("_h"), F.col("merged").alias("_m")).agg(F.sum("labelled").alias("l"), F.sum("blocked").alias("b")), "own")
+    judged = leaves.select("host", "shape", "names", "merged").join(above, F.col("names") == F.col("_n"), "left").join(own, (F.col("host") == F.col("_h")) & (F.col("merged") == F.col("_m")))
+    purity = (F.col("b") + smooth * F.coalesce("share", F.lit(float(prior)))) / (F.col("l") + smooth)
+    template = F.concat(F.lit("/"), F.array_join("merged", "/"))
+    judged = stored(judged.select(F.col("host").alias("_h"), F.col("shape").alias("_s"), template.alias("template"), purity.alias("purity")), "judged")
+    judged = judged.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     salt = F.pmod(F.xxhash64("page_id", "path"), F.lit(salts)).cast("int")
     out = rows.withColumn("salt", salt).join(judged, (F.col("host") == F.col("_h")) & (F.col("shape") == F.col("_s")) & (F.col("salt") == F.col("_salt")), "left")
-    verdict = F.coalesce("ruled", F.when((F.col("purity") >= reject_at) & (F.col("_own") > 0), "block").otherwise("allow"))
+    verdict = F.coalesce("ruled", F.when(F.col("purity") >= reject_at, "block").otherwise("allow"))
     return out.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "template", "purity")
