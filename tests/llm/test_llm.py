@@ -216,14 +216,104 @@ def test_url_rules(spark):
         assert by[i].verdict == rule[1] if rule else by[i].verdict in ("allow", "block")
 
 
+def plain_unlike(k1, n1, k2, n2, errors=1.96):
+    if not n1 or not n2:
+        return False
+    p, q = (k1 + 0.5) / (n1 + 1), (k2 + 0.5) / (n2 + 1)
+    return abs(p - q) > errors * math.sqrt(p * (1 - p) / n1 + q * (1 - q) / n2)
+
+
+def plain_shape(path):
+    out = []
+    for s in (x for x in path.split("/") if x):
+        ext = (re.search(r"(\.[A-Za-z]{1,5})$", s) or [""])[0]
+        stem = s[: len(s) - len(ext)]
+        form = re.search(r"^[0-9]+$", stem) or re.search(r"^(?=.*[0-9])[0-9a-fA-F]{8,}$|^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$", stem) or re.search(r"^[0-9]{4}-[0-9]{2}(-[0-9]{2})?$", stem)
+        out.append("*" + ext if form else s)
+    return tuple(out)
+
+
+def plain_purity(rows, smooth=5.0, effective=8, tail=64):
+    """Template and smoothed blocked share of each (host, path, label), tree by tree in plain loops."""
+    leaf = [(h, plain_shape(p), (), (), m) for h, p, m in rows]
+    depth = 0
+    while True:
+        nodes = {}
+        for h, shape, names, _, m in leaf:
+            if depth < len(shape) and len(names) == depth:
+                k = nodes.setdefault((h, names), {}).setdefault(shape[depth], [0, 0, 0])
+                k[0], k[1], k[2] = k[0] + 1, k[1] + (m is not None), k[2] + (m == "block")
+        free = {at: {x: k for x, k in kids.items() if x[0] != "*"} for at, kids in nodes.items()}
+        if not any(sum(k[0] for k in kids.values()) >= effective for kids in free.values()):
+            break
+        named = {}
+        for at, kids in nodes.items():
+            t, l, b = (sum(k[i] for k in free[at].values()) for i in range(3))
+            varies = t >= effective and sum(k[0] * (k[0] - 1) for k in free[at].values()) * effective <= t * (t - 1)
+            big = []
+            for x, (n, kl, kb) in kids.items():
+                odd = x[0] != "*" and plain_unlike(kb, kl, b - kb, l - kl)
+                if x[0] == "*" or (varies and odd) or (not varies and (not kl or (n * tail < t and odd))):
+                    named[at, x] = (x, x)
+                elif varies:
+                    named[at, x] = ("*", "*")
+                elif n * tail < t:
+                    named[at, x] = (x, "+")
+                else:
+                    big.append((kb / kl, x, kb, kl))
+            group, members = -1, {}
+            for i, (_, x, kb, kl) in enumerate(sorted(big)):
+                before = sorted(big)[i - 1]
+                group += i == 0 or plain_unlike(kb, kl, before[2], before[3])
+                members.setdefault(group, []).append(x)
+            for g, xs in members.items():
+                for x in xs:
+                    named[at, x] = (x, x if len(xs) == 1 else f"+{g}")
+        leaf = [(h, s, (*n, named[(h, n), s[depth]][0]), (*g, named[(h, n), s[depth]][1]), m) if depth < len(s) and len(n) == depth else (h, s, n, g, m) for h, s, n, g, m in leaf]
+        depth += 1
+    leaf = [(h, s, n + s[depth:], g + s[depth:], m) for h, s, n, g, m in leaf]
+    labels = [m for *_, m in leaf if m]
+    top = sum(m == "block" for m in labels) / len(labels) if labels else 0.0
+    out = []
+    for h, _, names, merged, _ in leaf:
+        share = top
+        for d in range(1, len(names) + 1):
+            own = [m for _, _, n, _, m in leaf if m and n[:d] == names[:d]]
+            share = (sum(m == "block" for m in own) + smooth * share) / (len(own) + smooth)
+        own = [m for h2, _, _, g, m in leaf if m and h2 == h and g == merged]
+        out.append(("/" + "/".join(merged), (sum(m == "block" for m in own) + smooth * share) / (len(own) + smooth)))
+    return out
+
+
+def test_url_trees_against_plain(spark):
+    rng = random.Random(8)
+    rows = []
+    for host in ("a.org", "b.org", "c.org", "hot.org"):
+        for _ in range(400 if host == "hot.org" else 60):
+            top = rng.choice(["spam", "news", "blog", "user"])
+            name = rng.choice([f"n{rng.randrange(40)}", "n1"])
+            path = rng.choice([f"/{top}/{rng.randrange(99)}", f"/{top}/{name}/{rng.randrange(9)}.html", f"/{top}/{name}/x/deep/2024-01-0{rng.randrange(1, 9)}/end", f"/{top}", "/", f"/rare{rng.randrange(200)}"])
+            bad = {"spam": 0.95, "news": 0.05, "blog": 0.07, "user": 0.5}[top]
+            label = None if host == "c.org" or rng.random() < 0.5 else "block" if rng.random() < bad else "allow"
+            rows.append((host, path, label))
+    rows += [("deep.org", "/".join(["", *[f"s{i}" for i in range(300)]]), "allow"), ("deep.org", "", None), ("", "", None)]
+    df = spark.createDataFrame([(i, f"http://{h}{p}?q" if h else None, m, "clash", "clash") for i, (h, p, m) in enumerate(rows)], "page_id long, url string, mark string, shape string, _h string")
+    got = {r.page_id: r for r in urls.filter_urls(df, label="mark").collect()}
+    assert len(got) == len(rows)
+    for i, (template, purity) in enumerate(plain_purity(rows)):
+        assert (got[i].template, got[i].verdict) == (template, "block" if purity >= 0.8 else "allow") and abs(got[i].purity - purity) < 1e-9
+    unlabelled = [got[i].verdict for i, r in enumerate(rows) if r[0] == "c.org"]
+    assert {"allow", "block"} == set(unlabelled)
+
+
 def test_url_templates(spark):
     rows = [(f"http://h.org/{s}/{i}", "block" if s == "spam" else "allow") for i in range(20) for s in ("spam", "news")] + [(f"http://h.org/{s}/9{i}", None) for i in range(5) for s in ("spam", "news", "new")]
     df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "page_id long, url string, mark string")
     got = {r.path: (r.verdict, r.template) for r in urls.filter_urls(df, label="mark").collect()}
     assert got["/spam/91"][0] == "block" and got["/news/91"][0] == "allow" and got["/new/91"][0] == "allow"
     assert got["/spam/91"][1].endswith("/*")
-    slugs = spark.createDataFrame([(i, f"http://s.org/a/slug{chr(97 + i)}q") for i in range(20)], "page_id long, url string")
-    assert {r.template for r in urls.filter_urls(slugs).collect()} == {"/a/*"}
+    slugs = spark.createDataFrame([(i * 10 + j, f"http://s.org/a/slug{chr(97 + i)}q/{j}") for i in range(20) for j in range(10)], "page_id long, url string")
+    assert {r.template for r in urls.filter_urls(slugs).collect()} == {"/a/*/*"}
     assert urls.filter_urls(df.filter("false"), rules=queries.RULES).collect() == []
 
 
@@ -300,6 +390,27 @@ def test_toxicity(spark):
     assert held_out_accuracy(out, labels, 3) > 0.9
     assert {r.score for r in toxicity.toxicity_scores(docs, labels.filter("false"), label="quality").collect()} == {0.0}
     assert toxicity.toxicity_scores(docs.filter("false"), labels, label="quality").collect() == []
+    with pytest.raises(ValueError, match="overwritten"):
+        toxicity.toxicity_scores(docs.withColumn("score", F.lit(1)), labels, label="quality", keep=["score"])
+    few = toxicity.toxicity_scores(docs, labels, label="quality", sample=40, sample_bytes=2000, keep=["doc_id"]).collect()
+    assert Counter(r.doc_id for r in few) == Counter(r.doc_id for r in docs.select("doc_id").collect())
+
+
+def test_toxicity_windows_against_plain(spark):
+    docs, labels = labelled(spark, ["hateful", "vilest", "slurword", "nastyish"])
+    rows = docs.join(labels.filter("quality is not null"), "doc_id").orderBy("doc_id").collect()
+    model = toxicity.fit_toxicity([(r.text or "").encode() for r in rows], [r.quality for r in rows])
+    texts = [(r.text or "").encode() for r in rows[:40]] + [b"", b"hateful", b"a " * 50_000 + b"vilest hateful"]
+    got = model.scorer()(texts)
+    for t, x in zip(texts, got, strict=True):
+        words = [w for w in re.split(rb"[\x00-\x2f\x3a-\x60\x7b-\x7f]+", t.lower()) if w]
+        d = []
+        for i in range(0, len(words), model.window):
+            w = b" " + b" ".join(words[i : i + model.window]) + b" "
+            d.append(len(toxicity._compressor(model.ordinary).compress(w)) - len(toxicity._compressor(model.toxic).compress(w)))
+        d.sort(reverse=True)
+        want = [min(np.mean(d), 4), min(d[0], 12), min(np.mean(d[:3]), 12), min(np.mean([v >= 3 for v in d]), 0.5), min(np.mean([v >= 5 for v in d]), 0.5), math.log1p(sum(v >= 4 for v in d)) - 0.5 * math.log1p(len(d)), math.log1p(len(d))] if d else [0] * 7
+        assert np.allclose(x, want)
 
 
 def test_token_counts(spark, docs):

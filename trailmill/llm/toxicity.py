@@ -12,8 +12,10 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from .calibration import isotonic
+from .common import discard, portions, stored
 
 _GAP = re.compile(rb"[\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 N_FEATURES = 7
@@ -33,7 +35,8 @@ def _segments(words: list[bytes]) -> set[bytes]:
 
 
 def _compressor(content: bytes) -> zstandard.ZstdCompressor:
-    params = zstandard.ZstdCompressionParameters(strategy=zstandard.STRATEGY_LAZY, min_match=4, hash_log=13, chain_log=13, window_log=15, search_log=6, target_length=0, write_content_size=False, write_dict_id=False, write_checksum=False)
+    reach = max(13, (len(content) - 1).bit_length())
+    params = zstandard.ZstdCompressionParameters(strategy=zstandard.STRATEGY_LAZY, min_match=4, hash_log=reach, chain_log=reach, window_log=reach + 2, search_log=6, target_length=0, write_content_size=False, write_dict_id=False, write_checksum=False)
     d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
     d.precompute_compress(compression_params=params)
     return zstandard.ZstdCompressor(compression_params=params, dict_data=d)
@@ -89,8 +92,10 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float =
     return w
 
 
-def fit_toxicity(texts: list[bytes], labels: list[int], *, weights: tuple[float, float] = (1.0, 1.0), window: int = 12, dictionary: int = 6_000, toxic_share: int = 4_000, contrast: float = 7.0, seed: int = 5) -> ToxicityModel:
-    """Train the dictionaries on every other text and calibrate on the rest.
+def fit_toxicity(texts: list[bytes], labels: list[int], *, weights: tuple[float, float] = (1.0, 1.0), window: int = 12, dictionary: int = 6_000, toxic_share: int = 64_000, contrast: float = 5.0, seed: int = 5) -> ToxicityModel:
+    """Learn the dictionaries from every other text and calibrate on the rest.
+
+    zstandard's own trainer fills a dictionary with what is frequent, which in toxic texts is mostly ordinary; what it makes of toxic windows tells held-out texts apart much worse, so both dictionaries are raw content chosen by contrast.
 
     Both dictionaries hold the same ordinary background of dictionary bytes, free of the segments below where possible, so that ordinary text gains equally by both. The toxic
     one also holds the segments of toxic texts that set them apart: words and beginnings of words whose document frequency among toxic texts lies contrast
@@ -161,27 +166,37 @@ def fit_toxicity(texts: list[bytes], labels: list[int], *, weights: tuple[float,
     return flat
 
 
-def toxicity_scores(df: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label_id: str = "doc_id", label: str = "toxic", learn: Column | None = None, keep: list[str] | tuple[str, ...] = (), sample: int = 3000, **fit: int) -> DataFrame:
+def toxicity_scores(df: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label_id: str = "doc_id", label: str = "toxic", learn: Column | None = None, keep: list[str] | tuple[str, ...] = (), sample: int = 3000, sample_bytes: int = 128 << 20, **fit: int) -> DataFrame:
     """keep, score (0 to 1, higher: label 1 likelier) and predicted (1 if score >= 0.5) for each row of df.
 
     The dictionaries and the calibration are learned from a bounded sample: at most sample labelled ids of each class, the first by a hash of the id, with
-    their whole texts; learn, over doc_id, says which ids may be among them. Every whole text is scored, window by window. Null labels and ids are not learned from.
-    Null and empty texts have no windows and get the score of such; rows come out as they are, repeated ones too.
+    their whole texts, and of these, in the same order, as many as have sample_bytes together; learn, over doc_id, says which ids may be among them. Every whole text of df, however long, is scored, window by window. Null labels and ids are not learned from; an id with
+    both labels counts as label 1, one with several texts gives the smallest. Null and empty texts have no windows and get the score of such; rows come out as they are, repeated ones too. keep may hold any columns but score and predicted (ValueError).
     """
     keep = list(keep)
+    if clash := {"score", "predicted"} & set(keep):
+        raise ValueError(f"columns {sorted(clash)} would be overwritten")
     spark = df.sparkSession
     known = labels.select(F.col(label_id).alias("doc_id"), F.col(label).cast("int").alias("y")).filter("doc_id is not null and y in (0, 1)")
     known = known.filter(F.lit(True) if learn is None else F.coalesce(learn, F.lit(False))).groupBy("doc_id").agg(F.max("y").alias("y"))
     order = F.xxhash64(F.lit(9), F.col("doc_id").cast("string"))
     totals = {int(r[0]): int(r[1]) for r in known.groupBy("y").count().collect()}
-    chosen = [r for c in (0, 1) for r in known.filter(F.col("y") == c).orderBy(order, "doc_id").limit(sample).collect()]
+    chosen = [(r.doc_id, r.y, 2 * i + c) for c in (0, 1) for i, r in enumerate(known.filter(F.col("y") == c).orderBy(order, "doc_id").limit(sample).collect())]
     if chosen:
-        small = spark.createDataFrame([(r[0], r[1]) for r in chosen], known.schema)
+        small = spark.createDataFrame(chosen, StructType([*known.schema.fields, StructField("place", IntegerType())]))
         got = df.select(F.col(doc_id).alias("_id"), F.col(text).cast("binary").alias("_text")).join(F.broadcast(small), F.col("_id") == F.col("doc_id"))
-        got = got.groupBy("doc_id", "y").agg(F.min("_text").alias("t")).orderBy("doc_id").toArrow()
-        y = got.column("y").to_pylist()
+        got = stored(got.groupBy("place", "y").agg(F.coalesce(F.min("_text"), F.lit(b"")).alias("t")), "sample")
+        within, held = [], 0
+        for r in sorted(got.select("place", F.octet_length("t").alias("n")).collect()):
+            held += r.n
+            if held > sample_bytes:
+                break
+            within.append((r.place,))
+        rows = got.join(F.broadcast(spark.createDataFrame(within, "place int")), "place").orderBy("place").toArrow() if within else got.limit(0).toArrow()
+        discard(got)
+        y = rows.column("y").to_pylist()
         stands = tuple(totals.get(c, 0) / max(1, y.count(c)) for c in (0, 1))
-        model = fit_toxicity([t or b"" for t in got.column("t").to_pylist()], y, **{"weights": stands} | fit)
+        model = fit_toxicity(rows.column("t").to_pylist(), y, **{"weights": stands} | fit)
     else:
         model = fit_toxicity([], [], **fit)
 
@@ -189,7 +204,8 @@ def toxicity_scores(df: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id",
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         features = model.scorer()
         for batch in batches:
-            yield pa.array(model.score(features([t or b"" for t in batch.to_pylist()])))
+            parts = [model.score(features([t or b"" for t in part])) for part in portions(batch)]
+            yield pa.array(np.concatenate(parts) if parts else np.zeros(0))
 
     out = df.select(*[F.col(c).alias(f"_keep_{i}") for i, c in enumerate(keep)], score(F.col(text).cast("binary")).alias("score"))
     return out.select(*[F.col(f"_keep_{i}").alias(c) for i, c in enumerate(keep)], "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
