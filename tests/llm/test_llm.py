@@ -627,6 +627,76 @@ def test_repeats_need_a_sequence(spark):
     assert 20 <= len(got[102].clean.split()) < 100
 
 
+def plain_chunks(text, mean=5, most=24):
+    """(first word, words) of each chunk, by a rolling hash computed anew at each word's end."""
+    w = text.encode().split()
+    line, out, start, pos = b" ".join(w), [], 0, 0
+    for i, x in enumerate(w):
+        pos += len(x) + (i > 0)
+        h = sum(int(substrings.GEAR[line[pos - 1 - k]]) << k for k in range(min(16, pos))) & 0xFFFFFFFF
+        if ((h >> 8) * 2654435761 & 0xFFFFFFFF) < (1 << 32) // mean or i == len(w) - 1 or i + 1 - start == most:
+            out.append((start, i + 1))
+            start = i + 1
+    return out
+
+
+def plain_repeats(rows, least=20):
+    """What repeats() returns, for rows whose ids differ."""
+    wins, seen = [], {}
+    for i, t in rows:
+        c = plain_chunks(t or "")
+        pick = {(a, next(e for _, e in c if e >= a + least)) for a, _ in c if c[-1][1] >= a + least}
+        pick |= {(max(a for a, _ in c if a <= e - least), e) for _, e in c if e >= least and e not in {y for _, y in pick}}
+        words = (t or "").split()
+        wins.append(sorted((a, e, tuple(tuple(words[x:y]) for x, y in c if a <= x and y <= e)) for a, e in pick))
+        for a, _, x in wins[-1]:
+            seen.setdefault(x, []).append((i, a))
+    out = {}
+    for (i, t), own in zip(rows, wins, strict=True):
+        spans, removed, sources = [], [], set()
+        for a, e, x in own:
+            if len(seen[x]) < 2:
+                continue
+            at = min(p for d, p in seen[x] if d == i)
+            first = min(d for d, _ in seen[x])
+            gone = first != i or a >= at + e - a
+            if gone and first != i:
+                sources.add(first)
+            for to in [spans] + [removed] * gone:
+                if to and a <= to[-1][1]:
+                    to[-1] = (to[-1][0], max(e, to[-1][1]))
+                else:
+                    to.append((a, e))
+        parts = re.findall(r"\S+\s*", t or "")
+        lead = re.match(r"\s*", t or "")[0]
+        clean = t if not removed else lead + "".join(p for k, p in enumerate(parts) if not any(a <= k < e for a, e in removed))
+        out[i] = (len((t or "").split()), bool(spans), spans, removed, sorted(sources), clean)
+    return out
+
+
+def test_repeats_against_plain(spark):
+    rng = random.Random(12)
+    fresh = lambda n: " ".join(f"u{rng.getrandbits(30)}" for _ in range(n))
+    passages = [fresh(rng.choice([15, 25, 60, 200])) for _ in range(8)]
+    rows = []
+    for i in range(60):
+        parts = [fresh(rng.randrange(40)) if rng.random() < 0.6 else rng.choice(passages) for _ in range(rng.randrange(7))]
+        rows.append((i * 3 % 61, "  \n".join(parts)))
+    rows += [(100, None), (101, " \t"), (102, rows[5][1]), (103, rows[5][1]), (104, "na " * 300), (105, " ".join(passages) * 40)]
+    df = spark.createDataFrame(rows, "doc_id int, text string")
+    got = {r.doc_id: (r.n_words, r.repeated, [tuple(x) for x in r.spans], [tuple(x) for x in r.removed], r.sources, r.clean) for r in substrings.repeats(df, keep=["doc_id"]).collect()}
+    assert got == plain_repeats(rows)
+    clash = df.withColumns({c: F.lit(c) for c in ("clean", "r", "found", "id", "sig", "score", "_keep_0", "n_chars")})
+    kept = substrings.drop_repeats(clash)
+    assert kept.columns == clash.columns and {r.doc_id: r.text for r in kept.collect()} == {i: x[-1] for i, x in got.items()}
+    with pytest.raises(ValueError, match="overwritten"):
+        substrings.repeats(clash, keep=["clean"])
+    with pytest.raises(ValueError, match="integer"):
+        substrings.repeats(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
+    unknown = spark.createDataFrame([(None, passages[2]), (None, passages[2]), (None, f"x y {passages[2]} z"), (9, passages[2])], "doc_id int, text string")
+    assert {(r.text, bool(r.removed), tuple(r.sources)) for r in substrings.repeats(unknown, keep=["text", "doc_id"]).collect() if r.doc_id is None} == {(passages[2], True, (9,)), (f"x y {passages[2]} z", True, (9,))}
+
+
 def test_share_targets():
     assert mixing.share_targets([100, 100, 100], [5, 2, 1], 450, 2) == [200.0, pytest.approx(500 / 3), pytest.approx(250 / 3)]
     assert mixing.share_targets([0, 10], [5, 2], 15, 2) == [0.0, 15.0]
@@ -682,14 +752,39 @@ def test_queries_run(spark, name):
 
 
 def test_pipeline(spark):
+    """Stages by what they are documented to do, each on what its predecessor kept: near copies, repeats and benchmark passages against plain versions."""
     import corpus_pipeline
 
-    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
-    names = docs.columns
-    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
-        out = queries.common.stored(stage(spark, docs, "/root/testdata/sf0.001"), "test")
-        assert 0 < out.count() <= docs.count()
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    names, items = docs.columns, [tuple(r) for r in spark.read.parquet(f"{sf}/benchmark.parquet").select("item_id", "text").collect()]
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        out = queries.common.stored(stage(spark, docs, sf), "test")
+        before, after = ({r.doc_id: r.text for r in d.collect()} for d in (docs, out))
+        assert 0 < out.count() <= docs.count() and len(before) == docs.count()
         if k < len(corpus_pipeline.STAGES) - 1:
             assert out.columns == names and out.dtypes == docs.dtypes
+        if name == "near_dedup":
+            ids = sorted(before)
+            root = plain_near([before[i] for i in ids])
+            assert sorted(after) == sorted({ids[r] for r in root.values()})
+        elif name == "substring_dedup":
+            assert after == {i: x[-1] for i, x in plain_repeats(list(before.items())).items()}
+        elif name == "decontamination":
+            hit = {r[0]: (r[1], r[2]) for r in plain_contamination(list(before.items()), items)}
+            assert set(after) == {i for i, (n, h) in hit.items() if h <= 0.5 * n}
+            assert all((after[i] == before[i]) == (hit[i][1] == 0) for i in after)
         docs = out
-    assert Counter(map(tuple, corpus_pipeline.run(spark, "/root/testdata/sf0.001").collect())) == Counter(map(tuple, docs.collect()))
+    assert Counter(map(tuple, corpus_pipeline.run(spark, sf).collect())) == Counter(map(tuple, docs.collect()))
+
+
+def test_pipeline_stages_with_clashing_names(spark):
+    import corpus_pipeline
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").withColumns({c: F.lit(c) for c in ("score", "predicted", "clean", "removed", "key", "fps", "stats", "label", "_keep_0", "_in_0", "node", "spans", "w", "_text")})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, sf)
+        assert out.columns == docs.columns and out.filter("score <> 'score' or clean <> 'clean' or _text <> '_text'").count() == 0, name
+        empty = stage(spark, docs.filter("false"), sf)
+        assert empty.columns == docs.columns and empty.collect() == []

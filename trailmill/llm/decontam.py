@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from .common import ascii_lower
 
@@ -93,7 +94,7 @@ def contamination(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id",
 def decontaminate(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", size: int = 10, drop_share: float = 0.5) -> DataFrame:
     """docs with the hit words cut out of their texts; documents of which more than drop_share of the words are hit go.
 
-    A cut takes the words of a span and what parts them. All other characters, rows and columns stay as they are (null texts too); n_chars, if there is such a column, is counted again for the
+    A cut takes the words of a span and what parts them. All other characters, rows and columns stay as they are (null texts too); n_chars, if there is such a column of an integer type, is counted again for the
     texts that changed.
     """
     names = docs.columns
@@ -110,5 +111,5 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id",
     gone = F.aggregate(cut, F.lit(0), lambda n, s: n + s["b"] - s["a"])
     clean = F.size("_cut") == 0
     kept = out.filter(F.when(clean, F.lit(True)).otherwise(gone <= drop_share * F.size(raw))).withColumn("_new", F.when(clean, F.col("_text")).otherwise(F.array_join(words, "")))
-    final = {text: F.col("_new"), "n_chars": F.when(clean, F.col(f"_in_{names.index('n_chars')}")).otherwise(F.char_length("_new")) if "n_chars" in names else None}
+    final = {text: F.col("_new"), "n_chars": F.when(clean, F.col(f"_in_{names.index('n_chars')}")).otherwise(F.char_length("_new")) if "n_chars" in names and isinstance(docs.schema["n_chars"].dataType, IntegralType) else None}
     return kept.select(*[(final[c] if final.get(c) is not None else F.col(f"_in_{i}")).cast(docs.schema[c].dataType).alias(c) for i, c in enumerate(names)])

@@ -107,7 +107,7 @@ def fit_quality(train: DataFrame, *, features: int = 192, width: float = 1.0, ri
     """Fit on all rows of train (stats, label 0 or 1, fold 0..FOLDS-1).
 
     The kernel is Gaussian with a width of width times the root of the number of statistics. Each partition sums its normal equations by fold; the
-    sums meet in 8 groups and then on the driver, so the driver gets a fixed size. A fold's rows are scored by the model
+    sums meet in groups of 16, level by level until 16 are left, and then on the driver, so neither a task nor the driver gets more with more rows. A fold's rows are scored by the model
     of the other folds, and these scores, counted in BINS bins, give the isotonic curve. Without rows all scores are one half.
     """
     sums = train.agg(F.count("*"), *[F.sum(F.col("stats")[i]) for i in range(N_STATS)], *[F.sum(F.col("stats")[i] * F.col("stats")[i]) for i in range(N_STATS)]).head()
@@ -134,15 +134,22 @@ def fit_quality(train: DataFrame, *, features: int = 192, width: float = 1.0, ri
                 f = phi[fold == k]
                 a[k, :, :d] += f.T @ f
                 a[k, :, d] += f.T @ y[fold == k]
-        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % 8], pa.int32()), pa.array([a.tobytes()], pa.binary())], names=["g", "a"])
+        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([a.tobytes()], pa.binary())], names=["g", "a"])
 
-    def merge(t: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(x) for x in t.column("a").to_pylist())
-        return pa.table({"a": pa.array([total.tobytes()], pa.binary())})
-
-    spread = train.select("stats", "label", "fold").repartition(max(1, -(-n // rows_a_sum)))
-    parts = spread.mapInArrow(partial, "g int, a binary").groupBy("g").applyInArrow(merge, "a binary").collect()
-    by_fold = sum(np.frombuffer(r[0]).reshape(FOLDS, d, d + 1) for r in parts)
+    def merge(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(FOLDS * d * (d + 1))
+        for b in batches:
+            for x in b.column("a"):
+                total += np.frombuffer(x.as_buffer())
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["g", "a"])
+
+    n_parts = max(1, -(-n // rows_a_sum))
+    parts = train.select("stats", "label", "fold").repartition(n_parts).mapInArrow(partial, "g int, a binary")
+    while n_parts > 16:
+        n_parts = -(-n_parts // 16)
+        parts = parts.select(F.floor(F.col("g") / 16).cast("int").alias("g"), "a").groupBy("g").applyInArrow(merge, "g int, a binary")
+    parts = [r.a for r in parts.collect()]
+    by_fold = sum(np.frombuffer(x).reshape(FOLDS, d, d + 1) for x in parts)
     penalty = ridge * n * np.eye(d) / d
     penalty[-1, -1] = 1e-9
 
@@ -170,9 +177,23 @@ def quality_scores(df: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id",
     Statistics of whole texts are stored, with keep beside them, and labels meet them by id. Without store_rows only ids and statistics are, for fitting, and statistics are
     computed again where rows are scored: the better way where keep holds the texts. learn, over doc_id, says which ids' labels may be learned from
     (all if not given). Labels that are null, and ids without a text, are not learned from; an id with several labels or texts gives each pair.
-    Null and empty texts have a score like any other; with no labels at all scores are 0.5. Rows come out as they are, repeated ones too.
+    Null and empty texts, and those of any length, have a score like any other; with no labels at all scores are 0.5. Rows come out as they are, repeated ones too. keep may hold any columns but score and predicted (ValueError).
     """
     keep = list(keep)
+    if clash := {"score", "predicted"} & set(keep):
+        raise ValueError(f"columns {sorted(clash)} would be overwritten")
+    out = _scored(df, labels, doc_id, text, label_id, label, learn, keep, store_rows, fit)
+    return out.select(*[F.col(f"_keep_{i}").alias(c) for i, c in enumerate(keep)], "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def drop_low_quality(df: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label_id: str = "doc_id", label: str = "quality", **fit: float) -> DataFrame:
+    """The rows of df that quality_scores() predicts as 1, learned from all labels; all columns stay, whatever their names."""
+    out = _scored(df, labels, doc_id, text, label_id, label, None, df.columns, False, fit).filter("score >= 0.5")
+    return out.select(*[F.col(f"_keep_{i}").alias(c) for i, c in enumerate(df.columns)])
+
+
+def _scored(df: DataFrame, labels: DataFrame, doc_id: str, text: str, label_id: str, label: str, learn: Column | None, keep: list[str], store_rows: bool, fit: dict) -> DataFrame:
+    """_keep_0, ... for the columns of keep, and score."""
     rows = df.select(*[F.col(c).alias(f"_keep_{i}") for i, c in enumerate(keep)], F.col(doc_id).alias("doc_id"), document_statistics(F.col(text)).alias("stats"))
     if store_rows:
         rows = stored(rows, "statistics")
@@ -186,5 +207,4 @@ def quality_scores(df: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id",
     def score(stats: pa.Array) -> pa.Array:
         return pa.array(model.score(_matrix(stats)))
 
-    out = rows.select(*[F.col(f"_keep_{i}").alias(c) for i, c in enumerate(keep)], score("stats").alias("score"))
-    return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    return rows.select(*[f"_keep_{i}" for i in range(len(keep))], score("stats").alias("score"))

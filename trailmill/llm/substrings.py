@@ -10,12 +10,15 @@ import pyarrow.compute  # noqa: F401
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
-from .common import stored
+from .common import portions, stored
 
 #: One random 32-bit number a byte; drawn by rule, not listed.
 GEAR = np.random.default_rng(20240229).integers(0, 1 << 32, 256, dtype=np.uint32)
-NO_ID = (1 << 63) - 1
+#: Rows without an id get one from here on, by a hash of their text.
+NO_ID = 1 << 62
+_AT_BITS = 36
 _LIST = "array<struct<at:bigint,digest:bigint,first:bigint>>"
 
 
@@ -95,85 +98,102 @@ def repeated_windows(rows: DataFrame, mean_words: int, max_words: int, min_words
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column("text").to_pylist()
-            for lo in range(0, len(texts), 500):
-                got = [windows(*chunks(t or b"", mean_words, max_words), min_words) for t in texts[lo : lo + 500]]
+            all_ids, all_sigs = (b.column(c).to_numpy(zero_copy_only=False) for c in ("id", "sig"))
+            lo = 0
+            for texts in portions(b.column("text"), 1 << 20):
+                got = [windows(*chunks(t or b"", mean_words, max_words), min_words) for t in texts]
                 n = np.array([len(g[0]) for g in got], np.int64)
-                ids = np.repeat(b.column("id").to_numpy(zero_copy_only=False)[lo : lo + 500], n)
-                sig = np.repeat(b.column("sig").to_numpy(zero_copy_only=False)[lo : lo + 500], n)
+                ids, sig = (np.repeat(x[lo : lo + len(texts)], n) for x in (all_ids, all_sigs))
+                lo += len(texts)
                 at = np.concatenate([g[0] for g in got]) << 8 | np.concatenate([g[1] for g in got])
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sig.astype(np.int64) << 40 | at), pa.array(np.concatenate([g[2] for g in got]))], names=["id", "at", "digest"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sig.astype(np.int64) << _AT_BITS | at), pa.array(np.concatenate([g[2] for g in got]))], names=["id", "at", "digest"])
 
     seen = rows.mapInArrow(cut, "id bigint, at bigint, digest bigint")
     shared = stored(seen.groupBy("digest").agg(F.count("*").alias("n"), F.min("id").alias("first")).filter("n > 1").select(F.col("digest").alias("_d"), "first"), "shared")
-    hits = seen.join(shared, F.col("digest") == F.col("_d")).select("id", F.shiftright("at", 40).cast("int").alias("sig"), F.col("at").bitwiseAND(F.lit((1 << 40) - 1)).alias("at"), "digest", "first")
-    return hits.groupBy("id", "sig").agg(F.collect_list(F.struct("at", "digest", "first")).alias("found"))
+    hits = seen.join(shared, F.col("digest") == F.col("_d")).select("id", F.shiftright("at", _AT_BITS).cast("int").alias("sig"), F.col("at").bitwiseAND(F.lit((1 << _AT_BITS) - 1)).alias("at"), "digest", "first")
+    return hits.groupBy("id", "sig").agg(F.collect_set(F.struct("at", "digest", "first")).alias("found"))
 
 
-def repeats(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", keep: list[str] | tuple[str, ...] = (), mean_words: int = 5, max_words: int = 24, min_words: int = 20) -> DataFrame:
-    """keep, then for each row of df: n_words, repeated (whether it holds a repeated passage), spans (word ranges a to b of its repeated passages), removed (of those that are cut out, because an earlier document or place has them), sources (ids of the earlier documents), and clean (the text without removed).
-
-    A passage is repeated when a sequence of chunks with min_words words or more occurs more than once as a whole; chunks that are common one by one are no
-    repeat. Of equal sequences the one in the document with the smallest id stays, there at its first place with all its words; the words of a removed range go with the white space
-    after them, all else stays. Null ids come after all others; rows that share an id are parts of one document and don't remove from each other;
-    repeated rows come out repeated; null and empty texts stay as they are. Columns outside keep are ignored.
-    """
+def _judged(df: DataFrame, doc_id: str, text: str, keep: list[str], mean_words: int, max_words: int, min_words: int) -> DataFrame:
+    """_keep_0, ... for the columns of keep, and r: struct of what repeats() returns beside them."""
     if min_words + max_words > 256:
         raise ValueError("min_words and max_words must not be over 256 together")
-    keep = list(keep)
-    rows = df.select(*[F.col(c).alias(f"_keep_{i}") for i, c in enumerate(keep)], F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("id"), F.pmod(F.xxhash64(F.lit(0), text), F.lit(1 << 22)).cast("int").alias("sig"), F.col(text).alias("text"))
+    if not isinstance(df.schema[doc_id].dataType, IntegralType):
+        raise ValueError(f"{doc_id} must be of an integer type")
+    own = F.coalesce(F.col(doc_id).cast("long"), F.xxhash64(text).bitwiseAND(F.lit(NO_ID - 1)) + NO_ID)
+    rows = df.select(*[F.col(c).alias(f"_keep_{i}") for i, c in enumerate(keep)], own.alias("id"), F.pmod(F.xxhash64(F.lit(0), text), F.lit(1 << 27)).cast("int").alias("sig"), F.col(text).alias("text"))
     found = repeated_windows(rows.select("id", "sig", F.col("text").cast("binary").alias("text")), mean_words, max_words, min_words)
     joined = rows.join(found.select(F.col("id").alias("_id"), F.col("sig").alias("_sig"), "found"), (F.col("id") == F.col("_id")) & (F.col("sig") == F.col("_sig")), "left")
 
     @F.arrow_udf("struct<n_words:bigint,repeated:boolean,spans:array<struct<a:int,b:int>>,removed:array<struct<a:int,b:int>>,sources:array<bigint>,clean:string>")
     def judge(ids: pa.Array, texts: pa.Array, found: pa.Array) -> pa.Array:
-        n_words, repeated, spans, removed, sources, clean = [], [], [], [], [], []
+        n_words, repeated, spans, removed, sources, done = [], [], [], [], [], []
         inner = found.flatten()
         at, digest, first = (inner.field(k).to_numpy(zero_copy_only=False) for k in ("at", "digest", "first"))
         size = np.array([x or 0 for x in pa.compute.list_value_length(found).to_pylist()], np.int64)
         stop = np.cumsum(size)
-        for i, (own, t) in enumerate(zip(ids.to_pylist(), texts.to_pylist(), strict=True)):
-            lo, hi = stop[i] - size[i], stop[i]
-            a, d, f = at[lo:hi], digest[lo:hi], first[lo:hi]
-            order = np.unique(a, return_index=True)[1]
-            a, d, f = a[order], d[order], f[order]
-            start, n = a >> 8, a & 255
-            _, at_first, which = np.unique(d, return_index=True, return_inverse=True)
-            gone = (f != own) | (start >= (start + n)[at_first][which])
-            all_, cut = runs(start, n, np.ones(len(a), bool)), runs(start, n, gone)
-            b = t or b""
-            n_words.append(len(b.split()))
-            repeated.append(bool(all_))
-            spans.append([{"a": x, "b": y} for x, y in all_])
-            removed.append([{"a": x, "b": y} for x, y in cut])
-            sources.append([x for x in np.unique(f[gone]).tolist() if x not in (own, NO_ID)])
-            if cut:
-                left, _ = word_spans(b)
-                bounds = np.append(left, len(b))
-                parts, end = [], 0
-                for x, y in cut:
-                    parts.append(b[end : bounds[x]])
-                    end = bounds[y]
-                clean.append(b"".join([*parts, b[end:]]).decode("utf-8", "replace"))
-            else:
-                clean.append(None if t is None else t.decode("utf-8", "replace"))
+        i = 0
+        for part in portions(texts):
+            clean = []
+            for t in part:
+                own, lo, hi = ids[i].as_py(), stop[i] - size[i], stop[i]
+                i += 1
+                a, d, f = at[lo:hi], digest[lo:hi], first[lo:hi]
+                order = np.argsort(a, kind="stable")
+                a, d, f = a[order], d[order], f[order]
+                start, n = a >> 8, a & 255
+                _, at_first, which = np.unique(d, return_index=True, return_inverse=True)
+                gone = (f != own) | (start >= (start + n)[at_first][which])
+                all_, cut = runs(start, n, np.ones(len(a), bool)), runs(start, n, gone)
+                b = t or b""
+                n_words.append(len(b.split()))
+                repeated.append(bool(all_))
+                spans.append([{"a": x, "b": y} for x, y in all_])
+                removed.append([{"a": x, "b": y} for x, y in cut])
+                sources.append([x for x in np.unique(f[gone]).tolist() if x != own and x < NO_ID])
+                if cut:
+                    left, _ = word_spans(b)
+                    bounds = np.append(left, len(b))
+                    pieces, end = [], 0
+                    for x, y in cut:
+                        pieces.append(b[end : bounds[x]])
+                        end = bounds[y]
+                    clean.append(b"".join([*pieces, b[end:]]))
+                else:
+                    clean.append(t)
+            done.append(pa.array(clean, pa.binary()).cast(pa.string()))
         span = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
         return pa.StructArray.from_arrays(
-            [pa.array(n_words, pa.int64()), pa.array(repeated), pa.array(spans, span), pa.array(removed, span), pa.array(sources, pa.list_(pa.int64())), pa.array(clean, pa.string())],
+            [pa.array(n_words, pa.int64()), pa.array(repeated, pa.bool_()), pa.array(spans, span), pa.array(removed, span), pa.array(sources, pa.list_(pa.int64())), pa.concat_arrays(done) if done else pa.array([], pa.string())],
             ["n_words", "repeated", "spans", "removed", "sources", "clean"],
         )
 
     empty = F.coalesce(F.col("found"), F.array().cast(_LIST))
-    out = joined.select(*[f"_keep_{i}" for i in range(len(keep))], judge("id", F.col("text").cast("binary"), empty).alias("r"))
-    return out.select(*[F.col(f"_keep_{i}").alias(c) for i, c in enumerate(keep)], "r.n_words", "r.repeated", "r.spans", "r.removed", "r.sources", "r.clean")
+    return joined.select(*[f"_keep_{i}" for i in range(len(keep))], judge("id", F.col("text").cast("binary"), empty).alias("r"))
+
+
+def repeats(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", keep: list[str] | tuple[str, ...] = (), mean_words: int = 5, max_words: int = 24, min_words: int = 20) -> DataFrame:
+    """keep, then for each row of df: n_words, repeated (whether it holds a repeated passage), spans (word ranges a to b of its repeated passages), removed (of those that are cut out, because an earlier document or place has them), sources (ids of the earlier documents), and clean (the text without removed).
+
+    A passage is repeated when a sequence of chunks with min_words words or more occurs more than once as a whole; chunks that are common one by one are no
+    repeat. Equal sequences are told by a 64-bit digest. Of equal sequences the one in the document with the smallest id stays, there at its first place with all its words; the words of a removed range go with the white space
+    after them, all else stays. Rows that share an id are parts of one document and don't remove from each other. Rows with a null id come after all others, in the order of a hash of their texts; equal ones among them are one document;
+    repeated rows come out repeated; null and empty texts stay as they are; texts may be of any length. Columns outside keep are ignored; keep may hold any but those returned (ValueError). Ids must be of an integer type (ValueError) and below 2^62.
+    """
+    keep, made = list(keep), ["n_words", "repeated", "spans", "removed", "sources", "clean"]
+    if clash := set(made) & set(keep):
+        raise ValueError(f"columns {sorted(clash)} would be overwritten")
+    out = _judged(df, doc_id, text, keep, mean_words, max_words, min_words)
+    return out.select(*[F.col(f"_keep_{i}").alias(c) for i, c in enumerate(keep)], *[f"r.{c}" for c in made])
 
 
-def drop_repeats(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **how: int) -> DataFrame:
-    """df with the repeated passages cut out of its texts; all rows and columns stay. n_chars, if there is such a column, is counted again for the texts that changed."""
+def drop_repeats(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", mean_words: int = 5, max_words: int = 24, min_words: int = 20) -> DataFrame:
+    """df with the repeated passages cut out of its texts; all rows and columns stay, whatever their names. n_chars, if there is such a column of an integer type, is counted again for the texts that changed."""
     names = df.columns
-    out = repeats(df, doc_id=doc_id, text=text, keep=names, **how)
-    changed = F.size("removed") > 0
-    cols = {text: F.col("clean")}
-    if "n_chars" in names:
-        cols["n_chars"] = F.when(changed, F.char_length("clean")).otherwise(F.col("n_chars"))
-    return out.select(*[cols.get(c, F.col(c)).cast(df.schema[c].dataType).alias(c) for c in names])
+    out = _judged(df, doc_id, text, names, mean_words, max_words, min_words)
+    cols = {c: F.col(f"_keep_{i}") for i, c in enumerate(names)}
+    changed = F.size("r.removed") > 0
+    if "n_chars" in names and isinstance(df.schema["n_chars"].dataType, IntegralType):
+        cols["n_chars"] = F.when(changed, F.char_length("r.clean")).otherwise(cols["n_chars"])
+    cols[text] = F.col("r.clean")
+    return out.select(*[cols[c].cast(df.schema[c].dataType).alias(c) for c in names])
