@@ -11,13 +11,12 @@ from trailmill.llm import common, decontam, mixing, quality, simhash, substrings
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier, learned from all labels, doesn't reject."""
-    scored = quality.quality_scores(docs, common.table(spark, sf_dir, "labels"), label="quality", keep=docs.columns, store_rows=False)
-    return scored.filter("predicted = 1").select(*docs.columns)
+    return quality.drop_low_quality(docs, common.table(spark, sf_dir, "labels"), label="quality")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: one of four fingerprints of 5-word shingles within 5 bits."""
-    return simhash.drop_near_copies(docs, shingle=5, radius=5, kinds=4)
+    """One document of each group of near copies: texts whose 5-word shingles have a Jaccard similarity of 0.8 or more."""
+    return simhash.drop_near_copies(docs, shingle=5, similarity=0.8)
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
