@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import re
 import shutil
 import tempfile
@@ -48,6 +49,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def forget(spark: SparkSession) -> None:
+    """Have the JVM collect what is no longer referred to, so that Spark removes the shuffle files of steps that have ended before the next ones write theirs."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def discard(df: DataFrame) -> None:
     """Delete what stored() wrote; only for tables that nothing reads any more."""
     path = getattr(df, "_stored_at", None)

@@ -13,7 +13,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import portions, stored
+from .common import forget, portions, stored
 
 #: The end of a text; it holds white space, so no word is like it. It is also what precedes the first word.
 END = b"\n"
@@ -226,9 +226,9 @@ def _cut(h: np.ndarray, parts: int) -> tuple[list[int], list[np.ndarray]]:
     return to, [order[edge[p] : edge[p + 1]] for p in to]
 
 
-def _joined(got: list[list[np.ndarray]], *kinds: type) -> list[np.ndarray]:
-    """Columns of unpacked blobs, the first of them taken back from differences."""
-    return [np.concatenate([np.zeros(0, k), *(np.cumsum(g[i], dtype=k) if i == 0 else g[i].astype(k) for g in got)]) for i, k in enumerate(kinds)]
+def _joined(got: list[list[np.ndarray]], *kinds: type, ascend: bool = True) -> list[np.ndarray]:
+    """Columns of unpacked blobs, the first of them taken back from differences (with ascend)."""
+    return [np.concatenate([np.zeros(0, k), *(np.cumsum(g[i], dtype=k) if ascend and i == 0 else g[i].astype(k) for g in got)]) for i, k in enumerate(kinds)]
 
 
 def _looked_up(words: list[list[np.ndarray]], h: np.ndarray) -> np.ndarray:
@@ -243,7 +243,7 @@ def _looked_up(words: list[list[np.ndarray]], h: np.ndarray) -> np.ndarray:
 
 
 def held_out_counts(docs: DataFrame, voc: Vocabulary, parts: int, counts: DataFrame | None = None) -> DataFrame:
-    """(key, w, s3, s2): how often tokens of the training texts have such context counts, bigram and unigram estimates when they are left out of the counts; a bounded table.
+    """(key, w, s3, s2): how often tokens of the training texts have such context counts, bigram and unigram estimates when they are left out of the counts; a bounded table. Keys below 0 are those of pairs that make up 2**-SHARE of the tokens (-1 - key of token_sums), with their counts as w.
 
     Pairs meet as in token_sums; with counts, contexts that aren't frequent are told apart, else they are one.
     """
@@ -285,6 +285,8 @@ def held_out_counts(docs: DataFrame, voc: Vocabulary, parts: int, counts: DataFr
         part, got = int(t.column("part")[0].as_py()), _by_kind(t)
         k, kn = _summed(*_joined(got[0], np.uint64, np.int64))
         context, own = (k // np.uint64(voc.rare + 1)).astype(np.int64), (k % np.uint64(voc.rare + 1)).astype(np.int64)
+        often = kn * 2**SHARE >= voc.total
+        common = pack(k[often], kn[often])
         rows = [_held(voc, voc.contexts[context], kn, voc.counts[own] if voc.rare else kn, kn)]
         h, c, n = _joined([g[2:5] for g in got[0]], np.uint64, np.int64, np.int64)
         if len(h):
@@ -304,7 +306,7 @@ def held_out_counts(docs: DataFrame, voc: Vocabulary, parts: int, counts: DataFr
             w, head, both = w[order], head[order], both[order]
             to, cut = _cut(w, parts)
             blobs = [pack(ascending(w[o]), head[o], both[o]) for o in cut]
-        return pa.table({"part": pa.array([*to, part], pa.int32()), "kind": pa.array([2] * len(to) + [3], pa.int32()), "blob": pa.array([*blobs, pack(*np.concatenate(rows).T)], pa.binary())})
+        return pa.table({"part": pa.array([*to, part, part], pa.int32()), "kind": pa.array([2] * len(to) + [3, 4], pa.int32()), "blob": pa.array([*blobs, pack(*np.concatenate(rows).T), common], pa.binary())})
 
     def by_word(t: pa.Table) -> pa.Table:
         got = _by_kind(t)
@@ -312,7 +314,9 @@ def held_out_counts(docs: DataFrame, voc: Vocabulary, parts: int, counts: DataFr
         x = np.concatenate([np.zeros((0, 4)), *(np.column_stack(g) for g in got[3]), _held(voc, head, both, _looked_up(got[1], w), both)])
         key, where = np.unique(x[:, 0].astype(np.int64), return_inverse=True)
         sums = [np.bincount(where, x[:, i], minlength=len(key)) for i in (1, 2, 3)]
-        return pa.table({"key": pa.array(key, pa.int64()), "w": sums[0], "s3": sums[1], "s2": sums[2]})
+        k, kn = _joined(got[4], np.uint64, np.int64, ascend=False)
+        none = np.zeros(len(k))
+        return pa.table({"key": pa.array(np.append(key, -1 - k.astype(np.int64)), pa.int64()), "w": np.append(sums[0], kn.astype(float)), "s3": np.append(sums[1], none), "s2": np.append(sums[2], none)})
 
     rows = "part int, kind int, blob binary"
     pairs = docs.select("text", "train").mapInArrow(count, "part int, blob binary").select("part", F.lit(0).alias("kind"), "blob")
@@ -323,7 +327,7 @@ def held_out_counts(docs: DataFrame, voc: Vocabulary, parts: int, counts: DataFr
 
 
 def _by_kind(t: pa.Table) -> list[list[list[np.ndarray]]]:
-    got = [[], [], [], []]
+    got = [[], [], [], [], []]
     for kind, x in zip(t.column("kind").to_pylist(), t.column("blob").to_pylist(), strict=True):
         got[kind].append(unpack(x))
     return got
@@ -350,6 +354,7 @@ def _held(voc: Vocabulary, head: np.ndarray, both: np.ndarray, own: np.ndarray,
 def mixture(rows: list[tuple], distinct: int, rounds: int = 200) -> np.ndarray:
     """Weights of bigram, unigram and floor by bucket, learned by expectation-maximisation on the held-out counts; a bucket without counts uses those of all."""
     x = np.array(rows, float).reshape(-1, 4)
+    x = x[x[:, 0] >= 0]
     bucket = np.minimum((x[:, 0].astype(np.int64) // 128) // 64, BUCKETS - 1)
     p = np.column_stack([x[:, 2] / np.maximum(x[:, 1], 1e-12), x[:, 3] / np.maximum(x[:, 1], 1e-12), np.full(len(x), 1.0 / (distinct + 1))])
 
@@ -373,15 +378,23 @@ def mixture(rows: list[tuple], distinct: int, rounds: int = 200) -> np.ndarray:
     return out
 
 
-def token_sums(docs: DataFrame, voc: Vocabulary, weights: np.ndarray, parts: int, counts: DataFrame | None = None) -> DataFrame:
+def frequent_pairs(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+    """Keys, ascending, and counts of the frequent pairs among the rows of held_out_counts."""
+    found = sorted((-1 - r[0], int(r[1])) for r in rows if r[0] < 0)
+    return np.array([k for k, _ in found], np.uint64), np.array([n for _, n in found], np.int64)
+
+
+def token_sums(docs: DataFrame, voc: Vocabulary, weights: np.ndarray, parts: int, counts: DataFrame | None = None, often: tuple[np.ndarray, np.ndarray] | None = None) -> DataFrame:
     """One row for each row of docs (keep..., text, train): keep, n_tokens, n_known, known_log (sum of log10(count + 1)) and score.
 
     Each task deals the tokens of its texts by key over parts: after a frequent context a frequent word by context and word, a rare one by itself; after a rare
     context all by the context, and from there rare words, with their counts of context and pair, by themselves. A part thus has all
     occurrences of its keys and can tell their counts, and returns sums by text; the sums of a group of texts from all parts meet again.
+    Pairs of often (keys and counts), which make up 2**-SHARE of all tokens or more and so are 2**SHARE at most, are scored where they are met: no key has more than that share of the tokens in one part.
     Without counts, which unigrams() returns, all contexts that aren't frequent are one, whose count is known.
     """
     whole = counts is not None
+    often = (np.zeros(0, np.uint64), np.zeros(0, np.int64)) if often is None else often
     kept = [c for c in docs.columns if c not in ("text", "train")]
     keep_schema = docs.select(*kept).schema
 
@@ -394,6 +407,13 @@ def token_sums(docs: DataFrame, voc: Vocabulary, weights: np.ndarray, parts: int
         def flush() -> pa.RecordBatch:
             k, kn = np.unique(np.concatenate(ks), return_counts=True)
             key, doc = k >> np.uint64(_DOC_BITS), (k & np.uint64((1 << _DOC_BITS) - 1)).astype(np.uint32)
+            here = np.zeros(docs_held, np.int64), np.zeros(docs_held), np.zeros(docs_held)
+            if len(often[0]):
+                at = np.minimum(np.searchsorted(often[0], key), len(often[0]) - 1)
+                m = often[0][at] == key
+                pair = key[m]
+                add(here, doc[m], kn[m], voc.contexts[(pair // np.uint64(voc.rare + 1)).astype(np.int64)], often[1][at[m]], voc.counts[(pair % np.uint64(voc.rare + 1)).astype(np.int64)])
+                key, doc, kn = key[~m], doc[~m], kn[~m]
             ko, ke = _by_part(_keys_part(key, parts), parts)
             h, hc, hd = (np.concatenate([x[i] for x in hs]) for i in range(3))
             order = np.argsort(h, kind="stable")
@@ -414,7 +434,7 @@ def token_sums(docs: DataFrame, voc: Vocabulary, weights: np.ndarray, parts: int
                 a, b, c = ko[ke[p] : ke[p + 1]], ho[he[p] : he[p + 1]], ro[re_[p] : re_[p + 1]]
                 blobs.append(pack(ascending(key[a]), doc[a], kn[a].astype(np.uint16 if kn.max(initial=0) < 1 << 16 else np.uint32), ascending(h[b]), hc[b], hd[b], train, np.array([len(n)]), ascending(r[c]), ri[c], rd[c], rw[c][ri[c] == voc.rare]))
                 extra.append(sink.getvalue().to_pybytes() if p == group % parts else None)
-            size = pa.array([pack(n) if e is not None else None for e in extra], pa.binary())
+            size = pa.array([pack(n, *here) if e is not None else None for e in extra], pa.binary())
             return pa.RecordBatch.from_arrays([pa.array(range(parts), pa.int32()), pa.array([task << 24 | group] * parts, pa.int64()), pa.array(blobs, pa.binary()), pa.array(extra, pa.binary()), size], names=["part", "group", "blob", "docs", "n"])
 
         for b, texts in _portions(batches):
@@ -513,7 +533,8 @@ def token_sums(docs: DataFrame, voc: Vocabulary, weights: np.ndarray, parts: int
         known, logs, total = (sum(x) for x in zip(*(unpack(s) for s in t.column("sums").to_pylist()), strict=True))
         with pa.ipc.open_stream(next(x for x in t.column("docs").to_pylist() if x is not None)) as r:
             table = r.read_all()
-        n = unpack(next(x for x in t.column("n").to_pylist() if x is not None))[0]
+        n, *here = unpack(next(x for x in t.column("n").to_pylist() if x is not None))
+        known, logs, total = (x + y for x, y in zip((known, logs, total), here, strict=True))
         cols = {c: table.column(c) for c in kept}
         return pa.table(cols | {"n_tokens": pa.array(n, pa.int64()), "n_known": pa.array(known.astype(np.int64)), "known_log": pa.array(logs), "score": pa.array(total)})
 
@@ -533,16 +554,21 @@ def lm_scores(df: DataFrame, *, text: str = "text", learn: Column, keep: list[st
     tokens and one unknown; the weights depend on how often the context occurs. Every word is a context of its own, and all counts are complete. The weights are learned on the training tokens, each left out of the counts in its turn (deleted
     interpolation). base_score is the add-one unigram probability with one unknown token.
 
-    Nothing but the frequent words, 2**SHARE at most by their definition, and a table of binned estimates of fixed size reach the driver. Null texts are empty (one end
+    Nothing but the frequent words and pairs, 2**SHARE at most each by their definition, and a table of binned estimates of fixed size reach the driver. Null texts are empty (one end
     token); rows come out as they are, repeated ones too; where nothing can be learned from, every token is unknown and all scores are 0.
     """
     keep = list(keep)
     docs = df.select(*[F.col(c).alias(f"_keep_{i}") for i, c in enumerate(keep)], F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("text"), F.coalesce(learn, F.lit(False)).alias("train"))
-    first = max(12, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "12")) // 4)
+    spark = df.sparkSession
+    # by the plan's size, which need only be roughly right: each group has about the words of 256 MB in memory
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    first = max(12, int(spark.conf.get("spark.sql.shuffle.partitions", "12")) // 4, min(4096, size >> 28))
     counts = stored(unigrams(docs, first), "unigrams")
     voc = frequent_words(counts)
     parts = int(min(60_000, max(12, -(-voc.total // tokens_a_part))))
-    weights = mixture([tuple(r) for r in held_out_counts(docs, voc, parts, counts).collect()], voc.distinct) if voc.total else np.tile([0.0, 0.0, 1.0], (BUCKETS, 1))
-    out = token_sums(docs, voc, weights, parts, counts if voc.total else None)
+    held = [tuple(r) for r in held_out_counts(docs, voc, parts, counts).collect()] if voc.total else []
+    weights = mixture(held, voc.distinct) if voc.total else np.tile([0.0, 0.0, 1.0], (BUCKETS, 1))
+    forget(spark)
+    out = token_sums(docs, voc, weights, parts, counts if voc.total else None, frequent_pairs(held))
     base = F.col("known_log") - F.col("n_tokens") * F.lit(float(np.log10(voc.total + voc.distinct + 1)))
     return out.select(*[F.col(f"_keep_{i}").alias(c) for i, c in enumerate(keep)], "n_tokens", "n_known", F.lit(voc.total).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
