@@ -343,6 +343,28 @@ def test_top_k_few(spark):
     assert topk.top_k(df.filter("false"), is_query=F.col("vec_id") % 50 == 0).collect() == []
 
 
+@pytest.mark.parametrize("scale", [1e6, 1e10, 1e13])
+def test_top_k_large(spark, scale):
+    rng = np.random.default_rng(4)
+    vec = [(i, [float(c) for c in rng.normal(0, scale if i % 3 and i % 50 else 1.0, 12)]) for i in range(300)]
+    df = spark.createDataFrame(vec, "vec_id long, embedding array<double>")
+    got = topk.top_k(df, is_query=F.col("vec_id") % 50 == 0, block=64).collect()
+    by = {}
+    for r in sorted(got, key=lambda r: (r.query_id, r["rank"])):
+        by.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    x = {i: [math.floor(256 * c) for c in v] for i, v in vec}
+    for q in range(0, 300, 50):
+        s = sorted((-sum(a * b for a, b in zip(x[q], v, strict=True)), i) for i, v in x.items() if i != q)[:5]
+        assert by[q] == [(i, -t) for t, i in s]
+
+
+def test_top_k_too_large(spark):
+    df = spark.createDataFrame([(0, [1e12, 1e12]), (1, [1e12, 1e12])], "vec_id long, embedding array<double>")
+    for bad in (df, df.withColumn("embedding", F.array(F.lit(1e17), F.lit(1e300)))):
+        with pytest.raises(Exception, match="OverflowError"):
+            topk.top_k(bad, is_query=F.col("vec_id") % 50 == 0).collect()
+
+
 def labelled(spark, bad_words, n=500):
     rng = random.Random(9)
     rows, labels = [], []
@@ -420,10 +442,12 @@ def test_token_counts(spark, docs):
     t = Tokenizer.from_file(path)
     odd = ["<|endoftext|>a <|startoftext|>", "a<|endoftext|>b", "it's I'LL 12.5 x́ é e\u0301\u0301 \u00a0 \u2003z", "ΑΣ ΑΣΑ", "\u0301x", "a\u0085b", "日本語 テキスト", "x" * 5000]
     rows = [(r.doc_id, r.text) for r in docs.collect()] + list(enumerate(odd))
-    got = tokens.token_counts(spark.createDataFrame(rows, "doc_id long, text string"), tokenizer=path, keep=["doc_id"], cache_bytes=5000).collect()
+    got = tokens.token_counts(spark.createDataFrame(rows, "doc_id long, text string"), tokenizer=path, keep=["doc_id"], split=True, cache_bytes=5000).collect()
     want = Counter((i, len((x or "").encode()), n := len(t.encode(x or "", add_special_tokens=False)), n > 2048) for i, x in rows)
     assert Counter(map(tuple, got)) == want
     assert tokens.token_counts(docs.filter("false"), tokenizer=path).collect() == []
+    small = spark.createDataFrame(rows, "doc_id long, text string").filter("char_length(text) < 2000 or text is null")
+    assert Counter(map(tuple, tokens.token_counts(small, tokenizer=path, keep=["doc_id"]).collect())) <= want
     with pytest.raises(ValueError, match="overwritten"):
         tokens.token_counts(docs.withColumn("n_tokens", F.lit(1)), tokenizer=path, keep=["n_tokens"])
 
@@ -463,6 +487,9 @@ def test_contamination(spark, docs, single, tmp_path):
     spark.createDataFrame([i for i in items if i[0] is not None], "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
     got = Counter(map(tuple, queries.op6_decontamination(spark, path).collect()))
     assert got == plain_contamination(rows, [i for i in items if i[0] is not None])
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    near, far = (decontam.contamination(docs, benchmark, broadcast_rows=n).collect() for n in (10**6, 0))
+    assert Counter(map(str, near)) == Counter(map(str, far))
 
 
 def test_decontaminate(spark):

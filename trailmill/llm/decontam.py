@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
-from .common import ascii_lower
+from .common import ascii_lower, stored
 
 #: What parts words: ASCII control, space, punctuation and symbols; all letters and digits, and all beyond ASCII, make words.
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -40,18 +40,22 @@ def window_hits(docs: DataFrame, windows: DataFrame, *, text: str, keep: list[st
     hint = F.broadcast if small else (lambda x: x)
     rows = docs.select(*keep, words_of(F.col(text)).alias("w"))
     rows = rows.select(*keep, "w", F.posexplode("w").alias("p", "first"))
-    after = F.when(F.col("p") + 2 <= F.size("w"), F.element_at("w", F.least(F.col("p") + 2, F.size("w")))).otherwise(F.lit(""))
-    lead = F.xxhash64("first", after)
+    # the words that a window may take from here on: all that is shuffled for a place, whatever the text's length
+    ahead = F.slice("w", F.col("p") + 1, max(lens)).alias("ahead")
+    after = F.coalesce(F.try_element_at("w", F.col("p") + 2), F.lit(""))
+    rows = rows.select(*keep, "p", "first", F.xxhash64("first", after).alias("lead"), *(["w"] if small else [ahead]))
     if 1 in lens:
         # a window of one word leads with that word alone, whatever follows it in the document
         one = hint(windows.filter("len = 1").select(F.element_at("words", 1).alias("_one")))
-        single = rows.join(one, F.col("first") == F.col("_one"), "left_semi").select(*keep, "w", "p")
-    longer = hint(windows.filter("len > 1").select("lead").distinct().withColumnRenamed("lead", "_lead"))
-    places = rows.withColumn("lead", lead).join(longer, F.col("lead") == F.col("_lead"), "left_semi").select(*keep, "w", "p")
+        single = rows.join(one, F.col("first") == F.col("_one"), "left_semi").select(*keep, "p", ahead if small else "ahead")
+    longer = windows.filter("len > 1").select(F.col("lead").alias("_lead")).distinct()
+    # stored beyond a broadcast, so that the join with a very common lead can be split
+    longer = F.broadcast(longer) if small else stored(longer, "leads")
+    places = rows.join(longer, F.col("lead") == F.col("_lead"), "left_semi").select(*keep, "p", ahead if small else "ahead")
     if 1 in lens:
         places = places.unionByName(single)
     n = F.explode(F.array(*[F.lit(x) for x in lens])).alias("n")
-    tried = places.select(*keep, "w", "p", n).filter(F.col("p") + F.col("n") <= F.size("w")).select(*keep, "p", F.slice("w", F.col("p") + 1, F.col("n")).alias("window"))
+    tried = places.select(*keep, "ahead", "p", n).filter(F.col("n") <= F.size("ahead")).select(*keep, "p", F.slice("ahead", 1, F.col("n")).alias("window"))
     found = tried.withColumn("hash", F.xxhash64("window"))
     known = hint(windows.select(F.col("hash").alias("_hash"), "words", "len", "item_ids"))
     return found.join(known, (F.col("hash") == F.col("_hash")) & (F.col("window") == F.col("words"))).select(*keep, "p", "len", "item_ids")
@@ -73,16 +77,16 @@ def covered(spans: Column) -> Column:
     return F.aggregate(merged(spans), F.lit(0), lambda n, s: n + s["b"] - s["a"])
 
 
-def contamination(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", size: int = 10, keep_text: bool = False) -> DataFrame:
+def contamination(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", size: int = 10, keep_text: bool = False, broadcast_rows: int = 2_000_000) -> DataFrame:
     """One row for each row of docs: doc_id, n_words, n_hit, spans (word ranges p, len, sorted), item_ids (sorted as strings); keep_text adds the text.
 
     A window is size consecutive words of an item; an item of fewer words is one window; an item without words (null too) has none. A word is hit
     if it lies in any occurrence of a window. Null texts have no words. Rows that share id and text share their hits; repeated rows come out
-    repeated. Null ids are ids like any other here. Either table may be empty.
+    repeated. Null ids of documents are ids like any other; the words of an item with a null id are hit, but it isn't listed among the items. Texts may be of any length. Either table may be empty. Other columns of either table are ignored.
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text"), F.xxhash64(F.lit(0), text).alias("_h"))
     windows = item_windows(items, item_id, item_text, size)
-    hits = window_hits(rows, windows, text="_text", keep=["doc_id", "_h"])
+    hits = window_hits(rows, windows, text="_text", keep=["doc_id", "_h"], broadcast_rows=broadcast_rows)
     per = hits.groupBy(F.col("doc_id").alias("_id"), F.col("_h").alias("_g")).agg(F.sort_array(F.collect_set(F.struct("p", "len"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("item_ids")))).alias("item_ids"))
     count = F.size(words_of(F.col("_text"))).cast("long").alias("n_words")
     out = rows.select("doc_id", "_h", count, *(["_text"] if keep_text else []))
@@ -91,7 +95,7 @@ def contamination(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id",
     return out.select("doc_id", "n_words", covered(spans).cast("long").alias("n_hit"), spans.alias("spans"), F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids"), *([F.col("_text").alias("text")] if keep_text else []))
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", size: int = 10, drop_share: float = 0.5) -> DataFrame:
+def decontaminate(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", size: int = 10, drop_share: float = 0.5, broadcast_rows: int = 2_000_000) -> DataFrame:
     """docs with the hit words cut out of their texts; documents of which more than drop_share of the words are hit go.
 
     A cut takes the words of a span and what parts them. All other characters, rows and columns stay as they are (null texts too); n_chars, if there is such a column of an integer type, is counted again for the
@@ -99,7 +103,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id",
     """
     names = docs.columns
     rows = docs.select(*[F.col(c).alias(f"_in_{i}") for i, c in enumerate(names)], F.col(doc_id).alias("doc_id"), F.col(text).alias("_text"), F.xxhash64(F.lit(0), text).alias("_h"))
-    hits = window_hits(rows, item_windows(items, item_id, item_text, size), text="_text", keep=["doc_id", "_h"])
+    hits = window_hits(rows, item_windows(items, item_id, item_text, size), text="_text", keep=["doc_id", "_h"], broadcast_rows=broadcast_rows)
     per = hits.groupBy(F.col("doc_id").alias("_id"), F.col("_h").alias("_g")).agg(F.sort_array(F.collect_set(F.struct("p", "len"))).alias("spans"))
     out = rows.join(per, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_g")), "left")
     # words and gaps in turn: gap i precedes word i, and a last gap ends the text

@@ -78,10 +78,12 @@ def cube_sample(df: DataFrame, *, source: str, size: str, key: str, prob: str, s
     block, a hot source is split like any other, and each level has about block/2 times fewer rows.
 
     Reruns agree: blocks, order and random numbers depend on key and seed alone. Rows equal in all columns are told
-    apart only by their order, which changes nothing. Null sources are a source; null prob counts as 0 and null size as 0.
+    apart only by their order, which changes nothing. Columns named drawn or _cube_... are a ValueError. Null sources are a source; null prob counts as 0 and null size as 0.
     """
     spark = df.sparkSession
-    own = [c for c in df.columns if not c.startswith("_cube_")]
+    own = df.columns
+    if clash := [c for c in own if c.startswith("_cube_") or c == "drawn"]:
+        raise ValueError(f"columns {clash} would be overwritten")
     h = F.xxhash64(F.lit(seed), F.col(key).cast("string"), F.col(source), F.col(size))
     rows = df.select(*own).withColumns({"_cube_h": h, "_cube_p": F.coalesce(F.col(prob), F.lit(0.0)).cast("double"), "_cube_w": F.coalesce(F.col(size), F.lit(0)).cast("double")})
     rows = stored(rows, "cube")

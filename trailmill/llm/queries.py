@@ -38,7 +38,7 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokens.token_counts(table(spark, sf_dir, "documents"), tokenizer=tokenizer("word_bpe_49k.json"), keep=["doc_id"], limit=2048)
+    return tokens.token_counts(table(spark, sf_dir, "documents"), tokenizer=tokenizer("word_bpe_49k.json"), keep=["doc_id"], limit=2048, split=True)
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -55,7 +55,7 @@ def token_counts(
     tokenizer: str,
     keep: list[str] | tuple[str, ...] = (),
     limit: int = 2048,
-    split: bool = True,
+    split: bool = False,
     batch_bytes: int = 1 << 18,
     cache_bytes: int = 64 << 20,
 ) -> DataFrame:
@@ -63,7 +63,7 @@ def token_counts(
 
     Each Arrow batch is encoded in calls of about batch_bytes and only lengths come back. With split, texts are cut at
     ASCII white space, which is a safe boundary for tokenizers that drop white space and never join over it (such as
-    word_bpe_49k); the lengths of pieces then add up to that of the text, a long text never is one long call, and a
+    word_bpe_49k; a ValueError for one that doesn't); the lengths of pieces then add up to that of the text, a long text never is one long call, and a
     piece met before in the task isn't encoded again (the pieces remembered are held below cache_bytes). Without split, whole
     texts are encoded, as tokenizers that encode white space need.
 
@@ -72,6 +72,11 @@ def token_counts(
     """
     if clash := {"n_bytes", "n_tokens", "over_limit"} & set(keep):
         raise ValueError(f"columns {sorted(clash)} would be overwritten")
+    if split:
+        lengths = _counter(tokenizer, batch_bytes)
+        for probe in (b"a b", b"The  quick\n\tbrown fox, isn't it", b" 1 000\r\n.. x\x0b\x0cY "):
+            if lengths([probe]) != [sum(lengths(probe.split()))]:
+                raise ValueError(f"{tokenizer} doesn't part texts at white space")
 
     @F.arrow_udf("struct<n_bytes: bigint, n_tokens: bigint>")
     def count(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:

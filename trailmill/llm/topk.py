@@ -11,7 +11,19 @@ from pyspark.sql import functions as F
 
 from .common import stored
 
-_BIG = (1 << 31) - 1
+#: Quantised components are below this in size; others are an error.
+LIMIT = 1 << 61
+
+
+def exact(vectors: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Integer inner products, in 64 bits where these surely hold every sum, else by integers of any size; an OverflowError where one doesn't fit into 64 bits."""
+    if _bound(vectors, q) < 2.0**62:
+        return vectors @ q
+    return np.array([int(x) for x in vectors.astype(object) @ q.astype(object)], np.int64) if len(vectors) else np.zeros(0, np.int64)
+
+
+def _bound(vectors: np.ndarray, q: np.ndarray) -> float:
+    return float(np.abs(vectors).max(initial=0)) * float(np.abs(q).max(initial=0)) * max(1, len(q))
 
 
 class ImpactIndex:
@@ -48,14 +60,17 @@ class ImpactIndex:
         scored rows are out. The search stops when this proof leaves few rows, or at the last segment, and rescores what is left.
         """
         n, d = self.vectors.shape
-        w = q[self.dim]
+        # beyond 53 bits the bounds are rounded, and slack makes up for it
+        rounded = _bound(self.vectors, q) >= 2.0**52
+        w = q[self.dim].astype(float) if rounded else q[self.dim]
         most = np.where(w > 0, w * self.high, w * self.low)
-        least = np.full(d, np.iinfo(np.int64).max)
+        least = np.full(d, np.inf) if rounded else np.full(d, np.iinfo(np.int64).max)
         np.minimum.at(least, self.dim, np.where(w > 0, w * self.low, w * self.high))
         impact = most - least[self.dim]
         order = np.argsort(-impact, kind="stable")
         order = order[impact[order] > 0]
-        base = int(least.sum())
+        base = least.sum() if rounded else int(least.sum())
+        slack = 0.5 + (1e-9 * (float(np.abs(most).sum()) + float(np.abs(least).sum())) if rounded else 0)
         gathered = np.zeros(n)
         done = np.cumsum(self.length[order])
         alive = np.flatnonzero(allowed)
@@ -70,19 +85,23 @@ class ImpactIndex:
                 pick = np.repeat(self.start[now] - np.append(0, np.cumsum(size)[:-1]), size) + np.arange(size.sum())
                 gathered += np.bincount(self.rows[pick], weights=np.repeat(impact[now], size).astype(float), minlength=n)
             at = end
-            heads = np.zeros(d, np.int64)
+            heads = np.zeros(d, impact.dtype)
             rest = order[at:]
             np.maximum.at(heads, self.dim[rest], impact[rest])
             if len(alive) > k:
                 top = alive[np.argpartition(-gathered[alive], k - 1)[: min(len(alive), 4 * k)]] if len(alive) > 4 * k else alive
-                exact = np.sort(self.vectors[top] @ q)[::-1]
-                if len(exact) >= k:
-                    best = int(exact[k - 1]) if best is None else max(best, int(exact[k - 1]))
+                known = np.sort(exact(self.vectors[top], q))[::-1]
+                if len(known) >= k:
+                    best = int(known[k - 1]) if best is None else max(best, int(known[k - 1]))
             if best is not None:
-                alive = alive[base + gathered[alive] + float(heads.sum()) >= best - 0.5]
+                alive = alive[base + gathered[alive] + float(heads.sum()) >= best - slack]
             if len(alive) <= few:
                 break
-        return alive, self.vectors[alive] @ q
+        return alive, exact(self.vectors[alive], q)
+
+
+def _block(data: bytes, n: int, d: int) -> np.ndarray:
+    return np.frombuffer(data, np.int32 if len(data) == 4 * n * d else np.int64).reshape(n, d)
 
 
 def _pack(rows: DataFrame, size: int, name: str) -> DataFrame:
@@ -94,9 +113,14 @@ def _pack(rows: DataFrame, size: int, name: str) -> DataFrame:
                 part = b.slice(at, size)
                 lists = part.column("v")
                 flat, off = lists.flatten().to_numpy(zero_copy_only=False), np.diff(lists.offsets.to_numpy())
-                x = np.clip(np.floor(256.0 * flat.astype(np.float64)), -_BIG, _BIG).astype(np.int32)
+                x = np.floor(256.0 * flat.astype(np.float64))
+                most = np.abs(x).max(initial=0)
+                if most >= LIMIT:
+                    raise OverflowError("a component is too large")
+                kind = np.int32 if most < 1 << 31 else np.int64
+                x = x.astype(kind)
                 d = int(off.max()) if len(off) else 0
-                full = np.zeros((len(off), d), np.int32)
+                full = np.zeros((len(off), d), kind)
                 full[np.arange(d)[None, :] < off[:, None]] = x
                 ids = part.column("id").to_numpy(zero_copy_only=False).astype(np.int64)
                 tag = part.column("tag").to_numpy(zero_copy_only=False).astype(np.int64)
@@ -109,7 +133,7 @@ def top_k(df: DataFrame, *, vec_id: str = "vec_id", vector: str = "embedding", i
     """query_id, rank, vec_id and score of the k best rows by inner product of floor(256 * x) for each query.
 
     is_query is a condition over vec_id (a column of that name). Candidates are all rows but those with the query's own id; ties go to the smaller id. Rows with a
-    null id, a null vector, or null or non-finite components take no part; shorter vectors count as padded with zeros; components beyond 32 bits are clipped. Repeated rows are candidates
+    null id, a null vector, or null or non-finite components take no part; shorter vectors count as padded with zeros. Sums are exact; where floor(256 * x) reaches 2^61, or a score of a candidate that may be among the best doesn't fit into a long, the query fails. Repeated rows are candidates
     each, but as queries are asked once. An empty table gives no rows.
 
     Rows are packed into blocks of at most block vectors where they lie; each block of queries meets each block of candidates once, by an equal join on the number of the candidates' block, and the best of each meeting are merged by rank.
@@ -137,11 +161,11 @@ def top_k(df: DataFrame, *, vec_id: str = "vec_id", vector: str = "embedding", i
                     last = (r["c_ids"], r["c_x"], d)
                     ids = np.frombuffer(r["c_ids"], np.int64)
                     x = np.zeros((len(ids), d), np.int64)
-                    x[:, : r["c_d"]] = np.frombuffer(r["c_x"], np.int32).reshape(len(ids), r["c_d"])
+                    x[:, : r["c_d"]] = _block(r["c_x"], len(ids), r["c_d"])
                     index = ImpactIndex(x)
                 q_ids, tags = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["tags"], np.int64)
                 q = np.zeros((len(q_ids), d), np.int64)
-                q[:, : r["d"]] = np.frombuffer(r["x"], np.int32).reshape(len(q_ids), r["d"])
+                q[:, : r["d"]] = _block(r["x"], len(q_ids), r["d"])
                 out = []
                 for i in range(len(q)):
                     key = (int(q_ids[i]), int(tags[i]))
