@@ -5,41 +5,63 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .storage import discard, stored
 
-def components(edges: DataFrame, *, a: str = "a", b: str = "b", max_rounds: int = 50) -> DataFrame:
-    """(node, root) of every node with links; root is the smallest node reachable. Labels are halved by pointer jumping each round; every round is checkpointed where a checkpoint folder is set, else cached."""
-    spark = edges.sparkSession
-    keep = (lambda d: d.checkpoint()) if spark.sparkContext.getCheckpointDir() else (lambda d: d.cache())
-    both = keep(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).union(edges.select(F.col(b), F.col(a))).distinct())
-    label = keep(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("root")).withColumnRenamed("u", "node"))
+
+def _star(edges: DataFrame, large: bool) -> tuple[DataFrame, DataFrame]:
+    """Link each node's larger (large) or smaller neighbours to the smallest node among it and them; also the table to discard once the links are stored."""
+    both = edges.select("u", "v").union(edges.select(F.col("v"), F.col("u"))) if large else edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+    # stored, so that the join with a node of very many links is of two plain exchanges, which Spark splits
+    low = stored(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "low")
+    near = both.join(low.select(F.col("u").alias("_u"), "m"), F.col("u") == F.col("_u"))
+    linked = near.filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")) if large else near.select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
+    return linked.filter("u <> v").distinct(), low
+
+
+def members(edges: DataFrame, *, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
+    """(node, root) for every node of edges but the roots themselves: root is the smallest node reachable. Found by alternating large-star and small-star steps, in about the logarithm of the longest path.
+
+    Nodes may be of any type with an order. Every round is cut from its lineage by a table in the shared folder. Self-links, repeated links and rows with a null end are no matter; without links the result is empty. RuntimeError beyond max_rounds.
+    """
+    ends = edges.select(F.col(a).alias("u"), F.col(b).alias("v"))
+    now = stored(ends.filter("u <> v").distinct(), "links")
     was = None
     for _ in range(max_rounds):
-        sign = label.agg(F.sum(F.col("root").cast("decimal(38,0)"))).head()[0]
+        large, low = _star(now, True)
+        small, lower = _star(large, False)
+        new = stored(small, "links")
+        discard(now, low, lower)
+        now = new
+        sign = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).head()
         if sign == was:
-            return label
+            return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
         was = sign
-        near = both.join(label.select(F.col("node").alias("v"), "root"), "v").groupBy("u").agg(F.min("root").alias("m"))
-        low = label.join(near.withColumnRenamed("u", "node"), "node", "left").select("node", F.least("root", F.coalesce("m", "root")).alias("root"))
-        up = low.select(F.col("node").alias("root"), F.col("root").alias("up"))
-        label = keep(low.join(up, "root", "left").select("node", F.coalesce("up", "root").alias("root")))
-    raise RuntimeError("components did not settle")
+    raise RuntimeError(f"no fixed point within {max_rounds} rounds")
+
+
+def components(edges: DataFrame, *, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
+    """(node, root) of every node with links, self-links included: members() and the roots."""
+    found = members(edges, a=a, b=b, max_rounds=max_rounds)
+    alone = edges.filter(F.col(a) == F.col(b)).select(F.col(a).alias("root"))
+    tops = found.select("root").union(alone).distinct().join(found.select(F.col("node").alias("root")), "root", "left_anti")
+    return found.unionByName(tops.select(F.col("root").alias("node"), "root"))
 
 
 def chains(links: DataFrame, *, a: str = "a", b: str = "b", max_rounds: int = 40) -> DataFrame:
     """(head, node, place) of chains of next-pointers a -> b, each node with one successor and one predecessor at most: place counts from 0. Pointers double their reach each round."""
     nodes = links.select(F.col(a).alias("node")).union(links.select(F.col(b))).filter("node is not null").distinct()
     back = links.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.col(b).alias("node"), F.col(a).alias("to"))
-    now = nodes.join(back, "node", "left").select("node", F.coalesce("to", "node").alias("head"), F.when(F.col("to").isNull(), 0).otherwise(1).alias("place"))
-    spark = links.sparkSession
-    keep = (lambda d: d.checkpoint()) if spark.sparkContext.getCheckpointDir() else (lambda d: d.cache())
-    now, was = keep(now), None
+    now = stored(nodes.join(back, "node", "left").select("node", F.coalesce("to", "node").alias("head"), F.when(F.col("to").isNull(), 0).otherwise(1).alias("place")), "chains")
+    was = None
     for _ in range(max_rounds):
         total = now.agg(F.sum("place")).head()[0]
         if total == was:
             return now
         was = total
         up = now.select(F.col("node").alias("head"), F.col("head").alias("next"), F.col("place").alias("more"))
-        now = keep(now.join(up, "head").select("node", F.col("next").alias("head"), (F.col("place") + F.col("more")).alias("place")))
+        new = stored(now.join(up, "head").select("node", F.col("next").alias("head"), (F.col("place") + F.col("more")).alias("place")), "chains")
+        discard(now)
+        now = new
     raise RuntimeError("chains did not settle; are there cycles?")
 
 

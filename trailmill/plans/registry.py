@@ -101,12 +101,17 @@ def box_to_yolo(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(t.gt(spark, sf).select("frame", "id", *[c.alias(n) for c, n in zip(cols, ("cx", "cy", "rw", "rh"), strict=True)]), "cx", "cy", "rw", "rh", digits=4)
 
 
-@query(f"{BASE} SELECT frame, id, x >= 0 AND x < x + w AND x + w < 100 AND y >= 0 AND y < y + h AND y + h < 80 AS valid, CAST(least(x, 99) AS INT) AS x1, CAST(least(x + w, 99) AS INT) AS x2 FROM gt WHERE least(x, 99) <> least(x + w, 99) AND x + w = floor(x + w)")
+def _clip_sql(a: str, b: str, last: int, n: str) -> str:
+    """Ends of a span within 0 to last; one without length is widened by 5, inwards at the far end."""
+    lo, hi = f"greatest(least({a}, {b}, {last}), 0)", f"greatest(least(greatest({a}, {b}), {last}), 0)"
+    return f"CAST(round_even(CASE WHEN {lo} = {hi} AND {lo} + 5 > {last} THEN greatest({lo} - 5, 0) ELSE {lo} END, 0) AS INT) AS {n}1, CAST(round_even(CASE WHEN {lo} = {hi} AND {lo} + 5 <= {last} THEN {hi} + 5 ELSE {hi} END, 0) AS INT) AS {n}2"
+
+
+@query(f"{BASE} SELECT frame, id, x >= 0 AND x < x + w AND x + w < 100 AND y >= 0 AND y < y + h AND y + h < 80 AS valid, {_clip_sql('x', 'x + w', 99, 'x')}, {_clip_sql('y', 'y + h', 79, 'y')} FROM gt")
 def box_clip_validate(spark: SparkSession, sf: str) -> DataFrame:
     corners = boxes.to_corners(*[C(c) for c in BOX])
-    x1, _, x2, _ = boxes.clip(*corners, F.lit(100.0), F.lit(80.0))
-    g = t.gt(spark, sf).filter("least(x, 99) <> least(x + w, 99) and x + w = floor(x + w)")
-    return g.select("frame", "id", boxes.is_valid(*corners, F.lit(100.0), F.lit(80.0)).alias("valid"), x1.alias("x1"), x2.alias("x2"))
+    x1, y1, x2, y2 = boxes.clip(*corners, F.lit(100.0), F.lit(80.0))
+    return t.gt(spark, sf).select("frame", "id", boxes.is_valid(*corners, F.lit(100.0), F.lit(80.0)).alias("valid"), x1.alias("x1"), x2.alias("x2"), y1.alias("y1"), y2.alias("y2"))
 
 
 # ---- joins of frames

@@ -356,12 +356,18 @@ def time_series_split(spark: SparkSession, sf: str) -> DataFrame:
     return folds.time_splits(t.read(spark, sf, "events").select("event_id", "event_type", "ts"), ["ts", "event_id"], 3, group=["event_type"]).drop("ts")
 
 
-@query(f"{BASE} SELECT a.id, b.id AS other, round(exp(-0.5 * pow({DIST}, 2)), 6) AS k FROM vec a JOIN vec b ON a.label = b.label AND a.id % 20 = 0 AND a.id <> b.id")
+@query(f"{BASE} SELECT a.id, b.id AS other, round(exp(-0.5 * pow({DIST}, 2)), 6) AS k FROM vec a JOIN vec b ON a.id % 20 = 0 AND a.id <> b.id")
 def kernel_rbf(spark: SparkSession, sf: str) -> DataFrame:
-    v = t.vectors(spark, sf)
-    a = v.filter("id % 20 = 0").select("id", "label", "v")
-    b = v.select(C("id").alias("other"), "label", C("v").alias("w"))
-    return rounded(a.join(b, "label").filter("id <> other").select("id", "other", vectors.rbf(C("v"), C("w"), 0.5).alias("k")), "k")
+    return rounded(_against_all(spark, sf, k=lambda v, w: vectors.rbf(v, w, 0.5)), "k")
+
+
+def _against_all(spark: SparkSession, sf: str, **measures) -> DataFrame:  # noqa: ANN003
+    """id, other and measures of the query vectors (ids divisible by 20) and all others: the rows are dealt over parts, and the queries go to each of them."""
+    v, parts = t.vectors(spark, sf), 16
+    q = v.filter("id % 20 = 0").select("id", "v", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
+    rows = v.select(C("id").alias("other"), C("v").alias("w"), F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias("part"))
+    met = rows.join(q, "part").filter("id <> other")
+    return met.select("id", "other", *[m(C("v"), C("w")).alias(n) for n, m in measures.items()])
 
 
 # ---- lists and strings
@@ -448,7 +454,11 @@ def k_means(spark: SparkSession, sf: str) -> DataFrame:
     return clustering.k_means(t.vectors(spark, sf).select("id", "v"), 10, rounds=10)[1]
 
 
-@query()
+@query(f"""WITH RECURSIVE {BASE[5:]}, p AS (SELECT id, x, y FROM track), c AS (SELECT x, y, count(*) AS n, min(id) AS least FROM p GROUP BY x, y),
+k AS (SELECT a.x, a.y, a.n, a.least, sum(b.n) AS near FROM c a JOIN c b ON abs(a.x - b.x) + abs(a.y - b.y) <= 1 GROUP BY ALL), core AS (SELECT * FROM k WHERE near >= 4),
+walk(x, y, root) USING KEY (x, y) AS (SELECT x, y, least AS root FROM core UNION SELECT a.x, a.y, min(w.root) AS root FROM core a JOIN walk w ON abs(a.x - w.x) + abs(a.y - w.y) = 1 JOIN recurring.walk o ON o.x = a.x AND o.y = a.y WHERE w.root < o.root GROUP BY a.x, a.y),
+border AS (SELECT k.x, k.y, arg_min(w.root, core.least) AS root FROM k JOIN core ON abs(k.x - core.x) + abs(k.y - core.y) <= 1 JOIN walk w ON w.x = core.x AND w.y = core.y WHERE k.near < 4 GROUP BY ALL)
+SELECT p.id, k.near >= 4 AS core, coalesce(w.root, border.root) AS cluster FROM p JOIN k USING (x, y) LEFT JOIN walk w USING (x, y) LEFT JOIN border USING (x, y)""")
 def dbscan(spark: SparkSession, sf: str) -> DataFrame:
     return clustering.dbscan(_points(spark, sf), 1.0, 4)
 
@@ -468,7 +478,7 @@ def outlier_factor(spark: SparkSession, sf: str) -> DataFrame:
 def label_spreading(spark: SparkSession, sf: str) -> DataFrame:
     v = t.vectors(spark, sf)
     e = neighbors.nearest(v.select("id", "v"), v.select("id", "v"), k=5).select(C("query_id").alias("a"), C("id").alias("b"), F.exp(-C("distance")).alias("w"))
-    return clustering.spread_labels(e, v.filter("id % 20 = 0").select("id", "label"), rounds=5)
+    return clustering.spread_labels(e, v.filter("id % 20 = 0").select("id", "label"))
 
 
 @query()
@@ -511,12 +521,10 @@ def clu_silhouette(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(f"""{BASE} SELECT a.id AS a, b.id AS b, round(list_sum(list_transform(list_zip(a.v, b.v), lambda z: abs(z[1] - z[2]))), 6) AS manhattan, round(list_max(list_transform(list_zip(a.v, b.v), lambda z: abs(z[1] - z[2]))), 6) AS chebyshev, round({DSQ}, 6) AS squared
-FROM vec a JOIN vec b ON a.label = b.label AND a.id % 20 = 0 AND a.id <> b.id""")
+FROM vec a JOIN vec b ON a.id % 20 = 0 AND a.id <> b.id""")
 def pairwise_distances(spark: SparkSession, sf: str) -> DataFrame:
-    v = t.vectors(spark, sf)
-    a, b = v.filter("id % 20 = 0").select(C("id").alias("a"), "label", "v"), v.select(C("id").alias("b"), "label", C("v").alias("w"))
-    d = {"manhattan": vectors.manhattan(C("v"), C("w")), "chebyshev": vectors.chebyshev(C("v"), C("w")), "squared": vectors.squared_distance(C("v"), C("w"))}
-    return a.join(b, "label").filter("a <> b").select("a", "b", *[F.round(e, 6).alias(n) for n, e in d.items()])
+    d = _against_all(spark, sf, manhattan=vectors.manhattan, chebyshev=vectors.chebyshev, squared=vectors.squared_distance)
+    return rounded(d.withColumnsRenamed({"id": "a", "other": "b"}), "manhattan", "chebyshev", "squared")
 
 
 ML = "WITH s AS (SELECT user_id AS row, event_type AS cls, CAST(count(*) % 7 AS DOUBLE) AS score, CAST(count(*) % 2 AS INT) AS y, CAST(count(*) % 3 = 0 AS INT) AS p FROM events GROUP BY ALL), r AS (SELECT *, count(*) OVER w AS k, sum(y) OVER w AS tr FROM s WINDOW w AS (PARTITION BY row ORDER BY score DESC RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))"
