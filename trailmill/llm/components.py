@@ -1,41 +1,13 @@
-"""Connected components by alternating large-star and small-star steps; nothing is gathered on the driver but one sum a round."""
+"""Connected components of links between longs."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, stored
-
-
-def _star(edges: DataFrame, large: bool) -> tuple[DataFrame, DataFrame]:
-    """Link each node's larger (large) or smaller neighbours to the smallest node among it and them; also the table to discard once the links are stored."""
-    both = edges.select("u", "v").union(edges.select(F.col("v"), F.col("u"))) if large else edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    # stored, so that the join with a node of very many links is of two plain exchanges, which Spark splits
-    low = stored(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "low")
-    near = both.join(low.select(F.col("u").alias("_u"), "m"), F.col("u") == F.col("_u"))
-    linked = near.filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")) if large else near.select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
-    return linked.filter("u <> v").distinct(), low
+from ..operators.links import members
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(node, root) for every node of edges (u, v: long) but the roots themselves: root is the smallest node reachable.
-
-    Each round is cut from its lineage by a table in the shared folder. The rounds stop when the links are stars that no
-    longer change, which takes about the logarithm of the longest path; RuntimeError beyond max_rounds. Self-links and repeated links are no
-    matter; without links the result is empty.
-    """
-    now = stored(edges.select(F.col("u").cast("long"), F.col("v").cast("long")).filter("u <> v").distinct(), "links")
-    was = None
-    for _ in range(max_rounds):
-        large, low = _star(now, True)
-        small, lower = _star(large, False)
-        new = stored(small, "links")
-        for x in (now, low, lower):
-            discard(x)
-        now = new
-        sign = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).head()
-        if sign == was:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        was = sign
-    raise RuntimeError(f"no fixed point within {max_rounds} rounds")
+    """(node, root) for every node of edges (u, v: long) but the roots themselves: root is the smallest node reachable."""
+    return members(edges.select(F.col("u").cast("long"), F.col("v").cast("long")), a="u", b="v", max_rounds=max_rounds)
