@@ -108,3 +108,23 @@ def dcg(df: DataFrame, *, query: str, gain: str, score: str, key: str, k: int |
     part = lambda rank: F.sum(F.when(F.lit(True) if k is None else F.col(rank) <= k, F.col(gain) / F.log2(F.col(rank) + 1)))
     out = r.groupBy(query).agg(part("_r").alias("dcg"), part("_i").alias("best"))
     return out.select(query, "dcg", ratio(F.col("dcg"), F.col("best")).alias("ndcg"))
+
+
+def error_points(df: DataFrame, y: str = "y", score: str = "score") -> DataFrame:
+    """score, false positive and false negative rate at each threshold: the detection error trade-off."""
+    p = roc_points(df, y, score)
+    return p.select("score", "fpr", (1 - F.col("tpr")).alias("fnr"))
+
+
+def class_confusions(rows: DataFrame, cls: str = "cls", y: str = "y", p: str = "p") -> DataFrame:
+    """cls, tn, fp, fn, tp of each class of a long table with an indicator for truth and prediction."""
+    n = lambda a, b: F.count_if((F.col(y) == a) & (F.col(p) == b))
+    return rows.groupBy(cls).agg(n(0, 0).alias("tn"), n(0, 1).alias("fp"), n(1, 0).alias("fn"), n(1, 1).alias("tp"))
+
+
+def areas_by_class(rows: DataFrame, cls: str = "cls", y: str = "y", score: str = "score") -> DataFrame:
+    """cls and area under its ROC curve, by ranks of distinct scores (ties count half); null where a class has no positive or no negative rows."""
+    g = rows.groupBy(cls, score).agg(F.count_if(F.col(y) == 1).alias("t"), F.count_if(F.col(y) != 1).alias("f"))
+    below = F.sum("f").over(Window.partitionBy(cls).orderBy(score).rowsBetween(Window.unboundedPreceding, -1))
+    g = g.withColumn("wins", F.col("t") * (F.coalesce(below, F.lit(0)) + F.col("f") / 2))
+    return g.groupBy(cls).agg(F.try_divide(F.sum("wins"), (F.sum("t") * F.sum("f")).cast("double")).alias("roc_auc"))

@@ -82,3 +82,64 @@ def silhouette(df: DataFrame, label: str = "label", vector: str = "v") -> DataFr
     a = own["d"] * own["n"] / F.greatest(own["n"] - 1, F.lit(1))
     b = F.array_min(F.transform(F.filter("far", lambda s: s["l"] != F.col(label)), lambda s: s["d"]))
     return rows.select(F.when(own["n"] == 1, 0.0).otherwise(ratio(b - a, F.greatest(a, b))).alias("s")).agg(F.avg("s").alias("silhouette"))
+
+
+def silhouette_samples(df: DataFrame, id: str = "id", label: str = "label", vector: str = "v") -> DataFrame:  # noqa: A002
+    """id and silhouette of each row over squared Euclidean distances, by clusters' sizes, sums and sums of squares as in silhouette()."""
+    c = centroids(df, label, vector)
+    sq = df.groupBy(label).agg(F.avg(vectors.dot(F.col(vector), F.col(vector))).alias("q"))
+    c = c.join(sq, label).select(F.col(label).alias("l"), "n", "centroid", "q")
+    if c.count() > 10_000:
+        raise ValueError("too many clusters for one list")
+    every = c.agg(F.collect_list(F.struct("l", "n", "centroid", "q")).alias("cs"))
+    rows = df.select(id, label, F.col(vector), vectors.dot(F.col(vector), F.col(vector)).alias("xx")).crossJoin(F.broadcast(every))
+    far = F.transform("cs", lambda s: F.struct(s["l"].alias("l"), s["n"].alias("n"), (F.col("xx") + s["q"] - 2 * vectors.dot(F.col(vector), s["centroid"])).alias("d")))
+    rows = rows.select(id, label, far.alias("far"))
+    own = F.filter("far", lambda s: s["l"] == F.col(label))[0]
+    a = own["d"] * own["n"] / F.greatest(own["n"] - 1, F.lit(1))
+    b = F.array_min(F.transform(F.filter("far", lambda s: s["l"] != F.col(label)), lambda s: s["d"]))
+    return rows.select(id, F.when(own["n"] == 1, 0.0).otherwise(ratio(b - a, F.greatest(a, b))).alias("silhouette"))
+
+
+def pair_confusion(df: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """One row: ordered pairs of rows that are apart in both clusterings, together in b only, in a only, in both."""
+    n = contingency(df, a, b)
+    sq = lambda d, c: d.agg(F.sum(F.col("n").cast("double") * F.col("n")).alias(c))
+    total = n.agg(F.sum("n").cast("double").alias("t"))
+    both, in_a, in_b = sq(n, "s"), sq(n.groupBy(a).agg(F.sum("n").alias("n")), "a"), sq(n.groupBy(b).agg(F.sum("n").alias("n")), "b")
+    one = both.crossJoin(in_a).crossJoin(in_b).crossJoin(total)
+    s, x, y, t = (F.col(c) for c in "sabt")
+    return one.select((t * t - x - y + s).alias("apart"), (y - s).alias("only_b"), (x - s).alias("only_a"), (s - t).alias("together"))
+
+
+def adjusted_information(df: DataFrame, a: str = "a", b: str = "b", most: int = 100_000) -> float:
+    """Mutual information above what sizes alone would give by chance, as a share of the most that it could be above that (the mean of the entropies). The contingency table is collected, up to most cells."""
+    from math import exp, lgamma, log
+
+    cells = contingency(df, a, b).limit(most + 1).collect()
+    if len(cells) > most:
+        raise ValueError(f"more than {most} pairs of clusters")
+    n = sum(r["n"] for r in cells)
+    ra, rb = {}, {}
+    for r in cells:
+        ra[r[a]] = ra.get(r[a], 0) + r["n"]
+        rb[r[b]] = rb.get(r[b], 0) + r["n"]
+    if len(ra) == len(rb) and len(ra) in (0, 1):
+        return 1.0
+    mi = sum(r["n"] / n * log(n * r["n"] / (ra[r[a]] * rb[r[b]])) for r in cells)
+    ha, hb = (-sum(x / n * log(x / n) for x in m.values()) for m in (ra, rb))
+    expected = 0.0
+    for x in ra.values():
+        for y in rb.values():
+            fixed = lgamma(x + 1) + lgamma(y + 1) + lgamma(n - x + 1) + lgamma(n - y + 1) - lgamma(n + 1)
+            for k in range(max(1, x + y - n), min(x, y) + 1):
+                expected += k / n * log(n * k / (x * y)) * exp(fixed - lgamma(k + 1) - lgamma(x - k + 1) - lgamma(y - k + 1) - lgamma(n - x - y + k + 1))
+    return (mi - expected) / ((ha + hb) / 2 - expected)
+
+
+def ward_distances(df: DataFrame, label: str = "label", vector: str = "v") -> DataFrame:
+    """a, b and how much the sum of squares within clusters would grow if two clusters were one: n m / (n + m) times the squared distance of their means."""
+    c = centroids(df, label, vector)
+    x, y = c.select(F.col(label).alias("a"), F.col("n").alias("n"), F.col("centroid").alias("v")), c.select(F.col(label).alias("b"), F.col("n").alias("m"), F.col("centroid").alias("w"))
+    n, m = F.col("n").cast("double"), F.col("m").cast("double")
+    return x.join(y, F.col("a") < F.col("b")).select("a", "b", (n * m / (n + m) * vectors.squared_distance(F.col("v"), F.col("w"))).alias("distance"))

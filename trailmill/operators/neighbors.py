@@ -87,3 +87,43 @@ def nearest_centroid(df: DataFrame, label: str = "label", vector: str = "v", id:
     c = c.agg(F.collect_list(F.struct("_l", "_c")).alias("_cs"))
     best = F.array_min(F.transform("_cs", lambda s: F.struct(F.round(vectors.squared_distance(F.col(vector), s["_c"]), 12).alias("d"), s["_l"].alias("l"))))
     return df.crossJoin(F.broadcast(c)).select(id, best["l"].alias("predicted"))
+
+
+def average(neighbours: DataFrame, values: DataFrame, weights: str = "uniform") -> DataFrame:
+    """query_id and the mean value (id, value) of its neighbours, each alike or by the inverse of its distance; neighbours at distance 0 then count alone."""
+    j = neighbours.join(values, "id")
+    if weights == "uniform":
+        return j.groupBy("query_id").agg(F.avg("value").alias("prediction"))
+    far, here = F.when(F.col("distance") > 0, 1 / F.col("distance")), F.when(F.col("distance") == 0, F.col("value"))
+    return j.groupBy("query_id").agg(F.coalesce(F.avg(here), F.sum(far * F.col("value")) / F.sum(far)).alias("prediction"))
+
+
+def meeting(queries: DataFrame, rows: DataFrame, parts: int = 16) -> DataFrame:
+    """Each query (id, v) beside each row (other, w): the rows are dealt over parts by their id, and the queries go to each of them."""
+    q = queries.select("id", "v", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
+    return rows.select(F.col("id").alias("other"), F.col("v").alias("w"), F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias("part")).join(q, "part").drop("part")
+
+
+def density(queries: DataFrame, rows: DataFrame, dim: int, bandwidth: float) -> DataFrame:
+    """id and log density of each query (id, v) under Gaussian kernels on all rows. Sums of exponentials are taken about each query's largest term."""
+    from math import log, pi
+
+    from ..functions import vectors
+
+    e = meeting(queries, rows).select("id", (-vectors.squared_distance(F.col("v"), F.col("w")) / (2 * bandwidth * bandwidth)).alias("e"))
+    # within a part of each query the largest exponent is not known before; both sums are exact enough about the nearest row's
+    top = e.groupBy("id").agg(F.max("e").alias("top"))
+    s = e.join(top, "id").groupBy("id").agg(F.max("top").alias("top"), F.sum(F.exp(F.col("e") - F.col("top"))).alias("s"), F.count("*").alias("n"))
+    return s.select("id", (F.col("top") + F.ln(F.col("s") / F.col("n")) - dim * log(bandwidth) - dim / 2 * log(2 * pi)).alias("log_density"))
+
+
+def impute_nearest(queries: DataFrame, rows: DataFrame, k: int = 5) -> DataFrame:
+    """id, i and x for each component that a query (id, v: array with nulls) lacks: its mean over the k nearest other rows that have it, by distance over the components that both have (ties to the smaller id). Rows that share no component with the query are no donors."""
+    from ..functions import vectors
+
+    lacks = queries.filter(F.exists("v", lambda x: x.isNull()))
+    d = meeting(lacks, rows).filter("id <> other").withColumn("d", F.round(vectors.nan_euclidean(F.col("v"), F.col("w")), 9)).filter("d is not null")
+    miss = F.filter(F.transform("v", lambda x, i: F.when(x.isNull(), i)), lambda i: i.isNotNull())
+    d = d.select("id", "other", "d", F.explode(miss).alias("i"), "w").select("id", "i", "d", "other", F.get("w", F.col("i")).alias("x")).filter("x is not null")
+    rank = F.row_number().over(Window.partitionBy("id", "i").orderBy("d", "other"))
+    return d.withColumn("r", rank).filter(F.col("r") <= k).groupBy("id", "i").agg(F.avg("x").alias("x"))

@@ -100,3 +100,24 @@ def polynomial(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def quantile_rank(df: DataFrame, column: str, out: str, *, group: Sequence[str]) -> DataFrame:
     """Share of the group's rows with a smaller value (0 to 1)."""
     return df.withColumn(out, F.percent_rank().over(Window.partitionBy(*group).orderBy(column)))
+
+
+def label_sets(df: DataFrame, column: str, values: Sequence[object]) -> DataFrame:
+    """df with a column column=value, 1 or 0, for each value that an array column may hold."""
+    return df.withColumns({f"{column}={v}": F.coalesce(F.array_contains(column, F.lit(v)).cast("int"), F.lit(0)) for v in values})
+
+
+def impute_iterative(df: DataFrame, columns: Sequence[str], rounds: int = 10) -> DataFrame:
+    """df with the nulls of columns filled: first with means, then rounds times, column by column, with the prediction of a linear model of the other columns, learned from rows that have the column. A model needs one aggregation."""
+    from .models import least_squares
+
+    missing = [c for c in columns if df.filter(F.col(c).isNull()).limit(1).count()]
+    means = df.agg(*[F.avg(c).alias(c) for c in columns]).head()
+    flags = df.withColumns({f"_null_{c}": F.col(c).isNull() for c in missing})
+    now = flags.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(means[c])) for c in columns})
+    for _ in range(rounds):
+        for c in missing:
+            others = [x for x in columns if x != c]
+            m = least_squares(now.filter(~F.col(f"_null_{c}")), c, others)
+            now = now.withColumn(c, F.when(F.col(f"_null_{c}"), m.predict(others)).otherwise(F.col(c)))
+    return now.select(*df.columns)

@@ -257,7 +257,16 @@ def lap_assign(spark: SparkSession, sf: str) -> DataFrame:
     return lap.assign(pairs.iou_pairs(t.gt(spark, sf), t.hyp(spark, sf), max_distance=0.5))
 
 
-@query()
+def _nms_sql(columns: str, overlap: float) -> str:
+    """Greedy suppression as a recursion down each frame's order, with the list of the boxes kept so far."""
+    box = "{'id': o.id, 'x': o.x, 'y': o.y, 'w': o.w, 'h': o.h}"
+    cover = "greatest(least(k.x + k.w, o.x + o.w) - greatest(k.x, o.x) + 1, 0) * greatest(least(k.y + k.h, o.y + o.h) - greatest(k.y, o.y) + 1, 0) / ((o.w + 1) * (o.h + 1))"
+    return f"""WITH RECURSIVE {BASE[5:]}, o AS (SELECT *, row_number() OVER (PARTITION BY frame ORDER BY score DESC, id) AS r FROM gt),
+s(frame, r, kept) AS (SELECT frame, r, [{box}] FROM o WHERE r = 1 UNION ALL SELECT o.frame, o.r, CASE WHEN len(list_filter(s.kept, lambda k: {cover} > {overlap})) = 0 THEN list_append(s.kept, {box}) ELSE s.kept END FROM s JOIN o ON o.frame = s.frame AND o.r = s.r + 1),
+f AS (SELECT frame, arg_max(kept, r) AS kept FROM s GROUP BY frame), u AS (SELECT frame, unnest(kept).id AS id, unnest(range(len(kept))) AS pick FROM f) SELECT {columns} FROM gt LEFT JOIN u ON u.frame = gt.frame AND u.id = gt.id"""
+
+
+@query(_nms_sql("gt.*, CAST(pick AS BIGINT) AS pick", 0.5))
 def nms_greedy(spark: SparkSession, sf: str) -> DataFrame:
     return nms.suppress(t.gt(spark, sf), max_overlap=0.5)
 
@@ -270,7 +279,7 @@ def nms_one_round(spark: SparkSession, sf: str) -> DataFrame:
     return nms.suppressed_once(t.gt(spark, sf), max_overlap=0.5)
 
 
-@query()
+@query(_nms_sql("gt.frame, gt.id, CASE WHEN pick IS NULL THEN 'nms' WHEN score < 0.1 THEN 'score' END AS fp_flag", 0.4))
 def flag_ambiguous(spark: SparkSession, sf: str) -> DataFrame:
     return nms.flag_ambiguous(t.gt(spark, sf), max_overlap=0.4, min_score=0.1).select("frame", "id", "fp_flag")
 

@@ -11,6 +11,7 @@ from . import tables as t
 from .registry import BASE, query, rounded
 
 C = F.col
+DSQ = "list_sum(list_transform(list_zip(a.v, b.v), lambda z: pow(z[1] - z[2], 2)))"
 
 # ---- classification
 
@@ -324,7 +325,7 @@ def dummy_most_frequent(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(models.dummy(t.reg(spark, sf), "l_returnflag"), "share")
 
 
-@query()
+@query(f"{BASE}, s AS (SELECT l_returnflag AS c, count(*) AS n, {', '.join(f'avg({c}) AS m_{c}, var_pop({c}) AS v_{c}' for c in N)} FROM reg GROUP BY l_returnflag), e AS (SELECT 1e-9 * max(greatest({', '.join(f'v_{c}' for c in N)})) AS e, sum(n) AS t FROM s), k AS (SELECT row_number() OVER () AS r, * FROM reg), p AS (SELECT l_returnflag, c AS predicted FROM k, s, e QUALIFY row_number() OVER (PARTITION BY r ORDER BY ln(n / t) {' '.join(f'- pow({c} - m_{c}, 2) / (2 * (v_{c} + e)) - 0.5 * ln(2 * pi() * (v_{c} + e))' for c in N)} DESC, c DESC) = 1) SELECT l_returnflag, predicted, count(*) AS n FROM p GROUP BY ALL")
 def nb_gaussian_predict(spark: SparkSession, sf: str) -> DataFrame:
     df = t.reg(spark, sf)
     return models.gaussian_nb_predict(df, models.gaussian_nb_stats(df, "l_returnflag", N), "l_returnflag", N).groupBy("l_returnflag", "predicted").agg(F.count("*").alias("n"))
@@ -341,7 +342,7 @@ def kfold_assignment(spark: SparkSession, sf: str) -> DataFrame:
     return folds.modular_fold(t.read(spark, sf, "orders").select("o_orderkey"), "o_orderkey", 5)
 
 
-@query()
+@query("WITH s AS (SELECT o_orderkey, o_orderstatus, CAST(floor(CAST('0x' || substr(md5('0:' || CAST(o_orderkey AS VARCHAR)), 1, 12) AS BIGINT) / 281474976710656.0 * 64) AS INT) AS s FROM orders) SELECT o_orderkey, o_orderstatus, CAST((row_number() OVER (PARTITION BY o_orderstatus, s ORDER BY o_orderkey) - 1 + s) % 5 AS INT) AS fold FROM s")
 def stratified_fold(spark: SparkSession, sf: str) -> DataFrame:
     return folds.stratified_fold(t.read(spark, sf, "orders").select("o_orderkey", "o_orderstatus"), "o_orderstatus", "o_orderkey", 5)
 
@@ -412,9 +413,34 @@ def _model(spark: SparkSession, m: models.Linear, names: list[str]) -> DataFrame
     return spark.createDataFrame([*zip(names, map(float, m.coef), strict=True), ("intercept", float(m.intercept))], "name string, value double")
 
 
-@query()
+def _inverse(m: str) -> list[list[str]]:
+    """Entries of the inverse of a symmetric matrix with entries m00, m01, ... in SQL."""
+    e = lambda i, j: f"{m}{min(i, j)}{max(i, j)}"
+    det = f"({e(0, 0)} * ({e(1, 1)} * {e(2, 2)} - {e(1, 2)} * {e(1, 2)}) - {e(0, 1)} * ({e(0, 1)} * {e(2, 2)} - {e(1, 2)} * {e(0, 2)}) + {e(0, 2)} * ({e(0, 1)} * {e(1, 2)} - {e(1, 1)} * {e(0, 2)}))"
+    minor = lambda i, j: [(a, b) for a in range(3) if a != i for b in range(3) if b != j]
+    out = [[""] * 3 for _ in range(3)]
+    for i in range(3):
+        for j in range(3):
+            (a, b), (c, d), (p, q), (r, s) = minor(i, j)
+            out[i][j] = f"({'-' if (i + j) % 2 else ''}({e(a, b)} * {e(r, s)} - {e(c, d)} * {e(p, q)}) / {det})"
+    return out
+
+
+def _ridge_sql(alpha: float) -> str:
+    moments = [f"covar_pop({N[i]}, {N[j]}) * count(*) {f'+ {alpha}' if i == j else ''} AS m{i}{j}" for i in range(3) for j in range(i, 3)] + [f"covar_pop({c}, l_extendedprice) * count(*) AS y{i}, avg({c}) AS a{i}" for i, c in enumerate(N)]
+    inv = _inverse("m")
+    w = ", ".join(f"{' + '.join(f'{inv[i][j]} * y{j}' for j in range(3))} AS w{i}" for i in range(3))
+    rows = " UNION ALL ".join([f"SELECT '{c}' AS name, round(w{i}, 3) AS value FROM w" for i, c in enumerate(N)] + ["SELECT 'intercept', round(my - w0 * a0 - w1 * a1 - w2 * a2, 2) FROM w"])
+    return f"{BASE}, m AS (SELECT {', '.join(moments)}, avg(l_extendedprice) AS my FROM reg), w AS (SELECT *, {w} FROM m) {rows}"
+
+
+def _rounded_model(df: DataFrame) -> DataFrame:
+    return df.select("name", F.when(C("name") == "intercept", F.round("value", 2)).otherwise(F.round("value", 3)).alias("value"))
+
+
+@query(_ridge_sql(1.0))
 def ridge_fit(spark: SparkSession, sf: str) -> DataFrame:
-    return _model(spark, gram.ridge(gram.moments(t.reg(spark, sf), N, "l_extendedprice"), 1.0), N)
+    return _rounded_model(_model(spark, gram.ridge(gram.moments(t.reg(spark, sf), N, "l_extendedprice"), 1.0), N))
 
 
 @query()
@@ -432,13 +458,30 @@ def partial_least_squares_fit(spark: SparkSession, sf: str) -> DataFrame:
     return _model(spark, gram.partial_least_squares(gram.moments(t.reg(spark, sf), N, "l_extendedprice"), 2), N)
 
 
-@query()
+def _ledoit_wolf_sql() -> str:
+    d = [f"({c} - a{i})" for i, c in enumerate(N)]
+    cov = ", ".join(f"avg({d[i]} * {d[j]}) AS c{i}{j}" for i in range(3) for j in range(3))
+    squares = " + ".join(f"c{i}{j} * c{i}{j}" for i in range(3) for j in range(3))
+    delta = " + ".join(f"pow(c{i}{j}{' - mu' if i == j else ''}, 2)" for i in range(3) for j in range(3))
+    rows = " UNION ALL ".join(f"SELECT {i} AS i, {j} AS j, round((1 - k) * c{i}{j} {'+ k * mu' if i == j else ''}, 6) AS c, round(k, 9) AS shrinkage FROM k" for i in range(3) for j in range(3))
+    return f"{BASE}, a AS (SELECT {', '.join(f'avg({c}) AS a{i}' for i, c in enumerate(N))} FROM reg), c AS (SELECT {cov}, sum(pow({' + '.join(f'{x} * {x}' for x in d)}, 2)) AS fourth, count(*) AS n FROM reg, a), m AS (SELECT *, (c00 + c11 + c22) / 3 AS mu FROM c), b AS (SELECT *, ({delta}) / 3 AS delta, (fourth / n - ({squares})) / (n * 3) AS beta FROM m), k AS (SELECT *, least(beta, delta) / delta AS k FROM b) {rows}"
+
+
+@query(_ledoit_wolf_sql())
 def covariance_shrunk(spark: SparkSession, sf: str) -> DataFrame:
     c, k = gram.ledoit_wolf(t.reg(spark, sf), N)
-    return spark.createDataFrame([(i, j, float(c[i, j]), k) for i in range(3) for j in range(3)], "i int, j int, c double, shrinkage double")
+    d = spark.createDataFrame([(i, j, float(c[i, j]), k) for i in range(3) for j in range(3)], "i int, j int, c double, shrinkage double")
+    return d.select("i", "j", F.round("c", 6).alias("c"), F.round("shrinkage", 9).alias("shrinkage"))
 
 
-@query()
+def _discriminant_sql() -> str:
+    within = ", ".join(f"sum(({N[i]} - m{i}) * ({N[j]} - m{j})) / count(*) AS c{i}{j}" for i in range(3) for j in range(i, 3))
+    inv = _inverse("c")
+    maha = " + ".join(f"({N[i]} - m{i}) * ({N[j]} - m{j}) * {inv[i][j]}" for i in range(3) for j in range(3))
+    return f"{BASE}, s AS (SELECT l_returnflag AS c, count(*) AS n, {', '.join(f'avg({c}) AS m{i}' for i, c in enumerate(N))} FROM reg GROUP BY l_returnflag), w AS (SELECT {within} FROM reg JOIN s ON c = l_returnflag), k AS (SELECT row_number() OVER () AS r, * FROM reg), p AS (SELECT l_returnflag, c AS predicted FROM k, s, w QUALIFY row_number() OVER (PARTITION BY r ORDER BY ln(n / (SELECT sum(n) FROM s)) - 0.5 * ({maha}) DESC, c DESC) = 1) SELECT l_returnflag, predicted, count(*) AS n FROM p GROUP BY ALL"
+
+
+@query(_discriminant_sql())
 def discriminant_predict(spark: SparkSession, sf: str) -> DataFrame:
     df = t.reg(spark, sf)
     p = gram.discriminant(df, "l_returnflag", N).predict(N)
@@ -468,10 +511,11 @@ def grid_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(clustering.grid_pairs(_points(spark, sf), 1.0), "distance")
 
 
-@query()
+@query(f"""{BASE}, d AS (SELECT a.id AS q, b.id, sqrt({DSQ}) AS d FROM vec a JOIN vec b ON a.id <> b.id), n AS (SELECT q, id, d FROM d QUALIFY row_number() OVER (PARTITION BY q ORDER BY round(d, 9), id) <= 5), kd AS (SELECT q, max(d) AS kd FROM n GROUP BY q),
+l AS (SELECT n.q, 1 / (avg(greatest(d, kd)) + 1e-10) AS lrd FROM n JOIN kd ON kd.q = n.id GROUP BY n.q) SELECT n.q AS id, round(avg(o.lrd) / max(l.lrd), 6) AS factor FROM n JOIN l ON l.q = n.q JOIN l o ON o.q = n.id GROUP BY n.q""")
 def outlier_factor(spark: SparkSession, sf: str) -> DataFrame:
     v = t.vectors(spark, sf).select("id", "v")
-    return clustering.outlier_factor(neighbors.nearest(v, v, k=5), 5)
+    return rounded(clustering.outlier_factor(neighbors.nearest(v, v, k=5), 5), "factor")
 
 
 @query()
@@ -511,7 +555,6 @@ def tree_regression(spark: SparkSession, sf: str) -> DataFrame:
 
 # ---- more metrics
 
-DSQ = "list_sum(list_transform(list_zip(a.v, b.v), lambda z: pow(z[1] - z[2], 2)))"
 
 
 @query(f"""{BASE}, d AS (SELECT a.id, a.label AS la, b.label AS lb, sum({DSQ}) AS s, count(*) AS n FROM vec a JOIN vec b ON true GROUP BY ALL), m AS (SELECT id, la, max(CASE WHEN la = lb THEN s / greatest(n - 1, 1) END) AS a, max(CASE WHEN la = lb THEN n END) AS n, min(CASE WHEN la <> lb THEN s / n END) AS b FROM d GROUP BY id, la)
@@ -555,7 +598,7 @@ def multilabel_sets(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(multilabel.set_scores(_multilabel(spark, sf)), "subset_accuracy", "hamming_loss", "jaccard")
 
 
-@query()
+@query("SELECT o_orderkey, CASE WHEN CAST('0x' || substr(md5('0:' || CAST(o_orderkey AS VARCHAR)), 1, 12) AS BIGINT) / 281474976710656.0 < 0.25 THEN 'test' ELSE 'train' END AS part FROM orders")
 def train_test_split(spark: SparkSession, sf: str) -> DataFrame:
     return folds.train_test(t.read(spark, sf, "orders").select("o_orderkey"), "o_orderkey")
 
