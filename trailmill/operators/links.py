@@ -89,3 +89,25 @@ def drop_doubtful(links: DataFrame, *, min_confidence: float, max_ambiguity: flo
 def confident(links: DataFrame, *, min_score: float, order: Column | None = None) -> DataFrame:
     """Existing links of at least min_score, the surest first."""
     return links.filter(F.col("b").isNotNull() & (F.col("confidence") >= min_score)).orderBy(order if order is not None else F.desc("confidence"), "a")
+
+
+def tree_heads(merges: DataFrame) -> DataFrame:
+    """The nodes of a merge tree (node, left, right) that no other merge takes: one for each tree."""
+    kids = merges.select(F.explode(F.array("left", "right")).alias("node"))
+    return merges.select("node").join(kids, "node", "left_anti")
+
+
+def tree_leaves(merges: DataFrame, max_rounds: int = 60) -> DataFrame:
+    """(head, leaf) for every leaf of each tree of merges (node, left, right): pointers from each node to the one above it double their reach every round."""
+    up = merges.select(F.explode(F.array("left", "right")).alias("node"), F.col("node").alias("up"))
+    leaves = up.select("node").join(merges.select("node"), "node", "left_anti")
+    now = stored(up.unionByName(tree_heads(merges).select("node", F.col("node").alias("up"))), "tree")
+    for _ in range(max_rounds):
+        far = now.select(F.col("node").alias("up"), F.col("up").alias("top"))
+        new = stored(now.join(far, "up").select("node", F.col("top").alias("up"), (F.col("top") != F.col("up")).alias("moved")), "tree")
+        discard(now)
+        now = new.select("node", "up")
+        now._stored_at = new._stored_at
+        if new.filter("moved").isEmpty():
+            return leaves.join(now, "node").select(F.col("up").alias("head"), F.col("node").alias("leaf"))
+    raise RuntimeError(f"no end within {max_rounds} rounds")

@@ -82,3 +82,33 @@ def clip_filled(boxes: DataFrame, width: Column, height: Column, slack: float =
     ok = (x1 >= -slack) & (y1 >= -slack) & (x2 <= width + slack) & (y2 <= height + slack) & (F.col("w") > 0) & (F.col("h") > 0)
     a, b = F.greatest(x1, F.lit(0.0)), F.greatest(y1, F.lit(0.0))
     return boxes.filter(ok).withColumns({"x": a, "y": b, "w": F.least(x2, width) - a, "h": F.least(y2, height) - b})
+
+
+def fill_curve(tracks: DataFrame, *, key: Sequence[str] = KEY, columns: Sequence[str] = ("x", "y", "w", "h"), degree: int = 3, beside: int = 10, max_gap: int | None = None) -> DataFrame:
+    """key, frame, columns and filled: the boxes and, in the gaps between neighbours, boxes on smooth curves: of each column the polynomial of degree that lies nearest, by least squares, to the beside boxes before and after the gap (of a lower degree where there are too few).
+
+    A track is one task. Gaps of max_gap frames and more stay open.
+    """
+    import numpy as np
+    import pandas as pd
+
+    kinds = {f.name: f.dataType.simpleString() for f in tracks.schema}
+    schema = ", ".join([*[f"{k} {kinds[k]}" for k in key], f"frame {kinds['frame']}", *[f"{c} double" for c in columns], "filled boolean"])
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("frame").reset_index(drop=True)
+        own = pdf[[*key, "frame", *columns]].assign(filled=False)
+        frames, out = pdf["frame"].to_numpy(), [own.astype({c: float for c in columns})]
+        for i in np.flatnonzero(np.diff(frames) > 1):
+            gap = np.arange(frames[i] + 1, frames[i + 1])
+            if max_gap is not None and len(gap) + 1 >= max_gap:
+                continue
+            near = slice(max(0, i + 1 - beside), i + 1 + beside)
+            t = (frames[near] - frames[i]).astype(float)
+            made = pd.DataFrame({**{k: pdf[k].iloc[0] for k in key}, "frame": gap})
+            for c in columns:
+                made[c] = np.polyval(np.polyfit(t, pdf[c].to_numpy(float)[near], min(degree, len(np.unique(t)) - 1)), (gap - frames[i]).astype(float))
+            out.append(made.assign(filled=True))
+        return pd.concat(out)[[*key, "frame", *columns, "filled"]]
+
+    return tracks.select(*key, "frame", *columns).groupBy(*key).applyInPandas(one, schema)
