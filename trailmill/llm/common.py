@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import time
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -25,8 +26,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def forget(spark: SparkSession) -> None:
     """Have the JVM collect what is no longer referred to, so that Spark removes the shuffle files of steps that have ended before the next ones write theirs."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):
+        gc.collect()
+        time.sleep(0.4)  # what Python held is let go by a thread that looks now and then
+        spark.sparkContext._jvm.System.gc()
 
 
 def portions(texts: pa.Array, size: int = 2 << 20) -> Iterator[list[bytes | None]]:

@@ -275,7 +275,7 @@ def held_out_counts(docs: DataFrame, voc: Vocabulary, parts: int, counts: DataFr
             hs.append((h[late], before[late]))
             rs.append((head[~known], own[~known], np.where(own < voc.rare, np.uint64(0), h)[~known]))
             held += len(ids)
-            if held > 2_000_000:
+            if held > 1_500_000:
                 yield flush()
                 ks, hs, rs, held = [], [], [], 0
         if held:
@@ -451,7 +451,7 @@ def token_sums(docs: DataFrame, voc: Vocabulary, weights: np.ndarray, parts: int
             ns.append(n)
             held += len(ids)
             docs_held += len(n)
-            if held > 2_000_000 or docs_held > 900_000:
+            if held > 1_500_000 or docs_held > 900_000:
                 yield flush()
                 ks, hs, rs, tables, trains, ns, held, docs_held, group = [], [], [], [], [], [], 0, 0, group + 1
         if docs_held:

@@ -194,17 +194,25 @@ def drop_low_quality(df: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id"
 
 def _scored(df: DataFrame, labels: DataFrame, doc_id: str, text: str, label_id: str, label: str, learn: Column | None, keep: list[str], store_rows: bool, fit: dict) -> DataFrame:
     """_keep_0, ... for the columns of keep, and score."""
-    rows = df.select(*[F.col(c).alias(f"_keep_{i}") for i, c in enumerate(keep)], F.col(doc_id).alias("doc_id"), document_statistics(F.col(text)).alias("stats"))
-    if store_rows:
-        rows = stored(rows, "statistics")
+    kept = [F.col(c).alias(f"_keep_{i}") for i, c in enumerate(keep)]
+    names = [f"_keep_{i}" for i in range(len(keep))]
     known = labels.select(F.col(label_id).alias("_id"), F.col(label).cast("double").alias("label")).filter("label is not null")
     fold = F.pmod(F.xxhash64(F.lit(3), F.col("doc_id").cast("string")), F.lit(FOLDS)).cast("int").alias("fold")
+    rows = stored(df.select(*(kept if store_rows else []), F.col(doc_id).alias("doc_id"), document_statistics(F.col(text)).alias("stats")), "statistics")
     fitted = rows.select("doc_id", "stats").filter(F.lit(True) if learn is None else F.coalesce(learn, F.lit(False)))
-    train = (fitted if store_rows else stored(fitted, "statistics")).join(known, F.col("doc_id") == F.col("_id")).select("stats", "label", fold)
-    model = fit_quality(stored(train, "train"), **fit)
+    model = fit_quality(stored(fitted.join(known, F.col("doc_id") == F.col("_id")).select("stats", "label", fold), "train"), **fit)
 
     @F.arrow_udf("double")
     def score(stats: pa.Array) -> pa.Array:
         return pa.array(model.score(_matrix(stats)))
 
-    return rows.select(*[f"_keep_{i}" for i in range(len(keep))], score("stats").alias("score"))
+    @F.arrow_udf("double")
+    def score_text(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            x = np.array([statistics(t or b"") for part in portions(batch) for t in part]).reshape(-1, N_STATS)
+            yield pa.array(model.score(x))
+
+    if store_rows:
+        return rows.select(*names, score("stats").alias("score"))
+    # one function, not two: each would have a Python process of its own in every task
+    return df.select(*kept, score_text(F.col(text).cast("binary")).alias("score"))
