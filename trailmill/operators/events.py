@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,32 +32,41 @@ class EventLog:
         self.known_hyps: set[int] = set()
 
     def frame(self, frame: int, oids: list[int], hids: list[int], d: np.ndarray) -> list[tuple]:
-        """Events (type, oid, hid, d) of a frame; d is objects x hypotheses, NaN where a pair is impossible.
+        """pairs_frame() for a matrix d of objects x hypotheses, NaN where a pair is impossible."""
+        d = d.reshape(len(oids), len(hids))
+        return self.pairs_frame(frame, oids, hids, {(i, j): float(d[i, j]) for i, j in zip(*(x.tolist() for x in np.nonzero(np.isfinite(d))), strict=True)})
+
+    def pairs_frame(self, frame: int, oids: list[int], hids: list[int], d: dict[tuple[int, int], float]) -> list[tuple]:
+        """Events (type, oid, hid, d) of a frame; d has the possible pairs by places in oids and hids, in their order.
 
         Every frame opens with an empty RAW and one for each possible pair and each side without any. Then pairs that held before are
-        carried on, the rest is assigned at least cost, and what is left is missed or a false positive.
+        carried on, the rest is assigned at least cost, and what is left is missed or a false positive. Where no object or hypothesis has two partners to choose from, there is nothing to weigh.
         """
         out: list[tuple] = [("RAW", None, None, None)]
-        d = d.reshape(len(oids), len(hids))
-        ok = np.isfinite(d)
-        out += [("RAW", oids[i], hids[j], float(d[i, j])) for i, j in zip(*np.nonzero(ok), strict=True)]
-        out += [("RAW", o, None, None) for o, any_ in zip(oids, ok.any(axis=1), strict=True) if not any_]
-        out += [("RAW", None, h, None) for h, any_ in zip(hids, ok.any(axis=0), strict=True) if not any_]
+        out += [("RAW", oids[i], hids[j], x) for (i, j), x in d.items()]
+        with_o, with_h = {i for i, _ in d}, {j for _, j in d}
+        out += [("RAW", o, None, None) for i, o in enumerate(oids) if i not in with_o]
+        out += [("RAW", None, h, None) for j, h in enumerate(hids) if j not in with_h]
         free_o, free_h = dict.fromkeys(range(len(oids))), dict.fromkeys(range(len(hids)))
-        if oids and hids:
+        if d:
             where = {h: j for j, h in enumerate(hids)}
             for i, o in enumerate(oids):
                 j = where.get(self.partner.get(o))
-                if j is not None and j in free_h and ok[i, j]:
-                    out.append(("MATCH", o, hids[j], float(d[i, j])))
+                if j is not None and j in free_h and (i, j) in d:
+                    out.append(("MATCH", o, hids[j], d[i, j]))
                     self.known_objects.add(o)
                     self.known_hyps.add(hids[j])
                     del free_o[i], free_h[j]
-            rows, cols = list(free_o), list(free_h)
-            for a, b in zip(*lap.solve(d[np.ix_(rows, cols)]), strict=True) if rows and cols else ():
-                i, j = rows[a], cols[b]
-                o, h = oids[i], hids[j]
-                out += self._pair(frame, o, h, float(d[i, j]))
+            left = [(i, j) for i, j in d if i in free_o and j in free_h]
+            if len({i for i, _ in left}) < len(left) or len({j for _, j in left}) < len(left):
+                rows, cols = sorted({i for i, _ in left}), sorted({j for _, j in left})
+                m = np.full((len(rows), len(cols)), np.nan)
+                at_o, at_h = {i: a for a, i in enumerate(rows)}, {j: b for b, j in enumerate(cols)}
+                for i, j in left:
+                    m[at_o[i], at_h[j]] = d[i, j]
+                left = [(rows[a], cols[b]) for a, b in zip(*lap.solve(m), strict=True)]
+            for i, j in left:
+                out += self._pair(frame, oids[i], hids[j], d[i, j])
                 del free_o[i], free_h[j]
         out += [("MISS", oids[i], None, None) for i in free_o]
         out += [("FP", None, hids[j], None) for j in free_h]
@@ -97,20 +109,26 @@ def frames_of(gt: DataFrame, hyp: DataFrame, pairs: DataFrame, *, strict: bool =
 def event_log(frames: DataFrame, *, max_switch_time: float = float("inf")) -> DataFrame:
     """EVENTS of the frames of each sequence; a sequence is one task, for its events depend on all frames before."""
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        log, rows = EventLog(max_switch_time), []
-        for r in pdf.sort_values("frame").itertuples(index=False):
-            oids, hids = [int(x) for x in r.oids], [int(x) for x in r.hids]
-            d = np.full((len(oids), len(hids)), np.nan)
-            oi, hi = {o: i for i, o in enumerate(oids)}, {h: j for j, h in enumerate(hids)}
-            for p in r.pairs:
-                if p["o"] in oi and p["h"] in hi and p["d"] is not None:
-                    d[oi[p["o"]], hi[p["h"]]] = p["d"]
-            rows += [(r.seq, r.frame, k, *e) for k, e in enumerate(log.frame(r.frame, oids, hids, d))]
-        out = pd.DataFrame(rows, columns=["seq", "frame", "event", "type", "oid", "hid", "d"])
-        return out.astype({"oid": "Int64", "hid": "Int64", "event": "int32", "d": "float64"})
-
-    return frames.groupBy("seq").applyInPandas(one, EVENTS)
+    def one(t: pa.Table) -> pa.Table:
+        t = t.sort_by("frame").combine_chunks()
+        log, cols = EventLog(max_switch_time), [[] for _ in range(6)]
+        pairs = pa.concat_arrays(t.column("pairs").chunks) if t.num_rows else pa.array([], pa.list_(pa.struct([("o", pa.int64()), ("h", pa.int64()), ("d", pa.float64())])))
+        o, h, x = (pairs.flatten().field(k).to_pylist() for k in "ohd")
+        end = 0
+        for frame, oids, hids, n in zip(*(t.column(c).to_pylist() for c in ("frame", "oids", "hids")), pa.compute.list_value_length(pairs).to_pylist(), strict=True):
+            start, end = end, end + n
+            oi, hi = {k: i for i, k in enumerate(oids)}, {k: j for j, k in enumerate(hids)}
+            d = {(oi[o[k]], hi[h[k]]): x[k] for k in range(start, end) if o[k] in oi and h[k] in hi and x[k] is not None and math.isfinite(x[k])}
+            made = log.pairs_frame(frame, oids, hids, dict(sorted(d.items())))
+            cols[0] += [frame] * len(made)
+            cols[1] += range(len(made))
+            for c, v in zip(cols[2:], zip(*made, strict=True), strict=True):
+                c += v
+        kinds = [pa.int64(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.float64()]
+        arrays = [pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]
+        return pa.table([pa.repeat(t.column("seq")[0], len(arrays[0])), *arrays], names=["seq", "frame", "event", "type", "oid", "hid", "d"])
+
+    return frames.groupBy("seq").applyInArrow(one, EVENTS)
 
 
 def base_events(events: DataFrame) -> DataFrame:
@@ -192,25 +210,30 @@ def id_totals(events: DataFrame) -> DataFrame:
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         o, h, p = (pdf[pdf["k"] == k] for k in "ohp")
-        oid, hid = {x: i for i, x in enumerate(sorted(o["a"]))}, {x: i for i, x in enumerate(sorted(h["b"]))}
-        n, m = len(oid), len(hid)
-        on, hn, both = np.zeros(n), np.zeros(m), np.zeros((n, m))
-        for x, c in zip(o["a"], o["n"], strict=True):
-            on[oid[x]] = c
-        for x, c in zip(h["b"], h["n"], strict=True):
-            hn[hid[x]] = c
-        for x, y, c in zip(p["a"], p["b"], p["n"], strict=True):
-            both[oid[x], hid[y]] = c
-        # an object may stay alone at the cost of all its frames, and so may a hypothesis
-        cost = np.full((n + m, n + m), np.nan)
-        cost[:n, :m] = hn[None, :] - both + on[:, None] - both
-        cost[np.arange(n), m + np.arange(n)] = on
-        cost[n + np.arange(m), np.arange(m)] = hn
-        cost[n:, m:] = 0
-        r, c = lap.solve(cost)
-        pair = (r < n) & (c < m)
-        hit = both[r[pair], c[pair]].sum()
-        return pd.DataFrame({"seq": [pdf["seq"].iloc[0]], "idfp": [int(hn.sum() - hit)], "idfn": [int(on.sum() - hit)]})
+        # a match saves the frames that both share, on both sides; objects and hypotheses that no pairs tie together are decided apart
+        root: dict[tuple, tuple] = {}
+
+        def find(x: tuple) -> tuple:
+            while root.setdefault(x, x) != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
+        links = list(zip(p["a"].astype("int64").tolist(), p["b"].astype("int64").tolist(), p["n"].astype(float).tolist(), strict=True))
+        for a, b, _ in links:
+            root[find(("o", a))] = find(("h", b))
+        parts: dict[tuple, list] = {}
+        for link in links:
+            parts.setdefault(find(("o", link[0])), []).append(link)
+        hit = 0.0
+        for part in parts.values():
+            if len(part) == 1:
+                hit += part[0][2]
+                continue
+            rows, cols, m = lap.dense(*(np.array([x[k] for x in part]) for k in range(3)))
+            both = np.where(np.isnan(m), 0.0, m)
+            hit += both[lap.solve(-both)].sum()
+        return pd.DataFrame({"seq": [pdf["seq"].iloc[0]], "idfp": [int(h["n"].sum() - hit)], "idfn": [int(o["n"].sum() - hit)]})
 
     return oc.unionByName(hc).unionByName(tp).groupBy("seq").applyInPandas(one, "seq string, idfp long, idfn long")
 
