@@ -214,3 +214,12 @@ def discriminant(df: DataFrame, label: str, columns: Sequence[str], quadratic: b
         within.append(a - c * np.outer(m, m))
     covs = [a / max(c - 1, 1) for a, c in zip(within, n, strict=True)] if quadratic else [sum(within) / n.sum()] * len(rows)
     return Discriminant([r[0] for r in rows], n / n.sum(), means, [np.linalg.pinv(c) for c in covs], np.array([np.linalg.slogdet(c)[1] for c in covs]))
+
+
+def merged(a: Moments, b: Moments) -> Moments:
+    """The moments of two sets of rows together: fits can go on with more rows without the old ones."""
+    n = a.n + b.n
+    if not n:
+        return a
+    d = b.mean - a.mean
+    return Moments(n, a.mean + d * (b.n / n), a.c + b.c + np.outer(d, d) * (a.n * b.n / n))

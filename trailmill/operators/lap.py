@@ -88,3 +88,58 @@ def assign(pairs: DataFrame, keys: Sequence[str] = ("frame",)) -> DataFrame:
         return np.where(chosen[np.searchsorted(rows, a)] == np.searchsorted(cols, b), 0, -1)
 
     return per_frame(pairs.select(*keys, "a", "b", "distance"), keys, ["a", "b", "distance"], one, "_kept").filter("_kept = 0").drop("_kept")
+
+
+def padded(cost: np.ndarray, value: float = 0.0) -> np.ndarray:
+    """A square matrix with the costs in its corner and value elsewhere."""
+    n = max(cost.shape)
+    out = np.full((n, n), float(value))
+    out[: cost.shape[0], : cost.shape[1]] = cost
+    return out
+
+
+def integer_scale(cost: np.ndarray, most: int = 1 << 40) -> float:
+    """The largest power of two by which finite costs may be multiplied so that they stay under most in size; 1 for costs of 0."""
+    top = np.abs(cost[np.isfinite(cost)]).max(initial=0)
+    return float(2.0 ** np.floor(np.log2(most / top))) if top else 1.0
+
+
+def auction(cost: np.ndarray, most: int = 1 << 30) -> tuple[np.ndarray, np.ndarray]:
+    """As solve(), by bidding: rows bid for their best column against its second best, with smaller and smaller increments. Costs are rounded to integers by integer_scale(), so sums may differ from the least by the rounding."""
+    cost = np.atleast_2d(np.asarray(cost, float))
+    if not cost.size:
+        return np.zeros(0, int), np.zeros(0, int)
+    full = padded(fill_forbidden(cost))
+    n = len(full)
+    value = -np.rint(full * integer_scale(full, most)).astype(np.int64) * (n + 1)
+    price, eps = np.zeros(n, np.int64), max(1, int(np.abs(value).max()) // 4)
+    while True:
+        owner, has = np.full(n, -1), np.full(n, -1)
+        free = list(range(n))
+        while free:
+            i = free.pop()
+            gain = value[i] - price
+            j = int(gain.argmax())
+            best = gain[j]
+            gain[j] = np.iinfo(np.int64).min
+            price[j] += (best - gain.max() if n > 1 else 0) + eps
+            if owner[j] >= 0:
+                has[owner[j]] = -1
+                free.append(int(owner[j]))
+            owner[j], has[i] = i, j
+        if eps == 1:
+            break
+        eps = max(1, eps // 8)
+    rows = np.arange(cost.shape[0])
+    ok = has[: len(rows)] < cost.shape[1]
+    rows, cols = rows[ok], has[: len(ok)][ok]
+    keep = np.isfinite(cost[rows, cols])
+    return rows[keep], cols[keep]
+
+
+SOLVERS = {"paths": solve, "auction": auction}
+
+
+def solver(name: str = "paths"):  # noqa: ANN201
+    """A solver by name: paths is exact, auction to the rounding of costs."""
+    return SOLVERS[name]

@@ -155,3 +155,21 @@ def permutation_importance(apply: Callable[[DataFrame], DataFrame], df: DataFram
     return out
 
 
+
+
+def forward_selection(make: Callable[[list[str]], Step], columns: Sequence[str], k: int, df: DataFrame, target: str, score: str = "r2", fold: str = "fold") -> list[tuple[str, float]]:
+    """k columns, each the one that adds most to the mean score over folds beside those before it (ties to the first), with that score."""
+    chosen: list[tuple[str, float]] = []
+    while len(chosen) < k:
+        left = [c for c in columns if c not in [x for x, _ in chosen]]
+        scores = [cross_validate(make([*[x for x, _ in chosen], c]), df, target, (score,), fold).agg(F.avg(score)).head()[0] for c in left]
+        at = max(range(len(left)), key=lambda i: (scores[i], -i))
+        chosen.append((left[at], scores[at]))
+    return chosen
+
+
+def trustworthiness(original: DataFrame, embedded: DataFrame, n: int, k: int) -> DataFrame:
+    """One row: how far the k nearest rows (query_id, id) in an embedding are near in the original, where embedded has them and original the rank of every row for each query (query_id, id, rank); 1 if all are among the k nearest there. n is the number of rows."""
+    far = embedded.join(original, ["query_id", "id"]).select("query_id", F.greatest(F.col("rank") - k, F.lit(0)).alias("off"))
+    q = original.agg(F.count_distinct("query_id").alias("q"))
+    return far.agg(F.sum("off").alias("s")).crossJoin(F.broadcast(q)).select((1 - 2 / (F.col("q") * k * (2 * n - 3 * k - 1)) * F.col("s")).alias("trustworthiness"))

@@ -32,3 +32,11 @@ def hashed_counts(df: DataFrame, doc: str, text: str, buckets: int = 1 << 18, to
     """doc, bucket, n: tokens counted by a hash of fixed range, so no vocabulary is needed."""
     c = term_counts(df, doc, text, token)
     return c.groupBy(doc, F.pmod(F.hash("term"), F.lit(buckets)).alias("bucket")).agg(F.sum("n").alias("n"))
+
+
+def vectorized(df: DataFrame, key: str, features: str) -> DataFrame:
+    """key, feature and x for a column of named values (map<string,string>): numbers as they are, other values as name=value with 1; nulls and zeros are left out."""
+    rows = df.select(key, F.explode(features).alias("name", "value")).filter("value is not null")
+    number = F.expr("try_cast(value AS DOUBLE)")
+    out = rows.select(key, F.when(number.isNotNull(), F.col("name")).otherwise(F.concat("name", F.lit("="), "value")).alias("feature"), F.coalesce(number, F.lit(1.0)).alias("x"))
+    return out.groupBy(key, "feature").agg(F.sum("x").alias("x")).filter("x <> 0")

@@ -112,3 +112,20 @@ def fill_curve(tracks: DataFrame, *, key: Sequence[str] = KEY, columns: Sequence
         return pd.concat(out)[[*key, "frame", *columns, "filled"]]
 
     return tracks.select(*key, "frame", *columns).groupBy(*key).applyInPandas(one, schema)
+
+
+def delete_boxes(tracks: DataFrame, which: DataFrame, keys: Sequence[str] = ("seq", "frame", "id")) -> DataFrame:
+    """tracks without the boxes (keys) of which."""
+    return tracks.join(which.select(*keys), list(keys), "left_anti")
+
+
+def replace_boxes(tracks: DataFrame, edits: DataFrame, keys: Sequence[str] = ("seq", "frame", "id"), columns: Sequence[str] = ("x", "y", "w", "h")) -> DataFrame:
+    """tracks with the columns of the boxes that edits (keys, columns) has taken from there; edits of boxes that aren't there change nothing."""
+    new = edits.select(*keys, F.lit(True).alias("_edit"), *[F.col(c).alias(f"_{c}") for c in columns])
+    j = tracks.join(new, list(keys), "left")
+    return j.select(*[F.when(F.col("_edit"), F.col(f"_{c}")).otherwise(F.col(c)).alias(c) if c in columns else c for c in tracks.columns])
+
+
+def having_class(tracks: DataFrame, classes: Sequence[int], key: Sequence[str] = ("seq",)) -> DataFrame:
+    """The different values of key with a box of one of the classes."""
+    return tracks.filter(F.col("class_id").isin(*classes)).select(*key).distinct()

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import classification, clustering_metrics, links, metric_registry, models, neighbors, preprocessing, regression, selection, sparse, tracks
+from ..operators import classification, clustering_metrics, compose, gram, kernel_models, links, metric_registry, model_selection, models, neighbors, preprocessing, regression, robust, selection, sparse, text, tracks
 from . import tables as t
 from .registry import BASE, BOX, LOG, log, query, rounded
 from .registry_ml import DSQ, LONG, ML, N, CUM, CON, _multilabel
-from .registry_models import EV, ev
+from .registry_models import EV, SEARCH, ev, share_sql
 
 C = F.col
 
@@ -293,3 +293,99 @@ def mixture_of_normals(spark: SparkSession, sf: str) -> DataFrame:
     from pyspark.ml.clustering import GaussianMixture
 
     return _fitted(spark, sf, GaussianMixture(k=3, seed=5, maxIter=20), F.lit(0.0))
+
+
+# ---- lines, selection forward, moments, edits, kernels
+
+
+PAIRED = "p AS (SELECT k, floor((r - 1) / 2) AS pair, arg_min(x, r) AS x1, arg_min(y, r) AS y1, arg_max(x, r) AS x2, arg_max(y, r) AS y2 FROM (SELECT x2 AS x, y, floor({one} * 64) AS k, row_number() OVER (PARTITION BY floor({one} * 64) ORDER BY {zero}, id) AS r FROM ev) GROUP BY k, pair), l AS (SELECT k, pair, (y2 - y1) / (x2 - x1) AS slope, y1 - (y2 - y1) / (x2 - x1) * x1 AS intercept FROM p WHERE x1 <> x2)".format(one=share_sql("id", "'1'"), zero=share_sql("id", "'0'"))
+
+
+@query(f"{EV}, {PAIRED}, s AS (SELECT quantile_disc(slope, 0.5) AS slope FROM l) SELECT round(slope, 5) AS slope, round(quantile_disc(y - slope * x2, 0.5), 4) AS intercept FROM ev, s GROUP BY slope")
+def median_line(spark: SparkSession, sf: str) -> DataFrame:
+    m = robust.median_line(ev(spark, sf), "x2", "y", "id")
+    return m.select(F.round("slope", 5).alias("slope"), F.round("intercept", 4).alias("intercept"))
+
+
+@query(f"{EV}, {PAIRED}, c AS (SELECT * FROM l WHERE pair = 0 ORDER BY k LIMIT 20), n AS (SELECT k, c.slope, c.intercept, count_if(abs(y - c.slope * x2 - c.intercept) <= 30) AS n, sum(CASE WHEN abs(y - c.slope * x2 - c.intercept) <= 30 THEN pow(y - c.slope * x2 - c.intercept, 2) END) AS s FROM ev, c GROUP BY ALL), b AS (SELECT * FROM n ORDER BY n DESC, s, k LIMIT 1) SELECT round(regr_slope(y, x2), 6) AS slope, round(regr_intercept(y, x2), 5) AS intercept, count(*) AS n FROM ev, b WHERE abs(y - b.slope * x2 - b.intercept) <= 30")
+def consensus_line(spark: SparkSession, sf: str) -> DataFrame:
+    c = robust.consensus_line(ev(spark, sf), "x2", "y", "id", within=30.0, tries=20)
+    return c.select(F.round("slope", 6).alias("slope"), F.round("intercept", 5).alias("intercept"), "n")
+
+
+@query(f"{EV}, w AS (SELECT regr_slope(CASE WHEN kind = 'a' THEN 1 ELSE -1 END, x2) AS b, regr_intercept(CASE WHEN kind = 'a' THEN 1 ELSE -1 END, x2) AS a FROM ev) SELECT kind, CASE WHEN a + b * x2 > 0 THEN 'a' ELSE 'other' END AS predicted, count(*) AS n FROM ev, w GROUP BY ALL")
+def ridge_classifier(spark: SparkSession, sf: str) -> DataFrame:
+    e = ev(spark, sf).withColumn("side", F.when(C("kind") == "a", 1.0).otherwise(-1.0))
+    out = compose.linear(["x2"], "side")(e)(e).withColumn("predicted", F.when(C("prediction") > 0, "a").otherwise("other"))
+    return out.groupBy("kind", "predicted").agg(F.count("*").alias("n"))
+
+
+@query(f"{SEARCH} SELECT x AS \"column\", round(mean_score, 6) AS score FROM g WHERE alpha = 0 ORDER BY mean_score DESC LIMIT 1")
+def forward_selection(spark: SparkSession, sf: str) -> DataFrame:
+    chosen = model_selection.forward_selection(lambda c: compose.linear(c, "y"), ["x1", "x2"], 1, ev(spark, sf), "y")
+    return rounded(spark.createDataFrame([(c, float(s)) for c, s in chosen], "column string, score double"), "score")
+
+
+@query(f"{EV} SELECT count(*) AS n, round(avg(x1), 6) AS mean, round(regr_sxy(y, x1) / count(*), 4) AS covariance, round(var_pop(y), 3) AS variance FROM ev")
+def incremental_moments(spark: SparkSession, sf: str) -> DataFrame:
+    e = ev(spark, sf)
+    parts = [gram.moments(e.filter(C("fold") == k), ["x1"], "y") for k in range(3)]
+    m = gram.merged(gram.merged(parts[0], parts[1]), parts[2])
+    return spark.createDataFrame([(m.n, round(float(m.mean[0]), 6), round(float(m.xy[0] / m.n), 4), round(m.yy / m.n, 3))], "n long, mean double, covariance double, variance double")
+
+
+@query(f"{BASE}, o AS (SELECT a.id AS q, b.id, row_number() OVER (PARTITION BY a.id ORDER BY round(sqrt({DSQ}), 9), b.id) AS r FROM vec a JOIN vec b ON a.id % 20 = 0 AND a.id <> b.id), e AS (SELECT a.id AS q, b.id FROM vec a JOIN vec b ON a.id % 20 = 0 AND a.id <> b.id QUALIFY row_number() OVER (PARTITION BY a.id ORDER BY round(sqrt(pow(a.v[1] - b.v[1], 2) + pow(a.v[2] - b.v[2], 2)), 9), b.id) <= 5) SELECT round(1 - 2.0 / ((SELECT count(DISTINCT q) FROM o) * 5 * (2 * (SELECT count(*) FROM vec) - 16)) * sum(greatest(r - 5, 0)), 6) AS trustworthiness FROM e JOIN o USING (q, id)")
+def trustworthiness(spark: SparkSession, sf: str) -> DataFrame:
+    v = t.vectors(spark, sf).select("id", "v")
+    n = v.count()
+    flat = v.select("id", F.slice("v", 1, 2).alias("v"))
+    original = neighbors.nearest(v.filter("id % 20 = 0"), v, k=n)
+    return rounded(model_selection.trustworthiness(original.select("query_id", "id", "rank"), neighbors.nearest(flat.filter("id % 20 = 0"), flat, k=5).select("query_id", "id"), n, 5), "trustworthiness")
+
+
+@query(f"{NEAR} SELECT round(avg(m), 6) AS bandwidth FROM (SELECT q, max(d) AS m FROM n GROUP BY q)")
+def estimate_bandwidth(spark: SparkSession, sf: str) -> DataFrame:
+    n, _ = _near(spark, sf)
+    return n.groupBy("query_id").agg(F.max("distance").alias("m")).agg(F.round(F.avg("m"), 6).alias("bandwidth"))
+
+
+@query("SELECT event_id, 'kind=' || event_type AS feature, 1.0::DOUBLE AS x FROM events UNION ALL SELECT event_id, 'user', CAST(user_id AS DOUBLE) FROM events WHERE user_id <> 0")
+def dict_vectorize(spark: SparkSession, sf: str) -> DataFrame:
+    e = t.read(spark, sf, "events").select("event_id", F.create_map(F.lit("kind"), C("event_type"), F.lit("user"), C("user_id").cast("string")).alias("m"))
+    return text.vectorized(e, "event_id", "m")
+
+
+@query(f"{BASE} SELECT seq, track_id, frame, id, CASE WHEN id % 5 = 1 THEN 1.0 ELSE x END AS x, CASE WHEN id % 5 = 1 THEN 2.0 ELSE y END AS y, CASE WHEN id % 5 = 1 THEN w + 1 ELSE w END AS w, h FROM track WHERE id % 7 <> 0")
+def edit_boxes(spark: SparkSession, sf: str) -> DataFrame:
+    d = t.tracks(spark, sf).select("seq", "track_id", "frame", "id", *BOX)
+    edits = d.filter("id % 5 = 1").select("seq", "frame", "id", F.lit(1.0).alias("x"), F.lit(2.0).alias("y"), (C("w") + 1).alias("w"), "h")
+    return tracks.delete_boxes(tracks.replace_boxes(d, edits), d.filter("id % 7 = 0")).select("seq", "track_id", "frame", "id", *BOX)
+
+
+@query(f"{BASE} SELECT DISTINCT seq, track_id FROM track WHERE class_id IN (1, 2)")
+def sequences_having_class(spark: SparkSession, sf: str) -> DataFrame:
+    return tracks.having_class(t.tracks(spark, sf), [1, 2], ["seq", "track_id"])
+
+
+def _landmarked(spark: SparkSession, sf: str):  # noqa: ANN202
+    v = t.vectors(spark, sf).withColumn("y", C("label").cast("double"))
+    return v, kernel_models.landmarks(v, 100)
+
+
+@query()
+def kernel_ridge(spark: SparkSession, sf: str) -> DataFrame:
+    v, z = _landmarked(spark, sf)
+    return v.select("id", kernel_models.kernel_ridge(v, z, gamma=0.5, alpha=0.1).predict(C("v")).alias("prediction"))
+
+
+@query()
+def gaussian_process(spark: SparkSession, sf: str) -> DataFrame:
+    v, z = _landmarked(spark, sf)
+    m = kernel_models.gaussian_process(v, z, gamma=0.5, noise=0.1)
+    return v.select("id", m.predict(C("v")).alias("mean"), m.variance(C("v")).alias("variance"))
+
+
+@query()
+def kernel_components(spark: SparkSession, sf: str) -> DataFrame:
+    v, z = _landmarked(spark, sf)
+    return v.select("id", kernel_models.kernel_components(v, z, 3, gamma=0.5)[1].alias("components"))
