@@ -390,11 +390,13 @@ def drop_near_copies(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     # texts go through one exchange only: what is stored are ids and fingerprints
     ids = stored(df.select(F.col(doc_id).alias("doc_id"), sketches(F.col(text), print_shingle, kinds, seed).alias("s")).select("doc_id", "s.key", "s.fps"), "ids")
     nodes = stored(ids.groupBy("key").agg(F.min("doc_id").alias("min_id"), F.min("fps").alias("fps")), "nodes")
-    texts = df.select(text_keys(F.col(text)).alias("key"), F.col(text).alias("text"))
+    # a key that can't be null: Spark would compute one that could be twice, first to see whether it is
+    own = F.coalesce(text_keys(F.col(text)), F.lit(0))
+    texts = df.select(own.alias("key"), F.col(text).alias("text"))
     roots = near_groups(texts, nodes, shingle=shingle, radius=radius, kinds=kinds, similarity=similarity, seed=seed, block=block, broadcast_rows=broadcast_rows)
     groups = stored(nodes.select("key", "min_id").join(roots, F.col("key") == F.col("node"), "left").select("key", "min_id", F.coalesce("root", "key").alias("root")), "groups")
     best = groups.groupBy("root").agg(F.min(F.struct(F.col("min_id").isNull().alias("no_id"), F.col("min_id").alias("id"), F.col("key").alias("key"))).alias("b"))
     best = best.select(F.col("b.key").alias("_key"), F.coalesce(F.concat(F.lit("="), F.col("b.id").cast("string")), F.lit("")).alias("_id"))
-    single = df.select(*[F.col(c).alias(f"_in_{i}") for i, c in enumerate(df.columns)], name, text_keys(F.col(text)).alias("key")).dropDuplicates(["key", "id"])
+    single = df.select(*[F.col(c).alias(f"_in_{i}") for i, c in enumerate(df.columns)], name, own.alias("key")).dropDuplicates(["key", "id"])
     out = single.join(best, (F.col("key") == F.col("_key")) & (F.col("id") == F.col("_id")), "left_semi")
     return out.select(*[F.col(f"_in_{i}").alias(c) for i, c in enumerate(df.columns)])
