@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from trailmill.operators import clustering, clustering_metrics, compose, folds, links, meta, metric_registry, model_selection, neighbors, preprocessing, regression, selection, sparse, tracks
+from trailmill.operators import clustering, clustering_metrics, compose, folds, gram, kernel_models, lap, links, meta, metric_registry, model_selection, neighbors, preprocessing, regression, robust, selection, sparse, text, tracks
 from trailmill.sources import synthetic
 
 
@@ -151,3 +151,60 @@ def test_made_tables(spark):
     m = {(r.i, r.j): r.x for r in synthetic.positive_definite(spark, 12, 0.5).collect()}
     a = np.array([[m[i, j] for j in range(12)] for i in range(12)])
     assert np.allclose(a, a.T) and np.linalg.eigvalsh(a).min() > 0
+
+
+def test_lines_resist_outliers(spark):
+    rng = random.Random(2)
+    rows = [(i, float(i % 50), 3.0 * (i % 50) + 7 + rng.gauss(0, 0.01) if i % 5 else rng.uniform(-500, 500)) for i in range(800)]
+    df = spark.createDataFrame(rows, "id long, x double, y double")
+    m = robust.median_line(df, "x", "y", "id").head()
+    assert abs(m.slope - 3) < 0.1 and abs(m.intercept - 7) < 3
+    c = robust.consensus_line(df, "x", "y", "id", within=1.0).head()
+    assert abs(c.slope - 3) < 0.01 and abs(c.intercept - 7) < 0.1 and 620 <= c.n < 660
+    assert robust.consensus_line(df.limit(1), "x", "y", "id", within=1.0).head().n == 1
+
+
+def test_kernel_models_are_exact_with_all_landmarks(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(60, 2))
+    y = np.sin(x[:, 0]) + x[:, 1] ** 2
+    df = spark.createDataFrame([(i, [float(c) for c in v], float(t)) for i, (v, t) in enumerate(zip(x, y, strict=True))], "id long, v array<double>, y double")
+    z = kernel_models.landmarks(df, 100)
+    k = kernel_models.gaussian(x, x, 0.5)
+    ridge = {r.id: r.p for r in df.select("id", kernel_models.kernel_ridge(df, z, gamma=0.5, alpha=0.1).predict(F.col("v")).alias("p")).collect()}
+    assert np.allclose([ridge[i] for i in range(60)], k @ np.linalg.solve(k + 0.1 * np.eye(60), y), atol=1e-5)
+    g = kernel_models.gaussian_process(df, z, gamma=0.5, noise=0.1)
+    got = {r.id: (r.m, r.s) for r in df.select("id", g.predict(F.col("v")).alias("m"), g.variance(F.col("v")).alias("s")).collect()}
+    want = np.diag(k - k @ np.linalg.solve(k + 0.1 * np.eye(60), k))
+    assert np.allclose([got[i][0] for i in range(60)], k @ np.linalg.solve(k + 0.1 * np.eye(60), y), atol=1e-4) and np.allclose([got[i][1] for i in range(60)], want, atol=1e-4)
+    c = np.eye(60) - 1 / 60
+    values = np.linalg.eigvalsh(c @ k @ c)[::-1][:3] / 60
+    assert np.allclose(kernel_models.kernel_components(df, z, 3, gamma=0.5)[0], values, atol=1e-8)
+
+
+def test_assignment_solvers_agree():
+    rng = np.random.default_rng(5)
+    for n, m in ((1, 1), (4, 4), (6, 9), (9, 5), (20, 20)):
+        cost = rng.uniform(0, 10, (n, m))
+        cost[rng.random((n, m)) < 0.2] = np.nan
+        (a, b), (c, d) = lap.solve(cost), lap.solver("auction")(cost)
+        assert len(a) == len(c) == len(set(c)) == len(set(d)) and abs(cost[a, b].sum() - cost[c, d].sum()) < 1e-4
+    assert lap.padded(np.ones((2, 3))).shape == (3, 3) and lap.integer_scale(np.array([[0.5, 2.0]]), 1 << 10) == 512.0
+
+
+def test_vectorized_and_edits(spark):
+    df = spark.createDataFrame([(1, {"a": "2.5", "b": "x"}), (2, {"a": "0", "b": None})], "id long, m map<string,string>")
+    assert {(r.id, r.feature, r.x) for r in text.vectorized(df, "id", "m").collect()} == {(1, "a", 2.5), (1, "b=x", 1.0)}
+    t = spark.createDataFrame([("s", 1, 7, 1.0, 1.0, 1.0, 1.0), ("s", 2, 7, 2.0, 2.0, 2.0, 2.0)], "seq string, frame long, id long, x double, y double, w double, h double")
+    edit = spark.createDataFrame([("s", 1, 7, 9.0, None, 9.0, 9.0), ("s", 8, 8, 0.0, 0.0, 0.0, 0.0)], t.schema)
+    assert sorted(map(tuple, tracks.replace_boxes(t, edit).collect())) == [("s", 1, 7, 9.0, None, 9.0, 9.0), ("s", 2, 7, 2.0, 2.0, 2.0, 2.0)]
+    assert [r.frame for r in tracks.delete_boxes(t, edit).collect()] == [2]
+
+
+def test_moments_go_on(spark, table):
+    parts = [gram.moments(table.filter(F.col("fold") == k), ["x1", "x2"], "y") for k in range(4)]
+    m = parts[0]
+    for p in parts[1:]:
+        m = gram.merged(m, p)
+    whole = gram.moments(table, ["x1", "x2"], "y")
+    assert m.n == whole.n and np.allclose(m.mean, whole.mean) and np.allclose(m.c, whole.c)
