@@ -397,6 +397,32 @@ def test_quality(spark):
     assert quality.quality_scores(docs.filter("false"), labels, keep=["doc_id"]).collect() == []
 
 
+def test_quality_against_plain(spark):
+    docs, labels = labelled(spark, ["$$$###", "!!!!!", "|||"])
+    y = {r.doc_id: r.quality for r in labels.collect() if r.quality is not None and r.doc_id is not None}
+    texts = [(r.doc_id, (r.text or "").encode()) for r in docs.collect()]
+    out = quality.quality_scores(docs, labels, keep=["doc_id"], rows_a_sum=10).collect()  # over 50 sums, so three levels of merges
+    rows = [(quality.statistics(t), float(y[i]), i) for i, t in texts if i in y]
+    fold_of = {r.doc_id: r.f for r in docs.select("doc_id", F.pmod(F.xxhash64(F.lit(3), F.col("doc_id").cast("string")), F.lit(quality.FOLDS)).alias("f")).collect()}
+    x, t, fold = np.array([r[0] for r in rows]), np.array([r[1] for r in rows]), np.array([fold_of[r[2]] for r in rows])
+    mean, scale = x.mean(axis=0), np.sqrt(np.maximum((x**2).mean(axis=0) - x.mean(axis=0) ** 2, 1e-12))
+    rng = np.random.default_rng(11)
+    freq = rng.normal(size=(quality.N_STATS, 192)) / np.sqrt(quality.N_STATS)
+    phase = rng.uniform(0, 2 * np.pi, 192)
+    phi = lambda a: np.column_stack([np.sqrt(2 / 192) * np.cos(np.clip((a - mean) / scale, -8, 8) @ freq + phase), np.ones(len(a))])
+    penalty = 1e-3 * len(t) * np.eye(193) / 193
+    penalty[-1, -1] = 1e-9
+    fit = lambda m: np.linalg.solve(phi(x[m]).T @ phi(x[m]) + penalty, phi(x[m]).T @ t[m])
+    held = np.array([phi(x[i : i + 1])[0] @ fit(fold != fold[i]) for i in range(len(t))])
+    bins = np.clip((held + 0.5) / 2 * quality.BINS, 0, quality.BINS - 1).astype(int)
+    at = sorted(set(bins.tolist()))
+    n, m = [int((bins == b).sum()) for b in at], [t[bins == b].mean() for b in at]
+    curve = [max(min(sum(a * b for a, b in zip(n[i : k + 1], m[i : k + 1], strict=True)) / sum(n[i : k + 1]) for k in range(j, len(at))) for i in range(j + 1)) for j in range(len(at))]
+    raw = phi(np.array([quality.statistics(t) for _, t in texts])) @ fit(np.ones(len(t), bool))
+    want = np.interp(raw, [-0.5 + (b + 0.5) * 2 / quality.BINS for b in at], curve)
+    assert np.allclose(sorted(r.score for r in out), sorted(want), atol=0.02) and np.mean(np.abs(np.sort([r.score for r in out]) - np.sort(want)) < 1e-6) > 0.95
+
+
 def test_isotonic():
     from trailmill.llm.calibration import pav
 
@@ -730,6 +756,25 @@ def test_share_targets():
     assert mixing.share_targets([], [], 0, 2) == []
 
 
+def plain_targets(sizes, weights, total, ceiling):
+    """Targets by raising one common level until the total is shared out: each source gets level times its weight, but no more than its ceiling."""
+    lo, hi = 0.0, 2.0 * total / min(weights) + 1
+    give = lambda level: [min(level * w, ceiling * s) for w, s in zip(weights, sizes, strict=True)]
+    for _ in range(200):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if sum(give(mid)) < total else (lo, mid)
+    return give(hi)
+
+
+def test_share_targets_against_plain():
+    rng = random.Random(3)
+    for _ in range(50):
+        sizes = [rng.choice([0, 1, 50, 1000, 30_000]) + rng.randrange(9) for _ in range(rng.randrange(1, 12))]
+        weights = [(5, 2, 1)[i % 3] for i in range(len(sizes))]
+        got = mixing.share_targets(sizes, weights, 1.5 * sum(sizes), 2.0)
+        assert np.allclose(got, plain_targets(sizes, weights, 1.5 * sum(sizes), 2.0), rtol=1e-9, atol=1e-6)
+
+
 def test_flight_keeps_totals():
     rng = np.random.default_rng(0)
     w = rng.integers(1, 500, 300).astype(float)
