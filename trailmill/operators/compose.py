@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import gram, models
+from .ranks import quantiles
 
 Apply = Callable[[DataFrame], DataFrame]
 Step = Callable[[DataFrame], Apply]
@@ -164,7 +165,7 @@ def constant_prediction(target: str, how: str = "mean", out: str = "prediction",
     def fit(df: DataFrame) -> Apply:
         y = F.col(target).cast("double")
         share = 0.5 if how == "median" else how
-        v = value if how == "constant" else df.agg(F.avg(y) if how == "mean" else F.percentile(y, share)).head()[0]
+        v = value if how == "constant" else df.agg(F.avg(y)).head()[0] if how == "mean" else quantiles(df, target, [share])[0]
         return lambda d: d.withColumn(out, F.lit(v))
 
     return fit

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import numbered
+
 
 def k_fold(df: DataFrame, key: str, k: int, out: str = "fold") -> DataFrame:
     """fold by a hash of key: stable under new rows and without a shuffle."""
@@ -18,6 +20,15 @@ def modular_fold(df: DataFrame, key: str, k: int, out: str = "fold") -> DataFram
     return df.withColumn(out, F.pmod(F.col(key), F.lit(k)).cast("int"))
 
 
+def contiguous_fold(df: DataFrame, order: Sequence[str], k: int, out: str = "fold") -> DataFrame:
+    """fold by place in an order: k runs of rows, as even as can be, the longer ones first."""
+    n = df.count()
+    place, big, size = F.col("_place"), n % k, n // k
+    late = F.floor((place - big * (size + 1)) / max(1, size)) + big
+    fold = F.when(place < big * (size + 1), F.floor(place / (size + 1))).otherwise(late)
+    return numbered(df, *order, out="_place").withColumn(out, fold.cast("int")).drop("_place")
+
+
 def stratified_fold(df: DataFrame, label: str, key: str, k: int, out: str = "fold", salts: int = 64) -> DataFrame:
     """fold such that each label's rows are dealt evenly: rows are ranked within (label, a digest of key), so a label that holds most rows is dealt over salts tasks."""
     from .model_selection import share_of
@@ -29,7 +40,7 @@ def stratified_fold(df: DataFrame, label: str, key: str, k: int, out: str = "fol
 def group_fold(df: DataFrame, group: str, k: int, out: str = "fold") -> DataFrame:
     """fold such that a group's rows stay together: groups by size, dealt in turn."""
     g = df.groupBy(group).agg(F.count("*").alias("_n"))
-    g = g.withColumn(out, F.pmod(F.row_number().over(Window.orderBy(F.desc("_n"), group)) - 1, F.lit(k)).cast("int")).drop("_n")
+    g = numbered(g, F.desc("_n"), F.col(group), out="_place").select(group, F.pmod(F.col("_place"), F.lit(k)).cast("int").alias(out))
     return df.join(g, group)
 
 

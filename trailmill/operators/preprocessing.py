@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import numbered, quantiles
+
 
 def _stats(df: DataFrame, columns: Sequence[str], **aggs) -> dict[str, dict[str, float]]:
     row = df.agg(*[f(F.col(c)).alias(f"{n}|{c}") for n, f in aggs.items() for c in columns]).head()
@@ -35,8 +37,8 @@ def maxabs_scale(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def robust_scale(df: DataFrame, columns: Sequence[str], low: float = 0.25, high: float = 0.75) -> DataFrame:
     """Median 0 and unit range between two quantiles (interpolated)."""
-    s = _stats(df, columns, m=lambda c: F.percentile(c, 0.5), a=lambda c: F.percentile(c, low), b=lambda c: F.percentile(c, high))
-    return df.withColumns({c: (F.col(c) - float(s["m"][c] or 0.0)) / _safe((s["b"][c] or 0.0) - (s["a"][c] or 0.0)) for c in columns})
+    s = {c: quantiles(df, c, [0.5, low, high]) for c in columns}
+    return df.withColumns({c: (F.col(c) - float(m or 0.0)) / _safe((b or 0.0) - (a or 0.0)) for c, (m, a, b) in s.items()})
 
 
 def normalize(df: DataFrame, columns: Sequence[str], kind: str = "l2") -> DataFrame:
@@ -52,7 +54,7 @@ def binarize(df: DataFrame, columns: Sequence[str], threshold: float = 0.0) -> D
 
 def categories(df: DataFrame, column: str) -> DataFrame:
     """column and code: distinct values in order, from 0. Codes go over the distinct values only."""
-    return df.select(column).filter(F.col(column).isNotNull()).distinct().withColumn("code", F.row_number().over(Window.orderBy(column)) - 1)
+    return numbered(df.select(column).filter(F.col(column).isNotNull()).distinct(), column, out="code").withColumn("code", F.col("code").cast("int"))
 
 
 def ordinal(df: DataFrame, column: str, out: str) -> DataFrame:
@@ -74,7 +76,7 @@ def bins_uniform(df: DataFrame, column: str, k: int, out: str) -> DataFrame:
 
 def bins_quantile(df: DataFrame, column: str, k: int, out: str) -> DataFrame:
     """Number of the bin between k interpolated quantiles; a value on an edge belongs to the bin above."""
-    edges = df.agg(F.percentile(column, [i / k for i in range(1, k)])).head()[0] or []
+    edges = [e for e in quantiles(df, column, [i / k for i in range(1, k)]) if e is not None]
     n: Column = F.lit(0)
     for e in sorted(set(edges)):
         n = n + F.when(F.col(column) >= float(e), 1).otherwise(0)

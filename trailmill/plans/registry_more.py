@@ -189,6 +189,11 @@ def stratified_split(spark: SparkSession, sf: str) -> DataFrame:
     return folds.stratified_split(t.read(spark, sf, "orders").select("o_orderkey", "o_orderstatus"), "o_orderstatus", "o_orderkey")
 
 
+@query("WITH r AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice, o_orderkey) - 1 AS r, count(*) OVER () AS n FROM orders) SELECT o_orderkey, CAST(CASE WHEN r < (n % 7) * (n // 7 + 1) THEN r // (n // 7 + 1) ELSE (r - (n % 7) * (n // 7 + 1)) // (n // 7) + n % 7 END AS INT) AS fold FROM r")
+def contiguous_fold(spark: SparkSession, sf: str) -> DataFrame:
+    return folds.contiguous_fold(t.read(spark, sf, "orders").select("o_orderkey", "o_totalprice"), ["o_totalprice", "o_orderkey"], 7).select("o_orderkey", "fold")
+
+
 @query("WITH g AS (SELECT DISTINCT event_type AS g FROM events), p AS (SELECT a.g AS a, b.g AS b, CAST(row_number() OVER (ORDER BY a.g, b.g) - 1 AS INT) AS split FROM g a JOIN g b ON a.g < b.g) SELECT event_id, event_type, split, CASE WHEN event_type IN (a, b) THEN 'test' ELSE 'train' END AS part FROM events, p")
 def leave_groups_out(spark: SparkSession, sf: str) -> DataFrame:
     return folds.leave_groups_out(t.read(spark, sf, "events").select("event_id", "event_type"), "event_type", 2)
