@@ -95,3 +95,8 @@ def additive_chi2_features(a: Column, steps: int = 2, interval: float = 0.8) ->
         return F.array(*out)
 
     return F.flatten(F.transform(a, of))
+
+
+#: Kernels and distances of two array columns by name; those with further arguments take them by keyword.
+KERNELS = {"linear": dot, "rbf": rbf, "polynomial": polynomial, "laplacian": laplacian, "sigmoid": sigmoid, "additive_chi2": additive_chi2, "chi2": chi2_kernel}
+DISTANCES = {"sqeuclidean": squared_distance, "manhattan": manhattan, "chebyshev": chebyshev, "cosine": cosine_distance, "nan_euclidean": nan_euclidean}

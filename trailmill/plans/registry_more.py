@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import vectors
-from ..operators import folds, sparse
+from ..operators import folds, images, sparse, targets
 from ..sources import synthetic
 from . import tables as t
 from .registry import BASE, query, rounded
@@ -309,3 +309,62 @@ def make_sparse_coded(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"{MADE}, l AS (SELECT id, list_filter([{', '.join(f'CASE WHEN {u(f"class{k}")} < {k + 1} / 6.0::DOUBLE THEN {k} END' for k in range(5))}], lambda x: x IS NOT NULL) AS labels FROM r), d AS (SELECT id, len(labels) AS n_labels, list_count(list_filter([{', '.join(f'(CAST(floor({u(f"word{w}")} * 20) AS INT) + coalesce(labels[1], 0) * 4) % 20' for w in range(30))}], lambda x: x = 3)) AS c FROM l) SELECT id, CAST(n_labels AS INT) AS n_labels, CAST(c AS INT) AS count_3 FROM d")
 def make_multilabel(spark: SparkSession, sf: str) -> DataFrame:
     return synthetic.multilabel(spark, N_MADE).select("id", F.size("labels").alias("n_labels"), C("counts")[3].alias("count_3"))
+
+
+# ---- images and labels
+
+PIX = "WITH m AS (SELECT l_orderkey // 7 AS i, l_orderkey % 7 * 7 + l_linenumber - 1 AS j, sum(l_quantity) AS x FROM lineitem GROUP BY ALL), s AS (SELECT max(i) + 1 AS rows FROM m)"
+
+
+def _pixels(spark: SparkSession, sf: str) -> DataFrame:
+    d = t.read(spark, sf, "lineitem")
+    return d.groupBy(F.floor(C("l_orderkey") / 7).cast("long").alias("i"), (C("l_orderkey") % 7 * 7 + C("l_linenumber") - 1).alias("j")).agg(F.sum("l_quantity").alias("x"))
+
+
+@query(f"{PIX}, d AS (SELECT i - di AS pi, j - dj AS pj, CAST(di AS INT) AS di, CAST(dj AS INT) AS dj, x FROM m, (SELECT unnest([0, 1]) AS di), (SELECT unnest([0, 1, 2]) AS dj)) SELECT d.* FROM d, s WHERE pi >= 0 AND pj >= 0 AND pi <= rows - 2 AND pj <= 46")
+def image_patches(spark: SparkSession, sf: str) -> DataFrame:
+    p = _pixels(spark, sf)
+    return images.patches(p, 2, 3, p.agg(F.max("i") + 1).head()[0], 49)
+
+
+@query(f"{PIX} SELECT i, j, round(x, 6) AS x FROM m")
+def image_from_patches(spark: SparkSession, sf: str) -> DataFrame:
+    """Patches of one pixel at least hold every pixel, so taking them apart and together gives the image again."""
+    p = _pixels(spark, sf)
+    return rounded(images.from_patches(images.patches(p, 2, 3, p.agg(F.max("i") + 1).head()[0], 49)), "x")
+
+
+@query(f"{PIX} SELECT a.i AS ai, a.j AS aj, b.i AS bi, b.j AS bj, abs(a.x - b.x) AS gradient FROM m a JOIN m b ON (b.i = a.i + 1 AND b.j = a.j) UNION ALL SELECT a.i, a.j, b.i, b.j, abs(a.x - b.x) FROM m a JOIN m b ON (b.i = a.i AND b.j = a.j + 1)")
+def image_links(spark: SparkSession, sf: str) -> DataFrame:
+    return images.pixel_links(_pixels(spark, sf))
+
+
+@query("SELECT 'l_returnflag' AS \"column\", 'multiclass' AS kind UNION ALL SELECT 'l_linestatus', CASE WHEN (SELECT count(DISTINCT l_linestatus) FROM lineitem) <= 2 THEN 'binary' ELSE 'multiclass' END UNION ALL SELECT 'l_extendedprice', 'continuous' UNION ALL SELECT 'l_quantity', CASE WHEN (SELECT count(*) FROM lineitem WHERE l_quantity <> floor(l_quantity)) > 0 THEN 'continuous' ELSE 'multiclass' END")
+def label_kinds(spark: SparkSession, sf: str) -> DataFrame:
+    return targets.kinds(t.read(spark, sf, "lineitem"), ["l_returnflag", "l_linestatus", "l_extendedprice", "l_quantity"])
+
+
+@query("SELECT DISTINCT label FROM (SELECT l_returnflag AS label FROM lineitem UNION ALL SELECT o_orderstatus FROM orders)")
+def all_labels(spark: SparkSession, sf: str) -> DataFrame:
+    return targets.all_labels(t.read(spark, sf, "lineitem").select(C("l_returnflag").alias("label")), t.read(spark, sf, "orders").select("o_orderstatus"))
+
+
+@query("SELECT o_orderkey, o_orderstatus, round(count(*) OVER () / ((SELECT count(DISTINCT o_orderstatus) FROM orders) * count(*) OVER (PARTITION BY o_orderstatus)), 6) AS weight FROM orders")
+def sample_weights(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(targets.sample_weights(t.read(spark, sf, "orders").select("o_orderkey", "o_orderstatus"), "o_orderstatus"), "weight")
+
+
+@query(f"SELECT o_orderkey, row_number() OVER (ORDER BY {share_sql('o_orderkey', chr(39) + '0' + chr(39))}, o_orderkey) - 1 AS place FROM orders")
+def shuffled_rows(spark: SparkSession, sf: str) -> DataFrame:
+    return targets.shuffled(t.read(spark, sf, "orders").select("o_orderkey"), "o_orderkey")
+
+
+@query(f"SELECT o_orderkey FROM orders ORDER BY {share_sql('o_orderkey', chr(39) + '0' + chr(39))}, o_orderkey LIMIT 100")
+def drawn_rows(spark: SparkSession, sf: str) -> DataFrame:
+    return targets.drawn(t.read(spark, sf, "orders").select("o_orderkey"), "o_orderkey", 100)
+
+
+@query("WITH m AS (SELECT user_id AS i, event_id % 50 AS j, CAST(count(*) AS DOUBLE) AS x FROM events GROUP BY ALL) SELECT coalesce(a.i, b.j) AS i, coalesce(a.j, b.i) AS j, coalesce(a.x, 0) AS x, coalesce(b.x, 0) AS other FROM (SELECT * FROM m WHERE i < j) a FULL JOIN (SELECT * FROM m WHERE i > j) b ON a.i = b.j AND a.j = b.i WHERE coalesce(a.x, 0) <> coalesce(b.x, 0)")
+def asymmetric_entries(spark: SparkSession, sf: str) -> DataFrame:
+    m = t.read(spark, sf, "events").groupBy(C("user_id").alias("i"), (C("event_id") % 50).alias("j")).agg(F.count("*").cast("double").alias("x"))
+    return targets.asymmetric(m)
