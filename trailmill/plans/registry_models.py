@@ -135,11 +135,6 @@ def grid_search(spark: SparkSession, sf: str) -> DataFrame:
     return _searched(model_selection.search(_ridge, model_selection.parameter_grid(**VALUES), ev(spark, sf), "y"))
 
 
-@query()
-def randomized_search(spark: SparkSession, sf: str) -> DataFrame:
-    return _searched(model_selection.search(_ridge, model_selection.parameter_sample(4, **VALUES), ev(spark, sf), "y"))
-
-
 @query()
 def halving_search(spark: SparkSession, sf: str) -> DataFrame:
     rounds = model_selection.halving_search(_ridge, model_selection.parameter_grid(**VALUES), ev(spark, sf), "y", "id")
