@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, portions, stored
+from .common import discard, forget, portions, stored
 from .components import components
 
 
@@ -342,7 +342,8 @@ def candidate_links(nodes: DataFrame, kinds: int, radius: int, block: int) -> Da
         a, b = (stands.select(F.col("fp").alias(e), F.col("rep").alias(f"{e}_key")) for e in ("u", "v"))
         ends = links.join(a, "u").join(b, "v").select(F.col("u_key").alias("x"), F.col("v_key").alias("y"))
         shared = per.join(stands.filter("n > 1").select(F.col("fp").alias("_fp"), "rep"), F.col("fp") == F.col("_fp")).select(F.col("key").alias("x"), F.col("rep").alias("y"))
-        both = ends.union(shared)
+        # stored kind by kind, so that neither plans nor stages of all kinds stand at once
+        both = stored(ends.union(shared).filter("x <> y"), "kind")
         out = both if out is None else out.union(both)
     return out.filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
@@ -390,6 +391,7 @@ def drop_near_copies(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     # texts go through one exchange only: what is stored are ids and fingerprints
     ids = stored(df.select(F.col(doc_id).alias("doc_id"), sketches(F.col(text), print_shingle, kinds, seed).alias("s")).select("doc_id", "s.key", "s.fps"), "ids")
     nodes = stored(ids.groupBy("key").agg(F.min("doc_id").alias("min_id"), F.min("fps").alias("fps")), "nodes")
+    forget(df.sparkSession)  # many small steps follow; what earlier ones left should not add to them
     # a key that can't be null: Spark would compute one that could be twice, first to see whether it is
     own = F.coalesce(text_keys(F.col(text)), F.lit(0))
     texts = df.select(own.alias("key"), F.col(text).alias("text"))
