@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audit, common, decontam, lm, mixing, quality, simhash, substrings, tokens, topk, toxicity, urls
+from . import alignment, audit, common, decontam, lm, mixing, quality, simhash, substrings, tokens, topk, toxicity, urls
 from .common import table
 
 RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
@@ -72,6 +72,12 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = alignment.aligned_texts(table(spark, sf_dir, "documents"), a=tokenizer("byte_bpe_50k.json"), b=tokenizer("piece_bpe_32k.model"), keep=["doc_id"])
+    digest = F.when(F.col("groups") == "", "").otherwise(F.sha2(F.col("groups").cast("binary"), 256))
+    return out.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", digest.alias("groups_sha256"))
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), part="lang")
 
@@ -87,6 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_lm_scores": op8_lm_scores,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_mixing": op10_mixing,
+    "op12_alignment": op12_alignment,
     "op13_filter_audit": op13_filter_audit,
 }
 
