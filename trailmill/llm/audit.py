@@ -33,9 +33,9 @@ def content_mask(text: bytes) -> int:
 def failure_masks(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", keep: list[str] | tuple[str, ...] = ()) -> DataFrame:
     """keep, doc_id and mask (int, a bit for each of FILTERS that the row fails) of each row of df.
 
-    Rows are range-sorted by fingerprint, full text and id, so that a text of very many copies spreads over many tasks; each is
-    compared with the one before it. A task can't see the row before its first: it marks the rows of its first run of equal texts, and the first and
-    last text of every task meet by an equal join, which gives the smallest id of a run that began in an earlier task.
+    Rows are range-sorted by fingerprint, full text and id; the ranges go by fingerprint and id, so that a text of very many copies spreads over many tasks and
+    no text is sampled for them. Each row is compared with the one before it. A task can't see the tasks before it: the texts that have its first or last fingerprint
+    meet those of other tasks by an equal join, which gives the smallest id of a text's copies that began earlier.
 
     Null texts count as empty ones. A row fails E if another row with the same text has a smaller id; rows that share id and text don't
     make each other fail. Null ids are larger than all others and equal to each other. Repeated rows come out repeated, an empty table gives no rows, texts may be of any
@@ -47,49 +47,53 @@ def failure_masks(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     plain = F.coalesce(F.col(text), F.lit("")).cast("binary")
     rows = df.select(*[F.col(c).alias(n) for c, n in zip(keep, names, strict=True)], F.col(doc_id).alias("id"), plain.alias("text")).withColumn("fp", F.xxhash64("text"))
     order = [F.col("fp"), F.col("text"), F.col("id").asc_nulls_last()]
-    rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    rows = rows.repartitionByRange(order[0], order[2]).sortWithinPartitions(*order)
     types = {f.name: f.dataType for f in rows.schema}
     carried = ", ".join(f"{n} {types[n].simpleString()}" for n in [*names, "id"])
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # edge: 0 a row of the table, 1 the first text of this task, 2 the last; head: in the run of the task's first text
-        run_fp, run_text, run_id, content, first, is_head, schema = None, None, None, 0, True, True, None
+        # run: which text of the task a row has; ends: the text, in rows of their own for runs of the task's first and last fingerprint
         task = TaskContext.get().partitionId()
+        first_fp = run_fp = run_text = run_id = schema = None
+        run, content, last = -1, 0, []
 
-        def edge(schema: pa.Schema, own: pa.Array, kind: int, text: bytes) -> pa.RecordBatch:
-            kept = [pa.nulls(1, schema.field(n).type) for n in names]
-            return pa.RecordBatch.from_arrays([*kept, own, pa.array([0], pa.int32()), pa.array([False]), pa.array([kind], pa.int32()), pa.array([text], pa.binary()), pa.array([task], pa.int32())], schema=schema)
+        def ends(runs: list[tuple[int, bytes, pa.Array]]) -> pa.RecordBatch:
+            k = len(runs)
+            kept = [pa.nulls(k, schema.field(n).type) for n in names]
+            return pa.RecordBatch.from_arrays([*kept, pa.concat_arrays([r[2] for r in runs]), pa.nulls(k, pa.int32()), pa.array([r[0] for r in runs], pa.int64()), pa.array([r[1] for r in runs], pa.binary()), pa.array([task] * k, pa.int32())], schema=schema)
 
         for b in batches:
-            fps = b.column("fp").to_pylist()
-            ids = b.column("id")
-            schema = schema or pa.schema([*[b.schema.field(n) for n in [*names, "id"]], ("mask", pa.int32()), ("head", pa.bool_()), ("edge", pa.int32()), ("end", pa.binary()), ("task", pa.int32())])
-            masks, head, i = [], [], 0
+            fps, ids = b.column("fp").to_pylist(), b.column("id")
+            schema = schema or pa.schema([*[b.schema.field(n) for n in [*names, "id"]], ("mask", pa.int32()), ("run", pa.int64()), ("end", pa.binary()), ("task", pa.int32())])
+            masks, runs, i = [], [], 0
             for part in portions(b.column("text")):
                 for t in part:
-                    if first or fps[i] != run_fp or t != run_text:
-                        if first:
-                            yield edge(schema, ids.slice(i, 1), 1, t)
-                        run_fp, run_text, run_id, is_head, first = fps[i], t, ids.slice(i, 1), first, False
+                    if run < 0 or fps[i] != run_fp or t != run_text:
+                        if last and fps[i] != run_fp:
+                            if run_fp == first_fp:
+                                yield ends(last)
+                            last = []
+                        first_fp = fps[i] if run < 0 else first_fp
+                        run_fp, run_text, run_id, run = fps[i], t, ids.slice(i, 1), run + 1
+                        last.append((run, t, run_id))
                         mask = content = content_mask(t)
                     else:
                         mask = content | _DUPLICATE * (not ids.slice(i, 1).equals(run_id))
                     masks.append(mask)
-                    head.append(is_head)
+                    runs.append(run)
                     i += 1
-            zero = pa.nulls(b.num_rows, pa.binary())
-            yield pa.RecordBatch.from_arrays([*[b.column(n) for n in names], ids, pa.array(masks, pa.int32()), pa.array(head, pa.bool_()), pa.array(np.zeros(b.num_rows, np.int32)), zero, pa.array(np.full(b.num_rows, task, np.int32))], schema=schema)
-        if not first:
-            yield edge(schema, run_id, 2, run_text)
-
-    out = stored(rows.mapInArrow(judge, f"{carried}, mask int, head boolean, edge int, end binary, task int"), "masks")
-    # the smallest id of every text that ends or begins a task: two rows a task, whatever the table
-    edges = out.filter("edge > 0").select(F.col("end"), F.col("id"), F.col("task"), F.col("edge"))
+            yield pa.RecordBatch.from_arrays([*[b.column(n) for n in names], ids, pa.array(masks, pa.int32()), pa.array(runs, pa.int64()), pa.nulls(b.num_rows, pa.binary()), pa.array(np.full(b.num_rows, task, np.int32))], schema=schema)
+        if last:
+            yield ends(last)
+
+    out = stored(rows.mapInArrow(judge, f"{carried}, mask int, run bigint, end binary, task int"), "masks")
+    # the smallest id of every text that ends or begins a task: about two rows a task, whatever the table
+    edges = out.filter("end IS NOT NULL").select("end", "id", "task", "run")
     least = edges.groupBy(F.col("end").alias("_end")).agg(F.min("id").alias("least"))
-    heads = edges.filter("edge = 1").join(least, F.col("end") == F.col("_end")).select(F.col("task").alias("_task"), "least")
-    again = F.col("head") & F.col("least").isNotNull() & (F.col("id").isNull() | (F.col("id") > F.col("least")))
-    # heads has one row a task of the sort
-    judged = out.filter("edge = 0").join(F.broadcast(heads), F.col("task") == F.col("_task"))
+    heads = edges.join(least, F.col("end") == F.col("_end")).select(F.col("task").alias("_task"), F.col("run").alias("_run"), "least")
+    again = F.col("least").isNotNull() & (F.col("id").isNull() | (F.col("id") > F.col("least")))
+    # heads has a row for each text that shares the first or last fingerprint of a task
+    judged = out.filter("end IS NULL").join(F.broadcast(heads), (F.col("task") == F.col("_task")) & (F.col("run") == F.col("_run")), "left")
     mask = F.col("mask").bitwiseOR(F.when(again, F.lit(_DUPLICATE)).otherwise(F.lit(0)))
     return judged.select(*[F.col(n).alias(c) for c, n in zip(keep, names, strict=True)], *([] if doc_id in keep else [F.col("id").alias(doc_id)]), mask.alias("mask"))
 
