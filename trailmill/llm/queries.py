@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, audit, common, decontam, lm, mixing, quality, simhash, substrings, tokens, topk, toxicity, urls
+from . import alignment, audit, common, decontam, jaccard, lm, mixing, quality, simhash, substrings, tokens, topk, toxicity, urls
 from .common import table
 
 RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
@@ -72,6 +72,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"), shingle=4, num=85, den=100)
+
+
 def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = alignment.aligned_texts(table(spark, sf_dir, "documents"), a=tokenizer("byte_bpe_50k.json"), b=tokenizer("piece_bpe_32k.model"), keep=["doc_id"])
     digest = F.when(F.col("groups") == "", "").otherwise(F.sha2(F.col("groups").cast("binary"), 256))
@@ -93,6 +97,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_lm_scores": op8_lm_scores,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_mixing": op10_mixing,
+    "op11_ngram_jaccard": op11_ngram_jaccard,
     "op12_alignment": op12_alignment,
     "op13_filter_audit": op13_filter_audit,
 }
@@ -136,6 +141,23 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
 FROM d LEFT JOIN cover USING (rid) LEFT JOIN items USING (rid)
 """
 
+OP11_SQL = f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all({LOWER}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, array_to_string(w[p:p + 3], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS p FROM d WHERE len(w) > 0)
+), n AS (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), met AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS common FROM s a JOIN s b USING (g) WHERE a.doc_id <> b.doc_id GROUP BY ALL
+), links AS (
+  SELECT x, y FROM met JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * common >= 85 * (a.n + b.n - common)
+), reach(x, y) AS (
+  SELECT doc_id, doc_id FROM d UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x
+)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT x AS doc_id, min(y) AS component_id FROM reach GROUP BY x) USING (doc_id)
+"""
+
 _ORDERS = "SELECT " + " || ".join(f"{x}.f" for x in "abcde") + " AS filter_order FROM " + ", ".join(f"(SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f) {x}" for x in "abcde") + " WHERE " + " AND ".join(f"{x}.f <> {y}.f" for i, x in enumerate("abcde") for y in "abcde"[i + 1 :])
 
 OP13_SQL = f"""
@@ -166,4 +188,4 @@ SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS B
 FROM r
 """
 
-ORACLES: dict[str, str] = {"op3_topk": OP3_SQL, "op6_decontamination": OP6_SQL, "op13_filter_audit": OP13_SQL}
+ORACLES: dict[str, str] = {"op3_topk": OP3_SQL, "op6_decontamination": OP6_SQL, "op11_ngram_jaccard": OP11_SQL, "op13_filter_audit": OP13_SQL}
