@@ -10,20 +10,19 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 import xxhash
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .common import forget, portions, stored
+from .common import discard, forget, portions, stored
 
 #: The end of a text; it holds white space, so no word is like it. It is also what precedes the first word.
 END = b"\n"
-#: A word is frequent when it makes up at least 2**-SHARE of all training tokens, so there can't be more than 2**SHARE frequent words. All tasks know their counts; those of other words are told where their occurrences meet.
-SHARE = 16
 #: Contexts by how often they occur: never, once, 2 or 3 times, 4 to 7 times and so on.
 BUCKETS = 48
-_DOC_BITS = 20
-_WORDS, _SENT = -1, -2
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
+_MADE = ["n_tokens", "n_known", "train_tokens", "base_score", "score"]
 
 
 def pack(*arrays: np.ndarray) -> bytes:
@@ -85,116 +84,106 @@ def _bucket(counts: np.ndarray, buckets: int) -> np.ndarray:
     return np.minimum(np.frexp(np.maximum(counts, 0.0))[1], buckets - 1).astype(np.int64)
 
 
-class Vocabulary:
-    """The frequent words (sorted hashes with counts), and the totals of the training tokens."""
-
-    def __init__(self, hashes: np.ndarray, counts: np.ndarray, total: int, distinct: int) -> None:
-        order = np.argsort(hashes)
-        self.hashes, self.counts, self.total, self.distinct = hashes[order], counts[order].astype(np.int64), total, distinct
-        self.rare = len(hashes)
-        contexts = np.append(self.counts, max(0, total - int(self.counts.sum())))
-        self.contexts = contexts.astype(np.float64)
-        self.bucket = _bucket(self.contexts, BUCKETS)
-
-    def ids(self, hashes: np.ndarray) -> np.ndarray:
-        """Numbers of frequent words, rare for all others."""
-        if not self.rare:
-            return np.zeros(len(hashes), np.int64)
-        at = np.minimum(np.searchsorted(self.hashes, hashes), self.rare - 1)
-        return np.where(self.hashes[at] == hashes, at, self.rare)
-
-
-def _pairs(voc: Vocabulary, n: np.ndarray, ids: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, ...]:
-    """For each token its text's index, its context's number, its own number, its own and its context's hash."""
-    number = voc.ids(hashes)
-    doc = np.repeat(np.arange(len(n)), n)
-    own = number[ids]
-    before = np.empty_like(own)
-    before[1:] = own[:-1]
-    first = np.cumsum(n) - n
-    before[first] = number[0]
-    h = hashes[ids]
-    head = np.empty_like(h)
-    head[1:] = h[:-1]
-    head[first] = hashes[0]
-    return doc, before, own, h, head
-
-
-def _groups(*keys: np.ndarray) -> np.ndarray:
-    """Numbers of the groups of equal keys, which are sorted."""
-    new = np.zeros(len(keys[0]), bool)
-    for k in keys:
-        new[1:] |= k[1:] != k[:-1]
-    return np.cumsum(new)
-
-
 def _keys_part(keys: np.ndarray, parts: int) -> np.ndarray:
     return ((keys * _SPREAD) >> np.uint64(33)) % np.uint64(parts)
 
 
-def unigrams(docs: DataFrame, parts: int) -> DataFrame:
-    """(total, distinct, counts) by part of the training tokens of docs (text: binary, train: boolean): counts holds hashes and counts."""
+def pair_keys(head: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """A 64-bit key of each pair of hashes, in order."""
+    x = (head ^ head >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9) + own * _SPREAD
+    x = (x ^ x >> np.uint64(31)) * np.uint64(0x94D049BB133111EB)
+    return x ^ x >> np.uint64(32)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hs, cs, held = [], [], 0
+
+def coded_groups(docs: DataFrame, parts: int, group_tokens: int) -> DataFrame:
+    """The tokens of docs (columns to keep, text: binary, train: boolean) by groups of texts, group_tokens each or so: (grp, part, keys) with the keys of the group's different words and pairs that fall to a part and how often its training texts
+    have them; and one row (grp, code, docs) with the texts as places in these, in the order of parts, and the columns to keep."""
+    kept = [c for c in docs.columns if c not in ("text", "train")]
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grp = TaskContext.get().partitionId() << 24
+        hs, heads, ns, trains, tables, held = [], [], [], [], [], 0
 
         def flush() -> pa.RecordBatch:
-            h, c = _summed(np.concatenate(hs), np.concatenate(cs))
-            order, edge = _by_part(_keys_part(h, parts), parts)
-            h, c = h[order], c[order]
-            blobs = [pack(ascending(h[a:b]), c[a:b].astype(np.uint32)) for a, b in zip(edge, edge[1:], strict=False)]
-            return pa.RecordBatch.from_arrays([pa.array(range(parts), pa.int32()), pa.array(blobs, pa.binary())], names=["part", "blob"])
+            n, train, h, head = (np.concatenate(x) for x in (ns, trains, hs, heads))
+            learned = np.repeat(train, n)
+            words, word = np.unique(h, return_inverse=True)
+            pairs, first, pair = np.unique(pair_keys(head, h), return_index=True, return_inverse=True)
+            w_n, p_n = (np.bincount(x, learned, minlength=len(k)).astype(np.uint32) for x, k in ((word, words), (pair, pairs)))
+            (wo, we), (po, pe) = (_by_part(_keys_part(x, parts), parts) for x in (words, pairs))
+            rows = []
+            for p in np.flatnonzero(np.diff(we) + np.diff(pe)).tolist():
+                a, b = wo[we[p] : we[p + 1]], po[pe[p] : pe[p + 1]]
+                rows.append((p, pack(ascending(words[a]), w_n[a], ascending(pairs[b]), p_n[b])))
+            w_at, p_at = (np.empty(len(o), np.uint32) for o in (wo, po))
+            w_at[wo], p_at[po] = np.arange(len(wo)), np.arange(len(po))
+            code = pack(n, p_at[pair], w_at[word[first]][po], w_at[np.searchsorted(words, head[first])][po], p_n[po])
+            table = pa.Table.from_batches(tables).select(kept)
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, table.schema) as w:
+                w.write_table(table)
+            k = len(rows)
+            cols = [pa.array([grp] * (k + 1)), pa.array([*(r[0] for r in rows), None], pa.int32()), pa.array([*(r[1] for r in rows), None], pa.binary()), pa.array([None] * k + [code], pa.binary()), pa.array([None] * k + [sink.getvalue().to_pybytes()], pa.binary())]
+            return pa.RecordBatch.from_arrays(cols, names=["grp", "part", "keys", "code", "docs"])
 
         for b, texts in _portions(batches):
-            train = b.column("train").to_numpy(zero_copy_only=False).astype(bool)
-            _, ids, hashes = _tokens([t for t, x in zip(texts, train, strict=True) if x])
-            c = np.bincount(ids, minlength=len(hashes))
-            hs.append(hashes[c > 0])
-            cs.append(c[c > 0])
-            held += len(hs[-1])
-            if held > 3_000_000:
+            n, ids, hashes = _tokens(texts)
+            h = hashes[ids]
+            head = np.empty_like(h)
+            head[1:] = h[:-1]
+            head[np.cumsum(n) - n] = hashes[0]
+            hs.append(h)
+            heads.append(head)
+            ns.append(n)
+            trains.append(b.column("train").to_numpy(zero_copy_only=False).astype(bool))
+            tables.append(b)
+            held += len(h)
+            if held > group_tokens:
                 yield flush()
-                hs, cs, held = [], [], 0
+                hs, heads, ns, trains, tables, held, grp = [], [], [], [], [], 0, grp + 1
         if held:
             yield flush()
 
-    def add(t: pa.Table) -> pa.Table:
-        got = [unpack(x) for x in t.column("blob").to_pylist()]
-        h, c = _summed(np.concatenate([np.cumsum(g[0], dtype=np.uint64) for g in got]), np.concatenate([g[1] for g in got]).astype(np.int64))
-        return pa.table({"total": [int(c.sum())], "distinct": [len(h)], "counts": pa.array([pack(ascending(h), c)], pa.binary())})
-
-    return docs.select("text", "train").mapInArrow(count, "part int, blob binary").groupBy("part").applyInArrow(add, "total bigint, distinct bigint, counts binary")
-
+    return docs.mapInArrow(deal, "grp bigint, part int, keys binary, code binary, docs binary")
 
-def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(keys)
-    keys, counts = keys[order], counts[order]
-    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
-    return keys[first], np.add.reduceat(counts, first) if len(first) else counts
 
+def _totals(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sum over equal keys for each key, and the sums once for each different key."""
+    order = np.argsort(keys, kind="stable")
+    sorted_keys = keys[order]
+    first = np.flatnonzero(np.append(True, sorted_keys[1:] != sorted_keys[:-1])[: len(keys)])
+    sums = np.add.reduceat(counts[order], first) if len(first) else counts[:0]
+    out = np.empty_like(counts)
+    out[order] = np.repeat(sums, np.diff(np.append(first, len(keys))))
+    return out, sums
 
-def frequent_words(counts: DataFrame) -> Vocabulary:
-    """Totals, and the words that make up 2**-SHARE of the tokens: 2**SHARE words at most, whatever the size of the input."""
-    total, distinct = counts.agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).head()
-
-    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for x in b.column("counts").to_pylist():
-                d, c = unpack(x)
-                h = np.cumsum(d, dtype=np.uint64)
-                keep = c * 2**SHARE >= total
-                yield pa.RecordBatch.from_arrays([pa.array([pack(h[keep], c[keep])], pa.binary())], names=["f"])
 
-    got = [unpack(r[0]) for r in counts.select("counts").mapInArrow(pick, "f binary").collect()]
-    h = np.concatenate([g[0] for g in got]) if got else np.zeros(0, np.uint64)
-    c = np.concatenate([g[1] for g in got]) if got else np.zeros(0, np.int64)
-    return Vocabulary(h, c, int(total), int(distinct))
+def corpus_counts(coded: DataFrame) -> DataFrame:
+    """(grp, part, counts) for each row of keys of coded_groups(): the counts of its words and pairs in all training texts, in the order of its keys; and a row for each part with the total of its words' counts and how many words have any.
 
+    A group has a key once, so the most frequent key of all has no more rows than there are groups."""
 
-def _estimates(voc: Vocabulary, head: np.ndarray, both: np.ndarray, own: np.ndarray, deleted: int) -> tuple[np.ndarray, np.ndarray]:
+    def add(t: pa.Table) -> pa.Table:
+        part, got = t.column("part")[0].as_py(), [unpack(x) for x in t.column("keys").to_pylist()]
+        back, sums = [], []
+        for k in (0, 2):
+            size = np.cumsum([len(g[k]) for g in got])[:-1]
+            each, once = _totals(np.concatenate([np.cumsum(g[k], dtype=np.uint64) for g in got]), np.concatenate([g[k + 1] for g in got]).astype(np.int64))
+            back.append(np.split(each, size))
+            sums.append(once)
+        blobs = [pack(w, p) for w, p in zip(*back, strict=True)]
+        none = [None] * len(got)
+        return pa.table({
+            "grp": pa.array([*t.column("grp").to_pylist(), None], pa.int64()), "part": pa.array([part] * (len(got) + 1), pa.int32()), "counts": pa.array([*blobs, None], pa.binary()),
+            "total": pa.array([*none, int(sums[0].sum())], pa.int64()), "distinct": pa.array([*none, int((sums[0] > 0).sum())], pa.int64()),
+        })
+
+    return coded.filter("keys IS NOT NULL").select("grp", "part", "keys").groupBy("part").applyInArrow(add, "grp bigint, part int, counts binary, total bigint, distinct bigint")
+
+
+def _estimates(total: int, head: np.ndarray, both: np.ndarray, own: np.ndarray, deleted: int) -> tuple[np.ndarray, np.ndarray]:
     """Bigram and unigram maximum-likelihood estimates from counts of context, pair and word; with deleted 1 as they would be without the occurrence itself."""
-    before = np.maximum(head - deleted, 1.0)
-    return np.maximum(both - deleted, 0) / before, np.maximum(own - deleted, 0) / max(1.0, voc.total - deleted)
+    return np.maximum(both - deleted, 0) / np.maximum(head - deleted, 1.0), np.maximum(own - deleted, 0) / max(1.0, total - deleted)
 
 
 def _octave(p: np.ndarray, steps: int, least: int) -> np.ndarray:
@@ -203,152 +192,41 @@ def _octave(p: np.ndarray, steps: int, least: int) -> np.ndarray:
         return np.where(p > 0, np.clip(np.floor(steps * np.log2(np.maximum(p, 1e-300))) + least * steps + 1, 1, least * steps + 1), 0).astype(np.int64)
 
 
-def rare_counts(counts: DataFrame, voc: Vocabulary, parts: int) -> DataFrame:
-    """(part, blob): the counts of all words that aren't frequent, dealt by hash as their occurrences are."""
-
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for x in b.column("counts").to_pylist():
-                d, c = unpack(x)
-                h = np.cumsum(d, dtype=np.uint64)
-                m = voc.ids(h) == voc.rare
-                h, c = h[m], c[m]
-                to, cut = _cut(h, parts)
-                yield pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), pa.array([pack(ascending(h[o]), c[o]) for o in cut], pa.binary())], names=["part", "blob"])
-
-    return counts.select("counts").mapInArrow(split, "part int, blob binary")
-
-
-def _cut(h: np.ndarray, parts: int) -> tuple[list[int], list[np.ndarray]]:
-    """The parts that sorted hashes go to, and the places of each one's."""
-    order, edge = _by_part(_keys_part(h, parts), parts)
-    to = np.flatnonzero(np.diff(edge)).tolist()
-    return to, [order[edge[p] : edge[p + 1]] for p in to]
-
-
-def _joined(got: list[list[np.ndarray]], *kinds: type, ascend: bool = True) -> list[np.ndarray]:
-    """Columns of unpacked blobs, the first of them taken back from differences (with ascend)."""
-    return [np.concatenate([np.zeros(0, k), *(np.cumsum(g[i], dtype=k) if ascend and i == 0 else g[i].astype(k) for g in got)]) for i, k in enumerate(kinds)]
-
+def _held(total: int, head: np.ndarray, both: np.ndarray, own: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Rows (key, weight, sums of bigram and unigram estimates) of tokens that are left out of the counts in their turn, by binned context count and estimates."""
+    p3, p2 = _estimates(total, head, both, own, 1)
+    key = (_bucket(head - 1.0, BUCKETS) * 64 + _octave(p3, 2, 24)) * 128 + _octave(p2, 2, 40)
+    k, where = np.unique(key, return_inverse=True)
+    return np.column_stack([k, np.bincount(where, weight, minlength=len(k)), np.bincount(where, weight * p3, minlength=len(k)), np.bincount(where, weight * p2, minlength=len(k))])
 
-def _looked_up(words: list[list[np.ndarray]], h: np.ndarray) -> np.ndarray:
-    """Counts of words by the rows of rare_counts of their part; 0 for words that training texts don't have."""
-    key, c = _joined(words, np.uint64, np.int64)
-    if not len(key):
-        return np.zeros(len(h), np.int64)
-    order = np.argsort(key)
-    key, c = key[order], c[order]
-    at = np.minimum(np.searchsorted(key, h), len(key) - 1)
-    return np.where(key[at] == h, c[at], 0)
 
+def counted_groups(coded: DataFrame, counts: DataFrame, total: int) -> DataFrame:
+    """(code, docs, held) of each group: its texts as places of pairs, and for each pair the counts of its context, of itself and of its word; the columns to keep; and what its training tokens add to the held-out counts."""
 
-def held_out_counts(docs: DataFrame, voc: Vocabulary, parts: int, counts: DataFrame | None = None) -> DataFrame:
-    """(key, w, s3, s2): how often tokens of the training texts have such context counts, bigram and unigram estimates when they are left out of the counts; a bounded table. Keys below 0 are those of pairs that make up 2**-SHARE of the tokens (-1 - key of token_sums), with their counts as w.
+    def look_up(group: pa.Table, counts: pa.Table) -> pa.Table:
+        n, token, own, head, learned = unpack(group.column("code")[0].as_py())
+        got = [unpack(x) for x in counts.sort_by("part").column("counts").to_pylist()]
+        words, pairs = (np.concatenate([g[k] for g in got]) for k in (0, 1))
+        head, own = words[head], words[own]
+        m = learned > 0
+        held = _held(total, head[m], pairs[m], own[m], learned[m])
+        return pa.table({"code": pa.array([pack(n, token, head, pairs, own)], pa.binary()), "docs": group.column("docs"), "held": pa.array([pack(*held.T)], pa.binary())})
 
-    Pairs meet as in token_sums; with counts, contexts that aren't frequent are told apart, else they are one.
-    """
-    whole = counts is not None
+    groups = coded.filter("code IS NOT NULL").select("grp", "code", "docs")
+    return groups.groupBy("grp").cogroup(counts.filter("grp IS NOT NULL").select("grp", "part", "counts").groupBy("grp")).applyInArrow(look_up, "code binary, docs binary, held binary")
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ks, hs, rs, held = [], [], [], 0
 
-        def flush() -> pa.RecordBatch:
-            k, kn = np.unique(np.concatenate(ks), return_counts=True)
-            h, hc, hn = _distinct(*(np.concatenate([x[i] for x in hs]) for i in range(2)))
-            r, ri, rw, rn = _distinct(*(np.concatenate([x[i] for x in rs]) for i in range(3)))
-            (ko, ke), (ho, he), (ro, re_) = (_by_part(_keys_part(x, parts), parts) for x in (k, h, r))
-            blobs = []
-            for p in range(parts):
-                a, b, c = ko[ke[p] : ke[p + 1]], ho[he[p] : he[p + 1]], ro[re_[p] : re_[p + 1]]
-                blobs.append(pack(ascending(k[a]), kn[a].astype(np.uint32), ascending(h[b]), hc[b].astype(np.uint32), hn[b].astype(np.uint32), ascending(r[c]), ri[c].astype(np.uint32), rn[c].astype(np.uint32), rw[c][ri[c] == voc.rare]))
-            return pa.RecordBatch.from_arrays([pa.array(range(parts), pa.int32()), pa.array(blobs, pa.binary())], names=["part", "blob"])
+def held_out_counts(counted: DataFrame) -> DataFrame:
+    """(key, w, s3, s2): how often training tokens have such context counts, bigram and unigram estimates when they are left out of the counts; a table of fixed size."""
 
-        for b, texts in _portions(batches):
-            train = b.column("train").to_numpy(zero_copy_only=False).astype(bool)
-            n, ids, hashes = _tokens([t for t, x in zip(texts, train, strict=True) if x])
-            if not len(n):
-                continue
-            _, before, own, h, head = _pairs(voc, n, ids, hashes)
-            known = (before < voc.rare) | (not whole)
-            m, late = known & (own < voc.rare), known & (own >= voc.rare)
-            ks.append((before[m] * (voc.rare + 1) + own[m]).astype(np.uint64))
-            hs.append((h[late], before[late]))
-            rs.append((head[~known], own[~known], np.where(own < voc.rare, np.uint64(0), h)[~known]))
-            held += len(ids)
-            if held > 1_500_000:
-                yield flush()
-                ks, hs, rs, held = [], [], [], 0
-        if held:
-            yield flush()
+    def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for x in b.column("held").to_pylist():
+                key, *rest = unpack(x)
+                yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int64)), *map(pa.array, rest)], names=["key", "w", "s3", "s2"])
 
-    def by_context(t: pa.Table) -> pa.Table:
-        part, got = int(t.column("part")[0].as_py()), _by_kind(t)
-        k, kn = _summed(*_joined(got[0], np.uint64, np.int64))
-        context, own = (k // np.uint64(voc.rare + 1)).astype(np.int64), (k % np.uint64(voc.rare + 1)).astype(np.int64)
-        often = kn * 2**SHARE >= voc.total
-        common = pack(k[often], kn[often])
-        rows = [_held(voc, voc.contexts[context], kn, voc.counts[own] if voc.rare else kn, kn)]
-        h, c, n = _joined([g[2:5] for g in got[0]], np.uint64, np.int64, np.int64)
-        if len(h):
-            h, c, n = _distinct(h, c, n=n)
-            rows.append(_held(voc, voc.contexts[c], n, _looked_up(got[1], h) if whole else np.bincount(_groups(h), n)[_groups(h)], n))
-        r, i, n = _joined([g[5:8] for g in got[0]], np.uint64, np.int64, np.int64)
-        to, blobs = [], []
-        if len(r):
-            w = np.zeros(len(r), np.uint64)
-            w[i == voc.rare] = np.concatenate([g[8] for g in got[0]])
-            r, i, w, both = _distinct(r, i, w, n=n)
-            head = np.bincount(_groups(r), both)[_groups(r)].astype(np.int64)
-            m = i < voc.rare
-            rows.append(_held(voc, head[m], both[m], voc.counts[i[m]], both[m]))
-            w, head, both = w[~m], head[~m], both[~m]
-            order = np.argsort(w)
-            w, head, both = w[order], head[order], both[order]
-            to, cut = _cut(w, parts)
-            blobs = [pack(ascending(w[o]), head[o], both[o]) for o in cut]
-        return pa.table({"part": pa.array([*to, part, part], pa.int32()), "kind": pa.array([2] * len(to) + [3, 4], pa.int32()), "blob": pa.array([*blobs, pack(*np.concatenate(rows).T), common], pa.binary())})
-
-    def by_word(t: pa.Table) -> pa.Table:
-        got = _by_kind(t)
-        w, head, both = _joined(got[2], np.uint64, np.int64, np.int64)
-        x = np.concatenate([np.zeros((0, 4)), *(np.column_stack(g) for g in got[3]), _held(voc, head, both, _looked_up(got[1], w), both)])
-        key, where = np.unique(x[:, 0].astype(np.int64), return_inverse=True)
-        sums = [np.bincount(where, x[:, i], minlength=len(key)) for i in (1, 2, 3)]
-        k, kn = _joined(got[4], np.uint64, np.int64, ascend=False)
-        none = np.zeros(len(k))
-        return pa.table({"key": pa.array(np.append(key, -1 - k.astype(np.int64)), pa.int64()), "w": np.append(sums[0], kn.astype(float)), "s3": np.append(sums[1], none), "s2": np.append(sums[2], none)})
-
-    rows = "part int, kind int, blob binary"
-    pairs = docs.select("text", "train").mapInArrow(count, "part int, blob binary").select("part", F.lit(0).alias("kind"), "blob")
-    words = rare_counts(counts, voc, parts).select("part", F.lit(1).alias("kind"), "blob") if whole else None
-    met = (pairs.union(words) if whole else pairs).groupBy("part").applyInArrow(by_context, rows)
-    per = (met.union(words) if whole else met).groupBy("part").applyInArrow(by_word, "key bigint, w double, s3 double, s2 double")
-    return per.groupBy("key").agg(F.sum("w").alias("w"), F.sum("s3").alias("s3"), F.sum("s2").alias("s2"))
-
-
-def _by_kind(t: pa.Table) -> list[list[list[np.ndarray]]]:
-    got = [[], [], [], [], []]
-    for kind, x in zip(t.column("kind").to_pylist(), t.column("blob").to_pylist(), strict=True):
-        got[kind].append(unpack(x))
-    return got
-
-
-def _distinct(*keys: np.ndarray, n: np.ndarray | None = None) -> list[np.ndarray]:
-    """The different rows of keys, sorted, and how often each occurs, or the sums of their n."""
-    order = np.lexsort(keys[::-1])
-    keys = [k[order] for k in keys]
-    size = len(order)
-    first = np.flatnonzero(np.diff(_groups(*keys), prepend=-1)) if size else np.zeros(0, np.int64)
-    if n is None:
-        return [*(k[first] for k in keys), np.diff(np.append(first, size))]
-    return [*(k[first] for k in keys), np.add.reduceat(n[order], first) if size else n]
-
-
-def _held(voc: Vocabulary, head: np.ndarray, both: np.ndarray, own: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    p3, p2 = _estimates(voc, head, both, own, 1)
-    key = (_bucket(head - 1.0, BUCKETS) * 64 + _octave(p3, 2, 24)) * 128 + _octave(p2, 2, 40)
-    k, where = np.unique(key, return_inverse=True)
-    return np.column_stack([k, np.bincount(where, weight, minlength=len(k)), np.bincount(where, weight * p3, minlength=len(k)), np.bincount(where, weight * p2, minlength=len(k))])
+    rows = counted.select("held").mapInArrow(opened, "key bigint, w double, s3 double, s2 double")
+    return rows.groupBy("key").agg(F.sum("w").alias("w"), F.sum("s3").alias("s3"), F.sum("s2").alias("s2"))
 
 
 def mixture(rows: list[tuple], distinct: int, rounds: int = 200) -> np.ndarray:
@@ -378,197 +256,52 @@ def mixture(rows: list[tuple], distinct: int, rounds: int = 200) -> np.ndarray:
     return out
 
 
-def frequent_pairs(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
-    """Keys, ascending, and counts of the frequent pairs among the rows of held_out_counts."""
-    found = sorted((-1 - r[0], int(r[1])) for r in rows if r[0] < 0)
-    return np.array([k for k, _ in found], np.uint64), np.array([n for _, n in found], np.int64)
-
+def group_scores(counted: DataFrame, keep_schema: StructType, weights: np.ndarray, total: int, distinct: int) -> DataFrame:
+    """The columns to keep, n_tokens, n_known, known_log (sum of log10(count + 1)) and score of each text of counted_groups()."""
 
-def token_sums(docs: DataFrame, voc: Vocabulary, weights: np.ndarray, parts: int, counts: DataFrame | None = None, often: tuple[np.ndarray, np.ndarray] | None = None) -> DataFrame:
-    """One row for each row of docs (keep..., text, train): keep, n_tokens, n_known, known_log (sum of log10(count + 1)) and score.
-
-    Each task deals the tokens of its texts by key over parts: after a frequent context a frequent word by context and word, a rare one by itself; after a rare
-    context all by the context, and from there rare words, with their counts of context and pair, by themselves. A part thus has all
-    occurrences of its keys and can tell their counts, and returns sums by text; the sums of a group of texts from all parts meet again.
-    Pairs of often (keys and counts), which make up 2**-SHARE of all tokens or more and so are 2**SHARE at most, are scored where they are met: no key has more than that share of the tokens in one part.
-    Without counts, which unigrams() returns, all contexts that aren't frequent are one, whose count is known.
-    """
-    whole = counts is not None
-    often = (np.zeros(0, np.uint64), np.zeros(0, np.int64)) if often is None else often
-    kept = [c for c in docs.columns if c not in ("text", "train")]
-    keep_schema = docs.select(*kept).schema
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        task = TaskContext.get().partitionId()
-        ks, hs, rs, tables, trains, ns, held, docs_held, group = [], [], [], [], [], [], 0, 0, 0
-
-        def flush() -> pa.RecordBatch:
-            k, kn = np.unique(np.concatenate(ks), return_counts=True)
-            key, doc = k >> np.uint64(_DOC_BITS), (k & np.uint64((1 << _DOC_BITS) - 1)).astype(np.uint32)
-            here = np.zeros(docs_held, np.int64), np.zeros(docs_held), np.zeros(docs_held)
-            if len(often[0]):
-                at = np.minimum(np.searchsorted(often[0], key), len(often[0]) - 1)
-                m = often[0][at] == key
-                pair = key[m]
-                add(here, doc[m], kn[m], voc.contexts[(pair // np.uint64(voc.rare + 1)).astype(np.int64)], often[1][at[m]], voc.counts[(pair % np.uint64(voc.rare + 1)).astype(np.int64)])
-                key, doc, kn = key[~m], doc[~m], kn[~m]
-            ko, ke = _by_part(_keys_part(key, parts), parts)
-            h, hc, hd = (np.concatenate([x[i] for x in hs]) for i in range(3))
-            order = np.argsort(h, kind="stable")
-            h, hc, hd = h[order], hc[order], hd[order]
-            ho, he = _by_part(_keys_part(h, parts), parts)
-            r, ri, rd, rw = (np.concatenate([x[i] for x in rs]) for i in range(4))
-            order = np.lexsort((ri, r))
-            r, ri, rd, rw = r[order], ri[order], rd[order], rw[order]
-            ro, re_ = _by_part(_keys_part(r, parts), parts)
-            train = np.packbits(np.concatenate(trains))
-            n = np.concatenate(ns)
-            table = pa.Table.from_batches(tables).select(kept)
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, table.schema) as w:
-                w.write_table(table)
-            blobs, extra = [], []
-            for p in range(parts):
-                a, b, c = ko[ke[p] : ke[p + 1]], ho[he[p] : he[p + 1]], ro[re_[p] : re_[p + 1]]
-                blobs.append(pack(ascending(key[a]), doc[a], kn[a].astype(np.uint16 if kn.max(initial=0) < 1 << 16 else np.uint32), ascending(h[b]), hc[b], hd[b], train, np.array([len(n)]), ascending(r[c]), ri[c], rd[c], rw[c][ri[c] == voc.rare]))
-                extra.append(sink.getvalue().to_pybytes() if p == group % parts else None)
-            size = pa.array([pack(n, *here) if e is not None else None for e in extra], pa.binary())
-            return pa.RecordBatch.from_arrays([pa.array(range(parts), pa.int32()), pa.array([task << 24 | group] * parts, pa.int64()), pa.array(blobs, pa.binary()), pa.array(extra, pa.binary()), size], names=["part", "group", "blob", "docs", "n"])
-
-        for b, texts in _portions(batches):
-            n, ids, hashes = _tokens(texts)
-            doc, before, own, h, head = _pairs(voc, n, ids, hashes)
-            doc = doc + docs_held
-            known = (before < voc.rare) | (not whole)
-            m, late = known & (own < voc.rare), known & (own >= voc.rare)
-            ks.append((before[m] * (voc.rare + 1) + own[m]).astype(np.uint64) << np.uint64(_DOC_BITS) | doc[m].astype(np.uint64))
-            hs.append((h[late], before[late].astype(np.uint32), doc[late].astype(np.uint32)))
-            rs.append((head[~known], own[~known].astype(np.uint32), doc[~known].astype(np.uint32), np.where(own < voc.rare, np.uint64(0), h)[~known]))
-            tables.append(b)
-            trains.append(b.column("train").to_numpy(zero_copy_only=False).astype(bool))
-            ns.append(n)
-            held += len(ids)
-            docs_held += len(n)
-            if held > 1_500_000 or docs_held > 900_000:
-                yield flush()
-                ks, hs, rs, tables, trains, ns, held, docs_held, group = [], [], [], [], [], [], 0, 0, group + 1
-        if docs_held:
-            yield flush()
-
-    def add(sums: tuple, doc: np.ndarray, n: np.ndarray, head: np.ndarray, both: np.ndarray, own: np.ndarray) -> None:
-        known, logs, total = sums
-        p3, p2 = _estimates(voc, head, both, own, 0)
-        lam = weights[_bucket(head, len(weights))]
-        p = lam[:, 0] * p3 + lam[:, 1] * p2 + lam[:, 2] / (voc.distinct + 1)
-        total[:] += np.bincount(doc, n * np.log10(p), minlength=len(total))
-        logs[:] += np.bincount(doc, n * np.log10(own + 1.0), minlength=len(total))
-        known[:] += np.bincount(doc, n * (own > 0), minlength=len(total)).astype(np.int64)
-
-    def packed(sums: tuple, base: np.ndarray) -> list[bytes]:
-        known, logs, total = sums
-        return [pack(known[a:b].astype(np.uint32), logs[a:b], total[a:b]) for a, b in zip(base, base[1:], strict=False)]
-
-    def opened(t: pa.Table) -> tuple[pa.Table, list, list, list]:
-        """Rows of groups in the groups' order, which is the same in all parts, and what is in their blobs, in those of words and in those of other parts."""
-        group = t.column("group")
-        own = t.filter(pa.compute.greater_equal(group, 0)).sort_by("group")
-        return own, *([unpack(x) for x in y.column("blob").to_pylist()] for y in (own, t.filter(pa.compute.equal(group, _WORDS)), t.filter(pa.compute.equal(group, _SENT))))
-
-    def empty(sizes: list[int]) -> tuple[np.ndarray, tuple]:
-        base = np.cumsum([0, *sizes])
-        return base, (np.zeros(base[-1], np.int64), np.zeros(base[-1]), np.zeros(base[-1]))
-
-    def by_context(t: pa.Table) -> pa.Table:
-        part = int(t.column("part")[0].as_py())
-        t, got, words, _ = opened(t)
-        sizes = [int(g[7][0]) for g in got]
-        base, sums = empty(sizes)
-        train = np.concatenate([np.unpackbits(g[6], count=s) for g, s in zip(got, sizes, strict=True)]).astype(np.int64)
-        k = np.concatenate([np.cumsum(g[0], dtype=np.uint64) for g in got])
-        if len(k):
-            doc = np.concatenate([g[1].astype(np.int64) + o for g, o in zip(got, base, strict=False)])
-            n = np.concatenate([g[2].astype(np.int64) for g in got])
-            order = np.argsort(k)
-            k, doc, n = k[order], doc[order], n[order]
-            pair = _groups(k)
-            both = np.bincount(pair, n * train[doc])[pair]
-            add(sums, doc, n, voc.contexts[(k // np.uint64(voc.rare + 1)).astype(np.int64)], both, voc.counts[(k % np.uint64(voc.rare + 1)).astype(np.int64)])
-        h, c = _joined([g[3:5] for g in got], np.uint64, np.int64)
-        if len(h):
-            doc = np.concatenate([g[5].astype(np.int64) + o for g, o in zip(got, base, strict=False)])
-            order = np.lexsort((c, h))
-            h, c, doc = h[order], c[order], doc[order]
-            word, pair, t_ = _groups(h), _groups(h, c), train[doc]
-            add(sums, doc, np.ones(len(doc), np.int64), voc.contexts[c], np.bincount(pair, t_)[pair], _looked_up(words, h) if whole else np.bincount(word, t_)[word])
-        to, blobs = [], []
-        r, i = _joined([g[8:10] for g in got], np.uint64, np.int64)
-        if len(r):
-            doc = np.concatenate([g[10].astype(np.int64) + o for g, o in zip(got, base, strict=False)])
-            w = np.zeros(len(r), np.uint64)
-            w[i == voc.rare] = np.concatenate([g[11] for g in got])
-            order = np.lexsort((w, i, r))
-            r, i, w, doc = r[order], i[order], w[order], doc[order]
-            head, both = (np.bincount(x, train[doc])[x].astype(np.int64) for x in (_groups(r), _groups(r, i, w)))
-            m = i < voc.rare
-            add(sums, doc[m], np.ones(int(m.sum()), np.int64), head[m], both[m], voc.counts[i[m]])
-            order = np.flatnonzero(~m)[np.argsort(w[~m])]
-            w, doc, head, both = w[order], doc[order], head[order], both[order]
-            to, cut = _cut(w, parts)
-            blobs = [pack(ascending(w[o]), doc[o], head[o], both[o]) for o in cut]
-        cols = [[part] * len(t) + to, t.column("group").to_pylist() + [_SENT] * len(to), [*packed(sums, base), *blobs], *(t.column(c).to_pylist() + [None] * len(to) for c in ("docs", "n"))]
-        return pa.table([pa.array(x, kind) for x, kind in zip(cols, [pa.int32(), pa.int64(), *[pa.binary()] * 3], strict=True)], names=["part", "group", "blob", "docs", "n"])
-
-    def by_word(t: pa.Table) -> pa.Table:
-        t, got, words, sent = opened(t)
-        base, sums = empty([len(g[0]) for g in got])
-        for i, x in enumerate(sums):
-            x[:] = np.concatenate([g[i] for g in got])
-        w, doc, head, both = _joined(sent, np.uint64, np.int64, np.int64, np.int64)
-        add(sums, doc, np.ones(len(w), np.int64), head, both, _looked_up(words, w))
-        return pa.table({"group": t.column("group"), "sums": pa.array(packed(sums, base), pa.binary()), "docs": t.column("docs"), "n": t.column("n")})
-
-    def gather(t: pa.Table) -> pa.Table:
-        known, logs, total = (sum(x) for x in zip(*(unpack(s) for s in t.column("sums").to_pylist()), strict=True))
-        with pa.ipc.open_stream(next(x for x in t.column("docs").to_pylist() if x is not None)) as r:
-            table = r.read_all()
-        n, *here = unpack(next(x for x in t.column("n").to_pylist() if x is not None))
-        known, logs, total = (x + y for x, y in zip((known, logs, total), here, strict=True))
-        cols = {c: table.column(c) for c in kept}
-        return pa.table(cols | {"n_tokens": pa.array(n, pa.int64()), "n_known": pa.array(known.astype(np.int64)), "known_log": pa.array(logs), "score": pa.array(total)})
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                n, token, head, both, own = unpack(b.column("code")[i].as_py())
+                with pa.ipc.open_stream(b.column("docs")[i].as_py()) as r:
+                    kept = r.read_all().combine_chunks()
+                p3, p2 = _estimates(total, head, both, own, 0)
+                lam = weights[_bucket(head.astype(float), len(weights))]
+                logs = np.log10(lam[:, 0] * p3 + lam[:, 1] * p2 + lam[:, 2] / (distinct + 1))
+                text = np.repeat(np.arange(len(n)), n)
+                sums = [np.bincount(text, x[token], minlength=len(n)) for x in (own > 0, np.log10(own + 1.0), logs)]
+                cols = [kept.column(c).combine_chunks() if kept.num_rows else pa.array([], kept.schema.field(c).type) for c in keep_schema.names]
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(n, pa.int64()), pa.array(sums[0].astype(np.int64)), pa.array(sums[1]), pa.array(sums[2])], names=[*keep_schema.names, "n_tokens", "n_known", "known_log", "score"])
 
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in keep_schema)
-    rows = "part int, group bigint, blob binary, docs binary, n binary"
-    dealt = docs.mapInArrow(deal, rows)
-    words = rare_counts(counts, voc, parts).select("part", F.lit(_WORDS).cast("long").alias("group"), "blob", *[F.lit(None).cast("binary").alias(c) for c in ("docs", "n")]) if whole else None
-    met = (dealt.union(words) if whole else dealt).groupBy("part").applyInArrow(by_context, rows)
-    sums = (met.union(words) if whole else met).groupBy("part").applyInArrow(by_word, "group bigint, sums binary, docs binary, n binary")
-    return sums.groupBy("group").applyInArrow(gather, f"{fields}n_tokens bigint, n_known bigint, known_log double, score double")
+    return counted.select("code", "docs").mapInArrow(score, f"{fields}n_tokens bigint, n_known bigint, known_log double, score double")
 
 
-def lm_scores(df: DataFrame, *, text: str = "text", learn: Column, keep: list[str] | tuple[str, ...] = (), tokens_a_part: int = 3_000_000) -> DataFrame:
+def lm_scores(df: DataFrame, *, text: str = "text", learn: Column, keep: list[str] | tuple[str, ...] = (), part_bytes: int = 16 << 20, group_tokens: int = 1_500_000) -> DataFrame:
     """keep, n_tokens, n_known, train_tokens, base_score and score (log10 probability) of each whole text, by a model learned from the rows for which learn holds.
 
     Tokens are the words of the lower-cased (A-Z) text and one end. The model mixes the maximum-likelihood bigram, unigram and a floor of one in all known
-    tokens and one unknown; the weights depend on how often the context occurs. Every word is a context of its own, and all counts are complete. The weights are learned on the training tokens, each left out of the counts in its turn (deleted
-    interpolation). base_score is the add-one unigram probability with one unknown token.
+    tokens and one unknown; the weights depend on how often the context occurs. Every word is a context of its own, and all counts are complete; words and pairs are told apart by 64-bit hashes. The weights are learned on the training tokens, each left out of the counts in its turn (deleted
+    interpolation), with estimates binned by half octaves. base_score is the add-one unigram probability with one unknown token.
 
-    Nothing but the frequent words and pairs, 2**SHARE at most each by their definition, and a table of binned estimates of fixed size reach the driver. Null texts are empty (one end
-    token); rows come out as they are, repeated ones too; where nothing can be learned from, every token is unknown and all scores are 0.
+    Texts are read once, into groups of group_tokens tokens. A group asks for the counts of its different words and pairs, each once, at the part that a key belongs to; a part holds the keys of about part_bytes of texts, however many texts there are, and
+    gives each group its counts back in the order asked. As every word is followed by something, a context's count is that of the word. Nothing but totals and a table of binned estimates of fixed size reach the driver.
+
+    Null texts are empty (one end token); rows come out as they are, repeated ones too, an empty table gives none; where nothing can be learned from, every token is unknown and all scores are 0. Texts may be of any length: a group has one at least.
+    Columns outside keep are ignored; keep may hold any but those returned (ValueError).
     """
     keep = list(keep)
+    if clash := set(_MADE) & set(keep):
+        raise ValueError(f"columns {sorted(clash)} would be overwritten")
     docs = df.select(*[F.col(c).alias(f"_keep_{i}") for i, c in enumerate(keep)], F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("text"), F.coalesce(learn, F.lit(False)).alias("train"))
-    spark = df.sparkSession
-    # by the plan's size, which need only be roughly right: each group has about the words of 256 MB in memory
-    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    first = max(12, int(spark.conf.get("spark.sql.shuffle.partitions", "12")) // 4, min(4096, size >> 28))
-    counts = stored(unigrams(docs, first), "unigrams")
-    voc = frequent_words(counts)
-    parts = int(min(60_000, max(12, -(-voc.total // tokens_a_part))))
-    held = [tuple(r) for r in held_out_counts(docs, voc, parts, counts).collect()] if voc.total else []
-    weights = mixture(held, voc.distinct) if voc.total else np.tile([0.0, 0.0, 1.0], (BUCKETS, 1))
-    forget(spark)
-    out = token_sums(docs, voc, weights, parts, counts if voc.total else None, frequent_pairs(held))
-    base = F.col("known_log") - F.col("n_tokens") * F.lit(float(np.log10(voc.total + voc.distinct + 1)))
-    return out.select(*[F.col(f"_keep_{i}").alias(c) for i, c in enumerate(keep)], "n_tokens", "n_known", F.lit(voc.total).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
+    size = docs.agg(F.sum(F.octet_length("text"))).head()[0] or 0
+    coded = stored(coded_groups(docs, max(12, -(-size // part_bytes)), group_tokens), "coded")
+    counts = stored(corpus_counts(coded), "counts")
+    total, distinct = counts.agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).head()
+    forget(df.sparkSession)  # the exchange of keys is over before the next one
+    counted = stored(counted_groups(coded, counts, total), "counted")
+    discard(coded, counts)
+    weights = mixture([tuple(r) for r in held_out_counts(counted).collect()], distinct) if total else np.tile([0.0, 0.0, 1.0], (BUCKETS, 1))
+    out = group_scores(counted, docs.drop("text", "train").schema, weights, total, distinct)
+    base = F.col("known_log") - F.col("n_tokens") * F.lit(float(np.log10(total + distinct + 1)))
+    return out.select(*[F.col(f"_keep_{i}").alias(c) for i, c in enumerate(keep)], "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
