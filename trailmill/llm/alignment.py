@@ -12,7 +12,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import portions, stored
+from .common import discard, forget, portions, stored
+from .lm import pack, unpack
 
 #: A run of white space and what follows it up to the next one.
 _RUN = re.compile(r"\s+\S*")
@@ -58,6 +59,8 @@ class Tokenizers:
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         self.space = self.b.piece_to_id("▁")
+        self.size_b = len(pieces)
+        self.pair = "int" if self.a.get_vocab_size() * self.size_b < 1 << 31 else "bigint"
 
     def check(self) -> None:
         """ValueError unless no merge of either vocabulary reaches over a cut.
@@ -83,15 +86,15 @@ class Tokenizers:
         return [(x, ([self.space] if s == " " else y) if s[0] == " " else y[1:]) for s, x, y in zip(segs, a, b, strict=True)]
 
     def align(self, seg: str, a: list[int], b: list[int]) -> tuple[bool, int, list[str], list[int]]:
-        """Whether both sides spell the segment; then the number of groups, the groups as strings and the links (A's id << 32 | B's id), in order."""
+        """Whether both sides spell the segment; then the number of groups, the groups as strings and the links (A's id times the size of B's vocabulary, and B's id), in order."""
         text, left, right = seg.encode(), [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b]
         if b"".join(left) != text or b"".join(right) != text:
             return False, 0, [], []
         if len(a) == 1 or len(b) == 1:
-            return True, 1, [",".join(map(str, a)) + "|" + ",".join(map(str, b))], [x << 32 | y for x in a for y in b]
+            return True, 1, [",".join(map(str, a)) + "|" + ",".join(map(str, b))], [x * self.size_b + y for x in a for y in b]
         groups, links, i, j, i0, j0, at, bt = [], [], 0, 0, 0, 0, len(left[0]), len(right[0])
         while True:
-            links.append(a[i] << 32 | b[j])
+            links.append(a[i] * self.size_b + b[j])
             if at == bt:
                 groups.append(",".join(map(str, a[i0 : i + 1])) + "|" + ",".join(map(str, b[j0 : j + 1])))
                 i, j = i + 1, j + 1
@@ -112,7 +115,7 @@ def _loaded(a: str, b: str) -> Tokenizers:
 
 
 def _coded(df: DataFrame, text: str, keep: list[str], portion: int) -> DataFrame:
-    """A row for each portion of df's texts: part (its number), the columns keep as lists, segs (its different segments), codes (of every text in order, places in segs) and sizes (how many codes each text has)."""
+    """A row for each portion of df's texts: part (its number), the columns keep as lists, segs (its different segments) and codes (packed: of every text in order, places in segs; and how many of them each text has)."""
     names = [f"_keep_{i}" for i in range(len(keep))]
     rows = df.select(*[F.col(c).alias(n) for c, n in zip(keep, names, strict=True)], F.col(text).cast("binary").alias("text"))
     types = {f.name: f.dataType.simpleString() for f in rows.schema}
@@ -131,11 +134,11 @@ def _coded(df: DataFrame, text: str, keep: list[str], portion: int) -> DataFrame
                 kept = [b.column(n).slice(lo, len(texts)) for n in names]
                 one = pa.array([0, len(texts)], pa.int32())
                 cols = [pa.ListArray.from_arrays(one, k) for k in kept]
-                cols += [pa.array([part]), pa.array([list(known)], pa.list_(pa.string())), pa.array([np.concatenate(codes).tobytes()], pa.binary()), pa.array([np.array(sizes, np.uint32).tobytes()], pa.binary())]
-                yield pa.RecordBatch.from_arrays(cols, names=[*names, "part", "segs", "codes", "sizes"])
+                cols += [pa.array([part]), pa.array([list(known)], pa.list_(pa.string())), pa.array([pack(np.concatenate(codes), np.array(sizes, np.uint32))], pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, names=[*names, "part", "segs", "codes"])
                 lo, part = lo + len(texts), part + 1
 
-    return rows.mapInArrow(code, "".join(f"{n} array<{types[n]}>, " for n in names) + "part long, segs array<string>, codes binary, sizes binary")
+    return rows.mapInArrow(code, "".join(f"{n} array<{types[n]}>, " for n in names) + "part long, segs array<string>, codes binary")
 
 
 def _aligned(segs: DataFrame, a: str, b: str) -> DataFrame:
@@ -143,16 +146,17 @@ def _aligned(segs: DataFrame, a: str, b: str) -> DataFrame:
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = _loaded(a, b)
+        pair = pa.int32() if tok.pair == "int" else pa.int64()
         for batch in batches:
             for part in portions(batch.column("seg").cast(pa.binary()), 1 << 18):
                 texts = [x.decode() for x in part]
                 ids = tok.encode(texts)
                 got = [tok.align(s, *x) for s, x in zip(texts, ids, strict=True)]
                 cols = [pa.array(texts), pa.array([g[0] for g in got])]
-                cols += [pa.array(x, pa.int64()) for x in ([len(i[0]) for i in ids], [len(i[1]) for i in ids], [g[1] for g in got], [len(g[3]) for g in got])]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array([";".join(g[2]) for g in got]), pa.array([g[3] for g in got], pa.list_(pa.int64()))], names=["seg", "ok", "n_a", "n_b", "n_groups", "n_links", "groups", "links"])
+                cols += [pa.array(x, pa.int32()) for x in ([len(i[0]) for i in ids], [len(i[1]) for i in ids], [g[1] for g in got], [len(g[3]) for g in got])]
+                yield pa.RecordBatch.from_arrays([*cols, pa.array([";".join(g[2]) for g in got]), pa.array([g[3] for g in got], pa.list_(pair))], names=["seg", "ok", "n_a", "n_b", "n_groups", "n_links", "groups", "links"])
 
-    return segs.mapInArrow(solve, "seg string, ok boolean, n_a long, n_b long, n_groups long, n_links long, groups string, links array<long>")
+    return segs.mapInArrow(solve, f"seg string, ok boolean, n_a int, n_b int, n_groups int, n_links int, groups string, links array<{_loaded(a, b).pair}>")
 
 
 def _by_code(codes: pa.ChunkedArray, *columns: pa.ChunkedArray) -> list[np.ndarray]:
@@ -161,7 +165,7 @@ def _by_code(codes: pa.ChunkedArray, *columns: pa.ChunkedArray) -> list[np.ndarr
 
 
 def _texts_of(portion: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    return tuple(np.frombuffer(portion.column(c)[0].as_py(), np.uint32).astype(np.int64) for c in ("codes", "sizes"))
+    return tuple(x.astype(np.int64) for x in unpack(portion.column("codes")[0].as_py()))
 
 
 def _pairs_met(portion: pa.Table, segs: pa.Table) -> pa.Table:
@@ -182,10 +186,10 @@ def _pairs_met(portion: pa.Table, segs: pa.Table) -> pa.Table:
     place = np.arange(n.sum()) + np.repeat((ends - size)[met & 0xFFFFFFFF] - (np.cumsum(n) - n), n)
     once = np.unique(np.repeat(met >> 32, n) << 32 | which[place])
     count = np.bincount(once & 0xFFFFFFFF, minlength=len(pairs))
-    return pa.table({"pair": pairs[count > 0], "n": count[count > 0]})
+    return pa.table({"pair": pairs[count > 0].astype(np.int64), "n": count[count > 0]})
 
 
-def aligned_texts(df: DataFrame, *, a: str, b: str, text: str = "text", keep: list[str] | tuple[str, ...] = (), portion: int = 2 << 20) -> DataFrame:
+def aligned_texts(df: DataFrame, *, a: str, b: str, text: str = "text", keep: list[str] | tuple[str, ...] = (), portion: int = 16 << 20) -> DataFrame:
     """keep, then for each row of df: n_a and n_b (its tokens by A and B), n_groups, n_links, n_best, count_sum and groups (`a1,a2|b1;a3|b2,b3`: ids by A and B of each group in order).
 
     A encodes a space and the text, B the text, before which it puts the space itself. Byte offsets where tokens of both end cut them into groups; a link is an overlapping pair of token occurrences. An id pair's count is the number of rows that hold
@@ -202,19 +206,28 @@ def aligned_texts(df: DataFrame, *, a: str, b: str, text: str = "text", keep: li
         raise ValueError(f"columns {sorted(clash)} would be overwritten")
     _loaded(a, b).check()
     names = [f"_keep_{i}" for i in range(len(keep))]
+    tok, spark = _loaded(a, b), df.sparkSession
     coded = stored(_coded(df, text, keep, portion), "coded")
     met = coded.select("part", F.posexplode("segs").alias("code", "seg"))
     segs = stored(_aligned(met.select("seg").distinct(), a, b).withColumn("sid", F.monotonically_increasing_id()), "segments")
     # both sides are plain exchanges, so that Spark can split a segment that every portion has
-    right = segs.withColumnRenamed("seg", "_seg")
-    known = stored(met.join(right, F.col("seg") == F.col("_seg")).drop("seg", "_seg"), "known")
-    pairs = coded.select("part", "codes", "sizes").groupBy("part").cogroup(known.select("part", "code", "ok", "links").groupBy("part")).applyInArrow(_pairs_met, "pair long, n long")
+    named = segs.select(F.col("seg").alias("_seg"), "sid")
+    ids = stored(met.join(named, F.col("seg") == F.col("_seg")).select("part", "code", "sid"), "ids")
+    forget(spark)  # the exchanges of segments are over before those of alignments
+    linked = ids.join(segs.select(F.col("sid").alias("_sid"), "ok", "links"), F.col("sid") == F.col("_sid")).select("part", "code", "ok", "links")
+    pairs = coded.select("part", "codes").groupBy("part").cogroup(linked.groupBy("part")).applyInArrow(_pairs_met, "pair long, n long")
     counts = stored(pairs.groupBy("pair").agg(F.sum("n").alias("n")), "pairs")
-    most = counts.groupBy(F.shiftright("pair", 32).alias("_a")).agg(F.max("n").alias("most"))
-    ranked = counts.join(most, F.shiftright("pair", 32) == F.col("_a")).select(F.col("pair").alias("_pair"), "n", (F.col("n") == F.col("most")).cast("long").alias("best"))
+    forget(spark)
+    own = F.floor(F.col("pair") / tok.size_b)
+    most = counts.groupBy(own.alias("_a")).agg(F.max("n").alias("most"))
+    ranked = counts.join(most, own == F.col("_a")).select(F.col("pair").alias("_pair"), "n", (F.col("n") == F.col("most")).cast("long").alias("best"))
     links = segs.select("sid", F.explode("links").alias("pair"))
     values = links.join(ranked, F.col("pair") == F.col("_pair")).groupBy(F.col("sid").alias("_sid")).agg(F.sum("best").alias("n_best"), F.sum("n").alias("count_sum"))
-    valued = known.drop("links").join(stored(values, "values"), F.col("sid") == F.col("_sid"), "left").select("part", "code", "ok", "n_a", "n_b", "n_groups", "n_links", F.coalesce("n_best", F.lit(0)).alias("n_best"), F.coalesce("count_sum", F.lit(0)).alias("count_sum"), "groups")
+    whole = segs.drop("seg", "links").join(values, F.col("sid") == F.col("_sid"), "left").select(F.col("sid").alias("_sid"), "ok", "n_a", "n_b", "n_groups", "n_links", F.coalesce("n_best", F.lit(0)).alias("n_best"), F.coalesce("count_sum", F.lit(0)).alias("count_sum"), "groups")
+    whole = stored(whole, "whole")
+    discard(segs, counts)
+    forget(spark)
+    valued = ids.join(whole, F.col("sid") == F.col("_sid")).select("part", "code", "ok", *_COUNTS, "groups")
     types = {f.name: f.dataType.elementType.simpleString() for f in coded.schema if f.name in names}
 
     def compose(portion: pa.Table, segs: pa.Table) -> pa.Table:
