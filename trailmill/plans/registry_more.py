@@ -44,10 +44,12 @@ def sparse_moments(spark: SparkSession, sf: str) -> DataFrame:
     return sparse.column_moments(coo(spark, sf), _rows(spark, sf)).select("j", "n", F.round("mean", 6).alias("mean"), F.round("var", 5).alias("var"))
 
 
-@query("WITH m AS (SELECT l_orderkey AS i, l_linenumber AS j, sum(l_quantity) AS x FROM lineitem GROUP BY ALL) SELECT j, 2000::BIGINT AS n, round(sum(x) / 2000, 6) AS mean, round(sum(x * x) / 2000 - pow(sum(x) / 2000, 2), 5) AS var FROM m WHERE i < 1400 AND (i < 700 OR j <= 5) GROUP BY j")
+@query(f"{COO} SELECT j, n, round(sum(x) / n, 6) AS mean, round(sum(x * x) / n - pow(sum(x) / n, 2), 5) AS var FROM m, n GROUP BY j, n")
 def sparse_moments_merged(spark: SparkSession, sf: str) -> DataFrame:
-    m = coo(spark, sf)
-    both = sparse.merged_moments(sparse.column_moments(m.filter("i < 700"), 800), sparse.column_moments(m.filter("i >= 700 and i < 1400 and j <= 5"), 1200))
+    """Moments of even and of odd rows, merged, are those of all."""
+    m, n = coo(spark, sf), _rows(spark, sf)
+    even = t.read(spark, sf, "lineitem").select("l_orderkey").distinct().filter("l_orderkey % 2 = 0").count()
+    both = sparse.merged_moments(sparse.column_moments(m.filter("i % 2 = 0"), even), sparse.column_moments(m.filter("i % 2 <> 0"), n - even))
     return both.select("j", "n", F.round("mean", 6).alias("mean"), F.round("var", 5).alias("var"))
 
 
@@ -214,8 +216,16 @@ def resample(spark: SparkSession, sf: str) -> DataFrame:
 
 # ---- made-up tables
 
-N_MADE = 4000
-MADE = f"WITH r AS (SELECT range AS id FROM range({N_MADE}))"
+# a row for each event, or an entry for each line of an order: the values are made by digest of the row's number
+MADE = "WITH r AS (SELECT event_id AS id FROM events)"
+
+
+def made(spark: SparkSession, sf: str) -> DataFrame:
+    return t.read(spark, sf, "events").select(C("event_id").alias("id"))
+
+
+def cells(spark: SparkSession, sf: str, i: str = "l_orderkey", j: str = "l_linenumber") -> DataFrame:
+    return t.read(spark, sf, "lineitem").select(C(i).cast("long").alias("i"), C(j).cast("int").alias("j")).distinct()
 
 
 def u(name: str, *of: str) -> str:
@@ -228,7 +238,7 @@ def g(name: str, *of: str) -> str:
 
 @query(f"{MADE} SELECT id, round(10 * sin(pi() * {u('x0')} * {u('x1')}) + 20 * pow({u('x2')} - 0.5, 2) + 10 * {u('x3')} + 5 * {u('x4')}, 6) AS y FROM r")
 def make_friedman1(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(synthetic.friedman(spark, N_MADE).select("id", "y"), "y")
+    return rounded(synthetic.friedman(made(spark, sf)).select("id", "y"), "y")
 
 
 FR = f"{MADE}, x AS (SELECT id, 100 * {u('x0')} AS a, (520 * {u('x1')} + 40) * pi() AS b, {u('x2')} AS c, 10 * {u('x3')} + 1 AS d FROM r)"
@@ -236,79 +246,79 @@ FR = f"{MADE}, x AS (SELECT id, 100 * {u('x0')} AS a, (520 * {u('x1')} + 40) * p
 
 @query(f"{FR} SELECT id, round(sqrt(a * a + pow(b * c - 1 / (b * d), 2)), 5) AS y FROM x")
 def make_friedman2(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(synthetic.friedman(spark, N_MADE, 2).select("id", "y"), "y", digits=5)
+    return rounded(synthetic.friedman(made(spark, sf), kind=2).select("id", "y"), "y", digits=5)
 
 
 @query(f"{FR} SELECT id, round(atan((b * c - 1 / (b * d)) / a), 6) AS y FROM x")
 def make_friedman3(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(synthetic.friedman(spark, N_MADE, 3).select("id", "y"), "y")
+    return rounded(synthetic.friedman(made(spark, sf), kind=3).select("id", "y"), "y")
 
 
 @query(f"{MADE}, x AS (SELECT id, 3 * pi() * ({u('t')} - 0.5) AS t FROM r) SELECT id, round(sin(t), 6) AS x, round(2 * {u('y')}, 6) AS y, round(sign(t) * (cos(t) - 1), 6) AS z, round(t, 6) AS t FROM x")
 def make_s_curve(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(synthetic.s_curve(spark, N_MADE), "x", "y", "z", "t")
+    return rounded(synthetic.s_curve(made(spark, sf)), "x", "y", "z", "t")
 
 
 @query(f"{MADE}, x AS (SELECT id, 1.5 * pi() * (1 + 2 * {u('t')}) AS t FROM r) SELECT id, round(t * cos(t), 6) AS x, round(21 * {u('y')}, 6) AS y, round(t * sin(t), 6) AS z, round(t, 6) AS t FROM x")
 def make_swiss_roll(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(synthetic.swiss_roll(spark, N_MADE), "x", "y", "z", "t")
+    return rounded(synthetic.swiss_roll(made(spark, sf)), "x", "y", "z", "t")
 
 
 @query(f"{MADE} SELECT id, CASE WHEN {' + '.join(f'pow({g(f"x{i}")}, 2)' for i in range(10))} > 9.34 THEN 1.0 ELSE -1.0 END::DOUBLE AS y FROM r")
 def make_hastie(spark: SparkSession, sf: str) -> DataFrame:
-    return synthetic.hastie(spark, N_MADE).select("id", "y")
+    return synthetic.hastie(made(spark, sf)).select("id", "y")
 
 
 @query(f"{MADE} SELECT id, round({g('x0')} + 2 * {g('x1')} - 2 * {g('x2')} - 1.5 * {g('x3')} + {g('noise')}, 6) AS y FROM r")
 def make_sparse_uncorrelated(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(synthetic.sparse_uncorrelated(spark, N_MADE).select("id", "y"), "y")
+    return rounded(synthetic.sparse_uncorrelated(made(spark, sf)).select("id", "y"), "y")
 
 
 @query(f"{MADE} SELECT id, CAST(least(floor(3 * (1 - exp(-(pow({g('x0')}, 2) + pow({g('x1')}, 2)) / 2))), 2) AS INT) AS y FROM r")
 def make_gaussian_quantiles(spark: SparkSession, sf: str) -> DataFrame:
-    return synthetic.gaussian_quantiles(spark, N_MADE).select("id", "y")
+    return synthetic.gaussian_quantiles(made(spark, sf)).select("id", "y")
 
 
-BOARD = "WITH c AS (SELECT i.range AS i, CAST(j.range AS INT) AS j FROM range(60) i, range(40) j), p AS (SELECT i, j, CAST(floor({row} * {a}) AS INT) AS row_part, CAST(floor({column} * {b}) AS INT) AS column_part FROM c)"
+BOARD = "WITH c AS (SELECT DISTINCT CAST(l_orderkey AS BIGINT) AS i, CAST(l_linenumber AS INT) AS j FROM lineitem), p AS (SELECT i, j, CAST(floor({row} * {a}) AS INT) AS row_part, CAST(floor({column} * {b}) AS INT) AS column_part FROM c)"
 CELL = f"10 + 90 * {u('cell', 'row_part', 'column_part')} + {g('noise', 'i', 'j')}"
 
 
 @query(f"{BOARD.format(row=u('row', 'i'), column=u('column', 'j'), a=3, b=4)} SELECT i, j, round({CELL}, 6) AS x, row_part, column_part FROM p")
 def make_checkerboard(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(synthetic.checkerboard(spark, 60, 40), "x")
+    return rounded(synthetic.checkerboard(cells(spark, sf)), "x")
 
 
 @query(f"{BOARD.format(row=u('row', 'i'), column=u('column', 'j'), a=3, b=3)} SELECT i, j, round(CASE WHEN row_part = column_part THEN {CELL} ELSE {g('noise', 'i', 'j')} END, 6) AS x, row_part, column_part FROM p")
 def make_biclusters(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(synthetic.biclusters(spark, 60, 40), "x")
+    return rounded(synthetic.biclusters(cells(spark, sf)), "x")
 
 
-@query(f"WITH c AS (SELECT i.range AS i, CAST(j.range AS INT) AS j FROM range(60) i, range(40) j) SELECT i, j, round({' + '.join(f'{g(f"u{k}", "i")} * {g(f"v{k}", "j")} / {k + 1}' for k in range(3))}, 6) AS x FROM c")
+@query(f"WITH c AS (SELECT DISTINCT CAST(l_orderkey AS BIGINT) AS i, CAST(l_linenumber AS INT) AS j FROM lineitem) SELECT i, j, round({' + '.join(f'{g(f"u{k}", "i")} * {g(f"v{k}", "j")} / {k + 1}' for k in range(3))}, 6) AS x FROM c")
 def make_low_rank(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(synthetic.low_rank(spark, 60, 40), "x")
+    return rounded(synthetic.low_rank(cells(spark, sf)), "x")
 
 
-SPD = "WITH c AS (SELECT i.range AS i, j.range AS j, least(i.range, j.range) AS lo, greatest(i.range, j.range) AS hi FROM range(50) i, range(50) j)"
+SPD = "WITH c AS (SELECT i, j, least(i, j) AS lo, greatest(i, j) AS hi FROM (SELECT DISTINCT CAST(l_suppkey AS BIGINT) AS i, CAST(l_partkey AS INT)::BIGINT AS j FROM lineitem))"
 
 
 @query(f"{SPD} SELECT i, j, round(CASE WHEN i = j THEN 50.0 ELSE 2 * {u('off', 'lo', 'hi')} - 1 END, 6) AS x FROM c")
 def make_spd(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(synthetic.positive_definite(spark, 50), "x")
+    return rounded(synthetic.positive_definite(cells(spark, sf, "l_suppkey", "l_partkey"), 50), "x")
 
 
 @query(f"{SPD} SELECT i, j, round(CASE WHEN i = j THEN 50.0 WHEN {u('zero', 'lo', 'hi')} < 0.9 THEN 0.0 ELSE 2 * {u('off', 'lo', 'hi')} - 1 END, 6) AS x FROM c")
 def make_sparse_spd(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(synthetic.positive_definite(spark, 50, 0.9), "x")
+    return rounded(synthetic.positive_definite(cells(spark, sf, "l_suppkey", "l_partkey"), 50, 0.9), "x")
 
 
 @query(f"{MADE}, k AS (SELECT id, unnest([{', '.join(f'CAST(floor({u(f"at{k}")} * 20) AS INT)' for k in range(3))}]) AS word, unnest([{', '.join(g(f'weight{k}') for k in range(3))}]) AS w FROM r) SELECT id, {', '.join(f'round(sum(w * {g(f"row{d}", "word")}), 6) AS v{d}' for d in (0, 7))} FROM k GROUP BY id")
 def make_sparse_coded(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(synthetic.sparse_coded(spark, N_MADE).select("id", C("v")[0].alias("v0"), C("v")[7].alias("v7")), "v0", "v7")
+    return rounded(synthetic.sparse_coded(made(spark, sf)).select("id", C("v")[0].alias("v0"), C("v")[7].alias("v7")), "v0", "v7")
 
 
 @query(f"{MADE}, l AS (SELECT id, list_filter([{', '.join(f'CASE WHEN {u(f"class{k}")} < {k + 1} / 6.0::DOUBLE THEN {k} END' for k in range(5))}], lambda x: x IS NOT NULL) AS labels FROM r), d AS (SELECT id, len(labels) AS n_labels, list_count(list_filter([{', '.join(f'(CAST(floor({u(f"word{w}")} * 20) AS INT) + coalesce(labels[1], 0) * 4) % 20' for w in range(30))}], lambda x: x = 3)) AS c FROM l) SELECT id, CAST(n_labels AS INT) AS n_labels, CAST(c AS INT) AS count_3 FROM d")
 def make_multilabel(spark: SparkSession, sf: str) -> DataFrame:
-    return synthetic.multilabel(spark, N_MADE).select("id", F.size("labels").alias("n_labels"), C("counts")[3].alias("count_3"))
+    return synthetic.multilabel(made(spark, sf)).select("id", F.size("labels").alias("n_labels"), C("counts")[3].alias("count_3"))
 
 
 # ---- images and labels

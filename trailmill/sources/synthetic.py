@@ -62,15 +62,29 @@ def digest_normal(name: str, *of: Column) -> Column:
     return F.sqrt(-2 * F.ln(1 - digest(name + "a", *of))) * F.cos(2 * F.pi() * digest(name + "b", *of))
 
 
-def _table(spark: SparkSession, n: int, dim: int, draw: str = "uniform", name: str = "x") -> DataFrame:
+#: Where rows come from: a session, for rows numbered from 0, or a table whose column id (or i and j) numbers them.
+Source = SparkSession | DataFrame
+
+
+def _ids(source: Source, n: int) -> DataFrame:
+    return source.select("id") if isinstance(source, DataFrame) else source.range(n)
+
+
+def _cells(source: Source, rows: int, columns: int) -> DataFrame:
+    if isinstance(source, DataFrame):
+        return source.select("i", "j")
+    return source.range(rows).withColumnRenamed("id", "i").withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(columns - 1))))
+
+
+def _table(source: Source, n: int, dim: int, draw: str = "uniform", name: str = "x") -> DataFrame:
     one = digest if draw == "uniform" else digest_normal
-    return spark.range(n).withColumns({f"x{i}": one(f"{name}{i}", F.col("id")) for i in range(dim)})
+    return _ids(source, n).withColumns({f"x{i}": one(f"{name}{i}", F.col("id")) for i in range(dim)})
 
 
-def friedman(spark: SparkSession, n: int, kind: int = 1, noise: float = 0.0) -> DataFrame:
+def friedman(source: Source, n: int = 0, kind: int = 1, noise: float = 0.0) -> DataFrame:
     """id, x0, ... and y by one of three nonlinear formulas: of five of ten uniform columns, or of an alternating current's impedance or phase."""
     x = [F.col(f"x{i}") for i in range(10)]
-    df = _table(spark, n, 10 if kind == 1 else 4)
+    df = _table(source, n, 10 if kind == 1 else 4)
     if kind == 1:
         y = 10 * F.sin(F.pi() * x[0] * x[1]) + 20 * (x[2] - 0.5) * (x[2] - 0.5) + 10 * x[3] + 5 * x[4]
     else:
@@ -80,79 +94,79 @@ def friedman(spark: SparkSession, n: int, kind: int = 1, noise: float = 0.0) ->
     return df.withColumn("y", y + (noise * digest_normal("noise", F.col("id")) if noise else 0.0))
 
 
-def s_curve(spark: SparkSession, n: int) -> DataFrame:
+def s_curve(source: Source, n: int = 0) -> DataFrame:
     """id, x, y, z on an S-shaped sheet, and t, the place along it."""
     t = 3 * F.pi() * (digest("t", F.col("id")) - 0.5)
-    return spark.range(n).withColumn("t", t).select("id", F.sin("t").alias("x"), (2 * digest("y", F.col("id"))).alias("y"), (F.signum("t") * (F.cos("t") - 1)).alias("z"), "t")
+    return _ids(source, n).withColumn("t", t).select("id", F.sin("t").alias("x"), (2 * digest("y", F.col("id"))).alias("y"), (F.signum("t") * (F.cos("t") - 1)).alias("z"), "t")
 
 
-def swiss_roll(spark: SparkSession, n: int) -> DataFrame:
+def swiss_roll(source: Source, n: int = 0) -> DataFrame:
     """id, x, y, z on a rolled sheet, and t, the place along it."""
     t = 1.5 * F.pi() * (1 + 2 * digest("t", F.col("id")))
-    return spark.range(n).withColumn("t", t).select("id", (F.col("t") * F.cos("t")).alias("x"), (21 * digest("y", F.col("id"))).alias("y"), (F.col("t") * F.sin("t")).alias("z"), "t")
+    return _ids(source, n).withColumn("t", t).select("id", (F.col("t") * F.cos("t")).alias("x"), (21 * digest("y", F.col("id"))).alias("y"), (F.col("t") * F.sin("t")).alias("z"), "t")
 
 
-def hastie(spark: SparkSession, n: int) -> DataFrame:
+def hastie(source: Source, n: int = 0) -> DataFrame:
     """id, ten normal columns and y: 1 where their squares sum to over 9.34 (the median of that sum), else -1."""
-    df = _table(spark, n, 10, "normal")
+    df = _table(source, n, 10, "normal")
     return df.withColumn("y", F.when(sum(F.col(f"x{i}") * F.col(f"x{i}") for i in range(10)) > 9.34, 1.0).otherwise(-1.0))
 
 
-def sparse_uncorrelated(spark: SparkSession, n: int, dim: int = 10) -> DataFrame:
+def sparse_uncorrelated(source: Source, n: int = 0, dim: int = 10) -> DataFrame:
     """id, normal columns and y: x0 + 2 x1 - 2 x2 - 1.5 x3 and normal noise."""
-    return _table(spark, n, dim, "normal").withColumn("y", F.expr("x0 + 2 * x1 - 2 * x2 - 1.5 * x3") + digest_normal("noise", F.col("id")))
+    return _table(source, n, dim, "normal").withColumn("y", F.expr("x0 + 2 * x1 - 2 * x2 - 1.5 * x3") + digest_normal("noise", F.col("id")))
 
 
-def gaussian_quantiles(spark: SparkSession, n: int, dim: int = 2, classes: int = 3) -> DataFrame:
+def gaussian_quantiles(source: Source, n: int = 0, dim: int = 2, classes: int = 3) -> DataFrame:
     """id, normal columns and y: the class by the squared length's place among equal shares of the chi-squared law with 2 columns (others by rank are not made)."""
     if dim != 2:
         raise ValueError("only two columns")
-    df = _table(spark, n, 2, "normal")
+    df = _table(source, n, 2, "normal")
     share = 1 - F.exp(-(F.col("x0") * F.col("x0") + F.col("x1") * F.col("x1")) / 2)
     return df.withColumn("y", F.least(F.floor(share * classes), F.lit(classes - 1)).cast("int"))
 
 
-def checkerboard(spark: SparkSession, rows: int, columns: int, parts: tuple[int, int] = (3, 4), low: float = 10.0, high: float = 100.0) -> DataFrame:
+def checkerboard(source: Source, rows: int = 0, columns: int = 0, parts: tuple[int, int] = (3, 4), low: float = 10.0, high: float = 100.0) -> DataFrame:
     """(i, j, x, row_part, column_part): a matrix that is constant, but for noise, in each pair of a row's and a column's part."""
-    df = spark.range(rows).withColumnRenamed("id", "i").withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(columns - 1))))
+    df = _cells(source, rows, columns)
     a, b = F.floor(digest("row", F.col("i")) * parts[0]).cast("int"), F.floor(digest("column", F.col("j")) * parts[1]).cast("int")
     df = df.withColumns({"row_part": a, "column_part": b})
     return df.select("i", "j", (low + (high - low) * digest("cell", F.col("row_part"), F.col("column_part")) + digest_normal("noise", F.col("i"), F.col("j"))).alias("x"), "row_part", "column_part")
 
 
-def biclusters(spark: SparkSession, rows: int, columns: int, parts: int = 3, low: float = 10.0, high: float = 100.0) -> DataFrame:
+def biclusters(source: Source, rows: int = 0, columns: int = 0, parts: int = 3, low: float = 10.0, high: float = 100.0) -> DataFrame:
     """(i, j, x, row_part, column_part): blocks where a row and a column have the same part, and noise elsewhere."""
-    df = checkerboard(spark, rows, columns, (parts, parts), low, high)
+    df = checkerboard(source, rows, columns, (parts, parts), low, high)
     noise = digest_normal("noise", F.col("i"), F.col("j"))
     return df.withColumn("x", F.when(F.col("row_part") == F.col("column_part"), F.col("x")).otherwise(noise))
 
 
-def low_rank(spark: SparkSession, rows: int, columns: int, rank: int = 3) -> DataFrame:
+def low_rank(source: Source, rows: int = 0, columns: int = 0, rank: int = 3) -> DataFrame:
     """(i, j, x): the product of two normal matrices of that rank, with falling weights 1, 1/2, 1/3, ..."""
-    df = spark.range(rows).withColumnRenamed("id", "i").withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(columns - 1))))
+    df = _cells(source, rows, columns)
     return df.select("i", "j", sum((digest_normal(f"u{k}", F.col("i")) * digest_normal(f"v{k}", F.col("j")) / (k + 1) for k in range(rank)), F.lit(0.0)).alias("x"))
 
 
-def multilabel(spark: SparkSession, n: int, classes: int = 5, words: int = 20, length: int = 30) -> DataFrame:
+def multilabel(source: Source, n: int = 0, classes: int = 5, words: int = 20, length: int = 30) -> DataFrame:
     """id, labels (array) and counts (array, one a word): each class is drawn with a probability of its own, and each word's count is that of draws from the classes' words."""
     c = [F.when(digest(f"class{k}", F.col("id")) < (k + 1) / (classes + 1), F.lit(k)) for k in range(classes)]
-    df = spark.range(n).withColumn("labels", F.array_compact(F.array(*c)))
+    df = _ids(source, n).withColumn("labels", F.array_compact(F.array(*c)))
     picks = [F.floor(digest(f"word{w}", F.col("id")) * words).cast("int") for w in range(length)]
     drawn = F.array(*[F.pmod(p + F.coalesce(F.try_element_at("labels", F.lit(1)), F.lit(0)) * (words // classes), F.lit(words)) for p in picks])
     return df.select("id", "labels", F.transform(F.sequence(F.lit(0), F.lit(words - 1)), lambda w: F.size(F.filter(drawn, lambda d: d == w))).alias("counts"))
 
 
-def positive_definite(spark: SparkSession, dim: int, sparse: float = 0.0) -> DataFrame:
+def positive_definite(source: Source, dim: int, sparse: float = 0.0) -> DataFrame:
     """(i, j, x): a symmetric matrix with a dominant diagonal; with sparse, about that share of the others is 0."""
-    df = spark.range(dim).withColumnRenamed("id", "i").withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(dim - 1)))).withColumn("j", F.col("j").cast("long"))
+    df = _cells(source, dim, dim).withColumn("j", F.col("j").cast("long"))
     lo, hi = F.least("i", "j"), F.greatest("i", "j")
     off = F.when(digest("zero", lo, hi) < sparse, 0.0).otherwise(2 * digest("off", lo, hi) - 1)
     return df.select("i", "j", F.when(F.col("i") == F.col("j"), F.lit(float(dim))).otherwise(off).alias("x"))
 
 
-def sparse_coded(spark: SparkSession, n: int, words: int = 20, dim: int = 8, nonzero: int = 3) -> DataFrame:
+def sparse_coded(source: Source, n: int = 0, words: int = 20, dim: int = 8, nonzero: int = 3) -> DataFrame:
     """id, code (array of structs word, weight) and v: sums of few normal dictionary rows, picked by digest (one may be picked twice)."""
     at = [F.floor(digest(f"at{k}", F.col("id")) * words).cast("int") for k in range(nonzero)]
     w = [digest_normal(f"weight{k}", F.col("id")) for k in range(nonzero)]
     v = [sum((w[k] * digest_normal(f"row{d}", at[k]) for k in range(nonzero)), F.lit(0.0)) for d in range(dim)]
-    return spark.range(n).select("id", F.array(*[F.struct(a.alias("word"), x.alias("weight")) for a, x in zip(at, w, strict=True)]).alias("code"), F.array(*v).alias("v"))
+    return _ids(source, n).select("id", F.array(*[F.struct(a.alias("word"), x.alias("weight")) for a, x in zip(at, w, strict=True)]).alias("code"), F.array(*v).alias("v"))
