@@ -167,15 +167,44 @@ def test_near_copies_by_similarity(spark, broadcast_rows):
     assert got == Counter(low.values())
 
 
-def test_nearest_links_are_within_radius(spark):
-    rng = random.Random(3)
-    fps = {rng.getrandbits(64) for _ in range(30)}
-    fps |= {x ^ 1 << rng.randrange(64) ^ 1 << rng.randrange(64) for x in list(fps) for _ in range(6)}
-    sign = lambda x: x - (1 << 64) if x >> 63 else x
-    links = simhash.near_links(spark.createDataFrame([(sign(x),) for x in sorted(fps)], "fp long"), 4, 16, nearest=True).collect()
-    assert links and all((r.u ^ r.v & (1 << 64) - 1).bit_count() <= 4 or ((r.u ^ r.v) & (1 << 64) - 1).bit_count() <= 4 for r in links)
-    want = plain_components([(sign(a), sign(b)) for a in fps for b in fps if a < b and (a ^ b).bit_count() <= 4], [sign(x) for x in fps])
-    assert plain_components([(r.u, r.v) for r in links], want) == want
+def near_threshold_texts():
+    """Families whose texts have similarities of 0.6 to 0.97, most of them near 0.8."""
+    rng, texts = random.Random(7), []
+    for _ in range(150):
+        base = [f"w{rng.randrange(3000)}" for _ in range(150)]
+        for k in range(12):
+            w = list(base)
+            for at in rng.sample(range(150), 1 + k % 5):
+                w[at] = f"x{rng.randrange(10**6)}"
+            texts.append(" ".join(w))
+    return texts
+
+
+def test_near_copies_near_the_threshold(spark):
+    """Of thousands of pairs at 0.8 or more by brute force, those whose texts end up apart; and no text goes without a link."""
+    texts = near_threshold_texts()
+    sets = [shingle_set(t) for t in texts]
+    pairs = [(i, j) for f in range(0, len(texts), 12) for i in range(f, f + 12) for j in range(f, i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    want = plain_components(pairs, range(len(texts)))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = {r.doc_id for r in simhash.drop_near_copies(df).collect()}
+    assert len(pairs) > 1000 and set(want.values()) <= kept
+    lost = len(kept) - len(set(want.values()))
+    assert lost <= 0.02 * (len(texts) - len(set(want.values())))
+
+
+def test_candidates_near_the_threshold(spark):
+    """Recall of candidates over all pairs at 0.8 or more: both texts in one component."""
+    texts = near_threshold_texts()
+    sets = [shingle_set(t) for t in texts]
+    df = spark.createDataFrame(list(enumerate(texts)), "key long, text string")
+    nodes = df.select("key", simhash.sketches(F.col("text"), 2, 6).alias("s")).select("key", "s.fps")
+    links = [(r.a, r.b) for r in simhash.candidate_links(nodes, 6, 5, 2048).collect()]
+    root = plain_components(links, range(len(texts)))
+    pairs = [(i, j) for f in range(0, len(texts), 12) for i in range(f, f + 12) for j in range(f, i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    found = sum(root[i] == root[j] for i, j in pairs) / len(pairs)
+    print("pairs", len(pairs), "recall", found)
+    assert found >= 0.98
 
 
 def test_drop_near_copies(spark, docs):
