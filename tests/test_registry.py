@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from trailmill.plans import registry, registry_lines, registry_ml, registry_models, registry_more, registry_rest  # noqa: F401
+from trailmill.plans import registry, registry_lines, registry_ml, registry_models, registry_more, registry_rest, registry_space  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 
