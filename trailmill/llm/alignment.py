@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -159,34 +159,77 @@ def _aligned(segs: DataFrame, a: str, b: str) -> DataFrame:
     return segs.mapInArrow(solve, f"seg string, ok boolean, n_a int, n_b int, n_groups int, n_links int, groups string, links array<{_loaded(a, b).pair}>")
 
 
-def _by_code(codes: pa.ChunkedArray, *columns: pa.ChunkedArray) -> list[np.ndarray]:
-    order = np.argsort(codes.to_numpy())
-    return [c.to_numpy()[order] for c in columns]
-
-
 def _texts_of(portion: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return tuple(x.astype(np.int64) for x in unpack(portion.column("codes")[0].as_py()))
 
 
+def _bundled(rows: DataFrame, rows_a_bundle: int = 500_000) -> DataFrame:
+    """(bucket, bundle): rows with a column bucket, many to a bundle: columns of a task's rows of a bucket, compressed."""
+
+    def pack_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            t = pa.Table.from_batches(held).combine_chunks()
+            bucket = t.column("bucket").to_numpy()
+            order = np.argsort(bucket, kind="stable")
+            edge = [0, *(np.flatnonzero(np.diff(bucket[order])) + 1).tolist(), len(order)]
+            rest = t.drop_columns(["bucket"])
+            for a, z in zip(edge, edge[1:], strict=False):
+                sink = pa.BufferOutputStream()
+                some = rest.take(pa.array(order[a:z]))
+                with pa.ipc.new_stream(sink, some.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+                    w.write_table(some)
+                yield pa.RecordBatch.from_arrays([pa.array([int(bucket[order[a]])], pa.int32()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["bucket", "bundle"])
+
+        for b in batches:
+            if b.num_rows:
+                held.append(b)
+                n += b.num_rows
+            if n >= rows_a_bundle:
+                yield from flush()
+                held, n = [], 0
+        if n:
+            yield from flush()
+
+    return rows.mapInArrow(pack_up, "bucket int, bundle binary")
+
+
+def _each_portion(solve: Callable[[pa.Table, pa.Table], pa.Table], schema: pa.Schema) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """solve() for each portion of a bucket and the rows of its segments, which have that schema, sorted by code."""
+
+    def of(portions_: pa.Table, bundles: pa.Table) -> pa.Table:
+        tables = [pa.ipc.open_stream(x).read_all().cast(schema) for x in bundles.column("bundle").to_pylist()]
+        rows = pa.concat_tables(tables).combine_chunks() if tables else schema.empty_table()
+        rows = rows.sort_by([("part", "ascending"), ("code", "ascending")])
+        parts = rows.column("part").to_numpy()
+        out = []
+        for i in range(portions_.num_rows):
+            own = portions_.column("part")[i].as_py()
+            lo, hi = np.searchsorted(parts, [own, own + 1])
+            out.append(solve(portions_.slice(i, 1), rows.slice(lo, hi - lo)))
+        return pa.concat_tables(out)
+
+    return of
+
+
 def _pairs_met(portion: pa.Table, segs: pa.Table) -> pa.Table:
     """How many texts of a portion hold each pair linked."""
-    if not portion.num_rows or not segs.num_rows:
-        return pa.table({"pair": pa.array([], pa.int64()), "n": pa.array([], pa.int64())})
     codes, sizes = _texts_of(portion)
-    order = pa.array(np.argsort(segs.column("code").to_numpy()))
-    links = segs.column("links").combine_chunks().take(order)
-    flat, ok = links.flatten().to_numpy(), segs.column("ok").combine_chunks().take(order).to_numpy(zero_copy_only=False)
-    ends = np.cumsum(np.diff(links.offsets.to_numpy()))
-    size = np.diff(ends, prepend=0)
+    links = segs.column("links").combine_chunks()
+    links = links.chunk(0) if isinstance(links, pa.ChunkedArray) else links
+    flat, ok = links.flatten().to_numpy(), segs.column("ok").to_numpy()
+    size = np.diff(links.offsets.to_numpy())
+    ends = np.cumsum(size)
     pairs, which = np.unique(flat, return_inverse=True)
     text = np.repeat(np.arange(len(sizes)), sizes)
-    spoilt = np.bincount(text, weights=~ok[codes], minlength=len(sizes)) > 0
+    spoilt = np.bincount(text, weights=~ok.astype(bool)[codes], minlength=len(sizes)) > 0
     met = np.unique((text << 32 | codes)[~spoilt[text]])
-    n = size[met & 0xFFFFFFFF]
+    n = size[met & 0xFFFFFFFF].astype(np.int64)
     place = np.arange(n.sum()) + np.repeat((ends - size)[met & 0xFFFFFFFF] - (np.cumsum(n) - n), n)
     once = np.unique(np.repeat(met >> 32, n) << 32 | which[place])
     count = np.bincount(once & 0xFFFFFFFF, minlength=len(pairs))
-    return pa.table({"pair": pairs[count > 0].astype(np.int64), "n": count[count > 0]})
+    return pa.table({"pair": pairs[count > 0].astype(np.int64), "n": count[count > 0].astype(np.int64)})
 
 
 def aligned_texts(df: DataFrame, *, a: str, b: str, text: str = "text", keep: list[str] | tuple[str, ...] = (), portion: int = 16 << 20) -> DataFrame:
@@ -214,8 +257,12 @@ def aligned_texts(df: DataFrame, *, a: str, b: str, text: str = "text", keep: li
     named = segs.select(F.col("seg").alias("_seg"), "sid")
     ids = stored(met.join(named, F.col("seg") == F.col("_seg")).select("part", "code", "sid"), "ids")
     forget(spark)  # the exchanges of segments are over before those of alignments
-    linked = ids.join(segs.select(F.col("sid").alias("_sid"), "ok", "links"), F.col("sid") == F.col("_sid")).select("part", "code", "ok", "links")
-    pairs = coded.select("part", "codes").groupBy("part").cogroup(linked.groupBy("part")).applyInArrow(_pairs_met, "pair long, n long")
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions", "12")), coded.count() // 4)
+    bucket = F.pmod(F.xxhash64("part"), F.lit(buckets)).cast("int").alias("bucket")
+    linked = ids.join(segs.select(F.col("sid").alias("_sid"), "ok", "links"), F.col("sid") == F.col("_sid")).select(bucket, "part", "code", "ok", "links")
+    kinds = pa.schema([("part", pa.int64()), ("code", pa.int32()), ("ok", pa.bool_())])
+    solve = _each_portion(_pairs_met, kinds.append(pa.field("links", pa.list_(pa.int32() if tok.pair == "int" else pa.int64()))))
+    pairs = coded.select(bucket, "part", "codes").groupBy("bucket").cogroup(_bundled(linked).groupBy("bucket")).applyInArrow(solve, "pair long, n long")
     counts = stored(pairs.groupBy("pair").agg(F.sum("n").alias("n")), "pairs")
     forget(spark)
     own = F.floor(F.col("pair") / tok.size_b)
@@ -227,12 +274,10 @@ def aligned_texts(df: DataFrame, *, a: str, b: str, text: str = "text", keep: li
     whole = stored(whole, "whole")
     discard(segs, counts)
     forget(spark)
-    valued = ids.join(whole, F.col("sid") == F.col("_sid")).select("part", "code", "ok", *_COUNTS, "groups")
+    valued = ids.join(whole, F.col("sid") == F.col("_sid")).select(bucket, "part", "code", "ok", *_COUNTS, "groups")
     types = {f.name: f.dataType.elementType.simpleString() for f in coded.schema if f.name in names}
 
     def compose(portion: pa.Table, segs: pa.Table) -> pa.Table:
-        if not portion.num_rows:
-            return pa.table({})
         codes, sizes = _texts_of(portion)
         ends = np.cumsum(sizes)
         starts = ends - sizes
@@ -241,12 +286,13 @@ def aligned_texts(df: DataFrame, *, a: str, b: str, text: str = "text", keep: li
             up = np.concatenate([np.zeros(1, np.int64), np.cumsum(x[codes])]) if len(codes) else np.zeros(1, np.int64)
             return up[ends] - up[starts]
 
-        ok, groups, *counts = _by_code(segs.column("code"), segs.column("ok"), segs.column("groups"), *[segs.column(c) for c in _COUNTS])
+        ok, groups, *counts = (segs.column(c).to_numpy() for c in ("ok", "groups", *_COUNTS))
         spoilt = total((~ok.astype(bool)).astype(np.int64)) > 0
         out = [np.where(spoilt, 0, total(c.astype(np.int64))) for c in counts]
         strings = ["" if s else ";".join(groups[codes[x:y]]) for s, x, y in zip(spoilt.tolist(), starts.tolist(), ends.tolist(), strict=True)]
         return pa.Table.from_arrays([*[portion.column(n).combine_chunks().flatten() for n in names], *[pa.array(x, pa.int64()) for x in out], pa.array(strings, pa.string())], names=[*names, *_COUNTS, "groups"])
 
     schema = "".join(f"{n} {types[n]}, " for n in names) + ", ".join(f"{c} long" for c in _COUNTS) + ", groups string"
-    out = coded.drop("segs").groupBy("part").cogroup(valued.groupBy("part")).applyInArrow(compose, schema)
+    solve = _each_portion(compose, pa.schema([*kinds, *[(c, pa.int64()) for c in _COUNTS], ("groups", pa.string())]))
+    out = coded.select(bucket, "part", "codes", *names).groupBy("bucket").cogroup(_bundled(valued).groupBy("bucket")).applyInArrow(solve, schema)
     return out.select(*[F.col(n).alias(c) for c, n in zip(keep, names, strict=True)], *_COUNTS, "groups")
