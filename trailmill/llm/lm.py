@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -11,17 +12,20 @@ import pyarrow.compute  # noqa: F401
 import xxhash
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import discard, forget, portions, stored
+from .common import discard, forget, portions, shared_dir, stored
 
 #: The end of a text; it holds white space, so no word is like it. It is also what precedes the first word.
 END = b"\n"
 #: Contexts by how often they occur: never, once, 2 or 3 times, 4 to 7 times and so on.
 BUCKETS = 48
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
+#: Parts are worked on slice by slice, so that not all keys stand in an exchange at once.
+SLICES = 4
+CODED = "slice int, grp bigint, part int, keys binary, code binary, docs binary"
 _MADE = ["n_tokens", "n_known", "train_tokens", "base_score", "score"]
 
 
@@ -95,56 +99,66 @@ def pair_keys(head: np.ndarray, own: np.ndarray) -> np.ndarray:
     return x ^ x >> np.uint64(32)
 
 
+def _numbered(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different values in order, and each one's number."""
+    values, number = np.unique(x, return_inverse=True)
+    return values, number.astype(np.int32)
+
+
 def coded_groups(docs: DataFrame, parts: int, group_tokens: int) -> DataFrame:
-    """The tokens of docs (columns to keep, text: binary, train: boolean) by groups of texts, group_tokens each or so: (grp, part, keys) with the keys of the group's different words and pairs that fall to a part and how often its training texts
-    have them; and one row (grp, code, docs) with the texts as places in these, in the order of parts, and the columns to keep."""
+    """The tokens of docs (columns to keep, text: binary, train: boolean) by groups of texts, group_tokens each or so: (slice, grp, part, keys) with the keys of the group's different words and pairs that fall to a part and how often its training texts
+    have them; and one row (grp, code, docs), in the last slice, with the texts as places of pairs in the order of parts, each pair's word, how often training texts have it, and the columns to keep."""
     kept = [c for c in docs.columns if c not in ("text", "train")]
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grp = TaskContext.get().partitionId() << 24
-        hs, heads, ns, trains, tables, held = [], [], [], [], [], 0
+        hs, ns, trains, tables, held = [], [], [], [], 0
 
         def flush() -> pa.RecordBatch:
-            n, train, h, head = (np.concatenate(x) for x in (ns, trains, hs, heads))
+            n, train, h = (np.concatenate(x) for x in (ns, trains, hs))
             learned = np.repeat(train, n)
-            words, word = np.unique(h, return_inverse=True)
-            pairs, first, pair = np.unique(pair_keys(head, h), return_index=True, return_inverse=True)
+            first_of = np.cumsum(n) - n
+            head = np.empty_like(h)
+            head[1:] = h[:-1]
+            head[first_of] = h[-1]  # the last token is an end
+            keys = pair_keys(head, h)
+            del head
+            words, word = _numbered(h)
+            pairs, pair = _numbered(keys)
+            del keys
+            own = np.empty(len(pairs), np.int32)
+            own[pair] = word
             w_n, p_n = (np.bincount(x, learned, minlength=len(k)).astype(np.uint32) for x, k in ((word, words), (pair, pairs)))
             (wo, we), (po, pe) = (_by_part(_keys_part(x, parts), parts) for x in (words, pairs))
             rows = []
             for p in np.flatnonzero(np.diff(we) + np.diff(pe)).tolist():
                 a, b = wo[we[p] : we[p + 1]], po[pe[p] : pe[p + 1]]
-                rows.append((p, pack(ascending(words[a]), w_n[a], ascending(pairs[b]), p_n[b])))
+                rows.append((p % SLICES, p, pack(ascending(words[a]), w_n[a], ascending(pairs[b]), p_n[b])))
             w_at, p_at = (np.empty(len(o), np.uint32) for o in (wo, po))
             w_at[wo], p_at[po] = np.arange(len(wo)), np.arange(len(po))
-            code = pack(n, p_at[pair], w_at[word[first]][po], w_at[np.searchsorted(words, head[first])][po], p_n[po])
-            table = pa.Table.from_batches(tables).select(kept)
+            code = pack(n, p_at[pair], w_at[own][po], p_n[po])
+            table = pa.Table.from_batches(tables)
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, table.schema) as w:
                 w.write_table(table)
             k = len(rows)
-            cols = [pa.array([grp] * (k + 1)), pa.array([*(r[0] for r in rows), None], pa.int32()), pa.array([*(r[1] for r in rows), None], pa.binary()), pa.array([None] * k + [code], pa.binary()), pa.array([None] * k + [sink.getvalue().to_pybytes()], pa.binary())]
-            return pa.RecordBatch.from_arrays(cols, names=["grp", "part", "keys", "code", "docs"])
+            cols = [pa.array([*(r[0] for r in rows), SLICES], pa.int32()), pa.array([grp] * (k + 1)), pa.array([*(r[1] for r in rows), None], pa.int32()), pa.array([*(r[2] for r in rows), None], pa.binary()), pa.array([None] * k + [code], pa.binary()), pa.array([None] * k + [sink.getvalue().to_pybytes()], pa.binary())]
+            return pa.RecordBatch.from_arrays(cols, names=["slice", "grp", "part", "keys", "code", "docs"])
 
         for b, texts in _portions(batches):
             n, ids, hashes = _tokens(texts)
-            h = hashes[ids]
-            head = np.empty_like(h)
-            head[1:] = h[:-1]
-            head[np.cumsum(n) - n] = hashes[0]
-            hs.append(h)
-            heads.append(head)
+            hs.append(hashes[ids])
             ns.append(n)
             trains.append(b.column("train").to_numpy(zero_copy_only=False).astype(bool))
-            tables.append(b)
-            held += len(h)
+            tables.append(b.select(kept))
+            held += len(ids)
             if held > group_tokens:
                 yield flush()
-                hs, heads, ns, trains, tables, held, grp = [], [], [], [], [], 0, grp + 1
+                hs, ns, trains, tables, held, grp = [], [], [], [], 0, grp + 1
         if held:
             yield flush()
 
-    return docs.mapInArrow(deal, "grp bigint, part int, keys binary, code binary, docs binary")
+    return docs.mapInArrow(deal, CODED)
 
 
 def _totals(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -178,7 +192,7 @@ def corpus_counts(coded: DataFrame) -> DataFrame:
             "total": pa.array([*none, int(sums[0].sum())], pa.int64()), "distinct": pa.array([*none, int((sums[0] > 0).sum())], pa.int64()),
         })
 
-    return coded.filter("keys IS NOT NULL").select("grp", "part", "keys").groupBy("part").applyInArrow(add, "grp bigint, part int, counts binary, total bigint, distinct bigint")
+    return coded.select("grp", "part", "keys").groupBy("part").applyInArrow(add, "grp bigint, part int, counts binary, total bigint, distinct bigint")
 
 
 def _estimates(total: int, head: np.ndarray, both: np.ndarray, own: np.ndarray, deleted: int) -> tuple[np.ndarray, np.ndarray]:
@@ -200,32 +214,33 @@ def _held(total: int, head: np.ndarray, both: np.ndarray, own: np.ndarray, weigh
     return np.column_stack([k, np.bincount(where, weight, minlength=len(k)), np.bincount(where, weight * p3, minlength=len(k)), np.bincount(where, weight * p2, minlength=len(k))])
 
 
-def counted_groups(coded: DataFrame, counts: DataFrame, total: int) -> DataFrame:
-    """(code, docs, held) of each group: its texts as places of pairs, and for each pair the counts of its context, of itself and of its word; the columns to keep; and what its training tokens add to the held-out counts."""
+def _looked_up(group: pa.Table, counts: pa.Table) -> tuple[np.ndarray, ...]:
+    """Of a group: how many tokens its texts have, each token's pair, and for each pair how often its context, itself and its word occur, and how often the group's training texts have it."""
+    n, token, own, learned = unpack(group.column("code")[0].as_py())
+    got = [unpack(x) for x in counts.sort_by("part").column("counts").to_pylist()]
+    words, pairs = (np.concatenate([g[k] for g in got]) for k in (0, 1))
+    before = np.empty(len(token), own.dtype)  # a token's context is the word of the pair before it
+    before[1:] = own[token[:-1]]
+    before[np.cumsum(n) - n] = own[token[-1]]
+    head = np.empty_like(own)
+    head[token] = before
+    return n, token, words[head], pairs, words[own], learned
 
-    def look_up(group: pa.Table, counts: pa.Table) -> pa.Table:
-        n, token, own, head, learned = unpack(group.column("code")[0].as_py())
-        got = [unpack(x) for x in counts.sort_by("part").column("counts").to_pylist()]
-        words, pairs = (np.concatenate([g[k] for g in got]) for k in (0, 1))
-        head, own = words[head], words[own]
-        m = learned > 0
-        held = _held(total, head[m], pairs[m], own[m], learned[m])
-        return pa.table({"code": pa.array([pack(n, token, head, pairs, own)], pa.binary()), "docs": group.column("docs"), "held": pa.array([pack(*held.T)], pa.binary())})
 
-    groups = coded.filter("code IS NOT NULL").select("grp", "code", "docs")
-    return groups.groupBy("grp").cogroup(counts.filter("grp IS NOT NULL").select("grp", "part", "counts").groupBy("grp")).applyInArrow(look_up, "code binary, docs binary, held binary")
+def _beside(coded: DataFrame, counts: DataFrame, solve: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
+    return coded.select("grp", "code", "docs").groupBy("grp").cogroup(counts.filter("grp IS NOT NULL").select("grp", "part", "counts").groupBy("grp")).applyInArrow(solve, schema)
 
 
-def held_out_counts(counted: DataFrame) -> DataFrame:
+def held_out_counts(coded: DataFrame, counts: DataFrame, total: int) -> DataFrame:
     """(key, w, s3, s2): how often training tokens have such context counts, bigram and unigram estimates when they are left out of the counts; a table of fixed size."""
 
-    def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for x in b.column("held").to_pylist():
-                key, *rest = unpack(x)
-                yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int64)), *map(pa.array, rest)], names=["key", "w", "s3", "s2"])
+    def held(group: pa.Table, counts: pa.Table) -> pa.Table:
+        _, _, head, both, own, learned = _looked_up(group, counts)
+        m = learned > 0
+        key, *rest = _held(total, head[m], both[m], own[m], learned[m]).T
+        return pa.table([pa.array(key.astype(np.int64)), *(pa.array(np.ascontiguousarray(x)) for x in rest)], names=["key", "w", "s3", "s2"])
 
-    rows = counted.select("held").mapInArrow(opened, "key bigint, w double, s3 double, s2 double")
+    rows = _beside(coded, counts, held, "key bigint, w double, s3 double, s2 double")
     return rows.groupBy("key").agg(F.sum("w").alias("w"), F.sum("s3").alias("s3"), F.sum("s2").alias("s2"))
 
 
@@ -256,28 +271,35 @@ def mixture(rows: list[tuple], distinct: int, rounds: int = 200) -> np.ndarray:
     return out
 
 
-def group_scores(counted: DataFrame, keep_schema: StructType, weights: np.ndarray, total: int, distinct: int) -> DataFrame:
-    """The columns to keep, n_tokens, n_known, known_log (sum of log10(count + 1)) and score of each text of counted_groups()."""
+def group_scores(coded: DataFrame, counts: DataFrame, keep_schema: StructType, weights: np.ndarray, total: int, distinct: int) -> DataFrame:
+    """The columns to keep, n_tokens, n_known, known_log (sum of log10(count + 1)) and score of each text."""
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i in range(b.num_rows):
-                n, token, head, both, own = unpack(b.column("code")[i].as_py())
-                with pa.ipc.open_stream(b.column("docs")[i].as_py()) as r:
-                    kept = r.read_all().combine_chunks()
-                p3, p2 = _estimates(total, head, both, own, 0)
-                lam = weights[_bucket(head.astype(float), len(weights))]
-                logs = np.log10(lam[:, 0] * p3 + lam[:, 1] * p2 + lam[:, 2] / (distinct + 1))
-                text = np.repeat(np.arange(len(n)), n)
-                sums = [np.bincount(text, x[token], minlength=len(n)) for x in (own > 0, np.log10(own + 1.0), logs)]
-                cols = [kept.column(c).combine_chunks() if kept.num_rows else pa.array([], kept.schema.field(c).type) for c in keep_schema.names]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array(n, pa.int64()), pa.array(sums[0].astype(np.int64)), pa.array(sums[1]), pa.array(sums[2])], names=[*keep_schema.names, "n_tokens", "n_known", "known_log", "score"])
+    def score(group: pa.Table, counts: pa.Table) -> pa.Table:
+        n, token, head, both, own, _ = _looked_up(group, counts)
+        with pa.ipc.open_stream(group.column("docs")[0].as_py()) as r:
+            kept = r.read_all()
+        p3, p2 = _estimates(total, head, both, own, 0)
+        lam = weights[_bucket(head.astype(float), len(weights))]
+        logs = np.log10(lam[:, 0] * p3 + lam[:, 1] * p2 + lam[:, 2] / (distinct + 1))
+        text = np.repeat(np.arange(len(n)), n)
+        sums = [np.bincount(text, x[token], minlength=len(n)) for x in (own > 0, np.log10(own + 1.0), logs)]
+        return pa.Table.from_arrays([*[kept.column(c) for c in keep_schema.names], pa.array(n, pa.int64()), pa.array(sums[0].astype(np.int64)), pa.array(sums[1]), pa.array(sums[2])], names=[*keep_schema.names, "n_tokens", "n_known", "known_log", "score"])
 
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in keep_schema)
-    return counted.select("code", "docs").mapInArrow(score, f"{fields}n_tokens bigint, n_known bigint, known_log double, score double")
+    return _beside(coded, counts, score, f"{fields}n_tokens bigint, n_known bigint, known_log double, score double")
+
+
+def _slice(spark: SparkSession, path: str, k: int) -> DataFrame:
+    """One slice of the coded groups; without rows where the table has none."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/slice={k}")
+    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+        return spark.createDataFrame([], CODED).drop("slice")
+    out = spark.read.schema(CODED.partition(", ")[2]).parquet(f"{path}/slice={k}")
+    out._stored_at = f"{path}/slice={k}"
+    return out
 
 
-def lm_scores(df: DataFrame, *, text: str = "text", learn: Column, keep: list[str] | tuple[str, ...] = (), part_bytes: int = 16 << 20, group_tokens: int = 1_500_000) -> DataFrame:
+def lm_scores(df: DataFrame, *, text: str = "text", learn: Column, keep: list[str] | tuple[str, ...] = (), part_bytes: int = 16 << 20, group_tokens: int = 1_200_000) -> DataFrame:
     """keep, n_tokens, n_known, train_tokens, base_score and score (log10 probability) of each whole text, by a model learned from the rows for which learn holds.
 
     Tokens are the words of the lower-cased (A-Z) text and one end. The model mixes the maximum-likelihood bigram, unigram and a floor of one in all known
@@ -295,13 +317,19 @@ def lm_scores(df: DataFrame, *, text: str = "text", learn: Column, keep: list[st
         raise ValueError(f"columns {sorted(clash)} would be overwritten")
     docs = df.select(*[F.col(c).alias(f"_keep_{i}") for i, c in enumerate(keep)], F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("text"), F.coalesce(learn, F.lit(False)).alias("train"))
     size = docs.agg(F.sum(F.octet_length("text"))).head()[0] or 0
-    coded = stored(coded_groups(docs, max(12, -(-size // part_bytes)), group_tokens), "coded")
-    counts = stored(corpus_counts(coded), "counts")
+    spark, path = df.sparkSession, f"{shared_dir(df.sparkSession)}/coded-{uuid.uuid4().hex}"
+    coded_groups(docs, max(12, -(-size // part_bytes)), group_tokens).write.partitionBy("slice").parquet(path)
+    counts = None
+    for k in range(SLICES):
+        keys = _slice(spark, path, k)
+        some = stored(corpus_counts(keys), "counts")
+        counts = some if counts is None else counts.unionByName(some)
+        discard(keys)
+        forget(spark)  # the exchange of a slice is over before the next one
+    coded = _slice(spark, path, SLICES)
     total, distinct = counts.agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).head()
-    forget(df.sparkSession)  # the exchange of keys is over before the next one
-    counted = stored(counted_groups(coded, counts, total), "counted")
-    discard(coded, counts)
-    weights = mixture([tuple(r) for r in held_out_counts(counted).collect()], distinct) if total else np.tile([0.0, 0.0, 1.0], (BUCKETS, 1))
-    out = group_scores(counted, docs.drop("text", "train").schema, weights, total, distinct)
+    weights = mixture([tuple(r) for r in held_out_counts(coded, counts, total).collect()], distinct) if total else np.tile([0.0, 0.0, 1.0], (BUCKETS, 1))
+    forget(spark)
+    out = group_scores(coded, counts, docs.drop("text", "train").schema, weights, total, distinct)
     base = F.col("known_log") - F.col("n_tokens") * F.lit(float(np.log10(total + distinct + 1)))
     return out.select(*[F.col(f"_keep_{i}").alias(c) for i, c in enumerate(keep)], "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
