@@ -159,80 +159,85 @@ def _aligned(segs: DataFrame, a: str, b: str) -> DataFrame:
     return segs.mapInArrow(solve, f"seg string, ok boolean, n_a int, n_b int, n_groups int, n_links int, groups string, links array<{_loaded(a, b).pair}>")
 
 
-def _texts_of(portion: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+def _texts_of(portion: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return tuple(x.astype(np.int64) for x in unpack(portion.column("codes")[0].as_py()))
 
 
-def _bundled(rows: DataFrame, rows_a_bundle: int = 500_000) -> DataFrame:
-    """(bucket, bundle): rows with a column bucket, many to a bundle: columns of a task's rows of a bucket, compressed."""
+def _bundled(rows: DataFrame, numbers: list[str], tail: str, rows_a_bundle: int = 500_000, bytes_a_bundle: int = 64 << 20) -> DataFrame:
+    """(part, bundle) of rows with a column part: what a task has of a part, in the order of codes, the columns numbers as one array and the lists or strings of tail as lengths and values."""
 
     def pack_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = [], 0
+        held, n, size = [], 0, 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            t = pa.Table.from_batches(held).combine_chunks()
-            bucket = t.column("bucket").to_numpy()
-            order = np.argsort(bucket, kind="stable")
-            edge = [0, *(np.flatnonzero(np.diff(bucket[order])) + 1).tolist(), len(order)]
-            rest = t.drop_columns(["bucket"])
+            t = pa.Table.from_batches(held)
+            part, code = t.column("part").to_numpy(), t.column("code").to_numpy()
+            order = np.lexsort((code, part))
+            edge = [0, *(np.flatnonzero(np.diff(part[order])) + 1).tolist(), len(order)]
+            columns = [t.column(c).to_numpy()[order].astype(np.int64) for c in numbers]
+            last = t.column(tail).combine_chunks()
+            last = (last.cast(pa.binary()) if pa.types.is_string(last.type) else last).take(pa.array(order))
+            ends = np.frombuffer(last.buffers()[1], np.int32)[: len(order) + 1]
+            values = np.frombuffer(last.buffers()[2], np.uint8) if pa.types.is_binary(last.type) else last.values.to_numpy()
             for a, z in zip(edge, edge[1:], strict=False):
-                sink = pa.BufferOutputStream()
-                some = rest.take(pa.array(order[a:z]))
-                with pa.ipc.new_stream(sink, some.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
-                    w.write_table(some)
-                yield pa.RecordBatch.from_arrays([pa.array([int(bucket[order[a]])], pa.int32()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["bucket", "bundle"])
+                blob = pack(np.concatenate([c[a:z] for c in columns]), np.diff(ends[a : z + 1]), values[ends[a] : ends[z]])
+                yield pa.RecordBatch.from_arrays([pa.array([int(part[order[a]])]), pa.array([blob], pa.binary())], names=["part", "bundle"])
 
         for b in batches:
             if b.num_rows:
                 held.append(b)
-                n += b.num_rows
-            if n >= rows_a_bundle:
+                n, size = n + b.num_rows, size + b.nbytes
+            if n >= rows_a_bundle or size >= bytes_a_bundle:
                 yield from flush()
-                held, n = [], 0
+                held, n, size = [], 0, 0
         if n:
             yield from flush()
 
-    return rows.mapInArrow(pack_up, "bucket int, bundle binary")
+    return rows.select("part", *numbers, tail).mapInArrow(pack_up, "part long, bundle binary")
 
 
-def _each_portion(solve: Callable[[pa.Table, pa.Table], pa.Table], schema: pa.Schema) -> Callable[[pa.Table, pa.Table], pa.Table]:
-    """solve() for each portion of a bucket and the rows of its segments, which have that schema, sorted by code."""
+def _by_portion(coded: DataFrame, bundles: DataFrame, width: int, solve: Callable[[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray], pa.RecordBatch], schema: str) -> DataFrame:
+    """solve() for each portion with the numbers (width rows), lengths and values of its segments in the order of codes. A portion and its bundles meet in one task, one portion after the other."""
 
-    def of(portions_: pa.Table, bundles: pa.Table) -> pa.Table:
-        tables = [pa.ipc.open_stream(x).read_all().cast(schema) for x in bundles.column("bundle").to_pylist()]
-        rows = pa.concat_tables(tables).combine_chunks() if tables else schema.empty_table()
-        rows = rows.sort_by([("part", "ascending"), ("code", "ascending")])
-        parts = rows.column("part").to_numpy()
-        out = []
-        for i in range(portions_.num_rows):
-            own = portions_.column("part")[i].as_py()
-            lo, hi = np.searchsorted(parts, [own, own + 1])
-            out.append(solve(portions_.slice(i, 1), rows.slice(lo, hi - lo)))
-        return pa.concat_tables(out)
-
-    return of
-
-
-def _pairs_met(portion: pa.Table, segs: pa.Table) -> pa.Table:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+        for b in batches:
+            bundle, codes = b.column("bundle"), b.column("codes")
+            for i in range(b.num_rows):
+                if codes[i].is_valid:  # sorted so that a portion comes after its bundles
+                    numbers = np.concatenate([np.zeros((width, 0), np.int64), *(h[0].reshape(width, -1) for h in held)], axis=1)
+                    lengths = np.concatenate([np.zeros(0, np.int64), *(h[1].astype(np.int64) for h in held)])
+                    values = np.concatenate([h[2] for h in held]) if held else np.zeros(0, np.uint8)
+                    order = np.argsort(numbers[0], kind="stable")
+                    at = np.cumsum(lengths) - lengths
+                    place = np.arange(lengths.sum()) + np.repeat(at[order] - (np.cumsum(lengths[order]) - lengths[order]), lengths[order])
+                    yield solve(b.slice(i, 1), numbers[:, order], lengths[order], values[place])
+                    held = []
+                else:
+                    held.append(unpack(bundle[i].as_py()))
+
+    left = coded.withColumn("bundle", F.lit(None).cast("binary"))
+    right = bundles.select("part", *[F.lit(None).cast(f.dataType).alias(f.name) for f in coded.schema if f.name != "part"], "bundle")
+    rows = left.unionByName(right).withColumn("late", F.col("codes").isNotNull())
+    return rows.repartition("part").sortWithinPartitions("part", "late").drop("late").mapInArrow(run, schema)
+
+
+def _pairs_met(portion: pa.RecordBatch, numbers: np.ndarray, size: np.ndarray, flat: np.ndarray) -> pa.RecordBatch:
     """How many texts of a portion hold each pair linked."""
     codes, sizes = _texts_of(portion)
-    links = segs.column("links").combine_chunks()
-    links = links.chunk(0) if isinstance(links, pa.ChunkedArray) else links
-    flat, ok = links.flatten().to_numpy(), segs.column("ok").to_numpy()
-    size = np.diff(links.offsets.to_numpy())
     ends = np.cumsum(size)
     pairs, which = np.unique(flat, return_inverse=True)
     text = np.repeat(np.arange(len(sizes)), sizes)
-    spoilt = np.bincount(text, weights=~ok.astype(bool)[codes], minlength=len(sizes)) > 0
+    spoilt = np.bincount(text, weights=numbers[1][codes] == 0, minlength=len(sizes)) > 0
     met = np.unique((text << 32 | codes)[~spoilt[text]])
-    n = size[met & 0xFFFFFFFF].astype(np.int64)
+    n = size[met & 0xFFFFFFFF]
     place = np.arange(n.sum()) + np.repeat((ends - size)[met & 0xFFFFFFFF] - (np.cumsum(n) - n), n)
     once = np.unique(np.repeat(met >> 32, n) << 32 | which[place])
     count = np.bincount(once & 0xFFFFFFFF, minlength=len(pairs))
-    return pa.table({"pair": pairs[count > 0].astype(np.int64), "n": count[count > 0].astype(np.int64)})
+    return pa.RecordBatch.from_arrays([pa.array(pairs[count > 0].astype(np.int64)), pa.array(count[count > 0].astype(np.int64))], names=["pair", "n"])
 
 
-def aligned_texts(df: DataFrame, *, a: str, b: str, text: str = "text", keep: list[str] | tuple[str, ...] = (), portion: int = 16 << 20) -> DataFrame:
+def aligned_texts(df: DataFrame, *, a: str, b: str, text: str = "text", keep: list[str] | tuple[str, ...] = (), portion: int = 8 << 20) -> DataFrame:
     """keep, then for each row of df: n_a and n_b (its tokens by A and B), n_groups, n_links, n_best, count_sum and groups (`a1,a2|b1;a3|b2,b3`: ids by A and B of each group in order).
 
     A encodes a space and the text, B the text, before which it puts the space itself. Byte offsets where tokens of both end cut them into groups; a link is an overlapping pair of token occurrences. An id pair's count is the number of rows that hold
@@ -257,12 +262,8 @@ def aligned_texts(df: DataFrame, *, a: str, b: str, text: str = "text", keep: li
     named = segs.select(F.col("seg").alias("_seg"), "sid")
     ids = stored(met.join(named, F.col("seg") == F.col("_seg")).select("part", "code", "sid"), "ids")
     forget(spark)  # the exchanges of segments are over before those of alignments
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions", "12")), coded.count() // 4)
-    bucket = F.pmod(F.xxhash64("part"), F.lit(buckets)).cast("int").alias("bucket")
-    linked = ids.join(segs.select(F.col("sid").alias("_sid"), "ok", "links"), F.col("sid") == F.col("_sid")).select(bucket, "part", "code", "ok", "links")
-    kinds = pa.schema([("part", pa.int64()), ("code", pa.int32()), ("ok", pa.bool_())])
-    solve = _each_portion(_pairs_met, kinds.append(pa.field("links", pa.list_(pa.int32() if tok.pair == "int" else pa.int64()))))
-    pairs = coded.select(bucket, "part", "codes").groupBy("bucket").cogroup(_bundled(linked).groupBy("bucket")).applyInArrow(solve, "pair long, n long")
+    linked = ids.join(segs.select(F.col("sid").alias("_sid"), "ok", "links"), F.col("sid") == F.col("_sid"))
+    pairs = _by_portion(coded.select("part", "codes"), _bundled(linked, ["code", "ok"], "links"), 2, _pairs_met, "pair long, n long")
     counts = stored(pairs.groupBy("pair").agg(F.sum("n").alias("n")), "pairs")
     forget(spark)
     own = F.floor(F.col("pair") / tok.size_b)
@@ -274,25 +275,25 @@ def aligned_texts(df: DataFrame, *, a: str, b: str, text: str = "text", keep: li
     whole = stored(whole, "whole")
     discard(segs, counts)
     forget(spark)
-    valued = ids.join(whole, F.col("sid") == F.col("_sid")).select(bucket, "part", "code", "ok", *_COUNTS, "groups")
+    valued = ids.join(whole, F.col("sid") == F.col("_sid")).select("part", "code", "ok", *_COUNTS, "groups")
     types = {f.name: f.dataType.elementType.simpleString() for f in coded.schema if f.name in names}
 
-    def compose(portion: pa.Table, segs: pa.Table) -> pa.Table:
+    def compose(portion: pa.RecordBatch, numbers: np.ndarray, lengths: np.ndarray, flat: np.ndarray) -> pa.RecordBatch:
         codes, sizes = _texts_of(portion)
         ends = np.cumsum(sizes)
         starts = ends - sizes
 
         def total(x: np.ndarray) -> np.ndarray:
-            up = np.concatenate([np.zeros(1, np.int64), np.cumsum(x[codes])]) if len(codes) else np.zeros(1, np.int64)
+            up = np.concatenate([np.zeros(1, np.int64), np.cumsum(x[codes])])
             return up[ends] - up[starts]
 
-        ok, groups, *counts = (segs.column(c).to_numpy() for c in ("ok", "groups", *_COUNTS))
-        spoilt = total((~ok.astype(bool)).astype(np.int64)) > 0
-        out = [np.where(spoilt, 0, total(c.astype(np.int64))) for c in counts]
-        strings = ["" if s else ";".join(groups[codes[x:y]]) for s, x, y in zip(spoilt.tolist(), starts.tolist(), ends.tolist(), strict=True)]
-        return pa.Table.from_arrays([*[portion.column(n).combine_chunks().flatten() for n in names], *[pa.array(x, pa.int64()) for x in out], pa.array(strings, pa.string())], names=[*names, *_COUNTS, "groups"])
+        spoilt = total((numbers[1] == 0).astype(np.int64)) > 0
+        out = [np.where(spoilt, 0, total(c)) for c in numbers[2:]]
+        raw, stop = flat.tobytes(), np.cumsum(lengths)
+        groups = [raw[a:z] for a, z in zip((stop - lengths).tolist(), stop.tolist(), strict=True)]
+        strings = pa.array([b"" if s else b";".join(map(groups.__getitem__, codes[x:y].tolist())) for s, x, y in zip(spoilt.tolist(), starts.tolist(), ends.tolist(), strict=True)], pa.binary())
+        return pa.RecordBatch.from_arrays([*[portion.column(n).flatten() for n in names], *[pa.array(x, pa.int64()) for x in out], strings.cast(pa.string())], names=[*names, *_COUNTS, "groups"])
 
     schema = "".join(f"{n} {types[n]}, " for n in names) + ", ".join(f"{c} long" for c in _COUNTS) + ", groups string"
-    solve = _each_portion(compose, pa.schema([*kinds, *[(c, pa.int64()) for c in _COUNTS], ("groups", pa.string())]))
-    out = coded.select(bucket, "part", "codes", *names).groupBy("bucket").cogroup(_bundled(valued).groupBy("bucket")).applyInArrow(solve, schema)
+    out = _by_portion(coded.select("part", "codes", *names), _bundled(valued, ["code", "ok", *_COUNTS], "groups"), 2 + len(_COUNTS), compose, schema)
     return out.select(*[F.col(n).alias(c) for c, n in zip(keep, names, strict=True)], *_COUNTS, "groups")
