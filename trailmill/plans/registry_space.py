@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import birch, clustering, neighbors, space_tree, spanning
+from ..operators import birch, neighbors, space_tree, spanning
 from . import tables as t
-from .registry import BASE, query, rounded
+from .registry import query, rounded
 
 C = F.col
 
@@ -42,70 +42,53 @@ def tree_radius(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(space_tree.SpaceTree(p).nearest(p.filter("id % 20 = 0"), radius=4.0), "distance")
 
 
-@query(f"WITH {SPOTS}, d AS (SELECT a.id AS q, b.id, {_GAP} AS d FROM p a JOIN p b ON a.id <> b.id AND abs(a.x - b.x) < 12 AND abs(a.y - b.y) < 12 AND abs(a.z - b.z) < 40), n AS (SELECT q, id, d FROM d QUALIFY row_number() OVER (PARTITION BY q ORDER BY round(d, 9), id) <= 5), kd AS (SELECT q, max(d) AS kd FROM n GROUP BY q), l AS (SELECT n.q, 1 / (avg(greatest(d, kd)) + 1e-10) AS lrd FROM n JOIN kd ON kd.q = n.id GROUP BY n.q) SELECT n.q AS id, round(avg(o.lrd) / max(l.lrd), 6) AS factor FROM n JOIN l ON l.q = n.q JOIN l o ON o.q = n.id GROUP BY n.q")
-def tree_outlier_factor(spark: SparkSession, sf: str) -> DataFrame:
-    """Every row asks; the SQL looks in a box around each row that holds its five nearest in these tables."""
-    p = spots(spark, sf).select("id", "v")
-    return rounded(clustering.outlier_factor(space_tree.SpaceTree(p).nearest(p, k=5), 5), "factor")
-
-
 # ---- spanning forests
 
-REACH = 2.0
+REACH = 8.0
+#: Events scattered over a plane, and all pairs within REACH, found by cells of that width.
+SCATTER = f"""WITH RECURSIVE p AS (SELECT event_id AS id, event_id * 7919 % 1009 AS x, event_id * 104729 % 997 AS y FROM events), step AS (SELECT unnest([-1, 0, 1]) AS d),
+pair AS (SELECT a.id AS a, b.id AS b, sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) AS d FROM p a, step i, step j, p b WHERE b.x // 8 = a.x // 8 + i.d AND b.y // 8 = a.y // 8 + j.d AND a.id <> b.id AND pow(a.x - b.x, 2) + pow(a.y - b.y, 2) <= {REACH * REACH})"""
+HEIGHTS = [2.0, 5.0, 8.0]
+_AT = "h AS (SELECT unnest([2.0::DOUBLE, 5.0, 8.0]) AS h)"
+CUT = f"{SCATTER}, {_AT}, reach(h, id, root) AS (SELECT h, id, id FROM h, p UNION SELECT r.h, r.id, pair.b FROM reach r JOIN pair ON pair.a = r.root AND pair.d <= r.h), cut AS (SELECT h, id, min(root) AS cluster FROM reach GROUP BY h, id)"
 
 
-def flat_pairs(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """Events on a grid by two coordinates, and all pairs within REACH, by the tree."""
-    p = t.tracks(spark, sf).select("id", F.array("x", "y").alias("v"))
+def scatter(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """The points' ids, and (a, b, distance) of the pairs, by the tree of boxes."""
+    p = t.read(spark, sf, "events").selectExpr("event_id AS id", "array(CAST(event_id * 7919 % 1009 AS DOUBLE), CAST(event_id * 104729 % 997 AS DOUBLE)) AS v")
     near = space_tree.SpaceTree(p).nearest(p, radius=REACH)
     return p.select("id"), near.filter("query_id < id").select(C("query_id").alias("a"), C("id").alias("b"), "distance")
 
 
-#: Cells of the grid with the number of their points and the smallest; components of cells within each height, by the smallest point of each.
-GRID = f"{BASE}, c AS (SELECT x, y, count(*) AS n, min(id) AS least FROM track GROUP BY x, y)"
-WALK = """{grid}, h AS (SELECT unnest([{heights}]) AS h), k AS ({cells}),
-walk(h, x, y, root) USING KEY (h, x, y) AS (SELECT h, x, y, least AS root FROM k UNION SELECT a.h, a.x, a.y, min(w.root) AS root FROM k a JOIN walk w ON a.h = w.h AND sqrt(pow(a.x - w.x, 2) + pow(a.y - w.y, 2)) <= a.h + 1e-9 JOIN recurring.walk o ON o.h = a.h AND o.x = a.x AND o.y = a.y WHERE w.root < o.root GROUP BY a.h, a.x, a.y)"""
-
-
-def walk(heights: str, cells: str) -> str:
-    return WALK.format(grid=GRID.replace("WITH", "WITH RECURSIVE", 1), heights=heights, cells=cells)
-
-
-CUTS = walk("0.0::DOUBLE, 1.0, sqrt(2.0)", "SELECT h, x, y, least FROM c, h")
-
-
-@query(f"{CUTS} SELECT w.h AS height, t.id, w.root AS cluster FROM track t JOIN walk w ON w.x = t.x AND w.y = t.y")
+@query(f"{CUT} SELECT h AS height, id, cluster FROM cut")
 def linkage_cuts(spark: SparkSession, sf: str) -> DataFrame:
     """Single linkage at three heights, all cut from one spanning forest."""
-    nodes, pairs = flat_pairs(spark, sf)
-    return spanning.clusters_at(nodes, spanning.spanning_forest(pairs.withColumnRenamed("distance", "w")), [0.0, 1.0, 2.0**0.5])
-
-
-HEIGHTS = walk("0.0::DOUBLE, 1.0, sqrt(2.0), 2.0", "SELECT h, x, y, least FROM c, h")
-
-
-@query(f"{HEIGHTS}, m AS (SELECT h, (SELECT count(*) FROM track) - count(DISTINCT root) AS merged FROM walk GROUP BY h) SELECT round(h, 6) AS height, CAST(merged - coalesce(lag(merged) OVER (ORDER BY h), 0) AS BIGINT) AS merges FROM m QUALIFY merged > coalesce(lag(merged) OVER (ORDER BY h), 0)")
-def linkage_heights(spark: SparkSession, sf: str) -> DataFrame:
-    """The forest's weights are the heights at which single linkage merges: as many at each as SQL's components get fewer from one height to the next."""
-    _, pairs = flat_pairs(spark, sf)
-    return rounded(spanning.heights(spanning.spanning_forest(pairs.withColumnRenamed("distance", "w"))), "height")
+    nodes, pairs = scatter(spark, sf)
+    return spanning.clusters_at(nodes, spanning.spanning_forest(pairs.withColumnRenamed("distance", "w")), HEIGHTS)
 
 
-DENSE = walk("1.0::DOUBLE, sqrt(2.0), 2.0", "SELECT h, a.x, a.y, any_value(a.least) AS least FROM h, c a JOIN c b ON sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) <= h.h + 1e-9 GROUP BY h, a.x, a.y HAVING sum(b.n) >= 6")
+@query(f"{CUT} SELECT h AS height, count(*) - count(DISTINCT cluster) AS merges FROM cut GROUP BY h")
+def linkage_merges(spark: SparkSession, sf: str) -> DataFrame:
+    """The forest's weights are the heights at which single linkage merges: up to each height as many as SQL's components are fewer than rows."""
+    _, pairs = scatter(spark, sf)
+    w = spanning.heights(spanning.spanning_forest(pairs.withColumnRenamed("distance", "w")))
+    upto = w.select("merges", F.explode(F.filter(F.array(*map(F.lit, HEIGHTS)), lambda h: h >= C("height"))).alias("upto"))
+    return upto.groupBy(C("upto").alias("height")).agg(F.sum("merges").alias("merges"))
 
 
-@query(f"{DENSE} SELECT h.h AS radius, t.id, w.root AS cluster FROM h JOIN track t ON true LEFT JOIN walk w ON w.h = h.h AND w.x = t.x AND w.y = t.y")
+@query(f"""{SCATTER}, {_AT}, dense AS (SELECT h, a AS id FROM h JOIN pair ON d <= h GROUP BY h, a HAVING count(*) >= 2), inner_pair AS (SELECT x.h, a, b FROM pair JOIN dense x ON x.id = a JOIN dense y ON y.id = b AND y.h = x.h WHERE d <= x.h),
+reach(h, id, root) AS (SELECT h, id, id FROM dense UNION SELECT r.h, r.id, q.b FROM reach r JOIN inner_pair q ON q.h = r.h AND q.a = r.root), cut AS (SELECT h, id, min(root) AS cluster FROM reach GROUP BY h, id) SELECT h.h AS radius, p.id, cluster FROM h JOIN p ON true LEFT JOIN cut ON cut.h = h.h AND cut.id = p.id""")
 def density_cuts(spark: SparkSession, sf: str) -> DataFrame:
     """Density clusters at three radii, all from one forest of mutual reachability."""
-    nodes, pairs = flat_pairs(spark, sf)
-    core, forest = spanning.reachability_forest(nodes, pairs, 6)
-    return spanning.density_clusters(core, forest, [1.0, 2.0**0.5, 2.0])
+    nodes, pairs = scatter(spark, sf)
+    core, forest = spanning.reachability_forest(nodes, pairs, 3)
+    return spanning.density_clusters(core, forest, HEIGHTS)
 
 
-@query(f"{BASE}, p AS (SELECT id, x, y FROM track), d AS (SELECT a.id, sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) AS d, row_number() OVER (PARTITION BY a.id ORDER BY pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) AS r FROM p a JOIN p b ON a.id <> b.id AND abs(a.x - b.x) <= 2 AND abs(a.y - b.y) <= 2 WHERE sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) <= 2) SELECT p.id, round(d, 6) AS core FROM p LEFT JOIN d ON d.id = p.id AND r = 5")
+@query(f"{SCATTER} SELECT p.id, round(d, 6) AS core FROM p LEFT JOIN (SELECT a, d FROM pair QUALIFY row_number() OVER (PARTITION BY a ORDER BY d) = 2) ON a = p.id")
 def core_distances(spark: SparkSession, sf: str) -> DataFrame:
-    nodes, pairs = flat_pairs(spark, sf)
-    return rounded(spanning.core_distances(nodes, pairs, 6), "core")
+    nodes, pairs = scatter(spark, sf)
+    return rounded(spanning.core_distances(nodes, pairs, 3), "core")
 
 
 # ---- clustering features
@@ -119,4 +102,5 @@ def birch_totals(spark: SparkSession, sf: str) -> DataFrame:
     e = birch.features(spots(spark, sf), threshold=4.0, most=400)
     spread = C("q") / C("n") - F.aggregate("s", F.lit(0.0), lambda a, x: a + (x / C("n")) * (x / C("n")))
     sums = [F.round(F.sum(C("s")[i]), 4).alias(f"sum_{c}") for i, c in enumerate("xyz")]
-    return e.agg(F.sum("n").alias("n"), *sums, F.round(F.sum("q"), 2).alias("squares"), F.bool_and(spread <= C("threshold") * C("threshold") + 1e-6).alias("within"), (F.count("*") <= 400).alias("few"))
+    e = e.withColumn("kept", spread <= C("threshold") * C("threshold") + 1e-6)
+    return e.agg(F.sum("n").alias("n"), *sums, F.round(F.sum("q"), 2).alias("squares"), F.bool_and("kept").alias("within"), (F.count("*") <= 400).alias("few"))
