@@ -261,6 +261,9 @@ def aligned_texts(df: DataFrame, *, a: str, b: str, text: str = "text", keep: li
     # both sides are plain exchanges, so that Spark can split a segment that every portion has
     named = segs.select(F.col("seg").alias("_seg"), "sid")
     ids = stored(met.join(named, F.col("seg") == F.col("_seg")).select("part", "code", "sid"), "ids")
+    whole = coded
+    coded = stored(whole.drop("segs"), "codes")  # their segments are in ids now
+    discard(whole)
     forget(spark)  # the exchanges of segments are over before those of alignments
     linked = ids.join(segs.select(F.col("sid").alias("_sid"), "ok", "links"), F.col("sid") == F.col("_sid"))
     pairs = _by_portion(coded.select("part", "codes"), _bundled(linked, ["code", "ok"], "links"), 2, _pairs_met, "pair long, n long")
