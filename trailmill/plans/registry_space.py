@@ -72,8 +72,8 @@ def linkage_merges(spark: SparkSession, sf: str) -> DataFrame:
     """The forest's weights are the heights at which single linkage merges: up to each height as many as SQL's components are fewer than rows."""
     _, pairs = scatter(spark, sf)
     w = spanning.heights(spanning.spanning_forest(pairs.withColumnRenamed("distance", "w")))
-    upto = w.select("merges", F.explode(F.filter(F.array(*map(F.lit, HEIGHTS)), lambda h: h >= C("height"))).alias("upto"))
-    return upto.groupBy(C("upto").alias("height")).agg(F.sum("merges").alias("merges"))
+    upto = [F.struct(F.lit(h).alias("height"), F.coalesce(F.sum(F.when(C("height") <= h, C("merges"))), F.lit(0)).alias("merges")) for h in HEIGHTS]
+    return w.agg(F.array(*upto).alias("u")).select(F.explode("u").alias("u")).select("u.height", "u.merges")
 
 
 @query(f"""{SCATTER}, {_AT}, dense AS (SELECT h, a AS id FROM h JOIN pair ON d <= h GROUP BY h, a HAVING count(*) >= 2), inner_pair AS (SELECT x.h, a, b FROM pair JOIN dense x ON x.id = a JOIN dense y ON y.id = b AND y.h = x.h WHERE d <= x.h),
