@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from trailmill.operators import events, links, neighbors
+from trailmill.operators import events, neighbors
 from trailmill.sources import synthetic
 
 VEC = "id long, v array<double>"
@@ -59,3 +59,13 @@ def test_sums_against_all_in_small_cells(spark, copies, monkeypatch):
     for r in neighbors.density(whole.filter("id % 20 = 0"), whole, 5, 0.5).collect():
         e = np.exp(-((x[r.id] - x) ** 2).sum(axis=1) / 0.5).mean()
         assert np.isclose(r.log_density, np.log(e) - 5 * np.log(0.5) - 2.5 * np.log(2 * np.pi))
+
+
+def test_leaves_of_events_whose_numbers_overlap(spark, tmp_path):
+    from trailmill.plans import registry_rest
+
+    ids = [*range(20), *range(500_000, 500_020)]
+    spark.createDataFrame([(i,) for i in ids], "event_id long").write.parquet(f"{tmp_path}/events.parquet")
+    got = [tuple(r) for r in registry_rest.merge_tree_leaves(spark, str(tmp_path)).collect()]
+    want = [(1_000_009 + i // 10 * 10, leaf) for i in ids for leaf in ([i] if i % 10 == 0 else []) + [i + 500_000]]
+    assert sorted(got) == sorted(want)
