@@ -69,3 +69,12 @@ def test_leaves_of_events_whose_numbers_overlap(spark, tmp_path):
     got = [tuple(r) for r in registry_rest.merge_tree_leaves(spark, str(tmp_path)).collect()]
     want = [(1_000_009 + i // 10 * 10, leaf) for i in ids for leaf in ([i] if i % 10 == 0 else []) + [i + 500_000]]
     assert sorted(got) == sorted(want)
+
+
+def test_means_that_differ_by_rounding_share_a_rank(spark, monkeypatch):
+    from trailmill.operators import model_selection
+
+    means = {0: 0.9, 1: 0.9 - 1.2e-16, 2: 0.9 - 1.4e-15, 3: None}
+    monkeypatch.setattr(model_selection, "cross_validate", lambda step, *_: spark.createDataFrame([(means[step],)], "r2 double"))
+    got = model_selection.search(lambda i: i, [{"i": i} for i in means], None, "y").collect()
+    assert means[0] != means[1] and [r["rank"] for r in sorted(got, key=lambda r: r.place)] == [1, 1, 3, 4]

@@ -16,6 +16,9 @@ from .compose import Step
 Score = Callable[[Column, Column], Column]
 
 
+EPSILON = 2.0**-52
+
+
 def r2(y: Column, p: Column) -> Column:
     return 1 - F.sum((y - p) * (y - p)) / (F.var_pop(y) * F.count(y))
 
@@ -77,13 +80,16 @@ def parameter_sample(n: int, seed: int = 0, **values: Sequence) -> list[dict]:
 
 
 def search(make: Callable[..., Step], params: Sequence[dict], df: DataFrame, target: str, score: str = "r2", fold: str = "fold") -> DataFrame:
-    """(place, params as JSON, mean and deviation of the score over folds, rank) for each set of parameters; equal means share a rank. The table of results is as long as params."""
+    """(place, params as JSON, mean and deviation of the score over folds, rank) for each set of parameters; means that are equal, or differ by rounding (two units of the last place), share a rank. The table of results is as long as params."""
     out = None
     for i, p in enumerate(params):
         one = cross_validate(make(**p), df, target, (score,), fold).agg(F.avg(score).alias("mean_score"), F.stddev_pop(score).alias("std_score"))
         one = one.select(F.lit(i).alias("place"), F.lit(json.dumps(p, sort_keys=True)).alias("params"), "mean_score", "std_score")
         out = one if out is None else out.unionByName(one)
-    return out.withColumn("rank", F.rank().over(Window.orderBy(F.desc("mean_score"))))
+    # a mean is worse only by more than what rounding leaves of a score; the list of means is as long as params
+    mean, every = F.col("mean_score"), F.collect_list("mean_score").over(Window.partitionBy())
+    better = F.filter(every, lambda m: m > mean + 2 * EPSILON * F.greatest(F.abs(mean), F.lit(1.0)))
+    return out.withColumn("rank", F.when(mean.isNull(), F.size(every)).otherwise(F.size(better)) + 1)
 
 
 def best(results: DataFrame) -> dict:
