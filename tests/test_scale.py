@@ -78,3 +78,58 @@ def test_means_that_differ_by_rounding_share_a_rank(spark, monkeypatch):
     monkeypatch.setattr(model_selection, "cross_validate", lambda step, *_: spark.createDataFrame([(means[step],)], "r2 double"))
     got = model_selection.search(lambda i: i, [{"i": i} for i in means], None, "y").collect()
     assert means[0] != means[1] and [r["rank"] for r in sorted(got, key=lambda r: r.place)] == [1, 1, 3, 4]
+
+
+def test_copies_are_paired_once(spark, monkeypatch):
+    from trailmill.operators import clustering
+
+    data = [(i, [float(i % 4), float(i % 3)]) for i in range(48)] + [(100, [9.0, 9.0]), (101, None)]
+    df = spark.createDataFrame(data, VEC)
+    x = np.array([v or [np.nan, np.nan] for _, v in data])
+    ids = [i for i, _ in data]
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+    met = []
+    plain = clustering._spot_pairs
+    monkeypatch.setattr(clustering, "_spot_pairs", lambda s, *how: met.append(s.count()) or plain(s, *how))
+    got = sorted((r.a, r.b, r.distance) for r in clustering.grid_pairs(df, 1.0).collect())
+    assert got == sorted((ids[i], ids[j], d[i, j]) for i in range(50) for j in range(i + 1, 50) if d[i, j] <= 1)
+    assert met == [13]  # 12 places of the 48 and one more
+    clusters = {r.id: (r.core, r.cluster) for r in clustering.dbscan(df, 1.0, 5).collect()}
+    assert clusters == {i: (True, 0) for i in range(48)} | {100: (False, None), 101: (False, None)}
+
+
+def test_edges_are_thinned_to_a_forest():
+    import pyarrow as pa
+
+    from trailmill.operators import spanning
+
+    rng = np.random.default_rng(5)
+    a, b = np.sort(rng.integers(0, 60, (2, 4000)), axis=0)
+    w = rng.integers(0, 9, 4000).astype(float)
+    a, b, w = a[a < b], b[a < b], w[a < b]
+    batches = [pa.RecordBatch.from_arrays([pa.array(c[k : k + 300]) for c in (a, b, w)], names=list("abw")) for k in range(0, len(a), 300)]
+    out = pa.Table.from_batches(spanning._thinned(iter(batches), 1000))
+    whole = spanning.least_edges(a, b, w)
+    assert out.num_rows == 59 and {tuple(r.values()) for r in out.to_pylist()} == {(int(a[i]), int(b[i]), w[i]) for i in whole}
+
+
+def test_core_distance_of_copies(spark):
+    from trailmill.operators import spanning
+
+    nodes = spark.createDataFrame([(1, 3), (2, 1), (3, 2), (4, 1)], "id long, n long")
+    pairs = spark.createDataFrame([(1, 2, 5.0), (2, 3, 2.0), (3, 4, 7.0)], "a long, b long, distance double")
+    assert {r.id: r.core for r in spanning.core_distances(nodes, pairs, 3).collect()} == {1: 0.0, 2: 2.0, 3: 2.0, 4: 7.0}
+
+
+def test_fragmentations_look_back_only(spark):
+    rows = [("s", f, 0, k, 1) for f, k in enumerate(["MISS", "MATCH", "MISS", "MISS", "MATCH", "SWITCH", "MISS", "MATCH", "MISS"])]
+    df = spark.createDataFrame(rows, "seq string, frame long, event int, type string, oid long")
+    got = events.fragmentations(df)
+    assert got.head().num_fragmentations == 2
+    assert "unboundedfollowing" not in got._jdf.queryExecution().toString().lower()
+
+
+def test_labels_and_words_are_drawn_once_a_row(spark):
+    got = synthetic.multilabel(spark.range(5))
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("md5(") <= 5 + 30
+    assert all(sum(r.counts) == 30 and len(r.counts) == 20 for r in got.collect())
