@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,13 +13,49 @@ from . import links
 from .storage import discard, stored
 
 
+def least_edges(a: np.ndarray, b: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """The places of the edges of the minimum spanning forest of edges a < b, ties of weight to the smaller a, then b."""
+    nodes, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
+    root, order, out = list(range(len(nodes))), np.lexsort((b, a, w)), []
+    x, y = ends[: len(a)][order].tolist(), ends[len(a) :][order].tolist()
+    for i, (p, q) in enumerate(zip(x, y, strict=True)):
+        while root[p] != p:
+            root[p] = p = root[root[p]]
+        while root[q] != q:
+            root[q] = q = root[root[q]]
+        if p != q:
+            root[q] = p
+            out.append(i)
+    return order[out]
+
+
+def _thinned(batches: Iterator[pa.RecordBatch], most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Edges (a, b, w) without those that the forest of a task's own edges does without: they are the last ones on some circle, and no forest of all edges has them."""
+
+    def thin(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        a, b, w = (np.concatenate([x.column(c).to_numpy() for x in held]) for c in "abw")
+        at = least_edges(a, b, w)
+        return pa.RecordBatch.from_arrays([pa.array(x[at]) for x in (a, b, w)], names=list("abw"))
+
+    held: list[pa.RecordBatch] = []
+    for x in batches:
+        held.append(x)
+        if sum(h.num_rows for h in held) >= most:
+            held = [thin(held)]
+            if held[0].num_rows > most // 2:
+                yield held.pop()
+    if held:
+        yield thin(held)
+
+
 def spanning_forest(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     """(a, b, w) with a < b: the minimum spanning forest of edges (a, b, w), ties of weight to the smaller a, then b, so that it is one and the same whatever the partitions.
 
     Each round every component takes its least edge to another one, and what hangs together by these becomes one; of the edges between two components only the least goes on. Rounds are cut from their lineage by tables in the
-    shared folder; there are no more than the logarithm of the number of nodes. Loops and edges with a null count for nothing; parallel edges are as good as their least.
+    shared folder; there are no more than the logarithm of the number of nodes. Loops and edges with a null count for nothing; parallel edges are as good as their least. Before all, each task's edges are thinned to a forest of their own. Nodes are integers.
     """
     plain = edges.filter("a <> b AND w IS NOT NULL").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.col("w").cast("double").alias("w"))
+    plain = plain.selectExpr("CAST(a AS BIGINT) AS a", "CAST(b AS BIGINT) AS b", "w").mapInArrow(_thinned, "a long, b long, w double")
     now = stored(plain.groupBy("a", "b").agg(F.min("w").alias("w")).select(F.col("a").alias("ca"), F.col("b").alias("cb"), F.struct("w", "a", "b").alias("e")), "edges")
     kept = []
     for _ in range(max_rounds):
@@ -54,13 +94,17 @@ def clusters_at(nodes: DataFrame, forest: DataFrame, at: list[float]) -> DataFra
 
 
 def core_distances(nodes: DataFrame, pairs: DataFrame, min_points: int) -> DataFrame:
-    """(id, core): the distance within which a node has min_points nodes, itself included; null where its pairs (a, b, distance) don't reach so far."""
+    """(id, core): the distance within which a node has min_points nodes, itself included; null where its pairs (a, b, distance) don't reach so far. Where nodes have a column n, each stands for n nodes at one place."""
     if min_points < 2:
         return nodes.select("id", F.lit(0.0).alias("core"))
-    both = pairs.select(F.col("a").alias("id"), "distance").union(pairs.select("b", "distance"))
-    rank = F.row_number().over(Window.partitionBy("id").orderBy("distance"))
-    core = both.withColumn("r", rank).filter(F.col("r") <= min_points - 1).filter(F.col("r") == min_points - 1).select("id", F.col("distance").alias("core"))
-    return nodes.select("id").join(core, "id", "left")
+    size = nodes.select("id", F.col("n") if "n" in nodes.columns else F.lit(1).cast("long").alias("n"))
+    both = pairs.select(F.col("a").alias("id"), "b", "distance").union(pairs.select("b", "a", "distance"))
+    order = Window.partitionBy("id").orderBy("distance", "b")
+    # every neighbour counts for one at least, so no more are wanted
+    near = both.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= min_points - 1).join(size.select(F.col("id").alias("b"), F.col("n").alias("more")), "b")
+    near = near.withColumn("sum", F.sum("more").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    core = near.join(size, "id").filter(F.col("n") + F.col("sum") >= min_points).groupBy("id").agg(F.min("distance").alias("core"))
+    return size.join(core, "id", "left").select("id", F.when(F.col("n") >= min_points, 0.0).otherwise(F.col("core")).alias("core"))
 
 
 def reachability_forest(nodes: DataFrame, pairs: DataFrame, min_points: int) -> tuple[DataFrame, DataFrame]:

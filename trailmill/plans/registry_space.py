@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import birch, neighbors, space_tree, spanning
+from ..operators import birch, clustering, neighbors, space_tree, spanning
 from . import tables as t
 from .registry import query, rounded
 
@@ -53,25 +53,28 @@ _AT = "h AS (SELECT unnest([2.0::DOUBLE, 5.0, 8.0]) AS h)"
 CUT = f"{SCATTER}, {_AT}, reach(h, id, root) AS (SELECT h, id, id FROM h, p UNION SELECT r.h, r.id, pair.b FROM reach r JOIN pair ON pair.a = r.root AND pair.d <= r.h), cut AS (SELECT h, id, min(root) AS cluster FROM reach GROUP BY h, id)"
 
 
-def scatter(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """The points' ids, and (a, b, distance) of the pairs, by the tree of boxes."""
+def scatter(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The different points (id: smallest of its events, n), (id, spot) of all events, and (a, b, distance) of the pairs of different points, by the tree of boxes. Copies of a point are at distance 0 and fare alike."""
     p = t.read(spark, sf, "events").selectExpr("event_id AS id", "array(CAST(event_id * 7919 % 1009 AS DOUBLE), CAST(event_id * 104729 % 997 AS DOUBLE)) AS v")
-    near = space_tree.SpaceTree(p).nearest(p, radius=REACH)
-    return p.select("id"), near.filter("query_id < id").select(C("query_id").alias("a"), C("id").alias("b"), "distance")
+    s, members = clustering.spots(p)
+    near = space_tree.SpaceTree(s.select("id", "v")).nearest(s.select("id", "v"), radius=REACH)
+    return s.select("id", "n"), members, near.filter("query_id < id").select(C("query_id").alias("a"), C("id").alias("b"), "distance")
 
 
 @query(f"{CUT} SELECT h AS height, id, cluster FROM cut")
 def linkage_cuts(spark: SparkSession, sf: str) -> DataFrame:
     """Single linkage at three heights, all cut from one spanning forest."""
-    nodes, pairs = scatter(spark, sf)
-    return spanning.clusters_at(nodes, spanning.spanning_forest(pairs.withColumnRenamed("distance", "w")), HEIGHTS)
+    nodes, members, pairs = scatter(spark, sf)
+    cut = spanning.clusters_at(nodes, spanning.spanning_forest(pairs.withColumnRenamed("distance", "w")), HEIGHTS)
+    return members.join(cut.withColumnRenamed("id", "spot"), "spot").select("height", "id", "cluster")
 
 
 @query(f"{CUT} SELECT h AS height, count(*) - count(DISTINCT cluster) AS merges FROM cut GROUP BY h")
 def linkage_merges(spark: SparkSession, sf: str) -> DataFrame:
     """The forest's weights are the heights at which single linkage merges: up to each height as many as SQL's components are fewer than rows."""
-    _, pairs = scatter(spark, sf)
+    nodes, _, pairs = scatter(spark, sf)
     w = spanning.heights(spanning.spanning_forest(pairs.withColumnRenamed("distance", "w")))
+    w = w.unionByName(nodes.agg(F.lit(0.0).alias("height"), F.sum(C("n") - 1).alias("merges")))
     upto = [F.struct(F.lit(h).alias("height"), F.coalesce(F.sum(F.when(C("height") <= h, C("merges"))), F.lit(0)).alias("merges")) for h in HEIGHTS]
     return w.agg(F.array(*upto).alias("u")).select(F.explode("u").alias("u")).select("u.height", "u.merges")
 
@@ -80,15 +83,16 @@ def linkage_merges(spark: SparkSession, sf: str) -> DataFrame:
 reach(h, id, root) AS (SELECT h, id, id FROM dense UNION SELECT r.h, r.id, q.b FROM reach r JOIN inner_pair q ON q.h = r.h AND q.a = r.root), cut AS (SELECT h, id, min(root) AS cluster FROM reach GROUP BY h, id) SELECT h.h AS radius, p.id, cluster FROM h JOIN p ON true LEFT JOIN cut ON cut.h = h.h AND cut.id = p.id""")
 def density_cuts(spark: SparkSession, sf: str) -> DataFrame:
     """Density clusters at three radii, all from one forest of mutual reachability."""
-    nodes, pairs = scatter(spark, sf)
+    nodes, members, pairs = scatter(spark, sf)
     core, forest = spanning.reachability_forest(nodes, pairs, 3)
-    return spanning.density_clusters(core, forest, HEIGHTS)
+    return members.join(spanning.density_clusters(core, forest, HEIGHTS).withColumnRenamed("id", "spot"), "spot").select("radius", "id", "cluster")
 
 
 @query(f"{SCATTER} SELECT p.id, round(d, 6) AS core FROM p LEFT JOIN (SELECT a, d FROM pair QUALIFY row_number() OVER (PARTITION BY a ORDER BY d) = 2) ON a = p.id")
 def core_distances(spark: SparkSession, sf: str) -> DataFrame:
-    nodes, pairs = scatter(spark, sf)
-    return rounded(spanning.core_distances(nodes, pairs, 3), "core")
+    nodes, members, pairs = scatter(spark, sf)
+    core = spanning.core_distances(nodes, pairs, 3).withColumnRenamed("id", "spot")
+    return rounded(members.join(core, "spot").select("id", "core"), "core")
 
 
 # ---- clustering features
