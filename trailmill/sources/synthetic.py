@@ -152,8 +152,11 @@ def multilabel(source: Source, n: int = 0, classes: int = 5, words: int = 20, le
     c = [F.when(digest(f"class{k}", F.col("id")) < (k + 1) / (classes + 1), F.lit(k)) for k in range(classes)]
     df = _ids(source, n).withColumn("labels", F.array_compact(F.array(*c)))
     picks = [F.floor(digest(f"word{w}", F.col("id")) * words).cast("int") for w in range(length)]
-    drawn = F.array(*[F.pmod(p + F.coalesce(F.try_element_at("labels", F.lit(1)), F.lit(0)) * (words // classes), F.lit(words)) for p in picks])
-    return df.select("id", "labels", F.transform(F.sequence(F.lit(0), F.lit(words - 1)), lambda w: F.size(F.filter(drawn, lambda d: d == w))).alias("counts"))
+    first = F.coalesce(F.try_element_at("labels", F.lit(1)), F.lit(0)) * (words // classes)
+    # both are bound as the variable of a lambda: as expressions they would be made anew for every word, and with them all digests
+    drawn = F.transform(F.array(*picks), lambda p: F.pmod(p, F.lit(words)))
+    counts = F.transform(F.array(F.struct(drawn.alias("d"), first.alias("f"))), lambda s: F.transform(F.sequence(F.lit(0), F.lit(words - 1)), lambda w: F.size(F.filter(s["d"], lambda d: F.pmod(d + s["f"], F.lit(words)) == w))))
+    return df.select("id", "labels", counts[0].alias("counts"))
 
 
 def positive_definite(source: Source, dim: int, sparse: float = 0.0) -> DataFrame:
