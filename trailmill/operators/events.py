@@ -188,9 +188,10 @@ def fragmentations(events: DataFrame) -> DataFrame:
 
     e = base_events(events).filter("oid is not null").withColumn("hit", F.col("type") != "MISS")
     w = Window.partitionBy("seq", "oid").orderBy("frame", "event")
-    later = F.max(F.col("hit").cast("int")).over(w.rowsBetween(1, Window.unboundedFollowing))
-    e = e.withColumns({"before": F.lag("hit").over(w), "later": later})
-    return e.groupBy("seq").agg(F.count_if(~F.col("hit") & F.col("before") & (F.col("later") == 1)).alias("num_fragmentations"))
+    # a gap is counted at the hit that ends it, so that no row looks ahead: Spark walks a frame to the end of its group anew for every row
+    seen = F.max("hit").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    e = e.withColumns({"before": F.lag("hit").over(w), "seen": seen})
+    return e.groupBy("seq").agg(F.count_if(F.col("hit") & ~F.col("before") & F.col("seen")).alias("num_fragmentations"))
 
 
 def id_pair_counts(events: DataFrame) -> DataFrame:
