@@ -133,3 +133,20 @@ def test_labels_and_words_are_drawn_once_a_row(spark):
     got = synthetic.multilabel(spark.range(5))
     assert got._jdf.queryExecution().optimizedPlan().toString().count("md5(") <= 5 + 30
     assert all(sum(r.counts) == 30 and len(r.counts) == 20 for r in got.collect())
+
+
+def test_distances_stay_out_of_the_joins(spark):
+    from trailmill.operators import pairs
+    from trailmill.plans import registry
+
+    boxes = spark.createDataFrame([(1, 1, 0.0, 0.0, 4.0, 4.0), (1, 2, 2.0, 0.0, 4.0, -4.0), (1, 3, 2.0, 0.0, 4.0, 4.0), (2, 1, None, 0.0, 4.0, 4.0)], "frame long, id long, x double, y double, w double, h double")
+    near = pairs.mutual_nearest(pairs.iou_pairs(boxes, boxes), max_distance=0.9)
+    plan = near._jdf.queryExecution().executedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join" in line]
+    assert joins and not any("greatest" in line or "least" in line for line in joins)
+    assert {(r.frame, r.a, r.b, r.distance) for r in near.collect()} == {(1, 1, 1, 0.0), (1, 3, 3, 0.0)}
+    assert {(r.a, r.b): round(r.distance, 6) for r in pairs.iou_pairs(boxes, boxes).collect()}[1, 3] == round(1 - 8 / 24, 6)
+    # one exchange of boxes, by the frame alone, serves both sides, the matches and the log
+    plan = registry.log(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    keys = {line.split("hashpartitioning(")[1].split("#")[0] for line in plan.splitlines() if "Exchange hashpartitioning" in line}
+    assert keys == {"frame"} and all(line.split("hashpartitioning(")[1].count("#") == 1 for line in plan.splitlines() if "Exchange hashpartitioning" in line)

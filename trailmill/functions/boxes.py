@@ -15,18 +15,32 @@ def corner_area(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
 
 def overlap(a: tuple[Column, ...], b: tuple[Column, ...]) -> Column:
     """Intersection area of two boxes x, y, w, h; 0 where they don't meet."""
-    (ax, ay, aw, ah), (bx, by, bw, bh) = a, b
-    w = F.least(ax + aw, bx + bw) - F.greatest(ax, bx)
-    h = F.least(ay + ah, by + bh) - F.greatest(ay, by)
+    return corner_overlap(to_corners(*a), to_corners(*b))
+
+
+def corner_overlap(a: tuple[Column, ...], b: tuple[Column, ...]) -> Column:
+    """overlap() of boxes x1, y1, x2, y2."""
+    w = F.least(a[2], b[2]) - F.greatest(a[0], b[0])
+    h = F.least(a[3], b[3]) - F.greatest(a[1], b[1])
     return F.greatest(w, F.lit(0.0)) * F.greatest(h, F.lit(0.0))
 
 
+def far_ends(x: Column, y: Column, w: Column, h: Column) -> tuple[Column, ...]:
+    """Right and lower end and area of a box; negative sizes count as 0."""
+    w, h = F.greatest(w, F.lit(0.0)), F.greatest(h, F.lit(0.0))
+    return x + w, y + h, w * h
+
+
+def iou_of(i: Column, both: Column) -> Column:
+    """Intersection over union from the area of the intersection and the sum of both areas; 0 where there is none."""
+    return F.when(i == 0, F.lit(0.0)).otherwise(i / (both - i))
+
+
 def iou(a: tuple[Column, ...], b: tuple[Column, ...]) -> Column:
     """Intersection over union of boxes x, y, w, h; 0 where they don't meet, and for boxes without area. Negative sizes count as 0."""
     a = (*a[:2], F.greatest(a[2], F.lit(0.0)), F.greatest(a[3], F.lit(0.0)))
     b = (*b[:2], F.greatest(b[2], F.lit(0.0)), F.greatest(b[3], F.lit(0.0)))
-    i = overlap(a, b)
-    return F.when(i == 0, F.lit(0.0)).otherwise(i / (a[2] * a[3] + b[2] * b[3] - i))
+    return iou_of(overlap(a, b), a[2] * a[3] + b[2] * b[3])
 
 
 def corner_iou(a: tuple[Column, ...], b: tuple[Column, ...], epsilon: float = EPSILON) -> Column:

@@ -27,8 +27,13 @@ def _box(prefix: str) -> tuple[Column, ...]:
 
 def iou_pairs(left: DataFrame, right: DataFrame, *, max_distance: float = 1.0, keys: Sequence[str] = ("frame",), id: str = "id") -> DataFrame:  # noqa: A002
     """keys, a, b and distance 1 - IoU of each pair of a frame; pairs over max_distance are left out (no edge)."""
-    p = frame_pairs(left.select(*keys, id, *BOX), right.select(*keys, id, *BOX), keys)
-    return p.select(*keys, F.col(f"a_{id}").alias("a"), F.col(f"b_{id}").alias("b"), (1 - boxes.iou(_box("a_"), _box("b_"))).alias("distance")).filter(F.col("distance") <= max_distance)
+    sides = [d.select(*keys, id, "x", "y", *[c.alias(n) for c, n in zip(boxes.far_ends(*[F.col(c) for c in BOX]), ("x2", "y2", "area"), strict=True)]) for d in (left, right)]
+    p = frame_pairs(*sides, keys)
+    meet = boxes.corner_overlap(*[tuple(F.col(s + c) for c in ("x", "y", "x2", "y2")) for s in ("a_", "b_")])
+    p = p.select(*keys, F.col(f"a_{id}").alias("a"), F.col(f"b_{id}").alias("b"), meet.alias("_i"), (F.col("a_area") + F.col("b_area")).alias("_both"))
+    # the array keeps filters on the distance out of the join's condition: several copies of its formula there make a method that the JVM never compiles
+    d = 1 - boxes.iou_of(F.col("_i"), F.col("_both"))
+    return p.select(*keys, "a", "b", F.explode(F.array(d)).alias("distance")).filter(F.col("distance") <= max_distance)
 
 
 def squared_pairs(left: DataFrame, right: DataFrame, columns: Sequence[str], *, max_squared: float = float("inf"), keys: Sequence[str] = ("frame",), id: str = "id") -> DataFrame:  # noqa: A002
