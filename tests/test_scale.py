@@ -150,3 +150,17 @@ def test_distances_stay_out_of_the_joins(spark):
     plan = registry.log(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     keys = {line.split("hashpartitioning(")[1].split("#")[0] for line in plan.splitlines() if "Exchange hashpartitioning" in line}
     assert keys == {"frame"} and all(line.split("hashpartitioning(")[1].count("#") == 1 for line in plan.splitlines() if "Exchange hashpartitioning" in line)
+
+
+def test_tasks_of_agglomeration_hold_components(spark):
+    from trailmill.operators import agglomerate
+
+    nodes = [(s, f, 10 * f + k) for s in "pq" for f in range(60) for k in range(2)]
+    edges = [(s, 10 * f + k, 10 * f + 10 + k, float((7 * f + k) % 11)) for s in "pq" for f in range(59) for k in range(2) if f % 5 != 4]
+    n, e = spark.createDataFrame(nodes, "seq string, frame long, id long"), spark.createDataFrame(edges, "seq string, a long, b long, distance double")
+    for linkage in ("single", "average", "complete"):
+        whole = {tuple(r) for r in agglomerate.agglomerate(n, e, threshold=8.0, linkage=linkage, nodes_a_task=1 << 30).collect()}
+        parts = agglomerate.agglomerate(n, e, threshold=8.0, linkage=linkage, nodes_a_task=5)
+        assert {tuple(r) for r in parts.collect()} == whole and len(whole) == len(nodes)
+        # components are told apart by sequence, though ids repeat
+        assert {s for s, i, t in whole if t == 0} == {"p", "q"} and max(t - i for s, i, t in whole) == 0

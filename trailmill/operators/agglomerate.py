@@ -11,7 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import kalman
+from . import kalman, links
+from .storage import stored
 
 LABELS = "seq string, id long, track_id long"
 LINKAGES: dict[str, Callable[[float, float, int, int], float]] = {
@@ -207,19 +208,28 @@ def track_offline(det: DataFrame, experts: Sequence[Expert]) -> DataFrame:
     return det.groupBy("seq").applyInPandas(one, LABELS)
 
 
-def agglomerate(nodes: DataFrame, edges: DataFrame, *, threshold: float, linkage: str = "complete") -> DataFrame:
-    """seq, id, track_id (smallest id of the cluster) by merging nodes (seq, frame, id) along edges (seq, a, b, distance), never two nodes of a frame."""
+def agglomerate(nodes: DataFrame, edges: DataFrame, *, threshold: float, linkage: str = "complete", nodes_a_task: int = 50_000) -> DataFrame:
+    """seq, id, track_id (smallest id of the cluster) by merging nodes (seq, frame, id) along edges (seq, a, b, distance), never two nodes of a frame.
+
+    Merges run along edges, so components of the edges don't touch each other: tasks take components of about nodes_a_task nodes together, or a larger one alone, whatever a sequence holds. Nodes without edges are clusters as they are.
+    """
 
     def one(n: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
         n = n.sort_values(["frame", "id"])
-        at = {x: i for i, x in enumerate(n["id"])}
+        seqs, ids = n["seq"].to_numpy(), n["id"].to_numpy()
+        at = {x: i for i, x in enumerate(zip(seqs, ids, strict=True))}
         c = Clusters([frozenset([f]) for f in n["frame"]])
-        merge_nearest(c, [(at[a], at[b], d) for a, b, d in zip(e["a"], e["b"], e["distance"], strict=True) if a in at and b in at], threshold, linkage)
-        ids = n["id"].to_numpy()
-        rows = [(n["seq"].iloc[0], ids[i], ids[c.members[k]].min()) for k in c.live for i in c.members[k]] if len(n) else []
+        ends = ((at.get((s, a)), at.get((s, b)), d) for s, a, b, d in zip(e["seq"], e["a"], e["b"], e["distance"], strict=True))
+        merge_nearest(c, [(i, j, d) for i, j, d in ends if i is not None and j is not None], threshold, linkage)
+        rows = [(seqs[i], ids[i], ids[c.members[k]].min()) for k in c.live for i in c.members[k]]
         return pd.DataFrame(rows, columns=["seq", "id", "track_id"])
 
-    # aliases give both sides columns of their own where edges were made from nodes
-    nodes = nodes.select(*[F.col(c).alias(c) for c in ("seq", "frame", "id")])
-    edges = edges.select(*[F.col(c).alias(c) for c in ("seq", "a", "b", "distance")])
-    return nodes.groupBy("seq").cogroup(edges.groupBy("seq")).applyInPandas(one, LABELS)
+    edges = stored(edges.select("seq", "a", "b", "distance"), "edges")
+    end = lambda c: F.struct("seq", F.col(c).alias("id"))
+    roots = stored(links.components(edges.select(end("a").alias("a"), end("b").alias("b"))), "roots")
+    parts = max(1, -(-roots.count() // nodes_a_task))
+    roots = roots.select(F.col("node.seq").alias("_seq"), F.col("node.id").alias("_id"), F.pmod(F.xxhash64("root"), F.lit(parts)).alias("part"))
+    placed = stored(nodes.select("seq", "frame", "id").join(roots, F.col("seq").eqNullSafe(F.col("_seq")) & (F.col("id") == F.col("_id")), "left").drop("_seq", "_id"), "placed")
+    met = edges.join(roots, F.col("seq").eqNullSafe(F.col("_seq")) & (F.col("a") == F.col("_id"))).select("part", "seq", "a", "b", "distance")
+    merged = placed.filter("part IS NOT NULL").groupBy("part").cogroup(met.groupBy("part")).applyInPandas(one, LABELS)
+    return merged.union(placed.filter("part IS NULL").select(F.col("seq").cast("string"), F.col("id").cast("long"), F.col("id").cast("long").alias("track_id")))
