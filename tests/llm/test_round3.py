@@ -233,3 +233,27 @@ def test_filter_audit(spark):
     assert audit.filter_audit(spark.createDataFrame([], DOC), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect() == []
     with pytest.raises(ValueError, match="mask"):
         audit.failure_masks(spark.createDataFrame(rows, DOC), keep=["mask"])
+
+
+def test_jaccard_in_parts(spark, monkeypatch):
+    """Names and pairs of leaves exchanged in parts tie the same texts, and no part takes all names."""
+    rng = np.random.default_rng(11)
+    words = [f"w{i}" for i in range(400)]
+    rows = []
+    for f in range(12):
+        base = rng.choice(words, 60).tolist()
+        for k in range(6):
+            text = list(base)
+            for at in rng.integers(0, 60, k % 3):
+                text[at] = str(rng.choice(words))
+            rows.append((len(rows), " ".join(text)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    whole = {tuple(r) for r in jaccard.jaccard_components(df, capacity=4).collect()}
+    names = []
+    plain = jaccard.shared_slices
+    monkeypatch.setattr(jaccard, "_PART_BYTES", 1000)
+    monkeypatch.setattr(jaccard, "_PAIR_BYTES", 1)
+    monkeypatch.setattr(jaccard, "_PARTS", 3)
+    monkeypatch.setattr(jaccard, "shared_slices", lambda s, **how: names.append(how) or plain(s, **how))
+    assert {tuple(r) for r in jaccard.jaccard_components(df, capacity=4).collect()} == whole
+    assert len({r[2] for r in whole}) < len(rows) and len(names) == names[0]["parts"] == 3
