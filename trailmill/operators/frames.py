@@ -1,4 +1,4 @@
-"""A value for each row that depends on the rows of its frame, many frames a call."""
+"""Work on whole frames or whole sequences, many a call."""
 
 from __future__ import annotations
 
@@ -7,8 +7,12 @@ from collections.abc import Callable, Iterator, Sequence
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Rows of whole sequences that one call takes together.
+_ROWS = 150_000
+
 
 def per_frame(df: DataFrame, keys: Sequence[str], columns: Sequence[str], f: Callable[..., np.ndarray], out: str) -> DataFrame:
     """df with an integer column out: f takes the arrays of columns of one frame and returns a number for each row, -1 for null.
@@ -44,3 +48,31 @@ def per_frame(df: DataFrame, keys: Sequence[str], columns: Sequence[str], f: Cal
             yield solve(rest, np.array([0, len(rest)]))
 
     return df.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(run, schema)
+
+
+def per_sequences(df: DataFrame, f: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    """What f makes of the rows (seq, frame, id and more), taken in pieces of many whole sequences: a piece is in the order of seq, frame and id and has about _ROWS rows, or one longer sequence. Rows without a frame are left out."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest, n = [], 0
+        for b in batches:
+            if not len(b):
+                continue
+            rest.append(b)
+            n += len(b)
+            # whole are the rows before those of the last sequence, which may go on and may have begun batches ago
+            if n >= _ROWS and (rest[0]["seq"].iloc[0] != b["seq"].iloc[-1]):
+                every = pd.concat(rest, ignore_index=True)
+                cut = int(np.searchsorted(codes := codes_of(every["seq"]), codes[-1]))
+                yield f(every.iloc[:cut])
+                rest, n = [every.iloc[cut:].reset_index(drop=True)], len(every) - cut
+        if n:
+            yield f(pd.concat(rest, ignore_index=True))
+
+    return df.filter("frame IS NOT NULL").withColumn("seq", F.col("seq").cast("string")).repartition("seq").sortWithinPartitions("seq", "frame", "id").mapInPandas(run, schema)
+
+
+def codes_of(seq: pd.Series) -> np.ndarray:
+    """Numbers from 0 of the sequences of rows that come sequence by sequence."""
+    v = seq.to_numpy(object)
+    return np.cumsum(np.concatenate([[False], v[1:] != v[:-1]]))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from dataclasses import dataclass
+
 import numpy as np
 
 #: Noise as shares of the box height, for positions and for velocities; the aspect has noise of its own.
@@ -57,3 +60,95 @@ def path_distances(frames: np.ndarray, boxes: np.ndarray, skip_empty: bool = Tru
         out.append(gating_distance(mean, cov, boxes[k : k + 1])[0])
         mean, cov = update(mean, cov, boxes[k])
     return np.sqrt(np.array(out))
+
+
+#: Which covariance an axis has: centre and height share one, the aspect has its own.
+_AXES = np.array([0, 0, 1, 0])
+
+
+def _spread(place: np.ndarray, aspect: float) -> np.ndarray:
+    """Squares of a deviation for centre and height and of the aspect's, as rows."""
+    return np.stack([place * place, np.full(len(place), aspect * aspect)])
+
+
+@dataclass
+class Filters:
+    """Many filters in step, one a column. No axis ever correlates with another, so the covariance of a filter is one of place and speed for centre and height, and one for the aspect."""
+
+    mean: np.ndarray  # 4 places
+    speed: np.ndarray  # and their speeds
+    cov: np.ndarray  # place with place, place with speed, speed with place, speed with speed; each for _AXES 0 and 1
+
+    @classmethod
+    def initiate(cls, boxes: np.ndarray) -> Filters:
+        """Filters of boxes (4 rows) seen for the first time."""
+        h = boxes[3]
+        cov = np.zeros((4, 2, len(h)))
+        cov[0], cov[3] = _spread(2 * POSITION * h, ASPECT), _spread(10 * VELOCITY * h, ASPECT_SPEED)
+        return cls(boxes.copy(), np.zeros_like(boxes), cov)
+
+    def take(self, which: np.ndarray) -> Filters:
+        return Filters(self.mean[:, which], self.speed[:, which], self.cov[:, :, which])
+
+    def put(self, which: np.ndarray, other: Filters) -> None:
+        self.mean[:, which], self.speed[:, which], self.cov[:, :, which] = other.mean, other.speed, other.cov
+
+    def join(self, other: Filters) -> Filters:
+        return Filters(np.hstack([self.mean, other.mean]), np.hstack([self.speed, other.speed]), np.concatenate([self.cov, other.cov], axis=2))
+
+    def predict(self) -> None:
+        h = self.mean[3]
+        place, speed = _spread(POSITION * h, ASPECT), _spread(VELOCITY * h, ASPECT_SPEED)
+        pp, ps, sp, ss = self.cov
+        self.mean = self.mean + self.speed
+        self.cov = np.stack([(pp + sp) + (ps + ss) + place, ps + ss, sp + ss, ss + speed])
+
+    def _seen(self) -> np.ndarray:
+        return self.cov[0] + _spread(POSITION * self.mean[3], ASPECT_SEEN)
+
+    def gating_distance(self, boxes: np.ndarray) -> np.ndarray:
+        """Squared Mahalanobis distance of each filter's own box."""
+        z = (boxes - self.mean) / np.sqrt(self._seen())[_AXES]
+        z *= z
+        return z[0] + z[1] + z[2] + z[3]
+
+    def update(self, boxes: np.ndarray) -> None:
+        s = self._seen()
+        place, speed = self.cov[0] / s, self.cov[1] / s
+        off = boxes - self.mean
+        self.mean = self.mean + place[_AXES] * off
+        self.speed = self.speed + speed[_AXES] * off
+        a, b = place * s, speed * s
+        self.cov = self.cov - np.stack([a * place, a * speed, b * place, b * speed])
+
+
+def many_path_distances(frames: np.ndarray, boxes: np.ndarray, sizes: Sequence[int]) -> np.ndarray:
+    """path_distances() of many paths without skipping missing frames, laid end to end (sizes of 2 at least, each path in frame order): a distance for each box, 0 for a path's first."""
+    sizes = np.asarray(sizes)
+    first = np.cumsum(sizes) - sizes
+    out, boxes = np.zeros(len(frames)), np.ascontiguousarray(boxes.T)
+    gap = np.maximum(np.diff(frames, prepend=frames[:1]), 1)
+    gap[first] = 0
+    # each box's time on its path's own clock
+    since = np.cumsum(gap)
+    since -= np.repeat(since[first], sizes)
+    path = np.repeat(np.arange(len(sizes)), sizes)
+    order = np.argsort(since, kind="stable")
+    times, starts = np.unique(since[order], return_index=True)
+    last = since[first + sizes - 1]
+    alive = np.arange(len(sizes))
+    f, now = Filters.initiate(boxes[:, first]), 0
+    for k in range(1, len(times)):
+        stays = last[alive] >= times[k]
+        if not stays.all():
+            alive, f = alive[stays], f.take(stays)
+        for now in range(now, int(times[k])):
+            f.predict()
+        now = int(times[k])
+        rows = order[starts[k] : starts[k + 1] if k + 1 < len(times) else None]
+        at = np.searchsorted(alive, path[rows])
+        some = f.take(at)
+        out[rows] = some.gating_distance(boxes[:, rows])
+        some.update(boxes[:, rows])
+        f.put(at, some)
+    return np.sqrt(out)
