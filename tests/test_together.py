@@ -1,9 +1,11 @@
 """Sequences tracked side by side give what each gives alone."""
 
 import numpy as np
+import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
-from trailmill.operators import frames, kalman, lap, online
+from trailmill.operators import agglomerate, frames, kalman, lap, online
 
 DET = "seq string, frame long, id long, x double, y double, w double, h double"
 
@@ -77,3 +79,36 @@ def test_filters_together():
     got = kalman.many_path_distances(np.concatenate([f for f, _ in paths]), np.concatenate([b for _, b in paths]), sizes)
     want = np.concatenate([[0, *kalman.path_distances(f, b, skip_empty=False)] for f, b in paths])
     assert np.allclose(got, want, rtol=1e-9, atol=0)
+
+
+TEAMS = {
+    "query": [agglomerate.Expert(30.0, "complete", frames_a_window=10), agglomerate.Expert(45.0, "single", frames_a_window=20, max_kalman=9.5)],
+    "average": [agglomerate.Expert(14.5, "average", detections_a_window=40, max_kalman=4.0, kalman_linkage="complete"), agglomerate.Expert(20.5, "average", frames_a_window=30, max_kalman=2.0, kalman_linkage="single")],
+    "single": [agglomerate.Expert(12.0, "single", frames_a_window=7), agglomerate.Expert(60.0, "complete", frames_a_window=200, max_kalman=9.5)],
+}
+
+
+@pytest.mark.parametrize("cells", [(3_000_000, 100_000), (5_000, 1)])
+@pytest.mark.parametrize("team", TEAMS)
+def test_offline_in_step(monkeypatch, team, cells):
+    monkeypatch.setattr(agglomerate, "_CELLS", cells[0])
+    monkeypatch.setattr(agglomerate, "_AT_ONCE", cells[1])
+    rows = pd.DataFrame(crossing(sequences=12), columns=["seq", "frame", "id", "x", "y", "w", "h"]).fillna({"seq": "7"})
+    rows = rows[(rows["frame"] < 5000) | (rows["frame"] > 5040)].astype({"seq": int}).sort_values(["seq", "frame", "id"], ignore_index=True)
+    # one row alone, and a sequence with a hole wider than its windows
+    rows = pd.concat([rows, pd.DataFrame([(12, 5, 1, 3.0, 3.0, 5.0, 5.0), *[(13, f, 1, 3.0, 3.0, 5.0, 5.0) for f in (1, 2, 300)]], columns=rows.columns)], ignore_index=True)
+    got = agglomerate.run_together(rows["seq"].to_numpy(), rows["frame"].to_numpy(), rows[["x", "y", "w", "h"]].to_numpy(float), TEAMS[team])
+    want = np.concatenate([agglomerate.run_experts(g.reset_index(drop=True), TEAMS[team]) for _, g in rows.groupby("seq")])
+    assert (got == want).all() and 5 < want.max() < 120
+
+
+def test_offline_of_short_and_long_sequences(spark, monkeypatch):
+    monkeypatch.setattr(frames, "_ROWS", 700)
+    rows = crossing(sequences=10)
+    det = spark.createDataFrame(rows, DET).repartition(3)
+    got = {(r.seq or "", r.id, r.track_id) for r in agglomerate.track_offline(det.withColumn("id", F.col("frame") * 10 + F.col("id")), TEAMS["query"]).collect()}
+    want = set()
+    for s, g in pd.DataFrame(rows, columns=["seq", "frame", "id", "x", "y", "w", "h"]).fillna({"seq": ""}).groupby("seq"):
+        g = g.sort_values(["frame", "id"], ignore_index=True)
+        want |= {(s, int(i), int(n)) for i, n in zip(g["frame"] * 10 + g["id"], agglomerate.run_experts(g, TEAMS["query"]), strict=True)}
+    assert got == want

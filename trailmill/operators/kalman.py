@@ -106,12 +106,6 @@ class Filters:
     def _seen(self) -> np.ndarray:
         return self.cov[0] + _spread(POSITION * self.mean[3], ASPECT_SEEN)
 
-    def gating_distance(self, boxes: np.ndarray) -> np.ndarray:
-        """Squared Mahalanobis distance of each filter's own box."""
-        z = (boxes - self.mean) / np.sqrt(self._seen())[_AXES]
-        z *= z
-        return z[0] + z[1] + z[2] + z[3]
-
     def update(self, boxes: np.ndarray) -> None:
         s = self._seen()
         place, speed = self.cov[0] / s, self.cov[1] / s
@@ -123,32 +117,45 @@ class Filters:
 
 
 def many_path_distances(frames: np.ndarray, boxes: np.ndarray, sizes: Sequence[int]) -> np.ndarray:
-    """path_distances() of many paths without skipping missing frames, laid end to end (sizes of 2 at least, each path in frame order): a distance for each box, 0 for a path's first."""
+    """path_distances() of many paths without skipping missing frames, laid end to end (sizes of 2 at least, each path in frame order): a distance for each box, 0 for a path's first.
+
+    A step takes the next box of every path, the longest paths first; what the filter adds on the way over missing frames is summed in closed form.
+    """
     sizes = np.asarray(sizes)
+    turn = np.argsort(-sizes, kind="stable")
+    at = np.empty(len(sizes), np.int64)
+    at[turn] = np.arange(len(sizes))
     first = np.cumsum(sizes) - sizes
-    out, boxes = np.zeros(len(frames)), np.ascontiguousarray(boxes.T)
-    gap = np.maximum(np.diff(frames, prepend=frames[:1]), 1)
-    gap[first] = 0
-    # each box's time on its path's own clock
-    since = np.cumsum(gap)
-    since -= np.repeat(since[first], sizes)
-    path = np.repeat(np.arange(len(sizes)), sizes)
-    order = np.argsort(since, kind="stable")
-    times, starts = np.unique(since[order], return_index=True)
-    last = since[first + sizes - 1]
-    alive = np.arange(len(sizes))
-    f, now = Filters.initiate(boxes[:, first]), 0
-    for k in range(1, len(times)):
-        stays = last[alive] >= times[k]
-        if not stays.all():
-            alive, f = alive[stays], f.take(stays)
-        for now in range(now, int(times[k])):
-            f.predict()
-        now = int(times[k])
-        rows = order[starts[k] : starts[k + 1] if k + 1 < len(times) else None]
-        at = np.searchsorted(alive, path[rows])
-        some = f.take(at)
-        out[rows] = some.gating_distance(boxes[:, rows])
-        some.update(boxes[:, rows])
-        f.put(at, some)
-    return np.sqrt(out)
+    column, row = np.repeat(at, sizes), np.arange(len(frames)) - np.repeat(first, sizes)
+    deep = int(sizes.max())
+    box, gap, out = np.zeros((deep, 4, len(sizes))), np.ones((deep, len(sizes))), np.zeros((deep, len(sizes)))
+    box[row, :, column] = boxes
+    gap[row, column] = np.maximum(np.diff(frames, prepend=frames[:1]), 1)
+    # sums of the powers 1 to 4 of 0, 1, ..., gap - 1
+    n = gap - 1
+    one, two = n * gap / 2, n * gap * (2 * n + 1) / 6
+    three, four = one * one, two * (3 * n * n + 3 * n - 1) / 5
+    f = Filters.initiate(box[0])
+    mean, speed, (pp, ps, _, ss) = f.mean, f.speed, f.cov
+    left = np.searchsorted(-sizes[turn], -np.arange(deep), "left")
+    for k in range(1, deep):
+        m = int(left[k])
+        mean, speed, pp, ps, ss = mean[:, :m], speed[:, :m], pp[:, :m], ps[:, :m], ss[:, :m]
+        g, s1, s2, s3, s4 = (x[k, :m] for x in (gap, one, two, three, four))
+        # heights on the way, as seen from the last of them, and what their squares sum up to, plain, by steps to go and by their squares
+        h = mean[3] + n[k, :m] * speed[3]
+        hh, hv, vv = h * h, 2 * h * speed[3], speed[3] * speed[3]
+        a0, a1, a2 = g * hh - s1 * hv + s2 * vv, s1 * hh - s2 * hv + s3 * vv, s2 * hh - s3 * hv + s4 * vv
+        v, c = VELOCITY * VELOCITY, ASPECT_SPEED * ASPECT_SPEED
+        mean = mean + g * speed
+        pp = pp + g * (2 * ps + g * ss) + np.stack([POSITION * POSITION * a0 + v * a2, ASPECT * ASPECT * g + c * s2])
+        ps = ps + g * ss + np.stack([v * a1, c * s1])
+        ss = ss + np.stack([v * a0, c * g])
+        seen = pp + _spread(POSITION * mean[3], ASPECT_SEEN)
+        off = box[k, :, :m] - mean
+        z = off * off / seen[_AXES]
+        out[k, :m] = np.sqrt(z[0] + z[1] + z[2] + z[3])
+        place, pull = pp / seen, ps / seen
+        mean, speed = mean + place[_AXES] * off, speed + pull[_AXES] * off
+        pp, ps, ss = pp - place * pp, ps - place * ps, ss - pull * ps
+    return out[row, column]
