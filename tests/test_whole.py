@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from trailmill.plans import registry_more
+from trailmill.plans import registry_ml, registry_more, registry_rest
 
 
 @pytest.fixture
@@ -14,7 +14,7 @@ def embeddings(spark, tmp_path):
     return str(tmp_path), x.astype(float)
 
 
-@pytest.mark.parametrize("query,a,b", [(registry_more.kernels, "id", "other")])
+@pytest.mark.parametrize("query,a,b", [(registry_more.kernels, "id", "other"), (registry_ml.pairwise_distances, "a", "b")])
 def test_every_pair_of_vectors(spark, embeddings, query, a, b):
     sf, x = embeddings
     got = query(spark, sf).toPandas()
