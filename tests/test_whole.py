@@ -24,3 +24,9 @@ def test_every_pair_of_vectors(spark, embeddings, query, a, b):
         assert np.allclose(got["linear"], (u * v).sum(axis=1), atol=1e-5)
     else:
         assert np.allclose(got["squared"], ((u - v) ** 2).sum(axis=1), atol=1e-5)
+
+
+def test_bandwidth_of_every_vector(spark, embeddings):
+    sf, x = embeddings
+    d = np.sort(np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2)), axis=1)
+    assert np.isclose(registry_rest.estimate_bandwidth(spark, sf).head()[0], d[:, 5].mean(), atol=1e-6)
