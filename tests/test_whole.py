@@ -30,3 +30,11 @@ def test_bandwidth_of_every_vector(spark, embeddings):
     sf, x = embeddings
     d = np.sort(np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2)), axis=1)
     assert np.isclose(registry_rest.estimate_bandwidth(spark, sf).head()[0], d[:, 5].mean(), atol=1e-6)
+
+
+def test_trustworthiness_of_every_vector(spark, embeddings):
+    sf, x = embeddings
+    far = lambda y: np.argsort(np.where(np.eye(24, dtype=bool), np.inf, ((y[:, None] - y[None]) ** 2).sum(axis=2)), axis=1)
+    rank = np.argsort(far(x), axis=1) + 1
+    off = sum(max(rank[i, j] - 5, 0) for i, near in enumerate(far(x[:, :2])[:, :5]) for j in near)
+    assert np.isclose(registry_rest.trustworthiness(spark, sf).head()[0], 1 - 2 / (24 * 5 * (48 - 16)) * off, atol=1e-6)
