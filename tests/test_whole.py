@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from trailmill.plans import registry_ml, registry_more, registry_rest
+from trailmill.plans import registry, registry_ml, registry_more, registry_rest
 
 
 @pytest.fixture
@@ -38,3 +38,16 @@ def test_trustworthiness_of_every_vector(spark, embeddings):
     rank = np.argsort(far(x), axis=1) + 1
     off = sum(max(rank[i, j] - 5, 0) for i, near in enumerate(far(x[:, :2])[:, :5]) for j in near)
     assert np.isclose(registry_rest.trustworthiness(spark, sf).head()[0], 1 - 2 / (24 * 5 * (48 - 16)) * off, atol=1e-6)
+
+
+def tracked(spark, path, query, ids):
+    """Clusters of one event a frame; boxes of ids n apart are about 2n apart."""
+    spark.createDataFrame([(i, 0, "s", k, 0.0) for k, i in enumerate(ids)], "event_id long, user_id long, event_type string, ts long, value double").write.parquet(f"{path}/events.parquet")
+    found = {}
+    for r in query(spark, str(path)).collect():
+        found.setdefault(r.track_id, set()).add(r.id)
+    return sorted(map(sorted, found.values()))
+
+
+def test_complete_linkage_takes_all_pairs_up_to_the_threshold(spark, tmp_path):
+    assert tracked(spark, tmp_path, registry.agglomerate_complete, [1, 15, 29]) == [[1, 15, 29]]

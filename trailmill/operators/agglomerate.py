@@ -460,7 +460,7 @@ def track_offline(det: DataFrame, experts: Sequence[Expert]) -> DataFrame:
 def agglomerate(nodes: DataFrame, edges: DataFrame, *, threshold: float, linkage: str = "complete", nodes_a_task: int = 50_000) -> DataFrame:
     """seq, id, track_id (smallest id of the cluster) by merging nodes (seq, frame, id) along edges (seq, a, b, distance), never two nodes of a frame.
 
-    Merges run along edges, so components of the edges don't touch each other: tasks take components of about nodes_a_task nodes together, or a larger one alone, whatever a sequence holds. Nodes without edges are clusters as they are.
+    Edges over the threshold belong to the distances between clusters, but none merges without one up to it, so components of these don't touch each other: tasks take components of about nodes_a_task nodes together, or a larger one alone, whatever a sequence holds. Nodes without such edges are clusters as they are.
     """
 
     def one(n: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
@@ -475,7 +475,7 @@ def agglomerate(nodes: DataFrame, edges: DataFrame, *, threshold: float, linkage
 
     edges = stored(edges.select("seq", "a", "b", "distance"), "edges")
     end = lambda c: F.struct("seq", F.col(c).alias("id"))
-    roots = stored(links.components(edges.select(end("a").alias("a"), end("b").alias("b"))), "roots")
+    roots = stored(links.components(edges.filter(F.col("distance") <= threshold).select(end("a").alias("a"), end("b").alias("b"))), "roots")
     parts = max(1, -(-roots.count() // nodes_a_task))
     roots = roots.select(F.col("node.seq").alias("_seq"), F.col("node.id").alias("_id"), F.pmod(F.xxhash64("root"), F.lit(parts)).alias("part"))
     placed = stored(nodes.select("seq", "frame", "id").join(roots, F.col("seq").eqNullSafe(F.col("_seq")) & (F.col("id") == F.col("_id")), "left").drop("_seq", "_id"), "placed")

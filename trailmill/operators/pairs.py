@@ -88,3 +88,11 @@ def gap_links(det: DataFrame, *, max_gap: int, max_distance: float, seq: str = "
         new = mutual_nearest(found, keys=(seq, "frame"), max_distance=max_distance).select(seq, "a", "b", "distance", F.lit(gap).alias("gap"))
         links = new if links is None else links.unionByName(new)
     return links
+
+
+def gap_pairs(det: DataFrame, *, max_gap: int, seq: str = "seq", frame: str = "frame", id: str = "id", distance: Column | None = None) -> DataFrame:  # noqa: A002
+    """seq, a, b and distance of all pairs of detections 1 to max_gap frames apart, a the earlier one, however far they are. distance is as in gap_links(); all gaps are one equal join on the frame number."""
+    d = distance if distance is not None else boxes.corner_distance(boxes.to_corners(*_box("a_")), boxes.to_corners(*_box("b_")))
+    left = det.select(seq, F.explode(F.sequence(F.col(frame) + 1, F.col(frame) + max_gap)).alias("_f"), *[F.col(c).alias(f"a_{c}") for c in det.columns if c != seq])
+    right = det.select(seq, F.col(frame).alias("_f"), *[F.col(c).alias(f"b_{c}") for c in det.columns if c != seq])
+    return left.join(right, [seq, "_f"]).select(seq, F.col(f"a_{id}").alias("a"), F.col(f"b_{id}").alias("b"), d.alias("distance"))
