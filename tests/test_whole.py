@@ -51,3 +51,8 @@ def tracked(spark, path, query, ids):
 
 def test_complete_linkage_takes_all_pairs_up_to_the_threshold(spark, tmp_path):
     assert tracked(spark, tmp_path, registry.agglomerate_complete, [1, 15, 29]) == [[1, 15, 29]]
+
+
+@pytest.mark.parametrize("query,want", [("single", [[1, 15, 36]]), ("average", [[1, 15, 36]]), ("complete", [[1, 15], [36]])])
+def test_linkages_differ(spark, tmp_path, query, want):
+    assert tracked(spark, tmp_path, registry.QUERIES[f"agglomerate_{query}"], [1, 15, 36]) == want
