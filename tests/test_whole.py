@@ -3,6 +3,7 @@
 import numpy as np
 import pytest
 
+from trailmill.operators import neighbors
 from trailmill.plans import registry, registry_ml, registry_more, registry_rest
 
 
@@ -56,3 +57,12 @@ def test_complete_linkage_takes_all_pairs_up_to_the_threshold(spark, tmp_path):
 @pytest.mark.parametrize("query,want", [("single", [[1, 15, 36]]), ("average", [[1, 15, 36]]), ("complete", [[1, 15], [36]])])
 def test_linkages_differ(spark, tmp_path, query, want):
     assert tracked(spark, tmp_path, registry.QUERIES[f"agglomerate_{query}"], [1, 15, 36]) == want
+
+
+def test_cells_deal_each_row_once(spark, embeddings, monkeypatch):
+    sf, _ = embeddings
+    monkeypatch.setattr(neighbors, "_CELL", 16)
+    df = spark.read.parquet(f"{sf}/embeddings.parquet").selectExpr("vec_id AS id", "CAST(embedding AS array<double>) AS v")
+    met = neighbors.against_all(df, df, "dot")
+    assert "Generate" not in met._jdf.queryExecution().toString()
+    assert met.count() == 24 * 23
