@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from trailmill.operators import neighbors
+from trailmill.operators import events, neighbors
 from trailmill.plans import registry, registry_ml, registry_more, registry_rest
 
 
@@ -66,3 +66,23 @@ def test_cells_deal_each_row_once(spark, embeddings, monkeypatch):
     met = neighbors.against_all(df, df, "dot")
     assert "Generate" not in met._jdf.queryExecution().toString()
     assert met.count() == 24 * 23
+
+
+def test_summary_in_the_tasks_that_make_the_events(spark, monkeypatch):
+    monkeypatch.setattr(events, "_FRAMES", 3)
+    rng = np.random.default_rng(8)
+    rows = []
+    for seq in ("a", "b", "c"):
+        for f in range(25):
+            o, h = ([int(i) for i in range(5) if rng.random() < p] for p in ((0.0 if seq == "c" else 0.8), 0.6))
+            rows.append((seq, f, o, [i + 10 for i in h], [(i, j + 10, float(rng.random())) for i in o for j in h if i == j or rng.random() < 0.3]))
+    frames = spark.createDataFrame(rows, events.FRAMES)
+    got, want = (d.toPandas().sort_values("seq", ignore_index=True) for d in (events.summary_of(frames), events.mot_summary(events.event_log(frames).cache())))
+    assert (got.set_index("seq").loc["OVERALL", ["num_fragmentations", "num_switches", "idfp", "mostly_tracked"]] > 0).all()
+    assert sorted(got.columns) == sorted(want.columns)
+    for c in want.columns:
+        assert got[c].equals(want[c]) if c == "seq" else np.allclose(got[c].astype(float), want[c].astype(float), equal_nan=True), c
+
+
+def test_summary_keeps_no_events(spark):
+    assert "InMemoryRelation" not in registry.mot_summary(spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -18,6 +18,8 @@ EVENTS = "seq string, frame long, event int, type string, oid long, hid long, d
 FRAMES = "seq string, frame long, oids array<long>, hids array<long>, pairs array<struct<o:long,h:long,d:double>>"
 #: Event types that the base metrics don't see.
 ASIDE = ("RAW", "ASCEND", "TRANSFER", "MIGRATE")
+#: Frames whose events are held at once.
+_FRAMES = 20_000
 
 
 class EventLog:
@@ -90,12 +92,12 @@ class EventLog:
         self.known_hyps.add(h)
 
 
-def frames_of(gt: DataFrame, hyp: DataFrame, pairs: DataFrame, *, strict: bool = True) -> DataFrame:
+def frames_of(gt: DataFrame, hyp: DataFrame, pairs: DataFrame, *, strict: bool = True, seq: Column | None = None) -> DataFrame:
     """One row a frame (FRAMES) from objects and hypotheses (seq, frame, id) and pairs (seq, frame, a, b, distance).
 
-    With strict, frames that only one side has count with the ids they have; without, they count as empty frames.
+    With strict, frames that only one side has count with the ids they have; without, they count as empty frames. seq is the sequence as an expression over frame, where no two sequences share a frame's number: the tables then need no seq, and keep their exchange by frame.
     """
-    keys = ["seq", "frame"]
+    keys = ["seq", "frame"] if seq is None else ["frame"]
     o = gt.groupBy(*keys).agg(F.sort_array(F.collect_list("id")).alias("oids"))
     h = hyp.groupBy(*keys).agg(F.sort_array(F.collect_list("id")).alias("hids"))
     p = pairs.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(F.col("a").alias("o"), F.col("b").alias("h"), F.col("distance").alias("d")))).alias("pairs"))
@@ -103,19 +105,20 @@ def frames_of(gt: DataFrame, hyp: DataFrame, pairs: DataFrame, *, strict: bool =
     empty = F.array().cast("array<bigint>")
     one_sided = F.lit(False) if strict else F.col("oids").isNull() | F.col("hids").isNull()
     ids = [F.when(one_sided, empty).otherwise(F.coalesce(c, empty)).cast("array<bigint>").alias(c) for c in ("oids", "hids")]
-    return both.select(F.col("seq").cast("string"), F.col("frame").cast("long"), *ids, F.coalesce("pairs", F.array()).cast("array<struct<o:bigint,h:bigint,d:double>>").alias("pairs"))
+    return both.select((F.col("seq") if seq is None else seq).cast("string").alias("seq"), F.col("frame").cast("long"), *ids, F.coalesce("pairs", F.array()).cast("array<struct<o:bigint,h:bigint,d:double>>").alias("pairs"))
 
 
-def event_log(frames: DataFrame, *, max_switch_time: float = float("inf")) -> DataFrame:
-    """EVENTS of the frames of each sequence; a sequence is one task, for its events depend on all frames before."""
-
-    def one(t: pa.Table) -> pa.Table:
-        t = t.sort_by("frame").combine_chunks()
-        log, cols = EventLog(max_switch_time), [[] for _ in range(6)]
-        pairs = pa.concat_arrays(t.column("pairs").chunks) if t.num_rows else pa.array([], pa.list_(pa.struct([("o", pa.int64()), ("h", pa.int64()), ("d", pa.float64())])))
+def _logged(t: pa.Table, max_switch_time: float) -> Iterator[pa.Table]:
+    """The events of one sequence, of _FRAMES frames at a time; what is remembered from frame to frame is small beside them."""
+    t = t.sort_by("frame").combine_chunks()
+    log = EventLog(max_switch_time)
+    kinds = [pa.int64(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.float64()]
+    for part in (t.slice(a, _FRAMES) for a in range(0, t.num_rows, _FRAMES)):
+        cols: list[list] = [[] for _ in kinds]
+        pairs = pa.concat_arrays(part.column("pairs").chunks)
         o, h, x = (pairs.flatten().field(k).to_pylist() for k in "ohd")
         end = 0
-        for frame, oids, hids, n in zip(*(t.column(c).to_pylist() for c in ("frame", "oids", "hids")), pa.compute.list_value_length(pairs).to_pylist(), strict=True):
+        for frame, oids, hids, n in zip(*(part.column(c).to_pylist() for c in ("frame", "oids", "hids")), pa.compute.list_value_length(pairs).to_pylist(), strict=True):
             start, end = end, end + n
             oi, hi = {k: i for i, k in enumerate(oids)}, {k: j for j, k in enumerate(hids)}
             d = {(oi[o[k]], hi[h[k]]): x[k] for k in range(start, end) if o[k] in oi and h[k] in hi and x[k] is not None and math.isfinite(x[k])}
@@ -124,11 +127,13 @@ def event_log(frames: DataFrame, *, max_switch_time: float = float("inf")) -> Da
             cols[1] += range(len(made))
             for c, v in zip(cols[2:], zip(*made, strict=True), strict=True):
                 c += v
-        kinds = [pa.int64(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.float64()]
         arrays = [pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]
-        return pa.table([pa.repeat(t.column("seq")[0], len(arrays[0])), *arrays], names=["seq", "frame", "event", "type", "oid", "hid", "d"])
+        yield pa.table([pa.repeat(t.column("seq")[0], len(arrays[0])), *arrays], names=["seq", "frame", "event", "type", "oid", "hid", "d"])
+
 
-    return frames.groupBy("seq").applyInArrow(one, EVENTS)
+def event_log(frames: DataFrame, *, max_switch_time: float = float("inf")) -> DataFrame:
+    """EVENTS of the frames of each sequence; a sequence is one task, for its events depend on all frames before."""
+    return frames.groupBy("seq").applyInArrow(lambda t: pa.concat_tables(_logged(t, max_switch_time)), EVENTS)
 
 
 def base_events(events: DataFrame) -> DataFrame:
@@ -199,6 +204,33 @@ def id_pair_counts(events: DataFrame) -> DataFrame:
     return events.filter("type = 'RAW' and oid is not null and hid is not null").groupBy("seq", "oid", "hid").agg(F.count("d").alias("n"))
 
 
+def _shared_frames(links: list[tuple[int, int, float]]) -> float:
+    """The most frames that a one-to-one assignment of objects to hypotheses shares, from the frames of each pair (object, hypothesis, n)."""
+    # a match saves the frames that both share, on both sides; objects and hypotheses that no pairs tie together are decided apart
+    root: dict[tuple, tuple] = {}
+
+    def find(x: tuple) -> tuple:
+        while root.setdefault(x, x) != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for a, b, _ in links:
+        root[find(("o", a))] = find(("h", b))
+    parts: dict[tuple, list] = {}
+    for link in links:
+        parts.setdefault(find(("o", link[0])), []).append(link)
+    hit = 0.0
+    for part in parts.values():
+        if len(part) == 1:
+            hit += part[0][2]
+            continue
+        rows, cols, m = lap.dense(*(np.array([x[k] for x in part]) for k in range(3)))
+        both = np.where(np.isnan(m), 0.0, m)
+        hit += both[lap.solve(-both)].sum()
+    return hit
+
+
 def id_totals(events: DataFrame) -> DataFrame:
     """Whole-sequence identity totals: idfp and idfn of the cheapest one-to-one assignment of objects to hypotheses, by sequence.
 
@@ -211,29 +243,7 @@ def id_totals(events: DataFrame) -> DataFrame:
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         o, h, p = (pdf[pdf["k"] == k] for k in "ohp")
-        # a match saves the frames that both share, on both sides; objects and hypotheses that no pairs tie together are decided apart
-        root: dict[tuple, tuple] = {}
-
-        def find(x: tuple) -> tuple:
-            while root.setdefault(x, x) != x:
-                root[x] = root[root[x]]
-                x = root[x]
-            return x
-
-        links = list(zip(p["a"].astype("int64").tolist(), p["b"].astype("int64").tolist(), p["n"].astype(float).tolist(), strict=True))
-        for a, b, _ in links:
-            root[find(("o", a))] = find(("h", b))
-        parts: dict[tuple, list] = {}
-        for link in links:
-            parts.setdefault(find(("o", link[0])), []).append(link)
-        hit = 0.0
-        for part in parts.values():
-            if len(part) == 1:
-                hit += part[0][2]
-                continue
-            rows, cols, m = lap.dense(*(np.array([x[k] for x in part]) for k in range(3)))
-            both = np.where(np.isnan(m), 0.0, m)
-            hit += both[lap.solve(-both)].sum()
+        hit = _shared_frames(list(zip(p["a"].astype("int64").tolist(), p["b"].astype("int64").tolist(), p["n"].astype(float).tolist(), strict=True)))
         return pd.DataFrame({"seq": [pdf["seq"].iloc[0]], "idfp": [int(h["n"].sum() - hit)], "idfn": [int(o["n"].sum() - hit)]})
 
     return oc.unionByName(hc).unionByName(tp).groupBy("seq").applyInPandas(one, "seq string, idfp long, idfn long")
@@ -259,8 +269,67 @@ def mot_summary(events: DataFrame, *, overall: bool = True) -> DataFrame:
     per = event_counts(events)
     for more in (track_quality(events), fragmentations(events), id_totals(events)):
         per = per.join(more, "seq", "left")
+    return _summed(per, overall)
+
+
+def _summed(per: DataFrame, overall: bool) -> DataFrame:
     names = [n for n in per.columns if n != "seq"]
     per = per.na.fill(0, names)
     if overall:
         per = per.unionByName(per.agg(*[F.sum(n).alias(n) for n in names]).select(F.lit("OVERALL").alias("seq"), *names))
     return ratios(per)
+
+
+_KINDS = {"num_matches": "MATCH", "num_switches": "SWITCH", "num_transfer": "TRANSFER", "num_ascend": "ASCEND", "num_migrate": "MIGRATE", "num_false_positives": "FP", "num_misses": "MISS"}
+SUMMARY = "seq string, num_frames long, " + ", ".join(f"{n} long" for n in _KINDS) + ", num_detections long, num_objects long, num_predictions long, num_unique_objects long, sum_d double, mostly_tracked long, partially_tracked long, mostly_lost long, num_fragmentations long, idfp long, idfn long"
+
+
+def _totals(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Sums (key, n) of counts by key, keys being numbers or rows of them."""
+    keys, n = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
+    every, at = np.unique(keys, axis=0, return_inverse=True)
+    return every, np.bincount(at.ravel(), n, len(every)).astype(np.int64)
+
+
+def summary_of(frames: DataFrame, *, max_switch_time: float = float("inf"), overall: bool = True) -> DataFrame:
+    """mot_summary() of the event log of frames (FRAMES): a sequence's events are counted in the task that makes them, _FRAMES frames at a time, and none are kept."""
+
+    def one(t: pa.Table) -> pa.Table:
+        n, seq = dict.fromkeys(SUMMARY.replace(" long", "").replace(" double", "").split(", ")[1:], 0), t.column("seq")[0]
+        n["num_frames"], n["sum_d"] = len(pa.compute.unique(t.column("frame"))), 0.0
+        ids, hits, seen, met = [], [], {"oid": [], "hid": []}, []
+        for e in _logged(t, max_switch_time):
+            kind = e.column("type").combine_chunks().dictionary_encode()
+            kind = np.array(kind.dictionary.to_pylist(), object)[kind.indices.to_numpy()]
+            frame, has = e.column("frame").to_numpy(), {c: e.column(c).is_valid().to_numpy() for c in ("oid", "hid", "d")}
+            own = {c: pa.compute.fill_null(e.column(c), 0).to_numpy() for c in ("oid", "hid")}
+            base, raw = ~np.isin(kind, ASIDE), kind == "RAW"
+            for name, k in _KINDS.items():
+                n[name] += int((kind == k).sum())
+            n["num_objects"] += int((base & has["oid"]).sum())
+            n["num_predictions"] += int((base & has["hid"]).sum())
+            n["sum_d"] += float(e.column("d").to_numpy()[base & has["d"]].sum())
+            ids.append(own["oid"][base & has["oid"]])
+            hits.append(kind[base & has["oid"]] != "MISS")
+            for c, parts in seen.items():  # a frame is in one part
+                at = np.unique(np.column_stack([frame, own[c]])[raw & has[c]], axis=0)[:, 1]
+                parts.append(np.unique(at, return_counts=True))
+            pair = raw & has["oid"] & has["hid"]
+            met.append(_totals([(np.column_stack([own["oid"], own["hid"]])[pair], has["d"][pair].astype(np.int64))]))
+        oid, hit = np.concatenate(ids), np.concatenate(hits)
+        order = np.argsort(oid, kind="stable")
+        oid, hit = oid[order], hit[order]
+        objects, start, size = np.unique(oid, return_index=True, return_counts=True)
+        n["num_detections"], n["num_unique_objects"] = n["num_matches"] + n["num_switches"], len(objects)
+        if len(objects):
+            ratio = np.add.reduceat(hit.astype(np.int64), start) / size
+            n["mostly_tracked"], n["mostly_lost"] = int((ratio >= 0.8).sum()), int((ratio < 0.2).sum())
+            n["partially_tracked"] = len(objects) - n["mostly_tracked"] - n["mostly_lost"]
+            begins = hit & np.r_[True, (oid[1:] != oid[:-1]) | ~hit[:-1]]
+            n["num_fragmentations"] = int(np.maximum(np.add.reduceat(begins.astype(np.int64), start) - 1, 0).sum())
+        pair, many = _totals(met)
+        shared = _shared_frames([(int(a), int(b), float(k)) for (a, b), k in zip(pair, many, strict=True)])
+        n["idfp"], n["idfn"] = (int(_totals(seen[c])[1].sum() - shared) for c in ("hid", "oid"))
+        return pa.table([pa.array([seq], pa.string()), *[pa.array([v], pa.float64() if c == "sum_d" else pa.int64()) for c, v in n.items()]], names=["seq", *n])
+
+    return _summed(frames.groupBy("seq").applyInArrow(one, SUMMARY), overall)
