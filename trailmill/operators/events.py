@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import lap
+from .storage import stored
 
 EVENTS = "seq string, frame long, event int, type string, oid long, hid long, d double"
 FRAMES = "seq string, frame long, oids array<long>, hids array<long>, pairs array<struct<o:long,h:long,d:double>>"
@@ -101,7 +102,7 @@ def frames_of(gt: DataFrame, hyp: DataFrame, pairs: DataFrame, *, strict: bool =
     o = gt.groupBy(*keys).agg(F.sort_array(F.collect_list("id")).alias("oids"))
     h = hyp.groupBy(*keys).agg(F.sort_array(F.collect_list("id")).alias("hids"))
     p = pairs.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(F.col("a").alias("o"), F.col("b").alias("h"), F.col("distance").alias("d")))).alias("pairs"))
-    both = o.join(h, keys, "full").join(p, keys, "left")
+    both = o.join(p, keys, "left").join(h, keys, "full")
     empty = F.array().cast("array<bigint>")
     one_sided = F.lit(False) if strict else F.col("oids").isNull() | F.col("hids").isNull()
     ids = [F.when(one_sided, empty).otherwise(F.coalesce(c, empty)).cast("array<bigint>").alias(c) for c in ("oids", "hids")]
@@ -332,4 +333,5 @@ def summary_of(frames: DataFrame, *, max_switch_time: float = float("inf"), over
         n["idfp"], n["idfn"] = (int(_totals(seen[c])[1].sum() - shared) for c in ("hid", "oid"))
         return pa.table([pa.array([seq], pa.string()), *[pa.array([v], pa.float64() if c == "sum_d" else pa.int64()) for c, v in n.items()]], names=["seq", *n])
 
-    return _summed(frames.groupBy("seq").applyInArrow(one, SUMMARY), overall)
+    # read twice, for OVERALL
+    return _summed(stored(frames.groupBy("seq").applyInArrow(one, SUMMARY), "summary"), overall)
